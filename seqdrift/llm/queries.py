@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seqdrift.llm.common import table
+from seqdrift.llm.hyperlang import held_out, identify, learn_prototypes
 from seqdrift.llm.merkle import fingerprint_documents
+from seqdrift.llm.packing import pack_documents
 from seqdrift.llm.sharding import shard_by_bytes
 from seqdrift.llm.toolchat import link_tool_calls
 
@@ -16,6 +18,17 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op5_hyperlang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    return identify(docs, learn_prototypes(docs), carry=("doc_id", "held_out"))
+
+
+def op6_square_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(table(spark, sf_dir, "conversations"))
 
@@ -24,7 +37,7 @@ def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_byte_shards, op7_tool_chat, op8_merkle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_byte_shards, op5_hyperlang, op6_square_packing, op7_tool_chat, op8_merkle)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_tool_chat": """
