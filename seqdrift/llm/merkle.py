@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqdrift.llm.common import shuffle_width
+from seqdrift.llm.common import groups_for, shuffle_width
 
 LEAF_CHARS = 32
+#: Rows of a doc_id range (a window operator keeps 4096 rows in memory), and most ranges: their bounds are a literal.
+RANGE_ROWS = 2048
+MAX_RANGES = 4096
 #: Stands for a null doc_id, which sorts first.
 _LOWEST = -(1 << 63)
 
 
-def merkle_tree(text: Column, leaf_chars: int = LEAF_CHARS) -> Column:
-    """struct(fingerprint, leaves) of a text.
+def merkle_fingerprint(text: Column, leaf_chars: int = LEAF_CHARS) -> Column:
+    """A text's tree as ``root/section,section/leaf.leaf``, with 64, 16 and 8 hex digits a node.
 
     Sections are split at blank lines, paragraphs at line ends, and a paragraph into runs of at most ``leaf_chars``
     code points counted from its own start, so an edit inside a paragraph leaves the other paragraphs' leaves alone.
-    Every inner node is the SHA-256 of its children's digests. The fingerprint is ``root/section,section/leaf.leaf``
-    with 64, 16 and 8 hex digits a node: equal roots mean equal texts, and differing branches locate the edit.
+    Every inner node is the SHA-256 of its children's digests: equal roots mean equal texts, and differing branches
+    locate the edit.
     """
 
     def digest(nodes: Column) -> Column:
@@ -27,45 +30,62 @@ def merkle_tree(text: Column, leaf_chars: int = LEAF_CHARS) -> Column:
     def paragraph(line: Column) -> Column:
         return F.transform(F.regexp_extract_all(line, F.lit(f"(?s).{{1,{leaf_chars}}}"), F.lit(0)), lambda leaf: F.sha2(leaf, 256))
 
+    def shown(tree: Column) -> Column:
+        sections = F.transform(tree, lambda section: digest(F.transform(section, digest)))
+        leaves = F.transform(F.flatten(F.flatten(tree)), lambda leaf: F.substring(leaf, 1, 8))
+        heads = F.transform(sections, lambda node: F.substring(node, 1, 16))
+        return F.concat_ws("/", digest(sections), F.array_join(heads, ","), F.array_join(leaves, "."))
+
     tree = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), lambda section: F.transform(F.split(section, "\n"), paragraph))
-    sections = F.transform(tree, lambda section: digest(F.transform(section, digest)))
-    leaves = F.transform(F.flatten(F.flatten(tree)), lambda leaf: F.substring(leaf, 1, 8))
-    heads = F.transform(sections, lambda node: F.substring(node, 1, 16))
-    shown = F.concat_ws("/", digest(sections), F.array_join(heads, ","), F.array_join(leaves, "."))
-    return F.struct(shown.alias("fingerprint"), F.array_distinct(leaves).alias("leaves"))
+    # A lambda's argument is evaluated once, however often the body names it.
+    return F.transform(F.array(tree), shown)[0]
+
+
+def leaves_of(fingerprint: Column) -> Column:
+    leaves = F.substring_index(fingerprint, "/", -1)
+    return F.when(leaves == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(leaves, "\\.")))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Dice coefficient of two fingerprints' distinct leaves; 1 for equal fingerprints, also without leaves."""
-    both = F.size(a["leaves"]) + F.size(b["leaves"])
-    return F.when(a["fingerprint"] == b["fingerprint"], 1.0).when(both == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(a["leaves"], b["leaves"])) / both)
+
+    def dice(pair: Column) -> Column:
+        both = F.size(pair["x"]) + F.size(pair["y"])
+        return F.when(both == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(pair["x"], pair["y"])) / both)
+
+    return F.when(a == b, 1.0).otherwise(F.transform(F.array(F.struct(leaves_of(a).alias("x"), leaves_of(b).alias("y"))), dice)[0])
 
 
-def with_next_text(docs: DataFrame, width: int) -> DataFrame:
-    """Add the text (and tree) of the document with the next lower doc_id; the lowest gets the highest.
+def with_next_text(docs: DataFrame, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """Add each text's fingerprint, and text and fingerprint of the document with the next lower doc_id; the lowest
+    doc_id gets the highest.
 
-    Rows are dealt once, by doc_id ranges whose bounds are approximate quantiles (any bounds give the same result).
+    Texts are dealt once, by doc_id ranges whose bounds are approximate quantiles (any bounds give the same result).
     The highest document of a range is copied to the range above, so every neighbour is met inside one task.
     """
-    ids = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("k"))
-    bounds = ids.agg(F.percentile_approx("k", [i / width for i in range(1, width)], 10_000).alias("b")).first()["b"] if width > 1 else []
+    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(_LOWEST)))
+    rows = keyed.count()
+    ranges = min(MAX_RANGES, max(shuffle_width(docs.sparkSession), groups_for(rows, RANGE_ROWS)))
+    bounds = keyed.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("b")).first()["b"] if ranges > 1 else []
     bounds = sorted(set(bounds or []))
     edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(_LOWEST))).withColumn("bucket", F.size(F.filter(edges, lambda b: b < F.col("k"))))
+    keyed = keyed.withColumn("bucket", F.size(F.filter(edges, lambda b: b < F.col("k"))))
     # One row per range reaches the driver.
     tops = {r["bucket"]: r["top"] for r in keyed.groupBy("bucket").agg(F.max("k").alias("top")).collect()}
     if not tops:
-        return keyed.withColumns({"next_text": F.col("text"), "next_tree": F.col("tree")}).drop("k", "bucket")
+        return docs.select("*", F.lit("").alias("fingerprint"), F.lit("").alias("next_text"), F.lit("").alias("next_fingerprint"))
     order = sorted(tops)
     above = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
     top_of = F.create_map(*[F.lit(x) for b in order for x in (b, tops[b])])
     next_of = F.create_map(*[F.lit(x) for b in order for x in (b, above[b])])
-    copies = F.when(F.col("k") == top_of[F.col("bucket")], F.array(F.struct(F.col("bucket"), F.lit(False).alias("ghost")), F.struct(next_of[F.col("bucket")].alias("bucket"), F.lit(True).alias("ghost"))))
-    dealt = keyed.withColumn("to", F.explode(F.coalesce(copies, F.array(F.struct(F.col("bucket"), F.lit(False).alias("ghost"))))))
-    dealt = dealt.drop("bucket").withColumns({"bucket": F.col("to.bucket"), "ghost": F.col("to.ghost")}).drop("to")
-    below = Window.partitionBy("bucket").orderBy(F.col("ghost").desc(), "k", "tree.fingerprint")
-    near = F.lag(F.struct("text", "tree")).over(below)
-    return dealt.withColumn("near", near).where(~F.col("ghost")).withColumns({"next_text": F.col("near.text"), "next_tree": F.col("near.tree")}).drop("near", "ghost", "bucket", "k")
+    stay = F.struct(F.col("bucket"), F.lit(False).alias("ghost"))
+    copies = F.when(F.col("k") == top_of[F.col("bucket")], F.array(stay, F.struct(next_of[F.col("bucket")].alias("bucket"), F.lit(True).alias("ghost"))))
+    dealt = keyed.withColumn("to", F.explode(F.coalesce(copies, F.array(stay)))).withColumns({"bucket": F.col("to.bucket"), "ghost": F.col("to.ghost")}).drop("to")
+    # Only texts cross the shuffle; fingerprints are made after it.
+    dealt = dealt.repartition("bucket").withColumn("fingerprint", merkle_fingerprint(F.col("text"), leaf_chars))
+    below = Window.partitionBy("bucket").orderBy(F.col("ghost").desc(), "k", "fingerprint")
+    near = dealt.withColumns({"next_text": F.lag("text").over(below), "next_fingerprint": F.lag("fingerprint").over(below)})
+    return near.where(~F.col("ghost")).drop("ghost", "bucket", "k")
 
 
 def fingerprint_documents(docs: DataFrame, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -76,17 +96,16 @@ def fingerprint_documents(docs: DataFrame, leaf_chars: int = LEAF_CHARS) -> Data
     lowest; among equal doc_ids the order is by fingerprint; an empty table gives no rows; other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("tree", merkle_tree(F.col("text"), leaf_chars))
-    paired = with_next_text(base, shuffle_width(docs.sparkSession)).withColumn("n_chars", F.char_length("text").cast("long"))
+    paired = with_next_text(base, leaf_chars).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.expr("cast(n_chars div 3 as int)")
     edited = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut)))
-    edited = edited.withColumn("edited_tree", merkle_tree(F.col("edited"), leaf_chars))
+    edited = edited.withColumn("edited_fingerprint", merkle_fingerprint(F.col("edited"), leaf_chars))
     return edited.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("tree.fingerprint").alias("fingerprint"),
-        F.col("edited_tree.fingerprint").alias("edited_fingerprint"),
-        likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
-        likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
