@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +39,18 @@ def settle(df: DataFrame) -> DataFrame:
 
 def groups_for(rows: int, per_group: int) -> int:
     return max(1, math.ceil(rows / per_group))
+
+
+def running_total(df: DataFrame, order: list[str], weight: str) -> DataFrame:
+    """Add ``before``: the sum of ``weight`` over all rows that sort before, over the whole table.
+
+    Rows are range-partitioned and sorted; one total a partition is prefix-summed and added to the local sums. ``order``
+    must tell rows apart, which also keeps the ranges even.
+    """
+    ordered = df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
+    placed = settle(ordered.withColumn("place", F.monotonically_increasing_id())).withColumn("part", F.shiftrightunsigned("place", 33))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").agg(F.sum(weight).alias("w")).select("part", F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("start"))
+    local = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.join(F.broadcast(starts), "part").withColumn("before", F.col("start") + F.coalesce(F.sum(weight).over(local), F.lit(0)))
+    return summed.drop("part", "place", "start")

@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqdrift.llm.common import table
 from seqdrift.llm.hyperlang import held_out, identify, learn_prototypes
+from seqdrift.llm.linedup import drop_repeated_lines
 from seqdrift.llm.merkle import fingerprint_documents
 from seqdrift.llm.packing import pack_documents
+from seqdrift.llm.rlz import remove_duplicate_substrings
 from seqdrift.llm.sharding import shard_by_bytes
 from seqdrift.llm.toolchat import link_tool_calls
 
 
+def op1_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_duplicate_substrings(table(spark, sf_dir, "documents"), width=35)
+
+
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
@@ -37,9 +44,25 @@ def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_byte_shards, op5_hyperlang, op6_square_packing, op7_tool_chat, op8_merkle)}
+def op10_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_repeated_lines(table(spark, sf_dir, "documents"), min_lines=2)
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_rlz_substrings, op4_byte_shards, op5_hyperlang, op6_square_packing, op7_tool_chat, op8_merkle, op10_line_suffixes)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_line_suffixes": """
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+        ), runs AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS follower FROM lines),
+        copies AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, follower ORDER BY doc_id, pos) AS copy FROM runs WHERE follower IS NOT NULL),
+        gone AS (SELECT doc_id, pos FROM copies WHERE copy > 1 UNION SELECT doc_id, pos + 1 FROM copies WHERE copy > 1)
+        SELECT d.doc_id, count(l.pos) AS n_lines, count(g.pos) AS n_removed,
+               sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
+        FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
+        GROUP BY d.doc_id
+    """,
     "op7_tool_chat": """
         SELECT conv_id, turn, role, CAST(0 AS BIGINT) AS n_calls, 'plain' AS status, turn AS order_turn, CAST(0 AS INTEGER) AS order_step,
                '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"conv_id":' || conv_id || ',"role":"' || role || '","turn":' || turn || '}' AS line
