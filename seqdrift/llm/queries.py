@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqdrift.llm.common import table
 from seqdrift.llm.hyperlang import held_out, identify, learn_prototypes
+from seqdrift.llm.jaccard import jaccard_components
 from seqdrift.llm.linedup import drop_repeated_lines
 from seqdrift.llm.merkle import fingerprint_documents
 from seqdrift.llm.packing import pack_documents
@@ -21,6 +22,10 @@ def op1_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicate_substrings(table(spark, sf_dir, "documents"), width=35)
 
 
+def op3_adaptive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
 
@@ -49,7 +54,7 @@ def op10_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_rlz_substrings, op4_byte_shards, op5_hyperlang, op6_square_packing, op7_tool_chat, op8_merkle, op10_line_suffixes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_rlz_substrings, op3_adaptive_jaccard, op4_byte_shards, op5_hyperlang, op6_square_packing, op7_tool_chat, op8_merkle, op10_line_suffixes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_line_suffixes": """
