@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -18,58 +21,69 @@ END_ID = 1
 GROUP_PIECES = 1 << 15
 _CACHE_WORDS = 1 << 19
 _LONG_WORD = 64
-_SUB_BATCH_CHARS = 1 << 20
 #: str.split() cuts at these; the tokenizer's white space does not include them.
-_ODD_SPACES = "\x1c\x1d\x1e\x1f"
-_LOADED: dict[str, tuple] = {}
+_ODD_SPACES = re.compile("[\x1c-\x1f]")
+_ENDINGS = frozenset(".,;:!?")
+_LOADED: dict[str, WordIds] = {}
 
 
-def _load(path: str) -> tuple:
-    if path not in _LOADED:
-        from tokenizers import Tokenizer
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible Latin-1 ones for themselves, and the
+    others, in order, for the code points from 256."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class WordIds(dict):
+    """Word to ids, as little-endian 32-bit words; short words are remembered, up to a bound.
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _LOADED[path] = (tokenizer, {})
-    return _LOADED[path]
+    A word of Latin letters, perhaps with one mark at its end, goes straight to the vocabulary's merge table; any other
+    word goes through the whole tokenizer.
+    """
 
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-def _as_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.marks = {m: self.whole(m) for m in _ENDINGS}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        mark = word[-1] if word[-1] in _ENDINGS else ""
+        base = (word[:-1] if mark else word).lower()
+        if base.isalpha() and max(base) < "\u0180" and is_normalized("NFC", word):
+            raw = base if base.isascii() else base.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.merge(raw)]).tobytes()
+            if mark:
+                ids += self.marks[mark]
+        else:
+            ids = self.whole(word)
+        if len(word) <= _LONG_WORD:
+            if len(self) >= _CACHE_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
-def encode_texts(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """Each text's ids as little-endian 32-bit words.
+def encode_text(text: str | None, path: str) -> bytes:
+    """A text's ids as little-endian 32-bit words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its white-space separated words' ids;
-    short words are remembered in a bounded table. A text with characters that only Python takes for white space is
-    encoded whole.
+    The tokenizer drops white space and never joins across it, so a text's ids are its white-space separated words' ids.
+    A text with characters that only Python takes for white space is encoded whole.
     """
-    tokenizer, known = _load(path)
-    first = 0
-    while first < len(texts):
-        last, size = first, 0
-        while last < len(texts) and (last == first or size + len(texts[last] or "") <= _SUB_BATCH_CHARS):
-            size += len(texts[last] or "")
-            last += 1
-        split = [None if t is not None and any(c in t for c in _ODD_SPACES) else (t or "").split() for t in texts[first:last]]
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-        fresh = list({w for words in split if words for w in words if w not in known})
-        local = known
-        if fresh:
-            made = {}
-            for low in range(0, len(fresh), 4096):
-                part = fresh[low : low + 4096]
-                made |= {w: _as_bytes(e.ids) for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True)}
-            local = known | made if any(len(w) > _LONG_WORD for w in fresh) else known
-            known.update((w, b) for w, b in made.items() if len(w) <= _LONG_WORD)
-        for k, words in enumerate(split):
-            if words is None:
-                yield _as_bytes(tokenizer.encode(texts[first + k], add_special_tokens=False).ids)
-            else:
-                yield b"".join(map(local.__getitem__, words))
-        first = last
+    if path not in _LOADED:
+        _LOADED[path] = WordIds(path)
+    known = _LOADED[path]
+    if not text:
+        return b""
+    if _ODD_SPACES.search(text):
+        return known.whole(text)
+    return b"".join(map(known.__getitem__, text.split()))
 
 
 class SquareSums:
@@ -108,11 +122,11 @@ def tokenise_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFra
     """One row per piece: whole windows from the start of a document, then what is left over."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = _as_bytes([END_ID])
+        tail = END_ID.to_bytes(4, "little")
         for batch in batches:
             ids, rows = batch.column("doc_id").to_pylist(), ([], [], [], [], [])
-            for doc_id, data in zip(ids, encode_texts(batch.column("text").to_pylist(), path), strict=True):
-                data += tail
+            for doc_id, text in zip(ids, batch.column("text"), strict=True):
+                data = encode_text(text.as_py(), path) + tail
                 total = len(data) // 4
                 for start in range(0, total, window):
                     part = data[4 * start : 4 * (start + window)]
