@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqdrift.llm.common import table
+from seqdrift.llm.decontaminate import find_leaks
 from seqdrift.llm.hyperlang import held_out, identify, learn_prototypes
 from seqdrift.llm.jaccard import jaccard_components
 from seqdrift.llm.linedup import drop_repeated_lines
 from seqdrift.llm.merkle import fingerprint_documents
 from seqdrift.llm.packing import pack_documents
+from seqdrift.llm.pii import find_personal_data, train
 from seqdrift.llm.rlz import remove_duplicate_substrings
 from seqdrift.llm.sharding import shard_by_bytes
 from seqdrift.llm.toolchat import link_tool_calls
@@ -22,6 +24,11 @@ def op1_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicate_substrings(table(spark, sf_dir, "documents"), width=35)
 
 
+def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find_personal_data(docs, train(docs))
+
+
 def op3_adaptive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
@@ -49,12 +56,16 @@ def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_repeated_lines(table(spark, sf_dir, "documents"), min_lines=2)
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_rlz_substrings, op3_adaptive_jaccard, op4_byte_shards, op5_hyperlang, op6_square_packing, op7_tool_chat, op8_merkle, op10_line_suffixes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_rlz_substrings, op2_skip_chain_pii, op3_adaptive_jaccard, op4_byte_shards, op5_hyperlang, op6_square_packing, op7_tool_chat, op8_merkle, op9_cgk_leaks, op10_line_suffixes)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_line_suffixes": """
