@@ -16,8 +16,6 @@ from seqdrift.llm.text import _WORDS, U, Words, mix, words_of
 SHINGLE = 5
 PERCENT = 80
 MAX_MATCHES = 4
-#: Tokens whose hash lies in the first fifth are counted over all documents and sorted rarest first; the others follow.
-COUNTED = (1 << 64) // 5
 BLOCK_ROWS = 512
 _NULL_ID = -(1 << 63)
 
@@ -49,6 +47,12 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(row, np.arange(rows + 1)), hashes
 
 
+def counted_below(percent: int) -> np.uint64:
+    """Tokens with a lower hash are counted over all documents and sorted rarest first; the others follow by hash. They
+    are 1.6 times as many as a prefix takes, so the rarest five eighths fill it."""
+    return U(min((1 << 64) - 1, (1 << 64) // 1000 * 16 * (100 - percent)))
+
+
 def prefix_length(n: int, percent: int, matches: int) -> int:
     """Tokens of an n-set's prefix such that every partner shares ``matches`` of them in its own such prefix."""
     return n - -(-percent * n // 100) + matches
@@ -69,7 +73,7 @@ def _summaries(size: int, percent: int):
                     total = np.zeros(len(hashes) + 1, U)
                     np.cumsum(mix(hashes, salt), out=total[1:])
                     sums.append((total[cuts[1:]] - total[cuts[:-1]]).view(np.int64))
-                total = np.concatenate(([0], np.cumsum(hashes < U(COUNTED))))
+                total = np.concatenate(([0], np.cumsum(hashes < counted_below(percent))))
                 counted = total[cuts[1:]] - total[cuts[:-1]]
                 most = n - -(-percent * n // 100) + MAX_MATCHES
                 take = np.minimum(n, np.maximum(counted, most))
@@ -89,10 +93,10 @@ def choose_prefix(n: int, counted: int, tokens: np.ndarray, df: np.ndarray, perc
     shared tokens lengthens the prefix. A list entry costs one step to scan; a candidate uses up as many entries as
     shared tokens are asked for, and costs ``n`` steps to verify.
     """
-    early = tokens < U(COUNTED)
+    early = tokens < counted_below(percent)
     order = np.lexsort((tokens, np.where(early, df, 0), ~early))
     tokens, df, early = tokens[order], df[order], early[order]
-    place = np.arange(len(tokens)) + np.where(early, counted - early.sum(), counted - early.sum())
+    place = np.arange(len(tokens)) + counted - early.sum()
     best = None
     for matches in range(1, min(MAX_MATCHES, n) + 1):
         inside = place < prefix_length(n, percent, matches)
@@ -220,25 +224,8 @@ def _sets(size: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Link documents whose shingle sets have a Jaccard similarity of at least ``percent`` hundredths.
-
-    Returns a row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), n_links (documents
-    linked to it, copies of one text counted each).
-
-    1. Documents with equal sets become one class; one of each class goes on.
-    2. Every counted token's document frequency is exact over all classes; each class picks the prefix that is cheapest
-       by those frequencies (``choose_prefix``).
-    3. Classes that share prefix tokens form candidate components; their whole sets are fetched once.
-    4. A component is cut into blocks of about ``BLOCK_ROWS``; each pair of blocks is one unit of work, however large the
-       group. Pairs with enough shared prefix tokens are verified exactly on whole sets, and a unit reports a spanning
-       forest of its links, never the pairs. No candidate is dropped.
-    5. Components of the links give component_id.
-
-    A null text or one without words has no shingles and is linked with nothing. Rows with a null doc_id take part;
-    component_id is null only where a component has no doc_id. Repeated rows are copies of one text. An empty table
-    gives no rows; other columns are ignored.
-    """
+def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``jaccard_components`` with k, h (what a row is known by) and a label for every component."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     base = settle(keyed.mapInArrow(_summaries(shingle, percent), "k long, h long, n int, d1 long, d2 long, counted int, tokens array<bigint>"))
     filled = base.where("n > 0")
@@ -270,13 +257,54 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     labelled = settle(labelled)
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    classes = labelled.join(ids, "label").join(counts, "node", "left").select("d1", "d2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = base.select("k", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    classes = labelled.join(ids, "label").join(counts, "node", "left").select("d1", "d2", "label", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = base.select("k", "h", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     doc_id = F.when(F.col("k") != _NULL_ID, F.col("k"))
     alone = F.col("n") == 0
     return rows.select(
+        "k",
+        "h",
+        "label",
         doc_id.alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
         F.when(alone, doc_id).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
+
+
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Link documents whose shingle sets have a Jaccard similarity of at least ``percent`` hundredths.
+
+    Returns a row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), n_links (documents
+    linked to it, copies of one text counted each).
+
+    1. Documents with equal sets become one class; one of each class goes on.
+    2. Every counted token's document frequency is exact over all classes; each class picks the prefix that is cheapest
+       by those frequencies (``choose_prefix``).
+    3. Classes that share prefix tokens form candidate components; their whole sets are fetched once.
+    4. A component is cut into blocks of about ``BLOCK_ROWS``; each pair of blocks is one unit of work, however large the
+       group. Pairs with enough shared prefix tokens are verified exactly on whole sets, and a unit reports a spanning
+       forest of its links, never the pairs. No candidate is dropped.
+    5. Components of the links give component_id.
+
+    A null text or one without words has no shingles and is linked with nothing. Rows with a null doc_id take part;
+    component_id is null only where a component has no doc_id. Repeated rows are copies of one text. An empty table
+    gives no rows; other columns are ignored.
+    """
+    return _components(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, with all columns: the one with the least doc_id (null last), then text hash.
+
+    Documents without words stay. Of rows equal in doc_id and text one stays, whether or not they have words.
+    """
+    found = settle(_components(docs, shingle, percent))
+    last = F.when(F.col("k") == _NULL_ID, (1 << 63) - 1).otherwise(F.col("k"))
+    heads = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(last.alias("last"), "h", "k")).alias("head")).select("head.k", "head.h")
+    keep = heads.unionByName(found.where("n_shingles = 0").select("k", "h").distinct()).select(F.col("k").alias("_k"), F.col("h").alias("_h"))
+    kept = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "_h": F.xxhash64("text")})
+    kept = kept.join(keep.hint("shuffle_hash"), ["_k", "_h"], "left_semi")
+    if not found.groupBy("k", "h").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_k", "_h"])
+    return kept.drop("_k", "_h")
