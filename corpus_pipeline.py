@@ -1,10 +1,70 @@
-"""The corpus pipeline: language ID, line dedup, near-duplicate join, decontamination, packing."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate join, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of ``documents``. The next
+stage reads it back from Parquet.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqdrift.llm.common import ensure_checkpoint_dir, table
+from seqdrift.llm.decontaminate import drop_leaking
+from seqdrift.llm.hyperlang import UNDETERMINED, identify, learn_prototypes
+from seqdrift.llm.jaccard import drop_near_duplicates
+from seqdrift.llm.linedup import drop_repeated_lines
+from seqdrift.llm.packing import pack_documents
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language: null texts and texts without a letter."""
+    columns = docs.columns
+    # The operator's own column names may clash with the table's, so they live beside one struct of it.
+    wrapped = docs.select(F.struct(*columns).alias("row"), "text")
+    found = identify(wrapped, learn_prototypes(docs), carry=("row",))
+    return found.where(F.col("lang_pred") != UNDETERMINED).select("row.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut later copies of line runs; a document of which nothing is left goes."""
+    columns = docs.columns
+    cut = drop_repeated_lines(docs)
+    cut = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group linked at five-word shingles and a similarity of 0.8 or more."""
+    return drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that contain a benchmark item."""
+    return drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into windows of 2048 ids."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("pack", pack)]
+
+#: Hypervectors, set joins, edit distances and token ids have no SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; what a stage returns is written to the shared checkpoint folder and reread."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
