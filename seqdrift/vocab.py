@@ -1,9 +1,6 @@
 """Token vocabulary and table schemas."""
 
 from __future__ import annotations
-
-from pyspark.sql import types as T
-
 # They define the token vocabulary.
 TIME, DURATION, NOTE = 0, 10_000, 11_000
 REST = 27_512
@@ -27,14 +24,11 @@ def vocabulary_size(velocity: bool) -> int:
     return VELOCITY + 2 * MAX_VELOCITY if velocity else VELOCITY
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-SEQUENCES = _struct("seq_id bigint, tokens array<int>")
-EVENTS = _struct("seq_id bigint, ev_idx int, time int, dur int, note int, vel int")
-COMPOUND = _struct("seq_id bigint, note_idx int, onset int, dur int, pitch int, instr int, velocity int")
-MESSAGES = _struct("timestamp double, type string, note int, velocity int, channel int")
-RECORDING = _struct("messages array<struct<timestamp: double, type: string, note: int, velocity: int, channel: int>>")
-EMBEDDINGS = _struct("sample_id bigint, emb array<double>")
-SCORES = _struct("sample_id bigint, score double")
+# Table schemas, as DDL.
+SEQUENCES = "seq_id bigint, tokens array<int>"
+EVENTS = "seq_id bigint, ev_idx int, time int, dur int, note int, vel int"
+COMPOUND = "seq_id bigint, note_idx int, onset int, dur int, pitch int, instr int, velocity int"
+MESSAGES = "timestamp double, type string, note int, velocity int, channel int"
+RECORDING = "messages array<struct<timestamp: double, type: string, note: int, velocity: int, channel: int>>"
+EMBEDDINGS = "sample_id bigint, emb array<double>"
+SCORES = "sample_id bigint, score double"
