@@ -161,7 +161,7 @@ def royston(df: DataFrame, rows: int = 1000, columns: int = 100, column: str = "
     mean = (shrunk.sum() - p) / (p * p - p) if p > 1 else 0.0
     df_left = p / (1 + (p - 1) * mean)
     h = df_left / p * sum(normal_ppf(max(normal_sf(z), 1e-300) / 2) ** 2 for z in scores)
-    return {"royston_h": h, "royston_p": chi2_sf(h, df_left)}
+    return {"royston_h": float(h), "royston_p": float(chi2_sf(h, df_left))}
 
 
 def spectrum(df: DataFrame, components: int = 100, column: str = "emb") -> DataFrame:

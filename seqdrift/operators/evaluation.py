@@ -124,10 +124,10 @@ def run_ood_detection(detector: OODDetector, inside: DataFrame, outside: DataFra
 
 def experiment_grid(spark, **axes: Iterable) -> DataFrame:
     """Every combination of named settings, one row each."""
-    grid = spark.range(1).select()
+    grid = spark.range(1)
     for name, values in axes.items():
-        grid = grid.crossJoin(spark.createDataFrame([(v,) for v in values], [name]))
-    return grid
+        grid = grid.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    return grid.drop("id")
 
 
 def dataset_splits(samples: DataFrame, label: str, inside: Iterable, holdout_modulus: int = 5, id_col: str = "sample_id") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -118,7 +118,7 @@ def append_stats(stats: DataFrame, path: str) -> None:
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
     """Experiment records, from a JSON list or from appended lines; broken records are dropped."""
     ddl = "transformations string, scoring_function string, confusion_matrix array<array<bigint>>, true_positive_rate double, false_positive_rate double, auroc double"
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.regexp_replace(F.rtrim("value"), r"\n+", ","), F.lit("]"))), f"array<struct<{', '.join(p.replace(' ', ':', 1) for p in ddl.split(', '))}>>")).alias("r"))
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.regexp_replace(F.regexp_replace("value", r"\s+$", ""), r"\n+", ","), F.lit("]"))), f"array<struct<{', '.join(p.replace(' ', ':', 1) for p in ddl.split(', '))}>>")).alias("r"))
     return lines.select("r.*").where("auroc is not null")
 
 
