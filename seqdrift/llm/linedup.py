@@ -29,6 +29,7 @@ def later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     depth, rows = 1, ids
     while True:
         groups = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "pos")).alias("first")).where("n > 1")
+        groups = settle(groups)
         if depth >= min_lines:
             break
         ranks = running_total(groups.select("a", "b", "n"), ["a", "b"], "n").select("a", "b", F.col("before").alias("rank"))
