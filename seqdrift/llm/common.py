@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 
@@ -37,6 +38,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished stages' shuffle files. Spark deletes them when the driver collects the objects that refer to
+    them, which by itself may take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def groups_for(rows: int, per_group: int) -> int:
     return max(1, math.ceil(rows / per_group))
 

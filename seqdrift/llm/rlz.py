@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqdrift.llm.common import settle
+from seqdrift.llm.common import release, settle
 from seqdrift.llm.text import _WORDS, U, Words, mix, words_of
 
 WIDTH = 35
@@ -125,21 +125,25 @@ def duplicate_factors(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     """(k, h, lo, hi): ranges of window starts whose windows all start somewhere else too, same document included."""
     keyed = _keyed(docs)
     texts = keyed.select("text").where("text is not null")
-    anchors = texts.mapInArrow(_anchors(width, gram), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
+    # What has been counted is settled before it is joined back: a join between plain tables can split a hot key.
+    anchors = settle(texts.mapInArrow(_anchors(width, gram), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a"))
     found = keyed.where("text is not null").mapInArrow(_phrase_rows(width, gram), "a long, d long, k long, h long, lo int, hi int")
+    release(docs.sparkSession)
     found = settle(found.join(anchors, "a", "left_semi"))
+    release(docs.sparkSession)
 
     firsts = [F.first(c).alias(c) for c in ("k", "h", "lo", "hi")]
     classes = settle(found.groupBy("a", "d").agg(F.count("*").alias("n"), *firsts))
     whole = found.join(classes.where("n > 1").select("a", "d"), ["a", "d"], "left_semi").select("k", "h", "lo", "hi")
 
     # Boundaries: an anchor with a phrase that occurs once. One phrase of each class stands for all of them.
-    open_anchors = classes.groupBy("a").agg(F.min("n").alias("least")).where("least = 1").select("a")
+    open_anchors = settle(classes.groupBy("a").agg(F.min("n").alias("least")).where("least = 1").select("a"))
     stand = classes.join(open_anchors, "a", "left_semi")
     ranges = stand.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("ranges"))
     windows = keyed.join(ranges.hint("shuffle_hash"), ["k", "h"]).select("k", "h", "text", "ranges").mapInArrow(_window_rows(width), "w1 long, w2 long, k long, h long, p int, n long")
     windows = settle(windows)
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
+    release(docs.sparkSession)
+    twice = settle(windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"))
     edges = windows.where("n = 1").join(twice, ["w1", "w2"], "left_semi").select("k", "h", F.col("p").alias("lo"), F.col("p").alias("hi"))
     return whole.unionByName(edges)
 
