@@ -79,7 +79,7 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, dict] = SCHEMAS,
     # One row an id however many repeat it, so the join cannot multiply messages.
     made = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "verdict")).alias("first"))
     if not calls.where(F.size("depends_on") > 0).isEmpty():
-        made = made.join(_depths(calls.where(F.size("depends_on") > 0), rounds), ["conv_id", "call_id"], "left")
+        made = made.join(_depths(calls, rounds), ["conv_id", "call_id"], "left")
     else:
         made = made.withColumn("depth", F.lit(0))
     made = made.select("conv_id", F.col("call_id").alias("answers"), F.col("first.turn").alias("call_turn"), F.col("first.name").alias("call_name"), F.col("first.verdict").alias("verdict"), F.coalesce("depth", F.lit(0)).alias("depth"))
