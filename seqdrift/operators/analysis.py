@@ -154,7 +154,7 @@ def royston(df: DataFrame, rows: int = 1000, columns: int = 100, column: str = "
         cut.unpersist()
     p = len(scores)
     sd = np.sqrt(np.diag(scatter))
-    correlation = scatter / np.maximum(np.outer(sd, sd), 1e-300)
+    correlation = np.clip(scatter / np.maximum(np.outer(sd, sd), 1e-300), -1, 1)
     k = math.log(n)
     v = 0.21364 + 0.015124 * k**2 - 0.0018034 * k**3
     shrunk = np.abs(correlation) ** 5 * (1 - 0.715 * (1 - np.abs(correlation)) ** 0.715 / v)
