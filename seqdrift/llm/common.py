@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,9 +34,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage and survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a Parquet table in the checkpoint folder.
+
+    Cuts the lineage and survives lost executors, like checkpoint(); unlike it, the plan's size estimate is the table's,
+    not the product of all joins so far, which grows beyond bounds over the rounds of an iterative operator.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._settled_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -49,6 +67,25 @@ def groups_for(rows: int, per_group: int) -> int:
     return max(1, math.ceil(rows / per_group))
 
 
+#: 64-bit words of a key filter: its size, 4 MB, does not depend on the number of keys.
+FILTER_WORDS = 1 << 18
+
+
+def split_by_keys(df: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in ``keys``, rows whose key is not), without a shuffle of ``df``.
+
+    The keys become a bitmap of fixed size (one hash, ``FILTER_WORDS`` rows at most), which is broadcast. With very many
+    keys it lets everything pass, which costs time and changes nothing. Key columns must not be null. Settle ``keys``
+    first: it is read twice.
+    """
+    h = F.xxhash64(*columns)
+    word, bit = h.bitwiseAND(FILTER_WORDS - 1), F.shiftrightunsigned(h, 18).bitwiseAND(63)
+    bits = keys.select(word.alias("_word"), bit.cast("int").alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    marked = df.withColumns({"_word": word, "_bit": bit.cast("int")}).join(F.broadcast(bits), "_word", "left")
+    marked = marked.withColumn("_hit", F.coalesce(F.expr("shiftrightunsigned(_bits, _bit) & 1L"), F.lit(0)) == 1)
+    return tuple(marked.where(c).drop("_word", "_bit", "_bits", "_hit") for c in (F.col("_hit"), ~F.col("_hit")))
+
+
 def running_total(df: DataFrame, order: list[str], weight: str) -> DataFrame:
     """Add ``before``: the sum of ``weight`` over all rows that sort before, over the whole table.
 

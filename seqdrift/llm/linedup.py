@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqdrift.llm.common import running_total, settle
+from seqdrift.llm.common import running_total, settle, split_by_keys
 
 MIN_LINES = 2
 
@@ -56,7 +56,9 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFram
     cuts = settle(gone.groupBy("doc_id", "h").agg(F.collect_list("pos").alias("gone")))
     cuts = cuts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_k"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
     kept = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64("text")})
-    kept = kept.join(cuts.hint("shuffle_hash"), ["_k", "_h"], "left")
+    some, none = split_by_keys(kept, cuts, ["_k", "_h"])  # texts without cuts stay where they are
+    some = some.join(cuts.hint("shuffle_hash"), ["_k", "_h"], "left")
+    kept = some.unionByName(none.withColumn("_gone", F.lit(None).cast("array<bigint>")))
     lines = F.split("text", "\n")
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1).cast("array<bigint>"), F.col("_gone"))
     # One lambda argument holds both arrays, so each is made once a row.

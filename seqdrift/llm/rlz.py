@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqdrift.llm.common import release, settle
+from seqdrift.llm.common import discard, release, settle, split_by_keys
 from seqdrift.llm.text import _WORDS, U, Words, mix, words_of
 
 WIDTH = 35
@@ -130,6 +130,7 @@ def duplicate_factors(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     found = keyed.where("text is not null").mapInArrow(_phrase_rows(width, gram), "a long, d long, k long, h long, lo int, hi int")
     release(docs.sparkSession)
     found = settle(found.join(anchors, "a", "left_semi"))
+    discard(anchors)
     release(docs.sparkSession)
 
     firsts = [F.first(c).alias(c) for c in ("k", "h", "lo", "hi")]
@@ -139,8 +140,9 @@ def duplicate_factors(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     # Boundaries: an anchor with a phrase that occurs once. One phrase of each class stands for all of them.
     open_anchors = settle(classes.groupBy("a").agg(F.min("n").alias("least")).where("least = 1").select("a"))
     stand = classes.join(open_anchors, "a", "left_semi")
-    ranges = stand.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("ranges"))
-    windows = keyed.join(ranges.hint("shuffle_hash"), ["k", "h"]).select("k", "h", "text", "ranges").mapInArrow(_window_rows(width), "w1 long, w2 long, k long, h long, p int, n long")
+    ranges = settle(stand.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("ranges")))
+    wanted, _ = split_by_keys(keyed, ranges, ["k", "h"])
+    windows = wanted.join(ranges.hint("shuffle_hash"), ["k", "h"]).select("k", "h", "text", "ranges").mapInArrow(_window_rows(width), "w1 long, w2 long, k long, h long, p int, n long")
     windows = settle(windows)
     release(docs.sparkSession)
     twice = settle(windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"))
@@ -185,6 +187,9 @@ def remove_duplicate_substrings(docs: DataFrame, width: int = WIDTH, gram: int =
     doc_ids with different texts are different documents; an empty table gives no rows; other columns are ignored.
     """
     factors = settle(duplicate_factors(docs, width, gram).groupBy("k", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("factors")))
-    joined = _keyed(docs).join(factors.hint("shuffle_hash"), ["k", "h"], "left").select("k", "text", "factors")
+    # Only texts with factors are shuffled to them; the others are cut, that is left whole, where they are.
+    some, none = split_by_keys(_keyed(docs), factors, ["k", "h"])
+    joined = some.join(factors.hint("shuffle_hash"), ["k", "h"], "left").select("k", "text", "factors")
+    joined = joined.unionByName(none.select("k", "text", F.lit(None).cast(joined.schema["factors"].dataType).alias("factors")))
     cut = joined.mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<bigint>>")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
