@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqdrift.llm.common import settle, shuffle_width
+from seqdrift.llm.common import discard, release, settle, shuffle_width, split_by_keys
 from seqdrift.llm.graph import connected_components
 from seqdrift.llm.text import _WORDS, U, Words, mix, words_of
 
 SHINGLE = 5
 PERCENT = 80
 MAX_MATCHES = 4
+#: Documents of a block where only short token lists are compared, and where whole sets are.
+LIGHT_BLOCK_ROWS = 1536
 BLOCK_ROWS = 512
 _NULL_ID = -(1 << 63)
 
@@ -49,8 +52,8 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def counted_below(percent: int) -> np.uint64:
     """Tokens with a lower hash are counted over all documents and sorted rarest first; the others follow by hash. They
-    are 1.6 times as many as a prefix takes, so the rarest five eighths fill it."""
-    return U(min((1 << 64) - 1, (1 << 64) // 1000 * 16 * (100 - percent)))
+    are an eighth of all more than a prefix takes, so a document with much text of its own fills its prefix with that."""
+    return U(min((1 << 64) - 1, (1 << 64) // 1000 * (10 * (100 - percent) + 125)))
 
 
 def prefix_length(n: int, percent: int, matches: int) -> int:
@@ -108,18 +111,25 @@ def choose_prefix(n: int, counted: int, tokens: np.ndarray, df: np.ndarray, perc
 
 
 def _prefixes(percent: int):
+    """Per class: matches, prefix, the counted tokens that others have too, and how many of them a partner must share."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [])
+            out = ([], [], [], [], [], [])
             rows = zip(*(batch.column(c).to_pylist() for c in ("node", "n", "counted")), batch.column("found"), strict=True)
             for node, n, counted, found in rows:
                 values = found.values
                 tokens = values.field("token").to_numpy(zero_copy_only=False).view(U)
                 matches, chosen = choose_prefix(n, counted, tokens, values.field("df").to_numpy(zero_copy_only=False), percent)
-                if len(chosen) >= matches:
-                    for column, value in zip(out, (node, matches, chosen.view(np.int64)), strict=True):
+                listed = tokens[tokens < counted_below(percent)]
+                # At most n - ceil(t * n) tokens of a set are missing in a partner, so of the counted ones at least these
+                # are shared: the longest prefix, with the most matches.
+                need = counted - (n - -(-percent * n // 100))
+                if len(chosen) >= matches and len(listed) >= need:
+                    for column, value in zip(out, (node, n, matches, need, chosen.view(np.int64), listed.view(np.int64)), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], names=["node", "matches", "prefix"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["node", "n", "matches", "need", "prefix", "listed"])
 
     return run
 
@@ -144,26 +154,51 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(block: dict[int, tuple], percent: int, inside: bool) -> Iterator[tuple[int, int | None, int]]:
-    """Rows (node, other, links): a spanning forest of the block's links, and each node's links weighted by copies."""
-    nodes = list(block)
-    side, matches, copies, prefixes, sets = (list(x) for x in zip(*block.values(), strict=True))
-    side, matches, copies = np.array(side), np.array(matches), np.array(copies)
-    candidate = _overlaps(prefixes) >= np.minimum(matches[:, None], matches[None, :])
-    a, b = np.nonzero(np.triu(candidate, 1))
+@dataclass
+class Member:
+    """A class of equal sets inside a block; ``tokens`` is its whole set where that has been fetched."""
+
+    own: int
+    n: int
+    matches: int
+    need: int
+    copies: int
+    prefix: np.ndarray
+    listed: np.ndarray
+    tokens: np.ndarray | None
+
+
+def _candidates(block: list[Member], percent: int, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with like sizes and enough shared tokens in both prefixes; across the two blocks, or inside the one."""
+    own, n, need = (np.array([getattr(m, c) for m in block]) for c in ("own", "n", "need"))
+    matches = np.array([m.matches for m in block], np.int8)
+    a, b = np.nonzero(np.triu(_overlaps([m.prefix for m in block]) >= np.minimum(matches[:, None], matches[None, :]), 1))
+    fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
     if not inside:
-        cross = side[a] != side[b]
-        a, b = a[cross], b[cross]
-    size = np.array([len(s) for s in sets])
-    fits = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+        fits &= own[a] != own[b]
     a, b = a[fits], b[fits]
-    if len(a) > 4 * len(nodes):
-        common = _overlaps(sets)[a, b].astype(np.int64)
-    else:
-        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
-    linked = 100 * common >= percent * (size[a] + size[b] - common)
-    a, b = a[linked], b[linked]
-    links = np.bincount(a, copies[b], len(nodes)) + np.bincount(b, copies[a], len(nodes))
+    if len(a):
+        enough = _overlaps([m.listed for m in block])[a, b] >= np.maximum(need[a], need[b])
+        a, b = a[enough], b[enough]
+    return a, b
+
+
+def _links(nodes: list[int], block: list[Member], percent: int, inside: bool) -> Iterator[tuple[int, int | None, int]]:
+    """Rows (node, other, links): a spanning forest of the block's pairs, and each node's links weighted by copies.
+
+    Pairs are candidates, or links where whole sets are there.
+    """
+    a, b = _candidates(block, percent, inside)
+    if block[0].tokens is not None and len(a):
+        sets, n, copies = [m.tokens for m in block], np.array([m.n for m in block]), np.array([m.copies for m in block])
+        if len(a) > 4 * len(nodes):
+            common = _overlaps(sets)[a, b].astype(np.int64)
+        else:
+            common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
+        linked = 100 * common >= percent * (n[a] + n[b] - common)
+        a, b = a[linked], b[linked]
+        links = np.bincount(a, copies[b], len(nodes)) + np.bincount(b, copies[a], len(nodes))
+        yield from ((nodes[i], None, int(links[i])) for i in np.flatnonzero(links))
     root = list(range(len(nodes)))
 
     def top(i: int) -> int:
@@ -177,16 +212,14 @@ def _links(block: dict[int, tuple], percent: int, inside: bool) -> Iterator[tupl
         if x != y:
             root[x] = y
             yield nodes[i], nodes[j], 0
-    for i in np.flatnonzero(links):
-        yield nodes[i], None, int(links[i])
 
 
-def _verify(percent: int):
-    """Rows come sorted by (component, i, j): the documents of one pair of blocks are together."""
+def _paired(percent: int):
+    """Rows come sorted by (label, i, j): the documents of one pair of blocks are together."""
 
-    def flush(key: tuple | None, block: dict) -> Iterator[pa.RecordBatch]:
+    def flush(key: tuple | None, block: dict[int, Member]) -> Iterator[pa.RecordBatch]:
         if len(block) > 1:
-            rows = list(_links(block, percent, key[1] == key[2]))
+            rows = list(_links(list(block), list(block.values()), percent, key[1] == key[2]))
             if rows:
                 a, b, n = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "links"])
@@ -195,18 +228,34 @@ def _verify(percent: int):
         key, block = None, {}
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("label", "i", "j")), strict=True)
-            rest = zip(*(batch.column(c).to_pylist() for c in ("node", "own", "matches", "copies")), batch.column("prefix"), batch.column("tokens"), strict=True)
-            for now, (node, own, matches, copies, prefix, tokens) in zip(keys, rest, strict=True):
+            numbers = zip(*(batch.column(c).to_pylist() for c in ("node", "own", "n", "matches", "need", "copies")), strict=True)
+            arrays = zip(*(batch.column(c) for c in ("prefix", "listed", "tokens")), strict=True)
+            for now, (node, *rest), (prefix, listed, tokens) in zip(keys, numbers, arrays, strict=True):
                 if now != key:
                     yield from flush(key, block)
                     key, block = now, {}
                 if node not in block:
-                    block[node] = (own, matches, copies, np.frombuffer(prefix.as_buffer(), U), np.frombuffer(tokens.as_buffer(), U))
+                    short = [x.values.to_numpy(zero_copy_only=False).view(U) for x in (prefix, listed)]
+                    block[node] = Member(*rest, *short, np.frombuffer(tokens.as_buffer(), U) if tokens.is_valid else None)
         yield from flush(key, block)
 
     return run
 
 
+def _block_pairs(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """(a, b, links) rows of all pairs of blocks of every component.
+
+    ``members``: label, node, n, matches, need, copies, prefix, listed, tokens. A component of m members is cut into
+    ceil(m / block_rows) blocks by a hash; each pair of blocks meets in one place, whatever the component's size.
+    """
+    blocks = settle(members.groupBy("label").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))
+    placed = members.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    dealt = dealt.repartition(shuffle_width(members.sparkSession), "label", "i", "j").sortWithinPartitions("label", "i", "j")
+    return dealt.select("label", "i", "j", "node", "own", "n", "matches", "need", "copies", "prefix", "listed", "tokens").mapInArrow(_paired(percent), "a long, b long, links long")
+
+
 def _sets(size: int):
     """Whole shingle sets of the candidates, as bytes."""
 
@@ -214,12 +263,9 @@ def _sets(size: int):
         for batch in batches:
             for words in words_of(batch.column("text"), lower=True):
                 cuts, hashes = shingle_sets(words, size)
-                rows = slice(words.first, words.first + len(cuts) - 1)
-                part = batch.slice(rows.start, rows.stop - rows.start)
                 tokens = [hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                prefix = [np.array(p, np.int64).tobytes() for p in part.column("prefix").to_pylist()]
-                columns = [part.column(c) for c in ("node", "label", "blocks", "matches", "copies")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(prefix, pa.binary()), pa.array(tokens, pa.binary())], names=["node", "label", "blocks", "matches", "copies", "prefix", "tokens"])
+                part = batch.slice(words.first, len(tokens))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "label")), pa.array(tokens, pa.binary())], names=["node", "label", "tokens"])
 
     return run
 
@@ -229,28 +275,36 @@ def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     base = settle(keyed.mapInArrow(_summaries(shingle, percent), "k long, h long, n int, d1 long, d2 long, counted int, tokens array<bigint>"))
     filled = base.where("n > 0")
-    firsts = [F.first(c).alias(c) for c in ("k", "h", "n", "counted", "tokens")]
+    firsts = [F.first(c).alias(c) for c in ("k", "h", "n", "counted")]
     nodes = filled.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min(F.when(F.col("k") != _NULL_ID, F.col("k"))).alias("least"), *firsts)
     nodes = settle(nodes.withColumn("node", F.xxhash64("d1", "d2")))
 
-    entries = nodes.select("node", "n", "counted", F.explode("tokens").alias("token"))
-    shared = nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    found = entries.join(shared, "token").groupBy("node", "n", "counted").agg(F.collect_list(F.struct("token", "df")).alias("found"))
-    prefixes = settle(found.mapInArrow(_prefixes(percent), "node long, matches int, prefix array<bigint>"))
+    release(docs.sparkSession)
+    # Copies are counted here, which only changes the order of tokens, the same for all.
+    shared = settle(filled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    release(docs.sparkSession)
+    offered = filled.select("k", "h", "tokens").join(nodes.select("k", "h", "node").hint("shuffle_hash"), ["k", "h"])
+    found = offered.select("node", F.explode("tokens").alias("token")).join(shared, "token").groupBy("node").agg(F.collect_set(F.struct("token", "df")).alias("found"))
+    found = found.join(nodes.select("node", "n", "counted"), "node").select("node", "n", "counted", "found")
+    prefixes = settle(found.mapInArrow(_prefixes(percent), "node long, n int, matches int, need int, prefix array<bigint>, listed array<bigint>"))
+    del offered, found
+    discard(shared)
+    release(docs.sparkSession)
 
     postings = prefixes.select("node", F.explode("prefix").alias("token"))
-    meets = postings.groupBy("token").agg(F.min("node").alias("first"), F.count("*").alias("df")).where("df > 1").select("token", "first")
-    groups = settle(connected_components(postings.join(meets, "token").select(F.col("node").alias("a"), F.col("first").alias("b"))))
-    blocks = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    wanted = groups.join(blocks, "label").join(prefixes, "node").join(nodes.select("node", "k", "h", "copies"), "node")
-
-    sets = keyed.join(wanted.hint("shuffle_hash"), ["k", "h"]).select("node", "label", "blocks", "matches", "copies", "prefix", "text")
-    sets = sets.mapInArrow(_sets(shingle), "node long, label long, blocks int, matches int, copies long, prefix binary, tokens binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
-    dealt = dealt.repartition(shuffle_width(docs.sparkSession), "label", "i", "j").sortWithinPartitions("label", "i", "j")
-    links = settle(dealt.select("label", "i", "j", "node", "own", "matches", "copies", "prefix", "tokens").mapInArrow(_verify(percent), "a long, b long, links long"))
+    meets = settle(postings.groupBy("token").agg(F.min("node").alias("first"), F.count("*").alias("df")).where("df > 1").select("token", "first"))
+    groups = connected_components(postings.join(meets, "token").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    described = groups.join(prefixes, "node").join(nodes.select("node", "copies"), "node")
+    pairs = settle(_block_pairs(described.withColumn("tokens", F.lit(None).cast("binary")), percent, LIGHT_BLOCK_ROWS))
+
+    groups = settle(connected_components(pairs.select("a", "b")))
+    wanted = settle(groups.join(nodes.select("node", "k", "h"), "node"))
+    near, _ = split_by_keys(keyed, wanted, ["k", "h"])
+    sets = near.join(wanted.hint("shuffle_hash"), ["k", "h"]).select("node", "label", "text").mapInArrow(_sets(shingle), "node long, label long, tokens binary")
+    whole = settle(sets.join(prefixes, "node").join(nodes.select("node", "copies"), "node"))
+    release(docs.sparkSession)
+    links = settle(_block_pairs(whole, percent, BLOCK_ROWS))
+    discard(whole, pairs)
 
     parts = connected_components(links.where("b is not null").select("a", "b"))
     labelled = nodes.select("node", "d1", "d2", "least", "copies").join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -281,10 +335,11 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     1. Documents with equal sets become one class; one of each class goes on.
     2. Every counted token's document frequency is exact over all classes; each class picks the prefix that is cheapest
        by those frequencies (``choose_prefix``).
-    3. Classes that share prefix tokens form candidate components; their whole sets are fetched once.
-    4. A component is cut into blocks of about ``BLOCK_ROWS``; each pair of blocks is one unit of work, however large the
-       group. Pairs with enough shared prefix tokens are verified exactly on whole sets, and a unit reports a spanning
-       forest of its links, never the pairs. No candidate is dropped.
+    3. Classes that share prefix tokens form components. A component is cut into blocks of about ``LIGHT_BLOCK_ROWS``, and each
+       pair of blocks is one unit of work, however large the group. A unit finds its candidates, pairs with enough shared
+       tokens in both the chosen prefixes and the longest ones, and reports a spanning forest of them, never the pairs.
+    4. The candidates' components are cut again, now with the whole sets, fetched once a class: candidates are verified
+       exactly, and a spanning forest of links and each class's number of links come out. No candidate is dropped.
     5. Components of the links give component_id.
 
     A null text or one without words has no shingles and is linked with nothing. Rows with a null doc_id take part;
