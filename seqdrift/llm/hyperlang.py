@@ -17,7 +17,8 @@ MAX_LANGUAGES = 4096
 UNDETERMINED = "und"
 _GAP = 32
 _BLOCK = 4096
-_CHUNK_CHARS = 1 << 20
+_CHUNK_CHARS = 1 << 19
+_ROWS = 512
 _ALPHA: np.ndarray | None = None
 
 
@@ -123,12 +124,14 @@ def learn_prototypes(docs: DataFrame, max_documents: int = 20_000, dimensions: i
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for first, vectors in bundle(texts, dimensions):
-                signs = np.sign(vectors).astype(np.int64)
-                for lang in set(langs[first : first + len(signs)]):
-                    mine = [i for i in range(len(signs)) if langs[first + i] == lang]
-                    totals[lang] = totals.get(lang, 0) + signs[mine].sum(axis=0)
+            for low in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(low, _ROWS)
+                langs = part.column("lang").to_pylist()
+                for first, vectors in bundle(part.column("text").to_pylist(), dimensions):
+                    signs = np.sign(vectors).astype(np.int64)
+                    for lang in set(langs[first : first + len(signs)]):
+                        mine = [i for i in range(len(signs)) if langs[first + i] == lang]
+                        totals[lang] = totals.get(lang, 0) + signs[mine].sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([v.tolist() for v in totals.values()], pa.list_(pa.int64()))], names=["lang", "sums"])
 
     parts = eligible.select("text", "lang").mapInArrow(sums, "lang string, sums array<bigint>")
@@ -140,31 +143,54 @@ def learn_prototypes(docs: DataFrame, max_documents: int = 20_000, dimensions: i
     return {r["lang"]: np.array(r["v"], np.float64) for r in found}
 
 
+class Classifier:
+    """Language prototypes as unit rows."""
+
+    def __init__(self, prototypes: dict[str, np.ndarray]) -> None:
+        self.names = sorted(prototypes)
+        self.matrix = np.stack([prototypes[n] / max(1e-12, np.linalg.norm(prototypes[n])) for n in self.names]).astype(np.float32) if prototypes else None
+
+    def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
+        lang, score = [UNDETERMINED] * len(column), [0.0] * len(column)
+        if self.matrix is None:
+            return lang, score
+        for low in range(0, len(column), _ROWS):  # a few texts at a time become Python strings
+            texts = column.slice(low, _ROWS).to_pylist()
+            lettered = has_letter(texts)
+            for first, vectors in bundle(texts, self.matrix.shape[1]):
+                cosine = vectors @ self.matrix.T / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
+                for i, k in enumerate(cosine.argmax(axis=1)):
+                    if lettered[first + i]:
+                        lang[low + first + i], score[low + first + i] = self.names[k], float(min(1.0, max(0.0, cosine[i, k])))
+        return lang, score
+
+
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Add lang_pred and score (cosine with the nearest prototype, 0 to 1) to the ``carry`` columns.
 
     A null text, one without a letter, or an empty set of prototypes gives ``und`` with score 0; equal cosines go to the
     first language by name. Whole texts are read. Rows stay as they are, repeated ones included.
     """
-    names = sorted(prototypes)
-    matrix = np.stack([prototypes[n] / max(1e-12, np.linalg.norm(prototypes[n])) for n in names]).astype(np.float32) if names else None
+    classifier = Classifier(prototypes)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text_").to_pylist()
-            lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            if matrix is not None:
-                lettered = has_letter(texts)
-                for first, vectors in bundle(texts, matrix.shape[1]):
-                    size = np.linalg.norm(vectors, axis=1)
-                    cosine = vectors @ matrix.T / np.maximum(size, 1e-12)[:, None]
-                    best = cosine.argmax(axis=1)
-                    for i, k in enumerate(best):
-                        if lettered[first + i]:
-                            lang[first + i], score[first + i] = names[k], float(min(1.0, max(0.0, cosine[i, k])))
+            lang, score = classifier.predict(batch.column(batch.num_columns - 1))
             kept = [batch.column(c) for c in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     source = docs.select(*carry, F.col("text").alias("text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+
+def drop_undetermined(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+    """The documents, all columns, that have a language: those that ``identify`` does not call ``und``."""
+    classifier, at = Classifier(prototypes), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, _ = classifier.predict(batch.column(at))
+            yield batch.filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
