@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqdrift.llm.common import ensure_checkpoint_dir, table
 from seqdrift.llm.decontaminate import drop_leaking
-from seqdrift.llm.hyperlang import UNDETERMINED, identify, learn_prototypes
+from seqdrift.llm.hyperlang import drop_undetermined, learn_prototypes
 from seqdrift.llm.jaccard import drop_near_duplicates
 from seqdrift.llm.linedup import drop_repeated_lines
 from seqdrift.llm.packing import pack_documents
@@ -21,11 +21,7 @@ from seqdrift.llm.packing import pack_documents
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null texts and texts without a letter."""
-    columns = docs.columns
-    # The operator's own column names may clash with the table's, so they live beside one struct of it.
-    wrapped = docs.select(F.struct(*columns).alias("row"), "text")
-    found = identify(wrapped, learn_prototypes(docs), carry=("row",))
-    return found.where(F.col("lang_pred") != UNDETERMINED).select("row.*")
+    return drop_undetermined(docs, learn_prototypes(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
