@@ -51,7 +51,7 @@ def add_event(model: NextToken, lead: list[int], tokens: list[int], top_p: float
     """The next event tuple after ``tokens``, whose history is cut and moved to start at 0."""
     k = V.stride(velocity)
     history = tokens[max(len(tokens) - HISTORY // k * k, 0) :]
-    times = [t for t, n in zip(history[::k], history[2::k], strict=True) if n != V.SEP]
+    times = [t - V.ANTICIPATED if n >= V.ANTICIPATED else t for t, n in zip(history[::k], history[2::k], strict=True) if n != V.SEP]
     base, now = min(times, default=0), max(times, default=0)
     history = [t - base if i % k == 0 else t for i, t in enumerate(history)]
     event: list[int] = []
