@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut later copies of line runs; a document of which nothing is left goes."""
+    """Cut later copies of line runs and of single lines of over 50 words; a document of which nothing is left goes."""
     columns = docs.columns
     cut = drop_repeated_lines(docs)
     cut = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from seqdrift.llm.common import running_total, settle, split_by_keys
 
 MIN_LINES = 2
+#: A repeated run of fewer lines counts too when it is one line of more words than this.
+LONG_WORDS = 50
+
+
+_WORD = r"[^\x20\x09-\x0d]+"
 
 
 def _doc_key() -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")]
 
 
-def later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, h, pos): starts of runs of ``min_lines`` lines that also start earlier in (doc_id, h, line) order.
+def later_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """(doc_id, h, pos, size): runs of ``min_lines`` lines that also start earlier in (doc_id, h, line) order, and single
+    lines of more than ``long_words`` words that do; None leaves single lines out.
 
     The suffixes are those of the documents' line-ID sequences. A rank is the number of suffixes that sort before its
     group when compared by their first ``depth`` lines, so equal ranks are the suffix array's intervals with a longest
@@ -24,12 +30,15 @@ def later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     intervals and only counts them.
     """
     lines = docs.where("text is not null").select(*_doc_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    ids = lines.select("doc_id", "h", F.col("pos").cast("long").alias("pos"), F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit("second")).alias("b")).distinct()
+    long = F.lit(False) if long_words is None or min_lines < 2 else (F.length("line") > 2 * long_words) & (F.regexp_count("line", F.lit(_WORD)) > long_words)
+    ids = lines.select("doc_id", "h", F.col("pos").cast("long").alias("pos"), F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit("second")).alias("b"), long.alias("long")).distinct()
     ids = settle(ids)
-    depth, rows = 1, ids
+    depth, rows, singles = 1, ids, None
     while True:
         groups = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "pos")).alias("first")).where("n > 1")
         groups = settle(groups)
+        if depth == 1 and long_words is not None and min_lines > 1:
+            singles = _later(rows.where("long"), groups, 1)
         if depth >= min_lines:
             break
         ranks = running_total(groups.select("a", "b", "n"), ["a", "b"], "n").select("a", "b", F.col("before").alias("rank"))
@@ -38,21 +47,28 @@ def later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         ahead = Window.partitionBy("doc_id", "h").orderBy("pos").rangeBetween(step, step)
         rows = settle(ranked.select("doc_id", "h", "pos", F.col("rank").alias("a"), F.max("rank").over(ahead).alias("b")).where("b is not null"))
         depth += step
-    # A null doc_id sorts first, as everywhere; the comparison below must not lose it.
+    runs = _later(rows, groups, min_lines)
+    return runs if singles is None else runs.unionByName(singles)
+
+
+def _later(rows: DataFrame, groups: DataFrame, size: int) -> DataFrame:
+    # A null doc_id sorts first, as everywhere; the comparison must not lose it.
     met = rows.join(groups, ["a", "b"]).where(~F.struct("doc_id", "h", "pos").eqNullSafe(F.col("first")))
-    return met.select("doc_id", "h", "pos")
+    return met.select("doc_id", "h", "pos", F.lit(size).alias("size"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Delete every line inside a run of at least ``min_lines`` lines that occurs earlier in the corpus.
+def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """Delete every line inside a run of at least ``min_lines`` lines, or of more than ``long_words`` words, that occurs
+    earlier in the corpus.
 
     Returns all columns of the table, with ``text`` cut, and ``n_lines`` and ``n_removed`` added. Earlier means a
     smaller (doc_id, text hash, line number); the first copy stays whole, and copies inside one document count.
     Rows equal in doc_id and text are one document and get one result. Null text stays null with no lines; an empty
-    text is one empty line; a text of fewer than ``min_lines`` lines stays.
+    text is one empty line; a text of fewer than ``min_lines`` lines stays unless a line of it is long. The first copy
+    of a line lies in no run that occurs earlier, so it is never cut.
     """
-    starts = later_runs(docs, min_lines)
-    gone = starts.select("doc_id", "h", F.explode(F.expr(f"sequence(pos, pos + {min_lines - 1})")).alias("pos")).distinct()
+    starts = later_runs(docs, min_lines, long_words)
+    gone = starts.select("doc_id", "h", F.explode(F.expr("sequence(pos, pos + size - 1)")).alias("pos")).distinct()
     cuts = settle(gone.groupBy("doc_id", "h").agg(F.collect_list("pos").alias("gone")))
     cuts = cuts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_k"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
     kept = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64("text")})

@@ -61,7 +61,8 @@ def op9_cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = drop_repeated_lines(table(spark, sf_dir, "documents"), min_lines=2)
+    # The SQL below is of two-line runs alone; the pipeline also cuts long single lines.
+    cut = drop_repeated_lines(table(spark, sf_dir, "documents"), min_lines=2, long_words=None)
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

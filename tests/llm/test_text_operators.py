@@ -191,6 +191,18 @@ def test_lines(spark, k):
     assert set(got.columns) >= {"k", "h", "source", "n_lines", "n_removed"}
 
 
+def test_long_single_lines(spark, tmp_path):
+    """A repeated line of over 50 words goes whatever stands beside it; one of 50 words needs a repeated neighbour."""
+    import corpus_pipeline
+
+    long, short = " ".join(f"w{i}" for i in range(51)), "  ".join(f"v{i}" for i in range(50))
+    rows = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\nd"), (3, f"{short}\ne"), (4, long), (5, f"{long}\n{long}\nf"), (None, f"{short}\ng"), (6, f"a\n{long}\nh")]
+    want = [(None, f"{short}\ng"), (1, f"a\n{long}\nb\n{short}"), (2, "c\nd"), (3, f"{short}\ne"), (4, ""), (5, "f"), (6, "h")]
+    assert collected(drop_repeated_lines(documents(spark, rows)), "doc_id", "text") == sorted(map(repr, want))
+    staged = corpus_pipeline.lines(spark, documents(spark, rows, extra=False), str(tmp_path))
+    assert collected(staged, "doc_id", "text", "n_chars") == sorted(repr((i, t, len(t))) for i, t in want if t)
+
+
 def test_lines_odd(spark):
     rows = [(1, None), (2, ""), (3, "a\nb"), (3, "a\nb"), (4, "a\nb"), (5, "\n\n"), (None, "a\nb"), (6, "\n".join(map(str, range(30_000))))]
     got = sorted(((r.doc_id, r.text) for r in drop_repeated_lines(documents(spark, rows)).collect()), key=repr)
