@@ -464,7 +464,7 @@ def S11_S12_midi_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MIDI files written from notes and parsed again; the tests check that notes come back."""
     from seqdrift.operators import midi as M
 
-    compound = M.events_to_compound(events(spark, sf_dir, "plain").where("seq_id < 20"))
+    compound = M.events_to_compound(events(spark, sf_dir, "plain"))
     files = S.encode_midi(M.to_messages(compound))
     return files.select("seq_id", F.length("content").alias("bytes"))
 

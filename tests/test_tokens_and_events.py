@@ -245,6 +245,17 @@ def test_midi_file_round_trip(spark, tmp_path):
     assert sorted((r.onset, r.dur, r.pitch, r.instr, r.velocity) for r in back.collect()) == sorted(r[2:] for r in rows)
 
 
+def test_midi_files_of_all_users(spark, tmp_path):
+    from seqdrift.plans.detector_queries import S11_S12_midi_files
+
+    users = [1, 19, 20, 21, 4_000_000_000]
+    rows = [(100 * n + i + 1, u, i * 260, "view", 5.0) for n, u in enumerate(users) for i in range(3)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, at long, event_type string, value double")
+    df.select("event_id", "user_id", F.timestamp_seconds("at").alias("ts"), "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.seq_id: r.bytes for r in S11_S12_midi_files(spark, str(tmp_path)).collect()}
+    assert sorted(got) == users and min(got.values()) > 14
+
+
 def test_segments_continue_after_separators(spark):
     events = [(0, 10050, 11060), (SEP, SEP, SEP), (10, 10020, 11061 + P), (5, 10000, V.REST)]
     got = M.events_to_compound(frame(spark, {1: events})).orderBy("note_idx").collect()
