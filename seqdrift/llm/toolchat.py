@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Mapping
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ SCHEMAS: dict[str, dict] = {
     "calculate": {"required": ["expression"], "types": {"expression": "string"}},
     "weather": {"required": ["city"], "types": {"city": "string", "days": "integer"}},
 }
+#: A conversation with at most this many dependencies may be ordered in one task.
+LOCAL_EDGES = 200_000
+_NO_TURN = -(1 << 63)
 _VARIANT_TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant,depends_on:array<string>>>>"
 _RESULT = "struct<tool_call_id:string>"
@@ -35,21 +41,106 @@ def validate(name: Column, arguments: Column, schemas: Mapping[str, dict]) -> Co
     return verdict
 
 
-def _depths(calls: DataFrame, rounds: int) -> DataFrame:
-    """Longest dependency chain below each call of its conversation; -1 on a cycle or beyond ``rounds``."""
-    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("on")).distinct()
-    known = calls.select("conv_id", "call_id").distinct()
-    edges = settle(edges.join(known.withColumnRenamed("call_id", "on"), ["conv_id", "on"]))
-    level = edges.select("conv_id", "call_id", F.lit(1).alias("depth")).distinct()
-    reached = level
-    for depth in range(2, rounds + 1):
-        if level.isEmpty():
+def _finish(frame: pd.DataFrame) -> pd.DataFrame:
+    """Levels of one conversation's edges that are left after ``base`` levels; see ``_levels``."""
+    level, turn, open_deps, users = {}, {}, defaultdict(int), defaultdict(list)
+    base = int(frame["base"].iloc[0])
+    for node, on, own, on_turn, is_open in frame[["node", "on", "turn", "on_turn", "open"]].itertuples(index=False, name=None):
+        level.setdefault(node, base)
+        turn[node] = max(turn.get(node, own), own)
+        if is_open:
+            open_deps[node] += 1
+            users[on].append(node)
+        else:
+            turn[node] = max(turn[node], on_turn)
+    ready = [n for n in level if not open_deps[n]]
+    left = set(level)
+    while ready:
+        on = ready.pop()
+        left.discard(on)
+        for node in users[on]:
+            level[node], turn[node] = max(level[node], level[on] + 1), max(turn[node], turn[on])
+            open_deps[node] -= 1
+            if not open_deps[node]:
+                ready.append(node)
+    rows = [(n, -1 if n in left else level[n], turn[n]) for n in level]
+    found = pd.DataFrame(rows, columns=["node", "level", "turn"])
+    found.insert(0, "conv_id", frame["conv_id"].iloc[0])
+    return found
+
+
+def _levels(edges: DataFrame, rounds: int) -> DataFrame:
+    """(conv_id, node, level, turn) of every node that depends on another, from edges (conv_id, node, on, turn, on_turn).
+
+    ``level`` is the longest chain below the node, -1 if that meets a cycle; ``turn`` is the latest turn of the node and
+    all below it. Each round takes away the nodes without an open dependency. After ``rounds`` rounds, conversations of
+    at most ``LOCAL_EDGES`` edges are finished one by one; larger ones go on by rounds until no node can be taken away.
+    """
+    edges = edges.withColumns({c: F.coalesce(c, F.lit(_NO_TURN)) for c in ("turn", "on_turn")})
+    has = edges.select("conv_id", F.col("node").alias("on")).distinct().withColumn("has", F.lit(True))
+    state = settle(edges.join(has, ["conv_id", "on"], "left").withColumn("open", F.coalesce("has", F.lit(False))).drop("has"))
+    found, level = [], 0
+    while not state.isEmpty():
+        level += 1
+        if level == rounds + 1:
+            small = state.groupBy("conv_id").count().where(F.col("count") <= LOCAL_EDGES).select("conv_id")
+            local = state.join(small, "conv_id", "left_semi").withColumn("base", F.lit(level))
+            found.append(settle(local.groupBy("conv_id").applyInPandas(_finish, "conv_id long, node string, level int, turn long")))
+            state = settle(state.join(small, "conv_id", "left_anti"))
+        nodes = state.groupBy("conv_id", "node").agg(F.max("open").alias("open"), F.max(F.greatest("turn", F.when(~F.col("open"), F.col("on_turn")))).alias("turn"))
+        gone = settle(nodes.where(~F.col("open")).select("conv_id", "node", F.lit(level).alias("level"), "turn"))
+        if gone.isEmpty():  # each node that is left has an open dependency: a cycle, or a chain that ends in one
+            found.append(nodes.select("conv_id", "node", F.lit(-1).alias("level"), "turn"))
             break
-        level = edges.join(level.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi").select("conv_id", "call_id", F.lit(depth).alias("depth")).distinct()
-        level = settle(level)
-        reached = reached.unionByName(level)
-    deepest = reached.groupBy("conv_id", "call_id").agg(F.max("depth").alias("depth"))
-    return deepest.withColumn("depth", F.when(F.col("depth") < rounds, F.col("depth")).otherwise(-1))
+        found.append(gone)
+        if len(found) > 32:
+            found = [settle(reduce(DataFrame.unionByName, found))]
+        closed = gone.select("conv_id", F.col("node").alias("on"), F.col("turn").alias("closed"))
+        state = state.join(gone.select("conv_id", "node"), ["conv_id", "node"], "left_anti").join(closed, ["conv_id", "on"], "left")
+        state = settle(state.withColumns({"open": F.col("open") & F.col("closed").isNull(), "on_turn": F.coalesce("closed", "on_turn")}).drop("closed"))
+    if not found:
+        return edges.sparkSession.createDataFrame([], "conv_id long, node string, level int, turn long")
+    return settle(reduce(DataFrame.unionByName, found).withColumn("turn", F.nullif("turn", F.lit(_NO_TURN))))
+
+
+def _order(calls: DataFrame, made: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(calls, messages): (conv_id, call_id, depth, step, at) and (conv_id, turn, text, step, at, order).
+
+    ``depth`` counts calls below a call; ``step`` and ``at`` are the place and turn of its result, or of the message.
+    Results depend on their message and on the results their call depends on; a message depends on the results that its
+    calls depend on, unless those calls are its own. ``order`` lists a message's calls after those they depend on.
+    """
+    first = made.select("conv_id", "call_id", F.col("first.turn").alias("turn"), F.col("first.text").alias("text"))
+    on = first.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn"), F.col("text").alias("on_text"))
+    needs = calls.select("conv_id", "call_id", "turn", "text", F.explode("depends_on").alias("on")).distinct()
+    needs = settle(needs.join(on, ["conv_id", "on"]))
+    own = first.select("conv_id", "call_id", F.col("turn").alias("made_at"))
+    plain = needs.join(own, ["conv_id", "call_id"]).select("conv_id", F.col("call_id").alias("node"), "on", F.col("made_at").alias("turn"), "on_turn").distinct()
+    depths = _levels(plain, rounds)
+
+    linked = needs.select("conv_id").distinct()  # only these conversations have an order to find
+
+    def message(turn: str, text: str) -> Column:
+        return F.concat(F.lit("m"), F.coalesce(F.col(turn).cast("string"), F.lit("")), F.lit("/"), F.sha2(text, 256))
+
+    result = F.concat(F.lit("r"), F.col("call_id"))
+    sent = first.join(linked, "conv_id", "left_semi").select("conv_id", result.alias("node"), message("turn", "text").alias("on"), "turn", F.col("turn").alias("on_turn"))
+    chained = plain.select("conv_id", F.concat(F.lit("r"), "node").alias("node"), F.concat(F.lit("r"), "on").alias("on"), "turn", "on_turn")
+    other = ~(F.col("turn").eqNullSafe(F.col("on_turn")) & (F.col("text") == F.col("on_text")))
+    asked = needs.where(other).select("conv_id", message("turn", "text").alias("node"), F.concat(F.lit("r"), "on").alias("on"), "turn", "on_turn")
+    places = _levels(sent.unionByName(chained).unionByName(asked).distinct(), rounds)
+    place = places.select("conv_id", "node", F.when(F.col("level") >= 0, F.col("level") + 1).alias("step"), F.when(F.col("level") >= 0, F.col("turn")).alias("at"))
+
+    found = first.join(depths.select("conv_id", F.col("node").alias("call_id"), F.col("level").alias("depth")), ["conv_id", "call_id"], "left")
+    found = found.withColumn("node", result).join(place, ["conv_id", "node"], "left").select("conv_id", "call_id", F.coalesce("depth", F.lit(0)).alias("depth"), "step", "at")
+    # In a message, a call's depth sorts it after those it depends on; calls on a cycle come last, as given.
+    inside = calls.join(linked, "conv_id", "left_semi").join(found.select("conv_id", "call_id", "depth"), ["conv_id", "call_id"])
+    key = F.struct((F.col("depth") < 0).alias("cyclic"), "depth", "place", "call_id")
+    messages = inside.groupBy("conv_id", "turn", "text").agg(F.array_sort(F.collect_set(key)).alias("sorted"), F.max("depth").alias("deep"), F.min("depth").alias("least"))
+    ids = F.transform("sorted", lambda x: x["call_id"])
+    messages = messages.withColumn("order", F.when((F.size("sorted") > 1) & ((F.col("deep") > 0) | (F.col("least") < 0)), ids))
+    messages = messages.withColumn("node", message("turn", "text")).join(place, ["conv_id", "node"], "left")
+    return found, messages.select("conv_id", "turn", "text", "step", "at", "order")
 
 
 def link_tool_calls(messages: DataFrame, schemas: Mapping[str, dict] = SCHEMAS, rounds: int = 32) -> DataFrame:
@@ -57,12 +148,15 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, dict] = SCHEMAS,
 
     An assistant text that is a JSON object with ``tool_calls`` makes calls (id, name, arguments, depends_on); a text of
     role ``tool`` with ``tool_call_id`` is a result. Calls and results are joined by (conv_id, id). ``order_turn`` and
-    ``order_step`` sort a conversation topologically: a result never comes before its call, and within a turn calls
-    follow those they depend on. ``line`` is the message as canonical JSON (sorted keys, no spaces, null fields left out).
+    ``order_step`` sort a conversation topologically: a result never comes before its call, and messages with calls
+    follow the calls they depend on, and their results. ``line`` is the message as canonical JSON (sorted keys, no
+    spaces, null fields left out); where calls of a message depend on others, its ``order`` lists the message's calls
+    topologically. Chains may be of any length. What is on or behind a cycle, of calls or of whole messages, keeps its
+    turn's order.
 
-    Repeated ids: the earliest call counts. A result without a call has status ``orphan``; a message without calls has
-    status ``plain``; other JSON or broken JSON is plain text. Nulls stay null; repeated messages stay repeated; nothing
-    is gathered per conversation, so one conversation may hold any share of the rows.
+    Repeated ids: the earliest call counts, for its name and verdict; it depends on all that its copies depend on. A result without a call has status ``orphan``; a message without calls has
+    status ``plain``; other JSON or broken JSON is plain text. Nulls stay null; repeated messages stay repeated; no rows are
+    gathered per conversation, and dependencies only up to ``LOCAL_EDGES``, so one may hold any share of the rows.
     """
     base = messages.select(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
     looks = F.col("text").rlike(r"^\s*\{")
@@ -74,17 +168,26 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, dict] = SCHEMAS,
             "body": body,
         }
     )
-    calls = parsed.where(F.size("calls") > 0).select("conv_id", "turn", F.explode("calls").alias("call"))
-    calls = calls.select("conv_id", "turn", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.depends_on").alias("depends_on"), validate(F.col("call.name"), F.col("call.arguments"), schemas).alias("verdict")).where("call_id is not null")
+    calls = parsed.where(F.size("calls") > 0).select("conv_id", "turn", "text", F.posexplode("calls").alias("place", "call"))
+    calls = calls.select("conv_id", "turn", "text", "place", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.depends_on").alias("depends_on"), validate(F.col("call.name"), F.col("call.arguments"), schemas).alias("verdict")).where("call_id is not null")
     # One row an id however many repeat it, so the join cannot multiply messages.
-    made = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "verdict")).alias("first"))
+    made = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "verdict", "text")).alias("first"))
     if not calls.where(F.size("depends_on") > 0).isEmpty():
-        made = made.join(_depths(calls, rounds), ["conv_id", "call_id"], "left")
+        found, order = _order(calls, made, rounds)
+        made = made.join(found, ["conv_id", "call_id"], "left")
     else:
-        made = made.withColumn("depth", F.lit(0))
-    made = made.select("conv_id", F.col("call_id").alias("answers"), F.col("first.turn").alias("call_turn"), F.col("first.name").alias("call_name"), F.col("first.verdict").alias("verdict"), F.coalesce("depth", F.lit(0)).alias("depth"))
+        made, order = made.withColumns({"depth": F.lit(0), "step": F.lit(None).cast("int"), "at": F.lit(None).cast("long")}), None
+    made = made.select("conv_id", F.col("call_id").alias("answers"), F.col("first.turn").alias("call_turn"), F.col("first.name").alias("call_name"), F.col("first.verdict").alias("verdict"), F.coalesce("depth", F.lit(0)).alias("depth"), "step", "at")
     linked = parsed.where("answers is not null").join(made, ["conv_id", "answers"], "left")
-    rest = parsed.where("answers is null").withColumns({"call_turn": F.lit(None).cast("long"), "call_name": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string"), "depth": F.lit(0)})
+    rest = parsed.where("answers is null").withColumns({"call_turn": F.lit(None).cast("long"), "call_name": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string"), "depth": F.lit(0), "step": F.lit(None).cast("int"), "at": F.lit(None).cast("long")})
+    nothing = {"order": F.lit(None).cast("array<string>")}
+    if order is None:
+        rest = rest.withColumns(nothing)
+    else:
+        makes = F.coalesce(F.size("calls") > 0, F.lit(False))
+        placed = rest.where(makes).drop("step", "at").alias("r").join(order.alias("o"), F.expr("r.conv_id = o.conv_id AND r.turn <=> o.turn AND r.text = o.text"), "left").select("r.*", "o.step", "o.at", "o.order")
+        rest = rest.where(~makes).withColumns(nothing).unionByName(placed)
+    linked = linked.withColumns(nothing)
     rows = linked.unionByName(rest)
     n_calls = F.when(F.size("calls") > 0, F.size("calls")).otherwise(0).cast("long")
     status = (
@@ -96,14 +199,14 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, dict] = SCHEMAS,
     )
     verdicts = F.transform("calls", lambda c: validate(c["name"], c["arguments"], schemas))
     canonical = F.coalesce(F.when(n_calls > 0, F.to_json("body")).when(F.col("answers").isNotNull(), F.to_json("body")), F.col("text"))
-    line = F.to_json(F.struct(F.col("answers").alias("answers"), F.when(n_calls > 0, verdicts).alias("checks"), canonical.alias("content"), "conv_id", "role", "turn"))
+    line = F.to_json(F.struct(F.col("answers").alias("answers"), F.when(n_calls > 0, verdicts).alias("checks"), canonical.alias("content"), "conv_id", "order", "role", "turn"))
     return rows.select(
         "conv_id",
         "turn",
         "role",
         n_calls.alias("n_calls"),
         status.alias("status"),
-        F.greatest("turn", "call_turn").alias("order_turn"),
-        F.when(F.col("answers").isNotNull(), 2 + 2 * F.greatest(F.col("depth"), F.lit(0))).otherwise(F.when(n_calls > 0, 1).otherwise(0)).cast("int").alias("order_step"),
+        F.greatest("turn", "call_turn", "at").alias("order_turn"),
+        F.coalesce("step", F.when(F.col("answers").isNotNull(), 2).when(n_calls > 0, 1).otherwise(0)).cast("int").alias("order_step"),
         line.alias("line"),
     )

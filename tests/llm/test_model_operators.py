@@ -225,6 +225,50 @@ def test_dependency_cycle(spark):
     assert {r.status for r in got} == {"call", "cycle"}
 
 
+def chat(spark, rows):
+    def message(conv, turn, *calls):
+        made = [{"id": i, "name": "search", "arguments": {"query": "x"}, "depends_on": on} for i, on in calls]
+        return (conv, turn, "assistant", json.dumps({"tool_calls": made}))
+
+    full = [message(*r) if len(r) > 2 and isinstance(r[2], tuple) else (r[0], r[1], "tool", json.dumps({"tool_call_id": r[2]})) for r in rows]
+    return spark.createDataFrame(full, "conv_id long, turn long, role string, text string")
+
+
+@pytest.mark.parametrize("limit", [200_000, 10])
+def test_long_dependency_chain(spark, monkeypatch, limit):
+    """A chain beyond ``rounds`` keeps its order, finished in one task or by rounds; cycles are told from it."""
+    monkeypatch.setattr(toolchat, "LOCAL_EDGES", limit)
+    n = 40 if limit > 100 else 9
+    ids = [f"c{i}" for i in range(n)]
+    rows = [(1, 0, (c, [ids[i - 1]] if i else [])) for i, c in enumerate(ids)] + [(1, 1, c) for c in ids]
+    rows += [(2, 0, ("a", ["b"])), (2, 0, ("b", ["a"])), (2, 0, ("d", ["b"])), (2, 0, ("e", [])), (2, 1, "a"), (2, 1, "d"), (2, 1, "e")]
+    got = toolchat.link_tool_calls(chat(spark, rows).repartition(3), **({} if n == 40 else {"rounds": 3})).collect()
+    assert len(got) == len(rows)
+    assert all(r.status in ("call", "result: ok") for r in got if r.conv_id == 1)
+    assert sorted(r.status for r in got if r.conv_id == 2 and r.role == "tool") == ["cycle", "cycle", "result: ok"]
+
+    def of(r):
+        return (r.order_turn, r.order_step)
+
+    steps = {("answers" in json.loads(r.line)) * "r" + (json.loads(r.line).get("answers") or json.loads(json.loads(r.line)["content"])["tool_calls"][0]["id"]): of(r) for r in got if r.conv_id == 1}
+    for i, c in enumerate(ids):
+        assert steps[c] < steps["r" + c]
+        if i:
+            assert steps[ids[i - 1]] < steps[c] and steps["r" + ids[i - 1]] < steps["r" + c]
+
+
+def test_calls_after_their_dependencies(spark):
+    """Messages of one turn, calls inside a message, and a call that needs one of a later turn."""
+    rows = [(1, 0, ("z", ["y"]), ("y", [])), (1, 0, ("x", ["z", "gone"])), (1, 0, "z"), (2, 0, ("p", ["q"])), (2, 5, ("q", [])), (2, 1, "p"), (3, 0, ("s", []), ("t", [])), (4, 0, "none"), (5, None, ("v", ["u"])), (5, None, ("u", [])), (5, 3, "v")]
+    got = {(r.conv_id, (json.loads(r.line).get("answers") or json.loads(json.loads(r.line)["content"])["tool_calls"][0]["id"]), r.role): r for r in toolchat.link_tool_calls(chat(spark, rows), rounds=1).collect()}
+    at = {k: (r.order_turn, r.order_step) for k, r in got.items()}
+    assert at[1, "z", "assistant"] < at[1, "z", "tool"] and at[1, "z", "assistant"] < at[1, "x", "assistant"]
+    assert json.loads(got[1, "z", "assistant"].line)["order"] == ["y", "z"]
+    assert at[2, "q", "assistant"] < at[2, "p", "assistant"] < at[2, "p", "tool"]
+    assert at[5, "v", "tool"][0] == 3 and at[5, "v", "assistant"][0] is None and at[5, "u", "assistant"][1] < at[5, "v", "assistant"][1]
+    assert "order" not in json.loads(got[3, "s", "assistant"].line) and at[4, "none", "tool"] == (0, 2)
+
+
 # Decontamination.
 
 
