@@ -93,7 +93,8 @@ def henze_zirkler(df: DataFrame, rows: int = 5000, columns: int = 100, column: s
     b4, b8, a, w = b2**2, b2**4, 1 + 2 * b2, (1 + b2) * (1 + 3 * b2)
     mu = 1 - a ** (-p / 2) * (1 + p * b2 / a + p * (p + 2) * b4 / (2 * a**2))
     var = 2 * (1 + 4 * b2) ** (-p / 2) + 2 * a ** (-p) * (1 + 2 * p * b4 / a**2 + 3 * p * (p + 2) * b8 / (4 * a**4)) - 4 * w ** (-p / 2) * (1 + 3 * p * b4 / (2 * w) + p * (p + 2) * b8 / (2 * w**2))
-    log_mean, log_sd = math.log(math.sqrt(mu**4 / (var + mu**2))), math.sqrt(math.log((var + mu**2) / mu**2))
+    spread = math.log1p(var / mu**2)  # in many dimensions var is far below the rounding of mu
+    log_mean, log_sd = math.log(mu) - spread / 2, math.sqrt(spread)
     return {"hz": hz, "hz_p_value": normal_sf((math.log(max(hz, 1e-300)) - log_mean) / log_sd)}
 
 

@@ -212,7 +212,7 @@ def H04_mixture_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def H05_mixture_min_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, inside, outside = _splits(spark, sf_dir, 4)
+    train, inside, outside = _splits(spark, sf_dir)
     model = GaussianMixture(2, tolerance=1e-4).fit(train)
     return model.score(inside.unionByName(outside), "min_md").select("sample_id", F.round("score", 6).alias("score"))
 
@@ -282,21 +282,21 @@ def F05_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def F06_mixture_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _, _ = _splits(spark, sf_dir, 8)
+    train, _, _ = _splits(spark, sf_dir)
     model = GaussianMixture(3, diagonal=False, tolerance=1e-3).fit(train)
     return spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.weights)], "component int, weight double")
 
 
 @query()
 def F07_mixture_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _, outside = _splits(spark, sf_dir, 8)
+    train, _, outside = _splits(spark, sf_dir)
     return MixtureScore(2).fit(train).transform(outside).select("sample_id", F.round(F.col("emb")[0], 6).alias("score"))
 
 
 @query()
 def F08_kmeans_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _, outside = _splits(spark, sf_dir, 8)
-    return KMeansDistance(3, restarts=3).fit(train).transform(outside).select("sample_id", F.posexplode("emb").alias("centre", "distance")).withColumn("distance", F.round("distance", 6))
+    train, _, outside = _splits(spark, sf_dir)
+    return KMeansDistance(3).fit(train).transform(outside).select("sample_id", F.posexplode("emb").alias("centre", "distance")).withColumn("distance", F.round("distance", 6))
 
 
 # Analysis.
@@ -309,17 +309,17 @@ def A06_mean_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def A02_mardia(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([A.mardia(_embeddings(spark, sf_dir, 6))])
+    return spark.createDataFrame([A.mardia(_embeddings(spark, sf_dir))])
 
 
 @query()
 def A03_henze_zirkler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([A.henze_zirkler(_embeddings(spark, sf_dir, 6))])
+    return spark.createDataFrame([A.henze_zirkler(_embeddings(spark, sf_dir))])
 
 
 @query()
 def A04_royston(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([A.royston(_embeddings(spark, sf_dir, 6))])
+    return spark.createDataFrame([A.royston(_embeddings(spark, sf_dir))])
 
 
 @query()
@@ -335,7 +335,7 @@ def A07_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def A09_layer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = _embeddings(spark, sf_dir).withColumn("layer", (F.col("label") % 2).cast("int"))
-    return A.layer_metrics(layers, features=3)
+    return A.layer_metrics(layers)
 
 
 _COMPARED = "SELECT event_type AS dataset, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS row, CAST(event_id % 100 AS INTEGER) AS time, CAST(event_id % 7 AS INTEGER) AS dur, CAST(event_id % 128 AS INTEGER) AS note FROM events"

@@ -269,6 +269,49 @@ def test_live_scoring(spark):
     assert got.count() > 0 and all(r.n % 3 == 1 for r in got.collect())
 
 
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    folder, x = str(tmp_path_factory.mktemp("vectors")), np.random.default_rng(11).normal(size=(200, 64))
+    rows = [(i, [float(v) for v in r], i % 8) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return folder, x.astype(np.float32).astype(float)
+
+
+def test_normality_queries_take_whole_vectors(spark, vectors):
+    from seqdrift.plans import detector_queries as D
+
+    folder, x = vectors
+    n, p = x.shape
+    c = x - x.mean(0)
+    g = c @ np.linalg.inv(np.cov(x.T, bias=True)) @ c.T
+    got = D.A02_mardia(spark, folder).first()
+    assert got["skewness"] == pytest.approx(n * (g**3).mean() / 6) and got["kurtosis"] == pytest.approx(((np.diag(g) ** 2).mean() - p * (p + 2)) / math.sqrt(8 * p * (p + 2) / n))
+    b2 = 0.5 * (n * (2 * p + 1) / 4) ** (2 / (p + 4))
+    pairs = np.diag(g)[:, None] + np.diag(g)[None] - 2 * g
+    hz = np.exp(-b2 / 2 * pairs).sum() / n - 2 * (1 + b2) ** (-p / 2) * np.exp(-b2 / (2 * (1 + b2)) * np.diag(g)).sum() + n * (1 + 2 * b2) ** (-p / 2)
+    got = D.A03_henze_zirkler(spark, folder).first()
+    assert got["hz"] == pytest.approx(hz, abs=1e-12) and 0 <= got["hz_p_value"] <= 1
+
+
+@pytest.mark.parametrize("name", ["H05_mixture_min_distance", "A04_royston", "A09_layer_metrics", "F06_mixture_fit", "F07_mixture_score", "F08_kmeans_distances"])
+def test_detector_queries_take_whole_vectors(spark, vectors, monkeypatch, name):
+    from seqdrift.plans import detector_queries as D
+
+    class Seen(Exception):
+        pass
+
+    def stop(df, *args, **kwargs):
+        raise Seen(df.select(F.max(F.size("emb"))).first()[0], args, kwargs)
+
+    monkeypatch.setattr(A, "royston", stop)
+    monkeypatch.setattr(A, "layer_metrics", stop)
+    for stage in (D.GaussianMixture, D.MixtureScore, D.KMeansDistance):
+        monkeypatch.setattr(stage, "_fit", lambda self, df: stop(df, getattr(self, "restarts", 10)))
+    with pytest.raises(Seen) as seen:
+        D.QUERIES[name](spark, vectors[0])
+    assert seen.value.args[0] == 64 and seen.value.args[1] in ((), (10,)) and not seen.value.args[2]
+
+
 def test_catalogue():
     import __spark_entry__
 
