@@ -7,7 +7,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of some megabytes, unless the session asks for a size of its own."""
+    name, usual = "spark.sql.execution.arrow.maxBytesPerBatch", ("64MB", "67108864b", "67108864")
+    if spark.conf.get(name, usual[0]) in usual:
+        spark.conf.set(name, "4m")
+
+
+def nested(df: DataFrame, **more: Column) -> DataFrame:
+    """The table's columns inside one, ``row``, beside some more: so no name of the table's can clash with ours."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
 def groups_for(rows: int, per_group: int) -> int:
     return max(1, math.ceil(rows / per_group))
 

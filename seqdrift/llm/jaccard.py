@@ -10,29 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqdrift.llm.common import discard, release, settle, shuffle_width, split_by_keys
+from seqdrift.llm.common import discard, nested, release, settle, shuffle_width, small_batches, split_by_keys
 from seqdrift.llm.graph import connected_components
-from seqdrift.llm.text import _WORDS, U, Words, mix, words_of
+from seqdrift.llm.text import U, Words, mix, words_of
 
 SHINGLE = 5
 PERCENT = 80
 MAX_MATCHES = 4
-#: Documents of a block where only short token lists are compared, and where whole sets are.
-LIGHT_BLOCK_ROWS = 1536
-BLOCK_ROWS = 512
+#: Most classes, and shingles, that a block keeps of its own, and that one unit of work compares them with.
+BLOCK_ROWS = 256
+BLOCK_SHINGLES = 1 << 19
 _NULL_ID = -(1 << 63)
 
 
-def _whole(words: Words, salt: int) -> np.ndarray:
-    """A hash of each row's whole word sequence."""
-    n = len(words.hash)
-    up, down = _WORDS.get(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum((mix(words.hash, salt) | U(1)) * up[:n], out=total[1:])
-    low, high = words.bounds[:-1], words.bounds[1:]
-    return mix((total[high] - total[low]) * down[low] + (high - low).astype(U), salt)
-
-
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row cuts, hashes): each row's distinct shingles in ascending order; a shorter row's words are one shingle."""
     rows = len(words.bounds) - 1
@@ -41,7 +31,7 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(words.bounds)
     short = np.flatnonzero((length > 0) & (length < size))
     if len(short):
-        row, hashes = np.concatenate((row, short)), np.concatenate((hashes, _whole(words, 43)[short]))
+        row, hashes = np.concatenate((row, short)), np.concatenate((hashes, words.whole(size - 1, 43)[short]))
     order = np.lexsort((hashes, row))
     row, hashes = row[order], hashes[order]
     new = np.ones(len(row), bool)
@@ -115,9 +105,9 @@ def _prefixes(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [], [], [], [])
-            rows = zip(*(batch.column(c).to_pylist() for c in ("node", "n", "counted")), batch.column("found"), strict=True)
-            for node, n, counted, found in rows:
+            out = ([], [], [], [], [], [], [])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "n", "counted")), batch.column("found"), strict=True)
+            for d1, d2, n, counted, found in rows:
                 values = found.values
                 tokens = values.field("token").to_numpy(zero_copy_only=False).view(U)
                 matches, chosen = choose_prefix(n, counted, tokens, values.field("df").to_numpy(zero_copy_only=False), percent)
@@ -126,16 +116,16 @@ def _prefixes(percent: int):
                 # are shared: the longest prefix, with the most matches.
                 need = counted - (n - -(-percent * n // 100))
                 if len(chosen) >= matches and len(listed) >= need:
-                    for column, value in zip(out, (node, n, matches, need, chosen.view(np.int64), listed.view(np.int64)), strict=True):
+                    for column, value in zip(out, (d1, d2, n, matches, need, chosen.view(np.int64), listed.view(np.int64)), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["node", "n", "matches", "need", "prefix", "listed"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["d1", "d2", "n", "matches", "need", "prefix", "listed"])
 
     return run
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections; only tokens that two sets have are looked at."""
+def _overlaps(sets: list[np.ndarray], rows: int) -> np.ndarray:
+    """Sizes of the first ``rows`` sets' intersections with all; only tokens that two sets have are looked at."""
     values = np.concatenate(sets) if sets else np.empty(0, U)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, at, times = np.unique(values, return_inverse=True, return_counts=True)
@@ -143,22 +133,23 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     place = np.cumsum(shared) - 1
     keep = shared[at]
     at, owner = place[at[keep]], owner[keep]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((rows, len(sets)), np.float32)
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    for low in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(at, (low, low + 4096))
-        part = np.zeros((len(sets), min(4096, int(shared.sum()) - low)), np.float32)
+    for low in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(at, (low, low + 2048))
+        part = np.zeros((len(sets), min(2048, int(shared.sum()) - low)), np.float32)
         part[owner[a:b], at[a:b] - low] = 1
-        out += part @ part.T
+        out += part[:rows] @ part.T
     return out
 
 
 @dataclass
 class Member:
-    """A class of equal sets inside a block; ``tokens`` is its whole set where that has been fetched."""
+    """A class of equal sets in a unit of work; ``tokens`` is its whole set where that has been fetched."""
 
-    own: int
+    node: int
+    visits: bool
     n: int
     matches: int
     need: int
@@ -168,38 +159,41 @@ class Member:
     tokens: np.ndarray | None
 
 
-def _candidates(block: list[Member], percent: int, inside: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs with like sizes and enough shared tokens in both prefixes; across the two blocks, or inside the one."""
-    own, n, need = (np.array([getattr(m, c) for m in block]) for c in ("own", "n", "need"))
-    matches = np.array([m.matches for m in block], np.int8)
-    a, b = np.nonzero(np.triu(_overlaps([m.prefix for m in block]) >= np.minimum(matches[:, None], matches[None, :]), 1))
+def _candidates(unit: list[Member], percent: int, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a resident and a visitor, and where ``inside`` of two residents, with like sizes and enough shared tokens
+    in both prefixes. Residents come first."""
+    own = sum(not m.visits for m in unit)
+    n, need, matches = (np.array([getattr(m, c) for m in unit]) for c in ("n", "need", "matches"))
+    enough = _overlaps([m.prefix for m in unit], own) >= np.minimum(matches[:own, None], matches[None, :])
+    enough[:, :own] = np.triu(enough[:, :own], 1) if inside else False
+    a, b = np.nonzero(enough)
     fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-    if not inside:
-        fits &= own[a] != own[b]
     a, b = a[fits], b[fits]
     if len(a):
-        enough = _overlaps([m.listed for m in block])[a, b] >= np.maximum(need[a], need[b])
+        enough = _overlaps([m.listed for m in unit], own)[a, b] >= np.maximum(need[a], need[b])
         a, b = a[enough], b[enough]
     return a, b
 
 
-def _links(nodes: list[int], block: list[Member], percent: int, inside: bool) -> Iterator[tuple[int, int | None, int]]:
-    """Rows (node, other, links): a spanning forest of the block's pairs, and each node's links weighted by copies.
+def _met(unit: list[Member], percent: int, inside: bool) -> Iterator[tuple[int, int | None, int]]:
+    """The members that have a candidate here: their whole sets are needed."""
+    for i in np.unique(np.concatenate(_candidates(unit, percent, inside))):
+        yield unit[i].node, None, 0
 
-    Pairs are candidates, or links where whole sets are there.
-    """
-    a, b = _candidates(block, percent, inside)
-    if block[0].tokens is not None and len(a):
-        sets, n, copies = [m.tokens for m in block], np.array([m.n for m in block]), np.array([m.copies for m in block])
-        if len(a) > 4 * len(nodes):
-            common = _overlaps(sets)[a, b].astype(np.int64)
-        else:
-            common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
-        linked = 100 * common >= percent * (n[a] + n[b] - common)
-        a, b = a[linked], b[linked]
-        links = np.bincount(a, copies[b], len(nodes)) + np.bincount(b, copies[a], len(nodes))
-        yield from ((nodes[i], None, int(links[i])) for i in np.flatnonzero(links))
-    root = list(range(len(nodes)))
+
+def _links(unit: list[Member], percent: int, inside: bool) -> Iterator[tuple[int, int | None, int]]:
+    """Rows (node, other, links): a spanning forest of the unit's links, and each node's links weighted by copies."""
+    a, b = _candidates(unit, percent, inside)
+    sets, n, copies = [m.tokens for m in unit], np.array([m.n for m in unit]), np.array([m.copies for m in unit])
+    if len(a) > 4 * len(unit):
+        common = _overlaps(sets, sum(not m.visits for m in unit))[a, b].astype(np.int64)
+    else:
+        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
+    linked = 100 * common >= percent * (n[a] + n[b] - common)
+    a, b = a[linked], b[linked]
+    links = np.bincount(a, copies[b], len(unit)) + np.bincount(b, copies[a], len(unit))
+    yield from ((unit[i].node, None, int(links[i])) for i in np.flatnonzero(links))
+    root = list(range(len(unit)))
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -211,49 +205,78 @@ def _links(nodes: list[int], block: list[Member], percent: int, inside: bool) ->
         x, y = top(i), top(j)
         if x != y:
             root[x] = y
-            yield nodes[i], nodes[j], 0
+            yield unit[i].node, unit[j].node, 0
 
 
-def _paired(percent: int):
-    """Rows come sorted by (label, i, j): the documents of one pair of blocks are together."""
+_UNIT = ["cell", "sub", "part"]
+_CARRIED = ["node", "visits", "n", "matches", "need", "copies", "prefix", "listed"]
 
-    def flush(key: tuple | None, block: dict[int, Member]) -> Iterator[pa.RecordBatch]:
-        if len(block) > 1:
-            rows = list(_links(list(block), list(block.values()), percent, key[1] == key[2]))
+
+def _by_unit(work, percent: int):
+    """Rows come sorted by unit, residents first: the members of one unit are together."""
+
+    def flush(key: tuple | None, unit: list[Member]) -> Iterator[pa.RecordBatch]:
+        if len(unit) > 1 and not unit[0].visits:
+            rows = list(work(unit, percent, key[2] == 0))
             if rows:
                 a, b, n = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "links"])
+                keys = [pa.array([k] * len(a), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=[*_UNIT, "a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block = None, {}
+        key, unit = None, []
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("label", "i", "j")), strict=True)
-            numbers = zip(*(batch.column(c).to_pylist() for c in ("node", "own", "n", "matches", "need", "copies")), strict=True)
+            keys = zip(*(batch.column(c).to_pylist() for c in _UNIT), strict=True)
+            numbers = zip(*(batch.column(c).to_pylist() for c in _CARRIED[:6]), strict=True)
             arrays = zip(*(batch.column(c) for c in ("prefix", "listed", "tokens")), strict=True)
-            for now, (node, *rest), (prefix, listed, tokens) in zip(keys, numbers, arrays, strict=True):
+            for now, number, (prefix, listed, tokens) in zip(keys, numbers, arrays, strict=True):
                 if now != key:
-                    yield from flush(key, block)
-                    key, block = now, {}
-                if node not in block:
-                    short = [x.values.to_numpy(zero_copy_only=False).view(U) for x in (prefix, listed)]
-                    block[node] = Member(*rest, *short, np.frombuffer(tokens.as_buffer(), U) if tokens.is_valid else None)
-        yield from flush(key, block)
+                    yield from flush(key, unit)
+                    key, unit = now, []
+                short = [np.array(x.values, np.int64).view(U) for x in (prefix, listed)]
+                unit.append(Member(*number, *short, np.frombuffer(tokens.as_py(), U) if tokens.is_valid else None))
+        yield from flush(key, unit)
 
     return run
 
 
-def _block_pairs(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
-    """(a, b, links) rows of all pairs of blocks of every component.
+def _worked(members: DataFrame, work, percent: int) -> DataFrame:
+    dealt = members.repartition(shuffle_width(members.sparkSession), *_UNIT).sortWithinPartitions(*_UNIT, "visits", "node")
+    return dealt.select(*_UNIT, *_CARRIED, "tokens").mapInArrow(_by_unit(work, percent), "cell long, sub int, part int, a long, b long, links long")
+
 
-    ``members``: label, node, n, matches, need, copies, prefix, listed, tokens. A component of m members is cut into
-    ceil(m / block_rows) blocks by a hash; each pair of blocks meets in one place, whatever the component's size.
+def _units(prefixes: DataFrame) -> DataFrame:
+    """(cell, sub, part, node, visits): which classes meet where, so that each two with a common prefix token meet once.
+
+    A class lives in the cell of its most frequent prefix token, so those of a group of near copies, and those with one
+    common passage, mostly live together. A large cell is split into blocks. A class visits the lower ones of the blocks
+    in which some class with one of its prefix tokens lives, and no others; a block's visitors are split in parts.
     """
-    blocks = settle(members.groupBy("label").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))
-    placed = members.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    dealt = dealt.repartition(shuffle_width(members.sparkSession), "label", "i", "j").sortWithinPartitions("label", "i", "j")
-    return dealt.select("label", "i", "j", "node", "own", "n", "matches", "need", "copies", "prefix", "listed", "tokens").mapInArrow(_paired(percent), "a long, b long, links long")
+    postings = prefixes.select("node", "n", F.explode("prefix").alias("token"))
+    meets = settle(postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"))
+    some, _ = split_by_keys(postings, meets, ["token"])
+    shared = settle(some.join(meets, "token"))
+
+    def pieces(key: list[str]) -> list:
+        return [F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("pieces")]
+
+    homes = settle(shared.groupBy("node", "n").agg(F.max(F.struct("m", "token"))["token"].alias("cell")))
+    cells = settle(homes.groupBy("cell").agg(*pieces(["cell"])))
+    homes = settle(homes.join(cells, "cell").select("node", "n", "cell", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("sub")))
+
+    lived = shared.select("node", "token").join(homes, "node")
+    places = lived.groupBy("token").agg(F.min(F.struct("cell", "sub")).alias("least"), F.max(F.struct("cell", "sub")).alias("most"))
+    wide = settle(places.where("least <> most").select("token"))  # only their classes have somewhere to go
+    going = settle(lived.join(wide, "token", "left_semi"))
+    blocks = settle(going.select("token", F.struct("cell", "sub").alias("to")).distinct())
+    visits = going.join(blocks, "token").where(F.col("to") < F.struct("cell", "sub")).select("node", "n", "to.cell", "to.sub").distinct()
+    visits = settle(visits)
+    parts = settle(visits.groupBy("cell", "sub").agg(*pieces(["cell", "sub"])))
+    visitors = visits.join(parts, ["cell", "sub"]).select("cell", "sub", F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces")).cast("int").alias("part"), "node", F.lit(True).alias("visits"))
+    stays = homes.join(parts, ["cell", "sub"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
+    units = settle(stays.select("cell", "sub", "part", "node", F.lit(False).alias("visits")).unionByName(visitors))
+    discard(meets, shared, cells, homes, wide, going, blocks, visits, parts)
+    return units
 
 
 def _sets(size: int):
@@ -264,65 +287,74 @@ def _sets(size: int):
             for words in words_of(batch.column("text"), lower=True):
                 cuts, hashes = shingle_sets(words, size)
                 tokens = [hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                part = batch.slice(words.first, len(tokens))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "label")), pa.array(tokens, pa.binary())], names=["node", "label", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(words.first, len(tokens)), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
     return run
 
 
 def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``jaccard_components`` with k, h (what a row is known by) and a label for every component."""
+    """``jaccard_components`` with k, h (what a row is known by) and ``head``, the (last, h, k) of its component's first."""
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     base = settle(keyed.mapInArrow(_summaries(shingle, percent), "k long, h long, n int, d1 long, d2 long, counted int, tokens array<bigint>"))
     filled = base.where("n > 0")
-    firsts = [F.first(c).alias(c) for c in ("k", "h", "n", "counted")]
-    nodes = filled.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min(F.when(F.col("k") != _NULL_ID, F.col("k"))).alias("least"), *firsts)
-    nodes = settle(nodes.withColumn("node", F.xxhash64("d1", "d2")))
-
-    release(docs.sparkSession)
-    # Copies are counted here, which only changes the order of tokens, the same for all.
-    shared = settle(filled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    last = F.when(F.col("k") == _NULL_ID, (1 << 63) - 1).otherwise(F.col("k"))
+    # Sets are known by 128 bits, one class a set.
+    nodes = filled.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min(F.when(F.col("k") != _NULL_ID, F.col("k"))).alias("least"), F.min(F.struct(last.alias("last"), "h", "k")).alias("head"))
+    nodes = settle(nodes)
+
+    # One row stands for a class: its only one, or the head; repeated heads are equal and count once.
+    many = settle(nodes.where("copies > 1").select("d1", "d2", "head.k", "head.h"))
+    some, alone = split_by_keys(filled, many, ["d1", "d2"])
+    heads = some.join(many.hint("shuffle_hash"), ["d1", "d2", "k", "h"], "left_semi").dropDuplicates(["d1", "d2"])
+    apart = some.join(many.select("d1", "d2").hint("shuffle_hash"), ["d1", "d2"], "left_anti")
+    single = alone.unionByName(apart).unionByName(heads.select(*alone.columns)).select("d1", "d2", "n", "counted", F.explode("tokens").alias("token"))
+    shared = settle(single.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     release(docs.sparkSession)
-    offered = filled.select("k", "h", "tokens").join(nodes.select("k", "h", "node").hint("shuffle_hash"), ["k", "h"])
-    found = offered.select("node", F.explode("tokens").alias("token")).join(shared, "token").groupBy("node").agg(F.collect_set(F.struct("token", "df")).alias("found"))
-    found = found.join(nodes.select("node", "n", "counted"), "node").select("node", "n", "counted", "found")
-    prefixes = settle(found.mapInArrow(_prefixes(percent), "node long, n int, matches int, need int, prefix array<bigint>, listed array<bigint>"))
-    del offered, found
-    discard(shared)
+    offered, _ = split_by_keys(single, shared, ["token"])
+    found = offered.join(shared, "token").groupBy("d1", "d2", "n", "counted").agg(F.collect_list(F.struct("token", "df")).alias("found"))
+    chosen = found.mapInArrow(_prefixes(percent), "d1 long, d2 long, n int, matches int, need int, prefix array<bigint>, listed array<bigint>")
+    prefixes = settle(chosen.join(nodes, ["d1", "d2"]).withColumn("node", F.monotonically_increasing_id()))
+    del single, some, alone, heads, apart, offered, found, chosen
+    discard(shared, many)
     release(docs.sparkSession)
 
-    postings = prefixes.select("node", F.explode("prefix").alias("token"))
-    meets = settle(postings.groupBy("token").agg(F.min("node").alias("first"), F.count("*").alias("df")).where("df > 1").select("token", "first"))
-    groups = connected_components(postings.join(meets, "token").select(F.col("node").alias("a"), F.col("first").alias("b")))
-    described = groups.join(prefixes, "node").join(nodes.select("node", "copies"), "node")
-    pairs = settle(_block_pairs(described.withColumn("tokens", F.lit(None).cast("binary")), percent, LIGHT_BLOCK_ROWS))
-
-    groups = settle(connected_components(pairs.select("a", "b")))
-    wanted = settle(groups.join(nodes.select("node", "k", "h"), "node"))
+    units = _units(prefixes)
+    carried = prefixes.select("node", "n", "matches", "need", "copies", "prefix", "listed")
+    met = settle(_worked(units.join(carried, "node").withColumn("tokens", F.lit(None).cast("binary")), _met, percent))
+    wanted = settle(met.select(F.col("a").alias("node")).distinct().join(prefixes.select("node", "head.k", "head.h"), "node"))
     near, _ = split_by_keys(keyed, wanted, ["k", "h"])
-    sets = near.join(wanted.hint("shuffle_hash"), ["k", "h"]).select("node", "label", "text").mapInArrow(_sets(shingle), "node long, label long, tokens binary")
-    whole = settle(sets.join(prefixes, "node").join(nodes.select("node", "copies"), "node"))
+    # Repeated rows give one set each, all equal.
+    fetched = near.join(wanted.hint("shuffle_hash"), ["k", "h"]).select("node", "text").mapInArrow(_sets(shingle), "node long, tokens binary").dropDuplicates(["node"])
+    whole = settle(fetched.join(carried, "node"))
+    again = units.join(met.select(*_UNIT, F.col("a").alias("node")), [*_UNIT, "node"])
     release(docs.sparkSession)
-    links = settle(_block_pairs(whole, percent, BLOCK_ROWS))
-    discard(whole, pairs)
+    links = settle(_worked(again.join(whole, "node"), _links, percent))
+    discard(whole, units, met, wanted)
 
     parts = connected_components(links.where("b is not null").select("a", "b"))
-    labelled = nodes.select("node", "d1", "d2", "least", "copies").join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = settle(labelled)
-    ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    classes = labelled.join(ids, "label").join(counts, "node", "left").select("d1", "d2", "label", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    joined = settle(prefixes.select("node", "d1", "d2", "least", "head").join(parts, "node").join(counts, "node", "left"))
+    groups = joined.groupBy("label").agg(F.min("least").alias("group_least"), F.min("head").alias("group_head"))
+    joined = joined.join(groups, "label").select("d1", "d2", "group_least", "group_head", "links")
+    classes = nodes.join(joined, ["d1", "d2"], "left").select(
+        "d1",
+        "d2",
+        F.when(F.col("group_head").isNull(), F.col("least")).otherwise(F.col("group_least")).alias("component_id"),
+        F.coalesce("group_head", "head").alias("head"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
     rows = base.select("k", "h", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     doc_id = F.when(F.col("k") != _NULL_ID, F.col("k"))
-    alone = F.col("n") == 0
+    empty = F.col("n") == 0
     return rows.select(
         "k",
         "h",
-        "label",
+        F.when(~empty, F.col("head")).alias("head"),
         doc_id.alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
-        F.when(alone, doc_id).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        F.when(empty, doc_id).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(empty, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
 
 
@@ -332,14 +364,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     Returns a row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), n_links (documents
     linked to it, copies of one text counted each).
 
-    1. Documents with equal sets become one class; one of each class goes on.
+    1. Documents with equal sets become one class; one row of each class goes on.
     2. Every counted token's document frequency is exact over all classes; each class picks the prefix that is cheapest
        by those frequencies (``choose_prefix``).
-    3. Classes that share prefix tokens form components. A component is cut into blocks of about ``LIGHT_BLOCK_ROWS``, and each
-       pair of blocks is one unit of work, however large the group. A unit finds its candidates, pairs with enough shared
-       tokens in both the chosen prefixes and the longest ones, and reports a spanning forest of them, never the pairs.
-    4. The candidates' components are cut again, now with the whole sets, fetched once a class: candidates are verified
-       exactly, and a spanning forest of links and each class's number of links come out. No candidate is dropped.
+    3. Classes meet through the postings of their prefix tokens (``_units``): a class is sent only where a class with
+       one of its prefix tokens lives, and a hot token's classes are split into blocks. A unit of work is bounded by
+       ``BLOCK_ROWS`` and ``BLOCK_SHINGLES``. It keeps the classes that have a candidate, a partner with enough shared
+       tokens in both the chosen prefixes and the longest ones.
+    4. Those classes' whole sets are fetched and sent to the same units, and candidates are verified exactly. A spanning
+       forest of links and each class's number of links come out, never the pairs. No candidate is dropped.
     5. Components of the links give component_id.
 
     A null text or one without words has no shingles and is linked with nothing. Rows with a null doc_id take part;
@@ -352,14 +385,17 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with all columns: the one with the least doc_id (null last), then text hash.
 
-    Documents without words stay. Of rows equal in doc_id and text one stays, whether or not they have words.
+    Documents without words stay. Of rows equal in doc_id and text one stays, whether or not they have words. Columns
+    may have any names.
     """
     found = settle(_components(docs, shingle, percent))
-    last = F.when(F.col("k") == _NULL_ID, (1 << 63) - 1).otherwise(F.col("k"))
-    heads = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(last.alias("last"), "h", "k")).alias("head")).select("head.k", "head.h")
-    keep = heads.unionByName(found.where("n_shingles = 0").select("k", "h").distinct()).select(F.col("k").alias("_k"), F.col("h").alias("_h"))
-    kept = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "_h": F.xxhash64("text")})
-    kept = kept.join(keep.hint("shuffle_hash"), ["_k", "_h"], "left_semi")
-    if not found.groupBy("k", "h").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_k", "_h"])
-    return kept.drop("_k", "_h")
+    gone = settle(found.where((F.col("head.k") != F.col("k")) | (F.col("head.h") != F.col("h"))).select("k", "h").distinct())
+    repeated = settle(found.groupBy("k", "h").count().where("count > 1").select("k", "h"))
+    rows = nested(docs, k=F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), h=F.xxhash64("text"))
+    # Only rows that may go are shuffled.
+    some, stay = split_by_keys(rows, gone, ["k", "h"])
+    rows = stay.unionByName(some.join(gone.hint("shuffle_hash"), ["k", "h"], "left_anti").select(*stay.columns))
+    if not repeated.isEmpty():
+        some, stay = split_by_keys(rows, repeated, ["k", "h"])
+        rows = stay.unionByName(some.dropDuplicates(["k", "h"]))
+    return rows.select("row.*")

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqdrift.llm.common import discard, release, settle, split_by_keys
-from seqdrift.llm.text import _WORDS, U, Words, mix, words_of
+from seqdrift.llm.common import discard, release, settle, small_batches, split_by_keys
+from seqdrift.llm.text import U, Words, join, mix, run_hashes, words_of
 
 WIDTH = 35
 GRAM = 8
@@ -58,10 +58,9 @@ def phrases(words: Words, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndar
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
     low, high, anchor = start[first], start[last], anchor[first]
-    up, down = _WORDS.get(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum((mix(words.hash, 21) | U(1)) * up[:n], out=total[1:])
-    digest = mix((total[high + width] - total[low]) * down[low] + ((high - low) * 64 + (anchor - low)).astype(U), 5)
+    # A phrase's first and last window overlap, so together they hold all of it.
+    whole = run_hashes(words.hash, width, 21)
+    digest = mix(join(whole[low], whole[high]) ^ ((high - low) * 64 + (anchor - low)).astype(U), 5)
     return row[low], low, high, values[anchor], digest
 
 
@@ -105,7 +104,7 @@ def _window_rows(width: int):
             cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             for words in words_of(batch.column("text")):
                 _, one = words.windows(width, 31)
-                at, two = words.windows(width, 57)
+                at, two = words.windows(width, 57, words.second())
                 place = np.zeros(len(words.hash) + 1, np.int64)
                 place[at] = np.arange(len(at))
                 rows = np.arange(words.first, words.first + len(words.bounds) - 1)
@@ -123,6 +122,7 @@ def _window_rows(width: int):
 
 def duplicate_factors(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(k, h, lo, hi): ranges of window starts whose windows all start somewhere else too, same document included."""
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     texts = keyed.select("text").where("text is not null")
     # What has been counted is settled before it is joined back: a join between plain tables can split a hot key.

@@ -1,8 +1,9 @@
 """Vectorised word hashing over Arrow string columns.
 
-Words are runs of bytes other than space and 0x09-0x0D. A word's hash is a polynomial over its bytes modulo 2^64 (read
-off one prefix sum) passed through a mixer; sequences of words are hashed the same way, so the hash of every window of
-w words costs a few array operations whatever w is.
+Words are runs of bytes other than space and 0x09-0x0D. A word's hash takes in eight bytes at a time, each through a
+bijective mixer, so different words of at most eight bytes and equal length never meet. A run of words is hashed from
+halves, again through the mixer. Nothing is linear in the bytes, so no text can be built of repeated patterns (such as
+the Thue-Morse words) that all hash alike.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xC2B2AE3D27D4EB4F
 CHUNK_BYTES = 1 << 19
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -27,32 +30,32 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-_BYTE = mix(np.arange(256, dtype=U), 7) | U(1)
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two parts in their order; one to one in either part when the other is fixed."""
+    return mix((a ^ U(0x9E3779B97F4A7C15)) * U(0xC2B2AE3D27D4EB4F) + b, 9)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-class _Powers:
-    """base^i and base^-i modulo 2^64, grown as needed."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up, self.down = np.ones(1, U), np.ones(1, U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, U)
-                steps[0] = 1
-                with np.errstate(over="ignore"):
-                    setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = _Powers(_BASE), _Powers(_WORD_BASE)
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes; other salts give independent hashes."""
+    size = end - start
+    h = mix(size.astype(U), salt)
+    blocks = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    todo = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at = 0
+    while len(todo):
+        left = np.minimum(size[todo] - at, 8)
+        h[todo] = mix(h[todo] ^ (blocks[start[todo] + at] & _TAIL[left]), salt + 1)
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed=salt)
+    return h
 
 
 @dataclass
@@ -66,20 +69,43 @@ class Words:
     hash: np.ndarray
     bounds: np.ndarray
 
+    def second(self) -> np.ndarray:
+        """Another hash of the words, independent of ``hash``."""
+        return hash_words(self.data, self.start, self.end, 77)
+
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
-    def windows(self, width: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, width: int, salt: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(position, hash) of each run of ``width`` words inside one row."""
         n = len(self.hash)
         if n < width:
             return np.empty(0, np.int64), np.empty(0, U)
-        up, down = _WORDS.get(n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum((mix(self.hash, salt + 1) | U(1)) * up[:n], out=total[1:])
         row = self.row_of()
         at = np.flatnonzero(row[: n - width + 1] == row[width - 1 :])
-        return at, mix((total[at + width] - total[at]) * down[at], salt)
+        return at, run_hashes(self.hash if hashes is None else hashes, width, salt)[at]
+
+    def whole(self, most: int, salt: int = 0) -> np.ndarray:
+        """A hash of each row's whole sequence, right for rows of at most ``most`` words."""
+        low, size = self.bounds[:-1], np.diff(self.bounds)
+        h = mix(size.astype(U), salt)
+        for k in range(most):
+            rows = np.flatnonzero(size > k)
+            h[rows] = join(h[rows], self.hash[low[rows] + k])
+        return h
+
+
+def run_hashes(hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
+    """A hash of each ``width`` consecutive values, by doubling: hashes of 1, 2, 4, ... values, joined to ``width``."""
+    level, size = mix(hashes, salt), 1
+    out, done = None, 0
+    while True:
+        if width & size:
+            out = level if out is None else join(out[: len(level) - done], level[done:])
+            done += size
+        if 2 * size > width:
+            return out
+        level, size = join(level[:-size], level[size:]), 2 * size
 
 
 def _column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +145,4 @@ def words_of(column: pa.Array, lower: bool = False, drop: bytes = b"", chunk_byt
         before[inner[inner < n]] = False
         after[inner[(inner > 0)] - 1] = False
         start, end = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-        up, down = _BYTES.get(n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum(_BYTE[part] * up[:n], out=total[1:])
-        hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
-        yield Words(a, part, start, end, hashes, np.searchsorted(start, row, side="left"))
+        yield Words(a, part, start, end, hash_words(part, start, end), np.searchsorted(start, row, side="left"))

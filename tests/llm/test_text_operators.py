@@ -103,7 +103,7 @@ def test_jaccard_blocks(spark, monkeypatch):
     from seqdrift.llm import jaccard
 
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(jaccard, "LIGHT_BLOCK_ROWS", 11)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 300)
     rng = random.Random(5)
     base = words(rng, 60, 5000)
     rows = []
