@@ -15,21 +15,20 @@ from seqdrift.llm.common import ensure_checkpoint_dir, table
 from seqdrift.llm.decontaminate import drop_leaking
 from seqdrift.llm.hyperlang import drop_undetermined, learn_prototypes
 from seqdrift.llm.jaccard import drop_near_duplicates
-from seqdrift.llm.linedup import drop_repeated_lines
+from seqdrift.llm.linedup import cut_repeated_lines
 from seqdrift.llm.packing import pack_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null texts and texts without a letter."""
+    """Keep the documents in a learned language: null texts, texts without a letter and longer texts that are like none go."""
     return drop_undetermined(docs, learn_prototypes(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut later copies of line runs and of single lines of over 50 words; a document of which nothing is left goes."""
-    columns = docs.columns
-    cut = drop_repeated_lines(docs)
-    cut = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*columns)
+    cut = cut_repeated_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("row.n_chars")).cast("long")}
+    return cut.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

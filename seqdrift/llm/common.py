@@ -75,6 +75,58 @@ def nested(df: DataFrame, **more: Column) -> DataFrame:
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
 
 
+#: Stands for a null doc_id, which sorts first.
+NULL_ID = -(1 << 63)
+
+
+def key_columns() -> dict[str, Column]:
+    """What a row's text is known by: doc_id, null as the least number, and a hash that tells texts of one id apart."""
+    return {"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "h": F.xxhash64("text")}
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(*[c.alias(n) for n, c in key_columns().items()], F.col("text").cast("string").alias("text"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows, all columns, whose (k, h) is not in ``gone``, a settled table of distinct keys. Only rows whose key may
+    be there are shuffled."""
+    some, stay = split_by_keys(nested(docs, **key_columns()), gone, ["k", "h"])
+    kept = some.join(gone.hint("shuffle_hash"), ["k", "h"], "left_anti")
+    return stay.unionByName(kept.select(*stay.columns)).select("row.*")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Copies of one row that one task numbers in a row.
+COPIES = 1 << 16
+
+
+def counted_rows(df: DataFrame) -> DataFrame:
+    """The distinct rows, settled, with ``copies``, how often each occurs."""
+    return settle(df.groupBy(*df.columns).agg(F.count("*").alias("copies")))
+
+
+def each_copy(counted: DataFrame) -> DataFrame:
+    """As many rows as ``copies`` says, with ``copy``: 0, 1, ... among equal ones, whatever partitions they came from.
+
+    They are written out in blocks that are dealt out, so a row that makes up a third of the table is no one task's work.
+    """
+    few = counted.where(F.col("copies") <= COPIES).withColumn("first", F.lit(0).cast("long"))
+    many = counted.where(F.col("copies") > COPIES)
+    if not many.isEmpty():
+        blocks = many.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+        few = few.unionByName(blocks.repartition(shuffle_width(counted.sparkSession), *counted.columns, "first"))
+    last = F.least(F.col("copies"), F.col("first") + COPIES) - 1
+    return few.withColumn("copy", F.explode(F.sequence("first", last))).drop("first", "copies")
+
+
 def groups_for(rows: int, per_group: int) -> int:
     return max(1, math.ceil(rows / per_group))
 
@@ -102,7 +154,7 @@ def running_total(df: DataFrame, order: list[str], weight: str) -> DataFrame:
     """Add ``before``: the sum of ``weight`` over all rows that sort before, over the whole table.
 
     Rows are range-partitioned and sorted; one total a partition is prefix-summed and added to the local sums. ``order``
-    must tell rows apart, which also keeps the ranges even.
+    must tell rows apart (count equal rows first), which also keeps the ranges even.
     """
     ordered = df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
     placed = settle(ordered.withColumn("place", F.monotonically_increasing_id())).withColumn("part", F.shiftrightunsigned("place", 33))

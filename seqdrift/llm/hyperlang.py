@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqdrift.llm.common import keyed_texts, settle, small_batches, without
 from seqdrift.llm.text import mix
 
 DIMENSIONS = 1024
@@ -16,9 +17,15 @@ GRAM = 3
 MAX_LANGUAGES = 4096
 UNDETERMINED = "und"
 _GAP = 32
-_BLOCK = 4096
-_CHUNK_CHARS = 1 << 19
-_ROWS = 512
+_BLOCK = 1024
+_CHUNK_CHARS = 1 << 18
+_ROWS = 256
+#: A text of this many characters whose nearest prototype is less alike than this is in none of the learned languages:
+#: unrelated vectors have cosines around 0, with a deviation of 1 / sqrt(DIMENSIONS).
+MIN_SCORE = 0.05
+ENOUGH_CHARS = 64
+#: Prototypes of fewer documents know too little of their languages to reject a text.
+ENOUGH_DOCUMENTS = 64
 _ALPHA: np.ndarray | None = None
 
 
@@ -78,11 +85,14 @@ def _bundle_chunk(texts: list[str], dimensions: int) -> np.ndarray:
         at = place[grams]
     else:
         seen, at = np.unique(grams, return_inverse=True)
-    base = letter_vectors(symbols, dimensions)
-    turned = [np.roll(base, GRAM - 1 - k, axis=1) for k in range(GRAM)]
+    # A text may hold any number of different letters: vectors are drawn for one block of n-grams at a time.
     for low in range(0, len(seen), _BLOCK):
         block = seen[low : low + _BLOCK]
-        vectors = turned[0][block // (n * n)] * turned[1][block // n % n] * turned[2][block % n]
+        vectors = None
+        for k, place in enumerate((block // (n * n), block // n % n, block % n)):
+            own, back = np.unique(place, return_inverse=True)
+            turned = np.roll(letter_vectors(symbols[own], dimensions), GRAM - 1 - k, axis=1)[back]
+            vectors = turned if vectors is None else vectors * turned
         inside = (at >= low) & (at < low + _BLOCK) if len(seen) > _BLOCK else slice(None)
         width = len(block)
         counts = np.bincount(doc[inside] * width + (at[inside] - low), minlength=len(texts) * width)
@@ -109,17 +119,29 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
-def learn_prototypes(docs: DataFrame, max_documents: int = 20_000, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
+class Prototypes(dict):
+    """Vector by language, and about how many documents they were learned from."""
+
+    documents = 0
+
+
+def learn_prototypes(docs: DataFrame, max_documents: int = 20_000, dimensions: int = DIMENSIONS) -> Prototypes:
     """Bundle each language's documents into an integer prototype.
 
-    At most about ``max_documents`` labelled rows that are not held out are used, chosen by a hash of doc_id. Each
+    At most about ``max_documents`` labelled rows that are not held out are used: each language's are chosen by a hash of
+    doc_id and text, up to an equal share each, so a rare language keeps its prototype however large the table is. Each
     document is reduced to the signs of its bundle, so prototypes are exact integer sums in whatever order rows come.
     What reaches the driver is one vector a language, at most ``MAX_LANGUAGES``.
     """
+    small_batches(docs.sparkSession)
     eligible = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    rows = eligible.count()
-    if rows > max_documents:
-        eligible = eligible.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_documents / rows))
+    sizes = {r["lang"]: r["count"] for r in eligible.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    share = max_documents // max(1, len(sizes))
+    if any(n > share for n in sizes.values()):
+        limits = docs.sparkSession.createDataFrame([(lang, int((1 << 30) * min(1.0, share / n))) for lang, n in sizes.items()], "lang string, below long")
+        eligible = eligible.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("below"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -137,10 +159,9 @@ def learn_prototypes(docs: DataFrame, max_documents: int = 20_000, dimensions: i
     parts = eligible.select("text", "lang").mapInArrow(sums, "lang string, sums array<bigint>")
     each = parts.select("lang", F.posexplode("sums").alias("dim", "value")).groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     whole = each.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("v")).select("lang", F.col("v.value").alias("v"))
-    found = whole.limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return {r["lang"]: np.array(r["v"], np.float64) for r in found}
+    found = Prototypes({r["lang"]: np.array(r["v"], np.float64) for r in whole.collect()})
+    found.documents = sum(min(n, share) for n in sizes.values())
+    return found
 
 
 class Classifier:
@@ -184,13 +205,17 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: tuple[st
     return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
-def drop_undetermined(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """The documents, all columns, that have a language: those that ``identify`` does not call ``und``."""
-    classifier, at = Classifier(prototypes), docs.columns.index("text")
+def drop_undetermined(docs: DataFrame, prototypes: Prototypes, min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents, all columns, that are in a learned language.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, _ = classifier.predict(batch.column(at))
-            yield batch.filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    Those that ``identify`` calls ``und`` go, and those of ``ENOUGH_CHARS`` characters or more whose score is below
+    ``min_score``: a shorter text says too little to be rejected on, and so do prototypes of fewer than
+    ``ENOUGH_DOCUMENTS``. Rows equal in doc_id and text share their fate.
+    """
+    small_batches(docs.sparkSession)
+    texts = keyed_texts(docs).withColumn("enough", F.char_length("text") >= ENOUGH_CHARS)
+    named = identify(texts, prototypes, ("k", "h", "enough"))
+    foreign = F.col("lang_pred") == UNDETERMINED
+    if prototypes.documents >= ENOUGH_DOCUMENTS:
+        foreign |= F.col("enough") & (F.col("score") < min_score)
+    return without(docs, settle(named.where(foreign).select("k", "h").distinct()))

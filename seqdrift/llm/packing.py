@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqdrift.llm.common import groups_for, settle
+from seqdrift.llm.common import counted_rows, each_copy, groups_for, settle, small_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -46,7 +46,6 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.marks = {m: self.whole(m) for m in _ENDINGS}
 
@@ -134,6 +133,7 @@ def tokenise_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFra
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
+    small_batches(docs.sparkSession)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
@@ -150,12 +150,13 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, group_piece
     """
     pieces = settle(tokenise_pieces(docs, path, window))
     groups = groups_for(pieces.count(), group_pieces)
-    key = F.xxhash64("doc_id", "start", "ids_crc32")
-    # Repeated rows may be any share of the table: a random-looking but repeatable salt deals them out too.
-    dealt = pieces.withColumns({"order": key, "group": F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(groups))})
+    # Repeated rows may be any share of the table, so their number among equals has a part in where they go. Groups and
+    # their order depend on the rows alone, not on how the table is split.
+    key = F.xxhash64("doc_id", "start", "ids_crc32", "copy")
+    dealt = each_copy(counted_rows(pieces)).select("*", key.alias("order")).withColumn("group", F.pmod(F.xxhash64("order"), F.lit(groups)))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["order", "doc_id", "start"], kind="stable", ignore_index=True)
+        group = group.sort_values(["order", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"], kind="stable", ignore_index=True)
         bins = SquareSums(window)
         places = [bins.place(n) for n in group["length"].tolist()]
         base = int(group["group"].iloc[0]) << 32

@@ -115,6 +115,40 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in hyperlang.identify(docs, {}).collect()} == {"und"}
 
 
+def test_foreign_texts_are_dropped(spark):
+    """A longer text that is like none of the learned languages goes; a short one and clashing columns stay."""
+    rows = [*_language_rows(200, 3), (900, "пдв фбю " * 30, None), (901, "пдв", None), (902, None, "aa"), (903, "12 34", "aa")]
+    docs = documents(spark, rows)
+    kept = hyperlang.drop_undetermined(docs, hyperlang.learn_prototypes(docs))
+    assert {r.doc_id for r in kept.collect()} == {*range(200), 901} and kept.columns == docs.columns
+
+
+def test_rare_language_keeps_a_prototype(spark):
+    rows = [*_language_rows(300, 4), *[(1000 + i, "zyx wvu zyx", "rare") for i in range(6)]]
+    assert set(hyperlang.learn_prototypes(documents(spark, rows), max_documents=40)) == {"aa", "bb", "cc", "rare"}
+
+
+def test_prediction_is_the_nearest_prototype(spark):
+    """Prototypes, cosines and ties, restated with plain sums."""
+    rows = [*_language_rows(60, 5), (70, "shekamo", None)]
+    docs = documents(spark, rows)
+    signs = {i: np.sign(next(hyperlang.bundle([t]))[1][0]) for i, t, _ in rows}
+    learned = {lang: sum(signs[i] for i, _, own in rows if own == lang and zlib.crc32(str(i).encode()) % 3 != 1) for lang in ("aa", "bb", "cc")}
+    for r in hyperlang.identify(docs, hyperlang.learn_prototypes(docs)).collect():
+        own = next(hyperlang.bundle([next(t for i, t, _ in rows if i == r.doc_id)]))[1][0]
+        cosine = {lang: own @ v / np.linalg.norm(own) / np.linalg.norm(v) for lang, v in learned.items()}
+        assert r.lang_pred == max(sorted(cosine), key=cosine.get) and abs(r.score - max(0, cosine[r.lang_pred])) < 1e-5
+    same = {"b": np.ones(hyperlang.DIMENSIONS), "a": np.ones(hyperlang.DIMENSIONS)}
+    assert {r.lang_pred for r in hyperlang.identify(docs, same).collect()} == {"a"}
+
+
+def test_bundle_of_many_letters():
+    text = "".join(chr(0x4E00 + i) for i in range(20_000))
+    whole = next(hyperlang.bundle([text], 64))[1]
+    vectors = hyperlang.letter_vectors(np.array([32, *map(ord, text), 32], np.uint32), 64).astype(np.int64)
+    assert np.array_equal(whole[0], (np.roll(vectors[:-2], 2, 1) * np.roll(vectors[1:-1], 1, 1) * vectors[2:]).sum(0))
+
+
 def test_bundle_is_a_sum_of_bound_ngrams():
     got = next(hyperlang.bundle(["ab!c", ""], 128))[1]
     vectors = {c: hyperlang.letter_vectors(np.array([ord(c)], np.uint32), 128)[0].astype(int) for c in " abc"}
@@ -130,10 +164,10 @@ def test_encoding_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(2)
     letters = "abcXYZéßÀñ.,;:!?'-12 \n\t\x1c#<|>żΣİ"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["<|endoftext|>", "x" * 500, "it's don't"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["<|endoftext|>", "x" * 500, "it's don't", "a <|endoftext|> b", "no<|endoftext|>gap <|endoftext|>. é<|endoftext|>"]
+    texts += ["".join(rng.choice(["<|endoftext|>", " ", "ab", ".", "\n", "<|", "[UNK]", "<pad>", "</s>", "<s>", "Ü"]) for _ in range(8)) for _ in range(500)]
     for text in texts:
         assert packing.encode_text(text, TOKENIZER) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
@@ -329,6 +363,29 @@ def test_leaks_recall_and_precision(spark):
     assert exact <= set(got) and all(got[k] == 0 for k in exact)
 
 
+def test_leaks_short_items_and_passes(spark, monkeypatch):
+    """Items of one to four words are found as they stand; a benchmark beyond one pass gives the same rows."""
+    items = [(1, "alpha"), (2, "Beta gamma"), (3, "one two three four"), (4, ""), (5, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10"), (6, "alpha")]
+    docs = documents(spark, [(1, "an ALPHA, and beta gamma"), (2, "one two three"), (3, "one, two; three four alpha beta"), (4, "w1 w2 w3 w4 xx w6 w7 w8 w9 w10 alpha alpha"), (5, None)])
+    want = {(1, 1), (1, 2), (1, 6), (3, 1), (3, 3), (3, 6), (4, 1), (4, 5), (4, 6)}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, benchmark).collect()} == want
+    monkeypatch.setattr(decontaminate, "PASS_ITEMS", 2)
+    got = [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, benchmark).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {r.doc_id for r in decontaminate.drop_leaking(docs, benchmark).collect()} == {2, 5}
+
+
+def test_leaks_common_opening(spark):
+    """Many items with one opening: a text of that opening is in no item, and one whole item is found."""
+    rng = random.Random(31)
+    opening = words(rng, 10, 9000)
+    items = [(i, " ".join(opening + words(rng, 25, 9000))) for i in range(300)]
+    docs = documents(spark, [(1, " ".join(opening * 60)), (2, " ".join(opening * 5) + " " + items[7][1])])
+    got = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.distance) for r in got] == [(2, 7, 0)]
+
+
 def test_leaks_odd_rows(spark):
     benchmark = spark.createDataFrame([(1, "w1x w2x w3x w4x w5x w6x")], "item_id long, text string")
     docs = documents(spark, [*odd_rows(), (50, "w1x w2x w3x w4x w5x w6x"), (50, "w1x w2x w3x w4x w5x w6x"), (None, "W1x, W2x; w3x w4x w5x w6x!")])
@@ -369,6 +426,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(range(12))
 
 
+def test_pipeline_empty_table_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ("k", "h", "row", "gone", "n_lines", "n_removed", "_bits", "_word", "_k", "_h", "_gone", "node", "head", "k.h", "copy")
+    rows = [(i, "\n".join(" ".join(words(rng, 9)) for _ in range(4))) for i in range(5)]
+    docs = documents(spark, [*rows, (9, rows[1][1])], extra=False).withColumns({c: F.lit(f"own {c}") for c in names if c != "k.h"}).withColumn("k.h", F.lit(1))
+    for table in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, table, str(tmp_path))
+            assert kept.schema.names == table.schema.names
+            for r in kept.collect():
+                assert all(r[c] == f"own {c}" for c in names if c != "k.h")
+        assert {r.doc_id for r in kept.collect()} == (set() if table is not docs else {0, 1, 2, 3, 4, 9})
+    documents(spark, [], extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_pipeline_odd_rows(spark, tmp_path):
     import corpus_pipeline
 

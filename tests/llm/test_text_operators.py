@@ -8,6 +8,7 @@ import zlib
 
 import pytest
 from llm_fixtures import documents, odd_rows, words
+from pyspark.sql.functions import lit
 
 from seqdrift.llm.jaccard import jaccard_components
 from seqdrift.llm.linedup import drop_repeated_lines
@@ -135,6 +136,24 @@ def test_shards(spark, rows):
         assert abs(sum(s for _, _, s in own) - total / 7) <= biggest or len(slots) < 7
 
 
+def test_shards_are_prefix_sums(spark, monkeypatch):
+    """Shard and slot against a plain running sum; equal rows are many, and are written out in blocks."""
+    from seqdrift.llm import common
+
+    monkeypatch.setattr(common, "COPIES", 4)
+    rng = random.Random(2)
+    rows = [(rng.choice([None, *range(40)]), rng.choice(["", "é" * 9, "abc", None, "z" * 70])) for _ in range(400)]
+    got = shard_by_bytes(documents(spark, rows), n_shards=7)
+    sized = sorted(((i is not None, i or 0), len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), i) for i, t in rows)
+    total, at, want, slots = sum(s for _, s, _, _ in sized), 0, [], collections.Counter()
+    for _, size, crc, i in sized:
+        shard = min(6, (2 * at + size) * 7 // (2 * total))
+        want.append((i, size, crc, shard, slots[shard]))
+        slots[shard] += 1
+        at += size
+    assert collected(got, "doc_id", "size", "text_crc32", "shard", "slot") == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("rows", [[(3, "abcdef" * 30), (1, "ghi\njkl\n\nmno"), (9, ""), (5, "é" * 100)], [(4, "alone with words")]], ids=["few", "one"])
 def test_merkle(spark, rows):
     got = {r.doc_id: r for r in fingerprint_documents(documents(spark, rows)).collect()}
@@ -203,6 +222,44 @@ def test_long_single_lines(spark, tmp_path):
     assert collected(staged, "doc_id", "text", "n_chars") == sorted(repr((i, t, len(t))) for i, t in want if t)
 
 
+def test_line_runs_are_maximal(spark):
+    """Every run equals its source; the longest of a document is over half of what a plain search finds, or all of it."""
+    from seqdrift.llm.linedup import later_runs
+
+    rng = random.Random(11)
+    block = [f"b{i}" for i in range(23)]
+    texts = [[f"l{rng.randrange(8)}" for _ in range(rng.randrange(12))] for _ in range(15)]
+    texts += [[*texts[3], *block, "x"], ["y", *block[2:], "z"], [*block, *block], ["same"] * 40]
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    of = {i: t.split("\n") for i, t in rows}
+    runs = [(r.k, r.pos, r.size, r.source.k, r.source.pos) for r in later_runs(documents(spark, rows), 2).collect()]
+    covered = collections.defaultdict(set)
+    for d, p, n, s, q in runs:
+        assert (s, q) < (d, p) and n >= 2 and of[d][p : p + n] == of[s][q : q + n]
+        covered[d] |= set(range(p, p + n))
+    longest = {}
+    for d in of:
+        for p in range(len(of[d])):
+            for s in range(d + 1):
+                for q in range(len(of[s]) if s < d else p):
+                    n = 0
+                    while p + n < len(of[d]) and q + n < len(of[s]) and of[d][p + n] == of[s][q + n]:
+                        n += 1
+                    longest[d] = max(longest.get(d, 0), n if n >= 2 else 0)
+    for d, n in longest.items():
+        mine = [r[2] for r in runs if r[0] == d]
+        assert max(mine, default=0) == n or 2 * max(mine, default=0) > n, d
+    assert max(n for d, _, n, _, _ in runs if d == 16) == 21
+
+
+def test_lines_clashing_names(spark):
+    docs = documents(spark, [(1, "a\nb"), (2, "a\nb\nc")], extra=False)
+    docs = docs.select("*", *[lit(7).alias(c) for c in ("_bits", "_k", "_h", "_gone", "n_lines", "n_removed", "row")])
+    got = drop_repeated_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines_", "n_removed_", "longest_run"]
+    assert [tuple(r) for r in got.select("text", "n_lines", "_gone", "row", "n_removed_", "longest_run").orderBy("doc_id").collect()] == [("a\nb", 7, 7, 7, 0, 0), ("c", 7, 7, 7, 2, 2)]
+
+
 def test_lines_odd(spark):
     rows = [(1, None), (2, ""), (3, "a\nb"), (3, "a\nb"), (4, "a\nb"), (5, "\n\n"), (None, "a\nb"), (6, "\n".join(map(str, range(30_000))))]
     got = sorted(((r.doc_id, r.text) for r in drop_repeated_lines(documents(spark, rows)).collect()), key=repr)
