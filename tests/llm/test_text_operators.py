@@ -10,6 +10,7 @@ import pytest
 from llm_fixtures import documents, odd_rows, words
 from pyspark.sql.functions import lit
 
+from seqdrift.llm.decontaminate import find_leaks
 from seqdrift.llm.jaccard import jaccard_components
 from seqdrift.llm.linedup import drop_repeated_lines
 from seqdrift.llm.merkle import fingerprint_documents
@@ -65,6 +66,71 @@ def test_substrings(spark, rows):
     assert collected(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(map(repr, brute_substrings(rows, 12)))
 
 
+def test_factors_against_a_plain_greedy_parser(spark):
+    """Factor lengths and sources, from the phrases' cuts and a plain index of each phrase's first and last place."""
+    import pyarrow as pa
+
+    from seqdrift.llm import rlz
+    from seqdrift.llm.text import words_of
+
+    width, gram = 12, 4
+    rows = planted_rows(7, 80)
+    split = {i: cut_words(t) for i, t in rows}
+    hashes = {r.doc_id: r.h & -(1 << 24) for r in documents(spark, rows).selectExpr("doc_id", "xxhash64(doc_id, xxhash64(text)) AS h").collect()}
+    cut, places = {}, collections.defaultdict(list)
+    for i, t in rows:
+        w = next(words_of(pa.array([t])), None)
+        cut[i] = [(int(lo), int(hi)) for _, lo, hi, _, _ in zip(*rlz.phrases(w, width, gram), strict=True)] if w else []
+        for lo, hi in cut[i]:
+            places[tuple(split[i][lo : hi + width])].append((hashes[i] | lo, i, lo))
+
+    def others(i, p):
+        lo, hi = p
+        own = sorted(places[tuple(split[i][lo : hi + width])])
+        return [x[1:] for x in (own[0], own[-1]) if x[1:] != (i, lo)] if len(own) > 1 else []
+
+    def grow(i, at, place):
+        """Phrases from number ``at`` on that have a place side by side with ``place``."""
+        size = 1
+        while at + size < len(cut[i]) and cut[i][at + size][0] == cut[i][at + size - 1][1] + 1 and (place[0], place[1] + cut[i][at + size][0] - cut[i][at][0]) in others(i, cut[i][at + size]):
+            size += 1
+        return size
+
+    want = {}
+    for i in split:
+        at, want[i] = 0, []
+        while at < len(cut[i]):
+            found = max(((grow(i, at, p), -c, p) for c, p in enumerate(others(i, cut[i][at]))), default=None, key=lambda x: x[:2])
+            if found:
+                want[i].append((cut[i][at][0], cut[i][at + found[0] - 1][1] + width - cut[i][at][0], *found[2]))
+            at += found[0] if found else 1
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in rlz.remove_duplicate_substrings(documents(spark, rows), width, gram).collect()}
+    assert got == want and sum(map(len, got.values())) > 20
+    assert max(n for fs in got.values() for _, n, _, _ in fs) > 2 * width
+    for i, fs in got.items():
+        for start, n, s, q in fs:
+            assert n >= width and split[i][start : start + n] == split[s][q : q + n]
+
+
+def thue_morse(letters, swap=False):
+    bits = "0"
+    while len(bits) < letters:
+        bits += bits.translate(str.maketrans("01", "10"))
+    return bits.translate(str.maketrans("01", "ba" if swap else "ab"))
+
+
+@pytest.mark.parametrize("letters", [1024, 2048])
+def test_long_words_of_repeated_patterns(spark, letters):
+    """Words that meet under every polynomial hash modulo 2^64 are told apart."""
+    rows = [(i, " ".join([thue_morse(letters, i % 2)] * 14)) for i in range(2)] + [(i + 2, thue_morse(letters, i % 2)) for i in range(2)]
+    got = remove_duplicate_substrings(documents(spark, rows), width=12, gram=4)
+    assert collected(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(map(repr, brute_substrings(rows, 12)))
+    got = jaccard_components(documents(spark, rows), shingle=3, percent=90)
+    assert collected(got, "doc_id", "n_shingles", "component_id", "n_links") == sorted(map(repr, brute_jaccard(rows, 3, 90)))
+    benchmark = spark.createDataFrame([(1, rows[0][1]), (2, rows[3][1])], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in find_leaks(documents(spark, rows), benchmark).collect()) == [(0, 1), (1, 2), (3, 2)]
+
+
 def brute_jaccard(rows, size, percent):
     sets = []
     for i, t in rows:
