@@ -13,12 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+from seqdrift.llm.common import small_batches
+
+BASE_KINDS = ("email", "ip", "card", "phone")
+#: What the CRF labels; secrets have no exact pattern.
+KINDS = (*BASE_KINDS, "secret")
 LABELS = ("none", *KINDS)
 MAX_TRAINING_DOCUMENTS = 20_000
-ROUNDS = 30
+#: Messages settle long before: every mention is at most two edges away from any other of its group.
+ROUNDS = 200
 DAMPING = 0.5
-ACCEPT = 0.6
+ACCEPT = 0.8
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -27,13 +32,21 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-# Weaker mentions, which the CRF labels: numbers in groups, and addresses with spelt-out or spaced signs.
+# Weaker mentions, which the CRF labels: numbers in groups, addresses with spelt-out or spaced signs, and long runs of
+# letters and digits.
 _NUMBER = re.compile(r"(?<![\w+@.-])\(?[0-9]++(?:[)][ ]?|[ .-])?(?:[(]?[0-9]++(?:[)][ ]?|[ .-](?=[(0-9]))?)*(?![\w@])")
 _SPELT = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]{2,63}){1,8}")
+_SIGNS = re.compile(r"@|\(at\)|\[at\]|\(dot\)|\[dot\]|\bdot\b")
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+")
+#: The mark that training takes for a secret: a name and an assignment right before it.
+_ASSIGNED = re.compile(r"(?i)(?:token|secret|key|password|passwd|pwd|bearer)\w*[\"']?\s*[:=]\s*[\"']?$")
+#: A text without any of these has no mention.
+_ANY = re.compile(r"[@0-9]|\((?:at|dot)\)|\[(?:at|dot)\]|\bdot\b")
 _CUES = {
     "email": ("mail", "email", "e-mail", "correo", "courriel", "contact", "kontakt"),
     "ip": ("ip", "host", "server", "address", "adresse"),
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta"),
+    "secret": ("token", "secret", "key", "password", "passwd", "pwd", "bearer", "api_key"),
     "phone": ("phone", "tel", "call", "fax", "mobile", "telefon", "téléphone", "teléfono"),
 }
 
@@ -80,17 +93,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def weak_spans(text: str) -> list[tuple[int, int]]:
-    """Mentions that might be personal data: numbers of 7 to 19 digits, and spelt-out addresses."""
+    """Mentions that might be personal data: numbers of 7 to 19 digits, spelt-out addresses, and runs of 20 or more
+    letters and digits."""
     found = [m.span() for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7 and 7 <= len(_digits(m.group())) <= 19]
     if "@" in text or "at" in text:
-        found += [m.span() for m in _SPELT.finditer(text) if re.search(r"@|\(at\)|\[at\]|\(dot\)|\[dot\]|\bdot\b", m.group())]
+        found += [m.span() for m in _SPELT.finditer(text) if _SIGNS.search(m.group())]
+    found += [m.span() for m in _RUN.finditer(text) if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())]
     return found
 
 
+def unmarked(mention: str, kind: str) -> str:
+    """A mention without the mark that its exact pattern insists on, as training shows it to the model."""
+    if kind == "email":
+        return mention.replace("@", " at ")
+    return mention.lstrip("+").removeprefix("1 ") if kind == "phone" else mention
+
+
 def shape(mention: str) -> str:
-    """What a mention looks like without the sign that an exact pattern insists on."""
+    """What a mention looks like, whatever its sign or check digit says."""
+    if _SIGNS.search(mention) or " at " in mention:
+        return "address"
     if re.search("[A-Za-z]", mention):
-        return "address" if "@" in mention or "at" in mention.lower() else "word"
+        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", mention) else "run"
+        return f"{kind} of {min(len(mention) // 8 * 8, 64)}"
     groups = re.findall("[0-9]+", mention)
     if mention.count(".") == 3 and len(groups) == 4:
         return "quad" if all(map(_at_most_255, groups)) else "quad over"
@@ -98,18 +123,20 @@ def shape(mention: str) -> str:
     if len(groups) >= 3 and [len(g) for g in groups[-2:]] == [3, 4]:
         return "3-4 groups"
     if total >= 13:
-        return "long, check digit" if luhn("".join(groups)) else "long"
+        return "long"
     return f"{len(groups)} groups of {total}" if len(groups) <= 4 else "many groups"
 
 
 def cue(text: str, start: int) -> str:
     """The kind that one of the three words before a mention speaks of."""
-    words = [w.strip(".,;:!?()").lower() for w in text[max(0, start - 60) : start].split()[-3:]]
+    words = [w.strip(".,;:!?()=\"'").lower() for w in text[max(0, start - 60) : start].split()[-3:]]
     return next((kind for kind in KINDS if any(w in _CUES[kind] for w in words)), "none")
 
 
 def keys(mention: str) -> tuple[str, ...]:
     """Mentions with a key in common are joined by a skip edge: equal or similar tokens."""
+    if re.fullmatch("[A-Za-z0-9_+/=-]{20,}", mention):
+        return (f"s:{mention}",)
     if re.search("[A-Za-z]", mention):
         plain = re.sub(r" ?(?:\(at\)|\[at\]|\bat\b) ?", "@", mention.lower())
         plain = re.sub(r" ?(?:\(dot\)|\[dot\]|\bdot\b) ?", ".", plain).replace(" ", "")
@@ -134,68 +161,89 @@ def mentions(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int
 
 
 def skip_edges(found: list[tuple[str, ...]]) -> list[tuple[int, int]]:
-    """Each mention to the last one before it with a key in common: a path through all of them, not all their pairs."""
-    last: dict[str, int] = {}
+    """The first mention with a key to every later one with it: a star over each group, not all its pairs, so no two
+    mentions of a group are further apart than two edges."""
+    first: dict[str, int] = {}
     edges = set()
     for i, own in enumerate(found):
         for key in own:
-            if key in last:
-                edges.add((last[key], i))
-            last[key] = i
+            if first.setdefault(key, i) != i:
+                edges.add((first[key], i))
     return sorted(edges)
 
 
+def chain_edges(found: list[tuple[str, ...]]) -> list[tuple[int, int]]:
+    """Neighbours, but for those of one group, whose likeness the skip factor speaks for."""
+    return [(i, i + 1) for i in range(len(found) - 1) if not set(found[i]) & set(found[i + 1])]
+
+
 def count_evidence(text: str) -> Counter:
-    """Labelled counts of one text for piecewise training; a mention that no exact pattern takes counts as none."""
+    """Labelled counts of one text for piecewise training.
+
+    Labels come from the exact patterns and, for secrets, from assignments; a mention that neither takes counts as none.
+    The model sees a labelled mention without the mark that gave it its label. Each mention is also paired with itself,
+    marked and unmarked, under the skip factor: that is what the factor has to learn, and most texts repeat nothing.
+    """
     out: Counter = Counter()
-    if not any(c in text for c in "@0123456789"):
+    if not _ANY.search(text):
         return out
     _, nodes = mentions(text)
+    labels = []
     for s, e, label in nodes:
-        out["shape", shape(text[s:e].lstrip("+")), label] += 1
+        if not label and _RUN.fullmatch(text[s:e]) and _ASSIGNED.search(text[max(0, s - 40) : s]):
+            label = LABELS.index("secret")
+        labels.append(label)
+        out["shape", shape(unmarked(text[s:e], LABELS[label])), label] += 1
         out["cue", cue(text, s), label] += 1
-    for i, j in zip(range(len(nodes)), range(1, len(nodes)), strict=False):
-        out["chain", str(nodes[i][2]), nodes[j][2]] += 1
-    for i, j in skip_edges([keys(text[s:e]) for s, e, _ in nodes]):
-        out["skip", str(nodes[i][2]), nodes[j][2]] += 1
+        out["skip", str(label), label] += 1
+    found = [keys(text[s:e]) for s, e, _ in nodes]
+    for i, j in skip_edges(found):
+        out["skip", str(labels[i]), labels[j]] += 1
+    for i, j in chain_edges(found):
+        out["chain", str(labels[i]), labels[j]] += 1
     return out
 
 
 class SkipChain:
-    """Log potentials from labelled counts, each factor trained on its own (piecewise), with add-one smoothing."""
+    """Log potentials from labelled counts, each factor trained on its own (piecewise).
+
+    Counts are smoothed towards what the labels' shares alone would give, so what was never seen speaks for no label.
+    """
 
     def __init__(self, counts: dict[tuple[str, str, int], int]) -> None:
         n = len(LABELS)
         totals = np.ones(n)
         table: dict[tuple[str, str], np.ndarray] = {}
         for (what, value, label), times in counts.items():
-            table.setdefault((what, value), np.ones(n))[label] += times
+            table.setdefault((what, value), np.zeros(n))[label] += times
             if what == "shape":
                 totals[label] += times
-        self.prior = np.log(totals / totals.sum())
-        self.unary = {k: np.log(v / v.sum()) for k, v in table.items() if k[0] in ("shape", "cue")}
+        share = totals / totals.sum()
+        self.unseen = np.where(totals > 1, 0.0, -50.0)  # a label without an example is never given
+        self.prior = np.log(share)
+        self.unary = {k: np.log((v + n * share) / (v.sum() + n)) for k, v in table.items() if k[0] in ("shape", "cue")}
         self.pairs = {}
         for what in ("chain", "skip"):
-            joint = np.stack([table.get((what, str(i)), np.ones(n)) for i in range(n)])
+            joint = np.stack([table.get((what, str(i)), np.zeros(n)) for i in range(n)])
             joint = joint + joint.T
-            if what == "skip":  # equal tokens are meant to agree, also where the sample has few of them
-                joint = joint + np.eye(n) * max(10.0, 0.2 * joint.sum())
+            each = joint.sum(axis=1) + 1
+            joint = joint + n * n * np.outer(each, each) / each.sum() ** 2
             each = joint.sum(axis=1, keepdims=True)
             self.pairs[what] = np.log(joint * joint.sum() / (each * each.T))
-        # A spelt-out or spaced address never matches exactly, so the sample cannot speak for it.
-        self.unary["shape", "address"] = np.log(np.array([0.5, 0.47, 0.01, 0.01, 0.01]))
 
-    def potential(self, text: str, s: int, e: int) -> np.ndarray:
-        flat = np.zeros(len(LABELS))
+    def potential(self, text: str, s: int, e: int, copies: int = 1) -> np.ndarray:
+        """Log potential of a mention; ``copies`` equal mentions share the potential of their common shape."""
         by_shape = self.unary.get(("shape", shape(text[s:e])), self.prior)
-        by_cue = self.unary.get(("cue", cue(text, s)))
-        return by_shape + (by_cue - self.prior if by_cue is not None else flat)
+        by_cue = self.unary.get(("cue", cue(text, s)), self.prior)
+        return by_shape / copies + by_cue - self.prior + self.unseen
 
     def marginals(self, text: str, nodes: list[tuple[int, int, int]]) -> np.ndarray:
         """Loopy sum-product with damped messages over neighbours and over equal or similar mentions."""
-        own = np.stack([np.where(np.arange(len(LABELS)) == label, 0.0, -50.0) if label else self.potential(text, s, e) for s, e, label in nodes])
-        skips = skip_edges([keys(text[s:e]) for s, e, _ in nodes])
-        chain = [(i, i + 1) for i in range(len(nodes) - 1)]
+        found = [keys(text[s:e]) for s, e, _ in nodes]
+        copies = Counter(own[0] for own in found)
+        own = [np.where(np.arange(len(LABELS)) == label, 0.0, -50.0) if label else self.potential(text, s, e, copies[k[0]]) for (s, e, label), k in zip(nodes, found, strict=True)]
+        own, skips = np.stack(own), skip_edges(found)
+        chain = chain_edges(found)
         edges = np.array([*chain, *skips], np.int64).reshape(-1, 2)
         if not len(edges):
             return _normal(own)
@@ -222,7 +270,7 @@ class SkipChain:
 
     def label(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """(base spans, added spans)."""
-        if not any(c in text for c in "@0123456789"):
+        if not _ANY.search(text):
             return [], []
         base, nodes = mentions(text)
         open_nodes = [i for i, x in enumerate(nodes) if x[2] == 0]
@@ -244,11 +292,12 @@ def _normal(logs: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, max_documents: int = MAX_TRAINING_DOCUMENTS) -> SkipChain:
     """Fit the potentials on the exact patterns' labels in at most about ``max_documents`` texts with digits or signs,
-    chosen by a hash of doc_id. Only counts by feature and label reach the driver, a few hundred rows."""
+    chosen by a hash of doc_id and text. Only counts by feature and label reach the driver, a few hundred rows."""
+    small_batches(docs.sparkSession)
     useful = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
     rows = useful.count()
     if rows > max_documents:
-        useful = useful.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_documents / rows))
+        useful = useful.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * max_documents / rows))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -265,7 +314,8 @@ def train(docs: DataFrame, max_documents: int = MAX_TRAINING_DOCUMENTS) -> SkipC
 def find_personal_data(docs: DataFrame, model: SkipChain) -> DataFrame:
     """A row per document: doc_id, the exact patterns' counts and digest, and all spans with what the CRF adds.
 
-    Spans are ``kind:start:end`` in code points, end exclusive, by kind, then start. Null text is empty and has none;
+    Spans are ``kind:start:end`` in code points, end exclusive, by kind, then start; the kind ``secret`` comes from the CRF
+    alone. Counts and digest are of the exact patterns; ``n_added`` counts what the CRF adds. Null text is empty and has none;
     repeated rows get equal results; an empty table gives no rows; other columns are ignored.
     """
 
@@ -274,16 +324,17 @@ def find_personal_data(docs: DataFrame, model: SkipChain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, shown, extra = [[] for _ in KINDS], [], [], []
+            counts, digests, shown, extra = [[] for _ in BASE_KINDS], [], [], []
             for text in batch.column("text"):
                 base, added = model.label(text.as_py() or "")
-                for column, kind in zip(counts, KINDS, strict=True):
+                for column, kind in zip(counts, BASE_KINDS, strict=True):
                     column.append(sum(k == kind for k, _, _ in base))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 shown.append(joined(base + added))
                 extra.append(len(added))
             columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(shown, pa.string()), pa.array(extra, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"])
 
+    small_batches(docs.sparkSession)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

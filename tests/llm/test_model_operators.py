@@ -46,9 +46,11 @@ def test_base_spans_fuzz():
 def crf():
     rng = random.Random(3)
     counts = collections.Counter()
-    for _ in range(200):
+    for i in range(200):
         number = f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
-        counts.update(pii.count_evidence(f"word +1 {number} word {rng.randrange(10**9, 10**10)} order 10.0.{rng.randrange(255)}.1"))
+        text = f"word +1 {number} word {rng.randrange(10**9, 10**10)} order 10.0.{rng.randrange(255)}.1 {('mail', 'see')[i % 2]} a{i}.b@mail.example.com"
+        token = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        counts.update(pii.count_evidence(text + f' token = "{token}"'))
     return pii.SkipChain(counts)
 
 
@@ -60,6 +62,49 @@ def test_skip_edges_carry_labels(crf):
     assert crf.label("nothing here but 2024-05-06 and 12:30 and 1,000,000") == ([], [])
 
 
+def test_learned_without_the_mark(crf):
+    """Texts in which no exact pattern matches anything."""
+    token = "186661156f3f9905942d70850a01cbf23a20abcd"
+    assert crf.label(f'x {token} y token = "{token}"')[1] == [("secret", 2, 42), ("secret", 54, 94)]
+    assert crf.label("write jane (at) example (dot) org today")[1] == [("email", 6, 33)]
+    assert [k for k, _, _ in crf.label("ring (864) 555-2588 today")[1]] == ["phone"]
+    assert crf.label("order 1234567890 and 9876543210 shipped") == ([], [])
+
+
+def test_skip_factor_is_learned(crf):
+    """Agreement is likelier than chance for every label seen, without a potential set by hand."""
+    for label in ("none", "email", "ip", "phone", "secret"):
+        i = pii.LABELS.index(label)
+        assert crf.pairs["skip"][i, i] > 0.5 > max(crf.pairs["skip"][i, j] for j in range(len(pii.LABELS)) if j != i)
+    flat = pii.SkipChain({})
+    assert np.allclose(flat.pairs["skip"], 0)
+
+
+def test_loopy_marginals_with_skip_edges(crf):
+    """Close to all labelings summed, on small graphs with loops, and a label travels however far apart its copies are."""
+    import itertools
+
+    texts = ["call +1 (864) 555-2588 or 9123456789 or (864) 555-2588", "ids 1234567890 and 10.0.0.999 and 1234567890 or +1 (212) 555-0100", "a (864) 555-2588 and 1234567 and (864) 555-2588"]
+    n = len(pii.LABELS)
+    for text in texts:
+        _, nodes = pii.mentions(text)
+        found = [pii.keys(text[s:e]) for s, e, _ in nodes]
+        skips, copies = pii.skip_edges(found), collections.Counter(k[0] for k in found)
+        assert skips and len(nodes) >= 3
+        total = np.zeros((len(nodes), n))
+        own = [np.where(np.arange(n) == y, 0.0, -50.0) if y else crf.potential(text, s, e, copies[k[0]]) for (s, e, y), k in zip(nodes, found, strict=True)]
+        for ys in itertools.product(range(n), repeat=len(nodes)):
+            w = sum(own[i][y] for i, y in enumerate(ys)) + sum(crf.pairs["chain"][ys[i], ys[j]] for i, j in pii.chain_edges(found)) + sum(crf.pairs["skip"][ys[i], ys[j]] for i, j in skips)
+            for i, y in enumerate(ys):
+                total[i, y] += np.exp(w)
+        exact = total / total.sum(axis=1, keepdims=True)
+        got = crf.marginals(text, nodes)
+        assert np.abs(got - exact).max() < 0.1 and (got.argmax(axis=1) == exact.argmax(axis=1)).all()
+    far = "+1 (864) 555-2588" + " word 8645552588" * 300
+    base, added = crf.label(far)
+    assert len(base) == 1 and len(added) == 300 and {k for k, _, _ in added} == {"phone"}
+
+
 def test_exact_inference_on_a_tree(crf):
     """Without loops, belief propagation is exact: compare with all labelings."""
     text = "ab 864 555 2588 cd 10.0.0.999 ef 1234567 gh"
