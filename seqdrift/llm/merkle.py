@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqdrift.llm.common import groups_for, shuffle_width
+from seqdrift.llm.common import NULL_ID, settle, shuffle_width, split_by_keys
 
 LEAF_CHARS = 32
-#: Rows of a doc_id range (a window operator keeps 4096 rows in memory), and most ranges: their bounds are a literal.
-RANGE_ROWS = 2048
-MAX_RANGES = 4096
-#: Stands for a null doc_id, which sorts first.
-_LOWEST = -(1 << 63)
 
 
 def merkle_fingerprint(text: Column, leaf_chars: int = LEAF_CHARS) -> Column:
@@ -56,36 +51,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.transform(F.array(F.struct(leaves_of(a).alias("x"), leaves_of(b).alias("y"))), dice)[0])
 
 
+def next_documents(keys: DataFrame) -> DataFrame:
+    """(k, h, cut, next_k, next_h) of distinct keys (k, h, cut): the key that sorts right before, for the first the last.
+
+    Keys are range-partitioned and sorted; the first of each partition follows the last of the one before, which takes
+    one row a partition.
+    """
+    ordered = keys.repartitionByRange(shuffle_width(keys.sparkSession), "k", "h").sortWithinPartitions("k", "h")
+    placed = settle(ordered.withColumn("place", F.monotonically_increasing_id())).withColumn("part", F.shiftrightunsigned("place", 33))
+    parts = placed.groupBy("part").agg(F.max_by(F.struct("k", "h"), "place").alias("top"))
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = parts.select("part", F.coalesce(F.lag("top").over(Window.orderBy("part")), F.last("top").over(every)).alias("head"))
+    local = Window.partitionBy("part").orderBy("place")
+    linked = placed.withColumn("own", F.lag(F.struct("k", "h")).over(local)).join(F.broadcast(heads), "part")
+    after = F.coalesce("own", "head")
+    return settle(linked.select("k", "h", "cut", after["k"].alias("next_k"), after["h"].alias("next_h")))
+
+
 def with_next_text(docs: DataFrame, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """Add each text's fingerprint, and text and fingerprint of the document with the next lower doc_id; the lowest
-    doc_id gets the highest.
+    """(k, text, fingerprint, next_head, next_fingerprint): ``next_head`` is as much of the next text as a third of the text.
 
-    Texts are dealt once, by doc_id ranges whose bounds are approximate quantiles (any bounds give the same result).
-    The highest document of a range is copied to the range above, so every neighbour is met inside one task.
+    Neighbours are found among keys alone. Texts are dealt once by key; each sends what its neighbour asks for, its head
+    and its fingerprint, to the neighbour's key. Rows equal in doc_id and text are one document there.
     """
-    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(_LOWEST)))
-    rows = keyed.count()
-    ranges = min(MAX_RANGES, max(shuffle_width(docs.sparkSession), groups_for(rows, RANGE_ROWS)))
-    bounds = keyed.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("b")).first()["b"] if ranges > 1 else []
-    bounds = sorted(set(bounds or []))
-    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    keyed = keyed.withColumn("bucket", F.size(F.filter(edges, lambda b: b < F.col("k"))))
-    # One row per range reaches the driver.
-    tops = {r["bucket"]: r["top"] for r in keyed.groupBy("bucket").agg(F.max("k").alias("top")).collect()}
-    if not tops:
-        return docs.select("*", F.lit("").alias("fingerprint"), F.lit("").alias("next_text"), F.lit("").alias("next_fingerprint"))
-    order = sorted(tops)
-    above = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
-    top_of = F.create_map(*[F.lit(x) for b in order for x in (b, tops[b])])
-    next_of = F.create_map(*[F.lit(x) for b in order for x in (b, above[b])])
-    stay = F.struct(F.col("bucket"), F.lit(False).alias("ghost"))
-    copies = F.when(F.col("k") == top_of[F.col("bucket")], F.array(stay, F.struct(next_of[F.col("bucket")].alias("bucket"), F.lit(True).alias("ghost"))))
-    dealt = keyed.withColumn("to", F.explode(F.coalesce(copies, F.array(stay)))).withColumns({"bucket": F.col("to.bucket"), "ghost": F.col("to.ghost")}).drop("to")
-    # Only texts cross the shuffle; fingerprints are made after it.
-    dealt = dealt.repartition("bucket").withColumn("fingerprint", merkle_fingerprint(F.col("text"), leaf_chars))
-    below = Window.partitionBy("bucket").orderBy(F.col("ghost").desc(), "k", "fingerprint")
-    near = dealt.withColumns({"next_text": F.lag("text").over(below), "next_fingerprint": F.lag("fingerprint").over(below)})
-    return near.where(~F.col("ghost")).drop("ghost", "bucket", "k")
+    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("h"), "text")
+    keys = settle(texts.groupBy("k", "h").agg(F.max(F.expr("char_length(text) div 3")).alias("cut"), F.count("*").alias("n")))
+    links = next_documents(keys.select("k", "h", "cut"))
+    repeated = keys.where("n > 1").select("k", "h")
+    one = texts
+    if not repeated.isEmpty():
+        some, rest = split_by_keys(texts, settle(repeated), ["k", "h"])
+        one = rest.unionByName(some.dropDuplicates(["k", "h"]))
+    asked = links.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.col("cut").cast("int").alias("cut"))
+    sent = one.join(asked.hint("shuffle_hash"), ["k", "h"]).select(
+        F.col("to_k").alias("k"),
+        F.col("to_h").alias("h"),
+        F.substring("text", F.lit(1), F.col("cut")).alias("next_head"),
+        merkle_fingerprint(F.col("text"), leaf_chars).alias("next_fingerprint"),
+    )
+    return texts.join(sent, ["k", "h"]).select("k", "text", merkle_fingerprint(F.col("text"), leaf_chars).alias("fingerprint"), "next_head", "next_fingerprint")
 
 
 def fingerprint_documents(docs: DataFrame, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -93,12 +97,12 @@ def fingerprint_documents(docs: DataFrame, leaf_chars: int = LEAF_CHARS) -> Data
 
     The edited text replaces the last third (rounded down, in code points) by as many first code points of the next
     document in descending doc_id order; after the last comes the first. Null text counts as empty; null doc_id is the
-    lowest; among equal doc_ids the order is by fingerprint; an empty table gives no rows; other columns are ignored.
+    lowest; among equal doc_ids the order is by a hash of the text, and rows equal in both are one document with equal
+    results; an empty table gives no rows; other columns are ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next_text(base, leaf_chars).withColumn("n_chars", F.char_length("text").cast("long"))
-    cut = F.expr("cast(n_chars div 3 as int)")
-    edited = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut)))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    paired = with_next_text(base, leaf_chars).withColumns({"doc_id": F.when(F.col("k") != NULL_ID, F.col("k")), "n_chars": F.char_length("text").cast("long")})
+    edited = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.expr("cast(n_chars - n_chars div 3 as int)")), "next_head"))
     edited = edited.withColumn("edited_fingerprint", merkle_fingerprint(F.col("edited"), leaf_chars))
     return edited.select(
         "doc_id",

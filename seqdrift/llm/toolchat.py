@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Mapping
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +16,8 @@ SCHEMAS: dict[str, dict] = {
     "calculate": {"required": ["expression"], "types": {"expression": "string"}},
     "weather": {"required": ["city"], "types": {"city": "string", "days": "integer"}},
 }
-#: A conversation with at most this many dependencies may be ordered in one task.
-LOCAL_EDGES = 200_000
+#: A conversation with at most this many dependencies may be ordered in one row.
+LOCAL_EDGES = 2000
 _NO_TURN = -(1 << 63)
 _VARIANT_TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant,depends_on:array<string>>>>"
@@ -41,32 +39,45 @@ def validate(name: Column, arguments: Column, schemas: Mapping[str, dict]) -> Co
     return verdict
 
 
-def _finish(frame: pd.DataFrame) -> pd.DataFrame:
-    """Levels of one conversation's edges that are left after ``base`` levels; see ``_levels``."""
-    level, turn, open_deps, users = {}, {}, defaultdict(int), defaultdict(list)
-    base = int(frame["base"].iloc[0])
-    for node, on, own, on_turn, is_open in frame[["node", "on", "turn", "on_turn", "open"]].itertuples(index=False, name=None):
-        level.setdefault(node, base)
-        turn[node] = max(turn.get(node, own), own)
-        if is_open:
-            open_deps[node] += 1
-            users[on].append(node)
-        else:
-            turn[node] = max(turn[node], on_turn)
-    ready = [n for n in level if not open_deps[n]]
-    left = set(level)
-    while ready:
-        on = ready.pop()
-        left.discard(on)
-        for node in users[on]:
-            level[node], turn[node] = max(level[node], level[on] + 1), max(turn[node], turn[on])
-            open_deps[node] -= 1
-            if not open_deps[node]:
-                ready.append(node)
-    rows = [(n, -1 if n in left else level[n], turn[n]) for n in level]
-    found = pd.DataFrame(rows, columns=["node", "level", "turn"])
-    found.insert(0, "conv_id", frame["conv_id"].iloc[0])
-    return found
+def _peeled(edges: Column, base: int) -> Column:
+    """Levels of one conversation's edges (node, on, turn, on_turn, open), an array of (node, level, turn).
+
+    Each step takes away the nodes without an open dependency, as a round of ``_levels`` does for all conversations.
+    """
+
+    def only(value: Column, use) -> Column:
+        return F.transform(F.array(value), use)[0]  # a lambda's argument is evaluated once
+
+    def step(state: Column, _: Column) -> Column:
+        left = state["left"]
+        waiting = F.transform(F.filter(left, lambda e: e["open"]), lambda e: e["node"])
+        ready = F.array_except(F.transform(left, lambda e: e["node"]), waiting)
+
+        def take(node: Column) -> Column:
+            turns = F.transform(F.filter(left, lambda e: e["node"] == node), lambda e: F.greatest(e["turn"], e["on_turn"]))
+            return F.struct(node.alias("node"), state["level"].alias("level"), F.array_max(turns).alias("turn"))
+
+        def close(gone: Column) -> Column:
+            names = F.transform(gone, lambda g: g["node"])
+
+            def edge(e: Column) -> Column:
+                closed = F.filter(gone, lambda g: g["node"] == e["on"])
+                turn = F.when(F.size(closed) > 0, closed[0]["turn"]).otherwise(e["on_turn"])
+                return F.struct(e["node"].alias("node"), e["on"].alias("on"), e["turn"].alias("turn"), turn.alias("on_turn"), (e["open"] & (F.size(closed) == 0)).alias("open"))
+
+            rest = F.transform(F.filter(left, lambda e: ~F.array_contains(names, e["node"])), edge)
+            return F.struct(rest.alias("left"), F.concat(state["done"], gone).alias("done"), (state["level"] + 1).alias("level"))
+
+        return only(ready, lambda r: F.when(F.size(r) == 0, state).otherwise(only(F.transform(r, take), close)))
+
+    done = F.array().cast("array<struct<node:string,level:int,turn:bigint>>")
+    start = F.struct(edges.alias("left"), done.alias("done"), F.lit(base).alias("level"))
+
+    def finish(state: Column) -> Column:
+        cyclic = F.transform(F.array_distinct(F.transform(state["left"], lambda e: e["node"])), lambda n: F.struct(n.alias("node"), F.lit(-1).alias("level"), F.lit(None).cast("long").alias("turn")))
+        return F.concat(state["done"], cyclic)
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(edges)), start, step, finish)
 
 
 def _levels(edges: DataFrame, rounds: int) -> DataFrame:
@@ -84,8 +95,9 @@ def _levels(edges: DataFrame, rounds: int) -> DataFrame:
         level += 1
         if level == rounds + 1:
             small = state.groupBy("conv_id").count().where(F.col("count") <= LOCAL_EDGES).select("conv_id")
-            local = state.join(small, "conv_id", "left_semi").withColumn("base", F.lit(level))
-            found.append(settle(local.groupBy("conv_id").applyInPandas(_finish, "conv_id long, node string, level int, turn long")))
+            local = state.join(small, "conv_id", "left_semi").groupBy("conv_id").agg(F.collect_list(F.struct("node", "on", "turn", "on_turn", "open")).alias("edges"))
+            peeled = local.select("conv_id", F.explode(_peeled(F.col("edges"), level)).alias("p"))
+            found.append(settle(peeled.select("conv_id", "p.node", "p.level", "p.turn")))
             state = settle(state.join(small, "conv_id", "left_anti"))
         nodes = state.groupBy("conv_id", "node").agg(F.max("open").alias("open"), F.max(F.greatest("turn", F.when(~F.col("open"), F.col("on_turn")))).alias("turn"))
         gone = settle(nodes.where(~F.col("open")).select("conv_id", "node", F.lit(level).alias("level"), "turn"))

@@ -233,19 +233,44 @@ def test_merkle(spark, rows):
         assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
 
 
-def test_merkle_many_ranges(spark, monkeypatch):
-    from seqdrift.llm import merkle
+def plain_fingerprint(text):
+    def sha(s):
+        return hashlib.sha256(s.encode()).hexdigest()
 
-    monkeypatch.setattr(merkle, "RANGE_ROWS", 5)
+    leaves, sections = [], []
+    for section in text.split("\n\n"):
+        paragraphs = []
+        for line in section.split("\n"):
+            own = [sha(line[i : i + 32]) for i in range(0, len(line), 32)]
+            leaves += [x[:8] for x in own]
+            paragraphs.append(sha(",".join(own)))
+        sections.append(sha(",".join(paragraphs)))
+    return f"{sha(','.join(sections))}/{','.join(x[:16] for x in sections)}/{'.'.join(leaves)}", set(leaves)
+
+
+def plain_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    return 2 * len(a[1] & b[1]) / (len(a[1]) + len(b[1])) if a[1] or b[1] else 0.0
+
+
+def test_merkle_against_a_plain_tree(spark):
+    """Every column, with repeated rows and ranges of a few rows."""
     rng = random.Random(8)
     rows = [(i * 3, "\n".join(" ".join(words(rng, 9)) for _ in range(rng.randrange(6)))) for i in range(80)]
-    got = {r.doc_id: r for r in merkle.fingerprint_documents(documents(spark, rows)).collect()}
-    order = sorted(rows, reverse=True)
-    for at, (i, t) in enumerate(order):
-        nxt = order[(at + 1) % len(order)][1]
+    rows += [(300, "a\n\nb\n" + "😀é" * 40), (301, rows[5][1]), (302, ""), (303, None), (None, "no id"), (303, None), (304, "same"), (304, "same")]
+    got = fingerprint_documents(documents(spark, rows)).collect()
+    order = sorted({(i is not None, i or 0, t or "") for i, t in rows}, reverse=True)
+    want = []
+    for at, (known, i, t) in enumerate(order):
+        nxt = order[(at + 1) % len(order)][2]
         cut = len(t) // 3
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()
-    assert sum(r.near_edited for r in got.values()) > 3 * sum(r.near_next for r in got.values())
+        edited = t[: len(t) - cut] + nxt[:cut]
+        a, b, c = plain_fingerprint(t), plain_fingerprint(edited), plain_fingerprint(nxt)
+        row = (i if known else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), a[0], b[0], plain_likeness(a, b), plain_likeness(a, c))
+        want += [row] * sum((j is not None, j or 0, u or "") == (known, i, t) for j, u in rows)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert sum(r.near_edited for r in got) > 2 * sum(r.near_next for r in got)
 
 
 def test_merkle_odd(spark):
