@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqdrift.operators.scoring import OODDetector
@@ -26,7 +27,49 @@ def threshold(scores: DataFrame, method: str = "percentile", value: float | None
         raise ValueError(f"method must be value or percentile, not {method}")
     if value is None:
         value = scores.agg(F.avg(F.when(F.col("is_ood"), 0.0).otherwise(1.0))).first()[0]
-    return scores.agg(F.percentile("score", F.lit(float(value)))).first()[0]
+    return percentiles(scores, "score", [float(value)])[0]
+
+
+def counts_below(df: DataFrame, column: str, *counts: Column) -> DataFrame:
+    """(value, n0, n1, ..., below0, below1, ...): each distinct value's counts, and those of all lesser values.
+
+    Values are counted, range-partitioned and sorted; one row of totals a partition gives what comes before it.
+    """
+    names = [f"n{i}" for i in range(len(counts))]
+    by = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(*[c.alias(n) for c, n in zip(counts, names, strict=True)])
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = by.repartitionByRange(width, "value").withColumn("part", F.spark_partition_id()).persist()
+    totals = placed.groupBy("part").agg(*[F.sum(n).alias(n) for n in names]).orderBy("part").collect()
+    local = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    out, before = placed, {n: 0 for n in names}
+    starts = []
+    for row in totals:
+        starts.append((row["part"], *before.values()))
+        before = {n: before[n] + row[n] for n in names}
+    if not starts:
+        return placed.select("value", *names, *[F.lit(0).cast("long").alias(f"below{i}") for i in range(len(names))])
+    table = df.sparkSession.createDataFrame(starts, "part int, " + ", ".join(f"start{i} long" for i in range(len(names))))
+    out = out.join(F.broadcast(table), "part")
+    return out.select("value", *names, *[(F.col(f"start{i}") + F.coalesce(F.sum(n).over(local), F.lit(0))).alias(f"below{i}") for i, n in enumerate(names)])
+
+
+def percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float] | None:
+    """Exact interpolated quantiles of a column, as one list; None without rows. Two order statistics each are picked
+    from counts by value, so no task holds all values."""
+    ranked = counts_below(df, column, F.count("*"))
+    n = df.where(F.col(column).isNotNull()).count()
+    if not n:
+        return None
+    places = sorted({p for s in shares for p in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))})
+    wanted = df.sparkSession.createDataFrame([(p,) for p in places], "place long")
+    inside = (F.col("place") >= F.col("below0")) & (F.col("place") < F.col("below0") + F.col("n0"))
+    found = {r["place"]: r["value"] for r in ranked.join(F.broadcast(wanted), inside).select("place", "value").collect()}
+    out = []
+    for s in shares:
+        at = s * (n - 1)
+        low, high = math.floor(at), math.ceil(at)
+        out.append(found[low] if low == high else (high - at) * found[low] + (at - low) * found[high])
+    return out
 
 
 def confusion(scores: DataFrame, at: float) -> DataFrame:
@@ -48,7 +91,7 @@ def roc(scores: DataFrame, points: int = 100) -> DataFrame:
     thresholds, and counts over a threshold are sums over bins. Nothing is re-scored or cross-joined.
     """
     grid = [i / (points - 1) for i in range(points)]
-    cuts = scores.agg(F.percentile("score", grid)).first()[0]
+    cuts = percentiles(scores, "score", grid)
     spark = scores.sparkSession
     if cuts is None:
         return spark.createDataFrame([], "t_idx int, threshold double, tpr double, fpr double")
@@ -71,10 +114,8 @@ def auroc(scores: DataFrame, points: int = 100) -> DataFrame:
 
 def mann_whitney_auroc(scores: DataFrame) -> DataFrame:
     """One row: the exact area, ties counting half, from counts by score value."""
-    by = scores.groupBy("score").agg(F.count_if("is_ood").alias("ood"), F.count_if(~F.col("is_ood")).alias("inside"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    won = by.select("ood", "inside", F.coalesce(F.sum("inside").over(below), F.lit(0)).alias("below"))
-    return won.agg((F.sum(F.col("ood") * (F.col("below") + F.col("inside") / 2)) / (F.sum("ood") * F.sum("inside"))).alias("auroc"))
+    won = counts_below(scores, "score", F.count_if("is_ood"), F.count_if(~F.col("is_ood")))
+    return won.agg((F.sum(F.col("n0") * (F.col("below1") + F.col("n1") / 2)) / (F.sum("n0") * F.sum("n1"))).alias("auroc"))
 
 
 def histogram(scores: DataFrame, bins: int = 50, index: str | None = None, listed: int = 20) -> DataFrame:
@@ -90,13 +131,11 @@ def histogram(scores: DataFrame, bins: int = 50, index: str | None = None, liste
     width = (high - low) / bins
     place = F.least(F.floor((F.col("score") - low) / width), F.lit(bins - 1)).cast("int")
     rows = scores.withColumn("bin", place)
-    totals = [F.count("*").alias("n")]
+    counts = rows.groupBy("bin", "is_ood").agg(F.count("*").alias("n"))
     if index:
-        # Only the lowest ``listed`` indices of a bin are ever gathered.
-        ranked = rows.withColumn("rank_", F.row_number().over(Window.partitionBy("bin", "is_ood").orderBy(index)))
-        totals.append(F.array_sort(F.collect_list(F.when(F.col("rank_") <= listed, F.col(index)))).alias("first_"))
-        rows = ranked
-    counts = rows.groupBy("bin", "is_ood").agg(*totals)
+        # Only the lowest ``listed`` indices of a bin are ever gathered: each task keeps its own lowest before the shuffle.
+        ranked = rows.withColumn("rank_", F.row_number().over(Window.partitionBy("bin", "is_ood").orderBy(index))).where(F.col("rank_") <= listed)
+        counts = counts.join(ranked.groupBy("bin", "is_ood").agg(F.array_sort(F.collect_list(index)).alias("first_")), ["bin", "is_ood"])
     spark = scores.sparkSession
     spine = spark.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn("is_ood", F.explode(F.array(F.lit(False), F.lit(True))))
     out = spine.join(counts, ["bin", "is_ood"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of a matrix that travel in one row.
+_BLOCK_BYTES = 8 << 20
+#: Partial matrices that one task adds up.
+_FAN = 32
+
+
 @dataclass
 class Moments:
     n: int
@@ -22,32 +28,94 @@ class Moments:
         return self.scatter / max(self.n - ddof, 1)
 
 
-def moments(df: DataFrame, column: str = "emb") -> Moments:
-    """Count, mean and centred second moments in one pass, shifted by the first row for accuracy."""
+def _as_rows(total: np.ndarray) -> Iterator[pd.DataFrame]:
+    step = max(1, _BLOCK_BYTES // max(1, 8 * total.shape[1]))
+    for low in range(0, len(total), step):
+        yield pd.DataFrame({"i": [low], "block": [total[low : low + step].tobytes()]})
+
+
+def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Streams partial blocks and keeps one sum of each."""
+    total: dict[int, np.ndarray] = {}
+    for frame in frames:
+        for i, block in zip(frame["i"], frame["block"], strict=True):
+            part = np.frombuffer(block)
+            total[i] = total[i] + part if i in total else part
+    for i, part in total.items():
+        yield pd.DataFrame({"i": [i], "block": [part.tobytes()]})
+
+
+def summed_matrix(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarray | None], columns: int) -> np.ndarray:
+    """The sum over partitions of the matrix that ``partial`` makes of one; each sends it once, in binary rows.
+
+    Matrices are added up by tasks of at most about ``_FAN`` of them, then by one task, so the driver gets one matrix.
+    """
+
+    def sent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = partial(frames)
+        if total is not None:
+            yield from _as_rows(np.ascontiguousarray(total, float))
+
+    rows = df.mapInPandas(sent, "i int, block binary")
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // _FAN)
+    for parts in (width, 1) if width > 1 else (1,):
+        rows = rows.repartition(parts).mapInPandas(_added, "i int, block binary")
+    blocks = sorted((r["i"], r["block"]) for r in rows.collect())
+    return np.concatenate([np.frombuffer(b) for _, b in blocks]).reshape(-1, columns) if blocks else np.zeros((0, columns))
+
+
+def _stacked(frames: Iterator[pd.DataFrame], shift: np.ndarray) -> Iterator[np.ndarray]:
+    for frame in frames:
+        for low in range(0, len(frame), 1024):
+            yield np.stack(frame["x"].iloc[low : low + 1024].to_numpy()).astype(float) - shift
+
+
+def _shifted(df: DataFrame, column: str) -> tuple[DataFrame, np.ndarray]:
+    """The vectors, and the first of them, which sums are shifted by for accuracy."""
     head = df.select(column).first()
     if head is None:
         raise ValueError("no rows")
-    shift = np.array(head[0], float)
+    return df.select(F.col(column).cast("array<double>").alias("x")), np.array(head[0], float)
+
+
+def moments(df: DataFrame, column: str = "emb") -> Moments:
+    """Count, mean and centred second moments in one pass: one matrix product a batch, one matrix a partition."""
+    vectors, shift = _shifted(df, column)
     d = len(shift)
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(frames: Iterator[pd.DataFrame]) -> np.ndarray:
         total = np.zeros((d + 1, d + 1))
-        for frame in frames:
-            if len(frame):
-                x = np.stack(frame["x"].to_numpy()).astype(float) - shift
-                x = np.hstack((np.ones((len(x), 1)), x))
-                total += x.T @ x
-        yield pd.DataFrame({"i": range(d + 1), "row": list(total)})
-
-    rows = df.select(F.col(column).cast("array<double>").alias("x")).mapInPandas(partial, "i int, row array<double>")
-    summed = rows.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    whole = np.zeros((d + 1, d + 1))
-    whole[summed["i"], summed["j"]] = summed["v"]
+        for x in _stacked(frames, shift):
+            total[0, 0] += len(x)
+            total[0, 1:] += x.sum(axis=0)
+            total[1:, 1:] += x.T @ x
+        return total
+
+    whole = summed_matrix(vectors, partial, d + 1)
     n = int(round(whole[0, 0]))
     first = whole[0, 1:] / n
     return Moments(n, first + shift, whole[1:, 1:] - n * np.outer(first, first))
 
 
+def feature_moments(df: DataFrame, column: str = "emb") -> tuple[int, np.ndarray, np.ndarray]:
+    """(count, mean, population variance) of each feature: two vectors a partition, whatever the width."""
+    vectors, shift = _shifted(df, column)
+    d = len(shift)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> np.ndarray:
+        total = np.zeros((2, d + 1))
+        for x in _stacked(frames, shift):
+            total[0, 0] += len(x)
+            total[0, 1:] += x.sum(axis=0)
+            total[1, 1:] += (x * x).sum(axis=0)
+        return total
+
+    whole = summed_matrix(vectors, partial, d + 1)
+    n = int(round(whole[0, 0]))
+    first = whole[0, 1:] / n
+    return n, first + shift, np.maximum(whole[1, 1:] / n - first * first, 0)
+
+
 def gamma_upper(a: float, x: float) -> float:
     """Regularised upper incomplete gamma: a series below a + 1, a continued fraction above."""
     if x <= 0:

@@ -11,7 +11,8 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqdrift.operators.transforms import ColumnModel, KMeansDistance, _Stage
+from seqdrift.operators.linalg import summed_matrix
+from seqdrift.operators.transforms import ColumnModel, KMeansDistance, _array, _Saved, _Stage, batched
 
 REGULARISER = 1e-6
 
@@ -54,12 +55,9 @@ class GaussianMixture(_Stage, Estimator):
     def _round(self, rows: DataFrame, params: tuple | None, centres: np.ndarray | None) -> tuple[np.ndarray, float]:
         k, diagonal = self.k, self.diagonal
 
-        def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def partial(frames: Iterator[pd.DataFrame]) -> np.ndarray | None:
             total, likelihood = None, 0.0
-            for frame in frames:
-                if not len(frame):
-                    continue
-                x = np.stack(frame["x"].to_numpy())
+            for x in (np.stack(f["x"].iloc[low : low + 1024].to_numpy()) for f in frames for low in range(0, len(f), 1024)):
                 if centres is not None:
                     best = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
                     share = np.eye(k)[best]
@@ -69,17 +67,14 @@ class GaussianMixture(_Stage, Estimator):
                     norm = top + np.log(np.exp(logs - top).sum(axis=1, keepdims=True))
                     likelihood += float(norm.sum())
                     share = np.exp(logs - norm)
-                second = share.T @ (x * x) if diagonal else np.einsum("nk,ni,nj->kij", share, x, x).reshape(k, -1)
+                second = share.T @ (x * x) if diagonal else np.stack([(x * s[:, None]).T @ x for s in share.T]).reshape(k, -1)
                 part = np.hstack((share.sum(axis=0)[:, None], share.T @ x, second))
                 total = part if total is None else total + part
-            if total is not None:
-                yield pd.DataFrame({"i": range(k), "row": list(total), "likelihood": [likelihood] + [0.0] * (k - 1)})
+            return None if total is None else np.hstack((np.full((k, 1), likelihood), total))
 
-        sent = rows.mapInPandas(partial, "i int, row array<double>, likelihood double")
-        found = sent.select("i", "likelihood", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("likelihood").alias("likelihood")).toPandas()
-        out = np.zeros((k, int(found["j"].max()) + 1))
-        out[found["i"], found["j"]] = found["v"]
-        return out, float(found.loc[(found["i"] == 0) & (found["j"] == 0), "likelihood"].sum())
+        d = len(rows.first()["x"])
+        out = summed_matrix(rows, partial, 2 + d + (d if diagonal else d * d))
+        return out[:, 1:], float(out[0, 0])
 
     def _maximise(self, stats: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         weight = np.maximum(stats[:, 0], 10 * np.finfo(float).eps)
@@ -106,7 +101,7 @@ def log_joint(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covariance:
     return out
 
 
-class MixtureModel(_Stage, Model):
+class MixtureModel(_Stage, Model, _Saved):
     """``transform`` adds responsibilities; ``scorer`` makes the density or nearest-component score a stage."""
 
     def __init__(self, weights: np.ndarray, means: np.ndarray, covariance: np.ndarray, lower_bound: float, inputCol: str, outputCol: str) -> None:
@@ -114,12 +109,19 @@ class MixtureModel(_Stage, Model):
         self.weights, self.means, self.covariance, self.lower_bound = weights, means, covariance, lower_bound
         self._columns(inputCol, outputCol)
 
+    def _state(self) -> tuple[dict, dict[str, np.ndarray]]:
+        names = {"lower_bound": float(self.lower_bound), "input": self.getInputCol(), "output": self.getOutputCol()}
+        return names, {"weights": self.weights, "means": self.means, "covariance": self.covariance}
+
+    @classmethod
+    def _restored(cls, names: dict, arrays: dict[str, np.ndarray], path: str) -> MixtureModel:
+        return cls(arrays["weights"], arrays["means"], arrays["covariance"], names["lower_bound"], names["input"], names["output"])
+
     def get_params(self) -> dict[str, np.ndarray]:
         return {"means": self.means, "covariance": self.covariance, "weights": self.weights}
 
     def _apply(self, df: DataFrame, out: str, kind: str, function) -> DataFrame:
-        udf = F.pandas_udf(lambda s: pd.Series(list(function(np.stack(s.to_numpy()).astype(float)))) if len(s) else pd.Series([], dtype=object), kind)
-        return df.withColumn(out, udf(F.col(self.getInputCol()).cast("array<double>")))
+        return df.withColumn(out, batched(F.col(self.getInputCol()), function, kind))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         params = (self.weights, self.means, self.covariance)
@@ -168,12 +170,22 @@ class MixtureScore(_Stage, Estimator):
         return MixtureScoreModel(self.mixture.fit(df), self.score_type, self.getInputCol(), self.getOutputCol())
 
 
-class MixtureScoreModel(_Stage, Model):
+class MixtureScoreModel(_Stage, Model, _Saved):
     def __init__(self, mixture: MixtureModel, score_type: str, inputCol: str, outputCol: str) -> None:
         super().__init__()
         self.mixture, self.score_type = mixture, score_type
         self._columns(inputCol, outputCol)
 
+    def _state(self) -> tuple[dict, dict[str, np.ndarray]]:
+        return {"score_type": self.score_type, "input": self.getInputCol(), "output": self.getOutputCol()}, {}
+
+    def _save_parts(self, path: str) -> None:
+        self.mixture.write().save(f"{path}/mixture")
+
+    @classmethod
+    def _restored(cls, names: dict, arrays: dict[str, np.ndarray], path: str) -> MixtureScoreModel:
+        return cls(MixtureModel.load(f"{path}/mixture"), names["score_type"], names["input"], names["output"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         scored = self.mixture.score(df, self.score_type, "score_")
         return scored.withColumn(self.getOutputCol(), F.array("score_")).drop("score_")
@@ -185,7 +197,8 @@ def density_expression(x: Column, weights: np.ndarray, means: np.ndarray, varian
     terms = []
     for w, mean, var in zip(weights, means, variances, strict=True):
         constant = math.log(w) - 0.5 * (float(np.log(var).sum()) + d * math.log(2 * math.pi))
-        maha = sum(((x[i] - F.lit(float(mean[i]))) * (x[i] - F.lit(float(mean[i]))) / F.lit(float(var[i])) for i in range(d)), F.lit(0.0))
+        apart = F.zip_with(x, _array(mean), lambda a, b: (a - b) * (a - b))
+        maha = F.aggregate(F.zip_with(apart, _array(var), lambda a, b: a / b), F.lit(0.0), lambda s, v: s + v)
         terms.append(F.lit(constant) - 0.5 * maha)
     logs = F.array(*terms)
     return F.transform(F.array(logs), lambda t: -(F.array_max(t) + F.log(F.aggregate(t, F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max(t))))))[0]

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqdrift.plans.bounded import first_rows
-
 
 def unnest_confusion(stats: DataFrame) -> DataFrame:
     """The matrix is [[TP, FN], [FP, TN]]; its cells become named columns."""
@@ -28,7 +26,7 @@ def overview(stats: DataFrame, column: str = "auroc") -> DataFrame:
 
 
 def top(stats: DataFrame, k: int = 20, by: str = "auroc") -> DataFrame:
-    return first_rows(stats, [F.col(by).desc(), F.col("transformations"), F.col("scoring_function")], k)
+    return stats.orderBy(F.col(by).desc(), "transformations", "scoring_function").limit(k)
 
 
 def by_group(stats: DataFrame, key: str = "scoring_function", column: str = "auroc") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,14 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqdrift.operators.linalg import moments
-from seqdrift.operators.transforms import PCA, StandardScaler, _array
+from seqdrift.operators.transforms import EXPRESSION_NUMBERS, PCA, StandardScaler, _array, batched
 
-REFERENCE_ROWS = 1000
-MAX_REFERENCE_BYTES = 256 << 20
+#: Bytes of the reference that every task holds at a time.
+BLOCK_BYTES = 64 << 20
 
 
 def mahalanobis_expression(x: Column, mean: np.ndarray, inverse: np.ndarray, squared: bool = False) -> Column:
-    """sqrt((x - mean)' inverse (x - mean)), a full quadratic form, inside generated code."""
+    """sqrt((x - mean)' inverse (x - mean)), a full quadratic form: inside generated code, or for wide vectors one matrix
+    product a batch."""
+    if inverse.size > EXPRESSION_NUMBERS:
+
+        def product(v: np.ndarray) -> np.ndarray:
+            d = v - mean
+            total = ((d @ inverse) * d).sum(axis=1)
+            return total if squared else np.sqrt(np.maximum(total, 0))
+
+        return batched(x, product, "double")
 
     def form(d: Column) -> Column:
         total = F.lit(0.0)
@@ -59,42 +68,59 @@ def as_vectors(df: DataFrame, column: str = "emb") -> DataFrame:
     return df if kind.startswith("array") else df.withColumn(column, F.array(F.col(column).cast("double")))
 
 
-def reference_matrix(reference: DataFrame, cap: int | None = REFERENCE_ROWS, seed: int = 42, column: str = "emb") -> np.ndarray:
-    """At most ``cap`` reference rows, chosen by a seeded hash; without a cap the size is checked."""
+def reference_rows(reference: DataFrame, cap: int | None = None, seed: int = 42, column: str = "emb") -> DataFrame:
+    """The reference vectors as ``x``; with a cap, that many, chosen by a seeded hash."""
     rows = as_vectors(reference, column).select(F.col(column).cast("array<double>").alias("x"))
-    n = rows.count()
-    if cap is not None and n > cap:
-        rows = rows.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(cap)
-    elif cap is None and n:
-        width = rows.select(F.size("x")).first()[0]
-        if n * width * 8 > MAX_REFERENCE_BYTES:
-            raise ValueError("the reference set is too large to send to every task: give a cap")
-    return np.array([r[0] for r in rows.collect()], float)
+    return rows if cap is None else rows.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(cap)
 
 
-def k_nearest_neighbors(reference: DataFrame, new: DataFrame, k: int, cap: int | None = REFERENCE_ROWS, column: str = "emb", distances: bool = False) -> DataFrame:
-    """Add ``score``, the mean distance to the k nearest reference rows, or ``distances``, the k ascending distances.
-
-    Every task holds the (bounded) reference matrix and scores its rows block by block, so new rows are never shuffled.
-    """
-    n = reference.count()
-    if not 0 < k <= n:
-        raise ValueError(f"k must be from 1 to {n}")
-    matrix = reference_matrix(reference, cap, column=column)
+def nearest_of(x: np.ndarray, matrix: np.ndarray, k: int) -> np.ndarray:
+    """The k least distances of each row of x to the matrix's rows, ascending; those found are measured exactly."""
     k = min(k, len(matrix))
-    source = as_vectors(new, column).withColumn("x_", F.col(column).cast("array<double>"))
+    squares = (x * x).sum(axis=1)[:, None] + (matrix * matrix).sum(axis=1)[None, :] - 2 * x @ matrix.T
+    at = np.argpartition(squares, k - 1, axis=1)[:, :k]
+    return np.sort(np.sqrt(((x[:, None, :] - matrix[at]) ** 2).sum(axis=2)), axis=1)
+
+
+def _nearer(matrix: np.ndarray, k: int):
+    """A column function: the k least of the distances so far and those to the matrix's rows."""
 
     @F.pandas_udf("array<double>")
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out: list[np.ndarray] = []
-            for low in range(0, len(batch), 256):
-                x = np.stack(batch.iloc[low : low + 256].to_numpy())
-                d = np.sqrt(((x[:, None, :] - matrix[None]) ** 2).sum(axis=2))
-                out += list(np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1))
-            yield pd.Series(out)
-
-    found = source.withColumn("distances", nearest("x_")).drop("x_")
+    def run(vectors: pd.Series, best: pd.Series) -> pd.Series:
+        out: list[np.ndarray] = []
+        step = max(1, (8 << 20) // max(len(matrix), k * matrix.shape[1]))
+        for low in range(0, len(vectors), step):
+            near = nearest_of(np.stack(vectors.iloc[low : low + step].to_numpy()), matrix, k)
+            out += [np.sort(np.concatenate((a, b)))[:k] for a, b in zip(best.iloc[low : low + step], near, strict=True)]
+        return pd.Series(out)
+
+    return run
+
+
+def k_nearest_neighbors(reference: DataFrame, new: DataFrame, k: int, cap: int | None = None, column: str = "emb", distances: bool = False) -> DataFrame:
+    """Add ``score``, the mean distance to the k nearest reference rows, or ``distances``, the k ascending distances.
+
+    All reference rows count, unless ``cap`` samples them. Tasks hold the reference one block of ``BLOCK_BYTES`` at a
+    time and never shuffle new rows; a reference of several blocks takes as many passes, each keeping the k best so far.
+    """
+    rows = reference_rows(reference, cap, column=column)
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("d")).first()
+    if not 0 < k <= size["n"]:
+        raise ValueError(f"k must be from 1 to {size['n']}")
+    blocks = max(1, math.ceil(size["n"] * size["d"] * 8 / BLOCK_BYTES))
+    if blocks > 1:
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(blocks))).persist()
+    found = as_vectors(new, column).withColumns({"x_": F.col(column).cast("array<double>"), "distances": F.array().cast("array<double>")})
+    for block in range(blocks):
+        part = rows if blocks == 1 else rows.where(F.col("block") == block)
+        matrix = np.array([r["x"] for r in part.select("x").collect()], float)
+        if not len(matrix):
+            continue
+        found = found.withColumn("distances", _nearer(matrix, k)("x_", "distances"))
+        if blocks > 1:
+            found = found.checkpoint() if found.sparkSession.sparkContext.getCheckpointDir() else found.persist()
+            found.count()
+    found = found.drop("x_")
     if distances:
         return found
     return found.withColumn("score", F.aggregate("distances", F.lit(0.0), lambda s, v: s + v) / k).drop("distances")

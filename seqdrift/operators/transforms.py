@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+import pandas as pd
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqdrift.operators.linalg import moments
+from seqdrift.operators.linalg import feature_moments, moments
 
 
 class _Stage(HasInputCol, HasOutputCol):
@@ -29,11 +33,36 @@ class _Stage(HasInputCol, HasOutputCol):
 
 
 def _array(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """An array constant; a long one is a single literal, parsed once by constant folding."""
+    listed = [float(v) for v in values]
+    return F.array(*map(F.lit, listed)) if len(listed) <= 64 else F.from_json(F.lit(json.dumps(listed)), "array<double>")
+
+
+#: Numbers of a matrix that are written into an expression; wider products run over Arrow batches.
+EXPRESSION_NUMBERS = 1024
+
+
+def batched(x: Column, function: Callable[[np.ndarray], np.ndarray], kind: str = "array<double>") -> Column:
+    """``function`` of blocks of stacked vectors, with one matrix product a block; a null vector gives null."""
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = np.full(len(batch), None, object)
+            known = np.flatnonzero(batch.notna().to_numpy())
+            for low in range(0, len(known), 1024):
+                at = known[low : low + 1024]
+                for i, value in zip(at, function(np.stack(batch.iloc[at].to_numpy()).astype(float)), strict=True):
+                    out[i] = value
+            yield pd.Series(out)
+
+    return run(x.cast("array<double>"))
 
 
 def affine(x: Column, matrix: np.ndarray, offset: np.ndarray) -> Column:
-    """(x - offset) times the matrix's columns, as one expression per output dimension."""
+    """(x - offset) times the matrix: one expression per output dimension, or a matrix product for a large matrix."""
+    if matrix.size > EXPRESSION_NUMBERS:
+        return batched(x, lambda v: (v - offset) @ matrix)
     shifted = F.zip_with(x, _array(offset), lambda a, b: a - b)
 
     def dot(y: Column) -> Column:
@@ -42,20 +71,116 @@ def affine(x: Column, matrix: np.ndarray, offset: np.ndarray) -> Column:
     return F.transform(F.array(shifted), dot)[0]
 
 
-class ColumnModel(_Stage, Model):
-    """A fitted stage: a Column function."""
+def _scaled(x: Column, p: dict) -> Column:
+    scale = np.where(p["std"] > 0, p["std"], 1.0)
+    return F.zip_with(F.zip_with(x, _array(p["mean"]), lambda a, b: a - b), _array(scale), lambda a, b: a / b)
+
+
+def _chosen(x: Column, p: dict) -> Column:
+    return F.transform(_array(p["indices"]), lambda i: F.get(x, i.cast("int")))
+
+
+def _centre_distances(x: Column, p: dict) -> Column:
+    centres = p["centers"]
+    if centres.size > EXPRESSION_NUMBERS:
+        return batched(x, lambda v: np.stack([np.sqrt(((v - c) ** 2).sum(axis=1)) for c in centres], axis=1))
+    return F.transform(F.array(x), lambda y: F.array(*[F.sqrt(F.aggregate(F.zip_with(y, _array(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)) for c in centres]))[0]
+
+
+#: What a fitted stage of each kind does to its column.
+FUNCTIONS: dict[str, Callable[[Column, dict], Column]] = {
+    "scaler": _scaled,
+    "pca": lambda x, p: affine(x, p["components"].T, p["mean"]),
+    "subsample": _chosen,
+    "kmeans": _centre_distances,
+}
+
+
+class _Saved(MLWritable, MLReadable):
+    """Stages that are written and read: names and numbers in the metadata, arrays as a Parquet table of their rows."""
+
+    def _state(self) -> tuple[dict, dict[str, np.ndarray]]:
+        raise NotImplementedError
+
+    @classmethod
+    def _restored(cls, names: dict, arrays: dict[str, np.ndarray], path: str):
+        raise NotImplementedError
+
+    def _save_parts(self, path: str) -> None:
+        """Write what is neither names nor arrays."""
+
+    def write(self) -> MLWriter:
+        return _Writer(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Reader(cls)
+
+
+class _Writer(MLWriter):
+    def __init__(self, stage: _Saved) -> None:
+        super().__init__()
+        self.stage = stage
+
+    def saveImpl(self, path: str) -> None:
+        names, arrays = self.stage._state()
+        shapes = {k: list(np.shape(v)) for k, v in arrays.items()}
+        DefaultParamsWriter.saveMetadata(self.stage, path, self.sc, extraMetadata={"names": names, "shapes": shapes})
+        rows = [(k, i, row.tolist()) for k, v in arrays.items() for i, row in enumerate(np.asarray(v, float).reshape(-1, max(1, np.shape(v)[-1])))]
+        self.sparkSession.createDataFrame(rows, "name string, i int, row array<double>").write.parquet(f"{path}/arrays")
+        self.stage._save_parts(path)
+
+
+class _Reader(MLReader):
+    def __init__(self, kind: type) -> None:
+        super().__init__()
+        self.kind = kind
+
+    def load(self, path: str):
+        metadata = DefaultParamsReader.loadMetadata(path, self.sc)
+        found: dict[str, list] = {}
+        for r in self.sparkSession.read.parquet(f"{path}/arrays").collect():
+            found.setdefault(r["name"], []).append((r["i"], r["row"]))
+        arrays = {k: np.array([row for _, row in sorted(found[k])], float).reshape(shape) for k, shape in metadata["shapes"].items()}
+        return self.kind._restored(metadata["names"], arrays, path)
+
 
-    def __init__(self, function: Callable[[Column], Column], inputCol: str = "emb", outputCol: str = "emb", **fitted) -> None:
+class ColumnModel(_Stage, Model, _Saved):
+    """A fitted stage: one of ``FUNCTIONS`` with its parameters, ``fitted``."""
+
+    def __init__(self, kind: str, inputCol: str = "emb", outputCol: str = "emb", **fitted) -> None:
         super().__init__()
-        self.function, self.fitted = function, fitted
+        self.kind, self.fitted = kind, {"kind": kind, **{k: np.asarray(v) for k, v in fitted.items()}}
         self._columns(inputCol, outputCol)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.getOutputCol(), self.function(F.col(self.getInputCol())))
+        return df.withColumn(self.getOutputCol(), FUNCTIONS[self.kind](F.col(self.getInputCol()), self.fitted))
+
+    def _state(self) -> tuple[dict, dict[str, np.ndarray]]:
+        return {"kind": self.kind, "input": self.getInputCol(), "output": self.getOutputCol()}, {k: v for k, v in self.fitted.items() if k != "kind"}
+
+    @classmethod
+    def _restored(cls, names: dict, arrays: dict[str, np.ndarray], path: str) -> ColumnModel:
+        return cls(names["kind"], names["input"], names["output"], **arrays)
+
+
+def _name_of(function: Callable) -> str:
+    name = f"{function.__module__}:{function.__qualname__}"
+    if "<" in name:
+        raise ValueError(f"{name} has no name to be found by: a stage that is written needs a function of a module")
+    return name
+
 
+def _function_of(name: str) -> Callable:
+    module, _, path = name.partition(":")
+    found = importlib.import_module(module)
+    for part in path.split("."):
+        found = getattr(found, part)
+    return found
 
-class Apply(_Stage, Transformer):
-    """Any Column function as a stage without a fit."""
+
+class Apply(_Stage, Transformer, _Saved):
+    """Any Column function as a stage without a fit; a module's function can be written by its name."""
 
     def __init__(self, function: Callable[[Column], Column], inputCol: str = "emb", outputCol: str | None = None) -> None:
         super().__init__()
@@ -65,6 +190,34 @@ class Apply(_Stage, Transformer):
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn(self.getOutputCol(), self.function(F.col(self.getInputCol())))
 
+    def _state(self) -> tuple[dict, dict[str, np.ndarray]]:
+        return {"function": _name_of(self.function), "input": self.getInputCol(), "output": self.getOutputCol()}, {}
+
+    @classmethod
+    def _restored(cls, names: dict, arrays: dict[str, np.ndarray], path: str) -> Apply:
+        return cls(_function_of(names["function"]), names["input"], names["output"])
+
+
+class Extract(Transformer, _Saved):
+    """Rows to embeddings as a first stage, so that a fitted pipeline takes what comes before embeddings, such as tokens.
+
+    ``function`` takes a table to one with an ``emb`` column; settings are its keyword arguments.
+    """
+
+    def __init__(self, function: Callable[..., DataFrame], **settings) -> None:
+        super().__init__()
+        self.function, self.settings = function, settings
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return self.function(df, **self.settings)
+
+    def _state(self) -> tuple[dict, dict[str, np.ndarray]]:
+        return {"function": _name_of(self.function), "settings": self.settings}, {}
+
+    @classmethod
+    def _restored(cls, names: dict, arrays: dict[str, np.ndarray], path: str) -> Extract:
+        return cls(_function_of(names["function"]), **names["settings"])
+
 
 def row_mean(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
@@ -78,14 +231,8 @@ class StandardScaler(_Stage, Estimator):
         self._columns(inputCol, outputCol)
 
     def _fit(self, df: DataFrame) -> ColumnModel:
-        m = moments(df, self.getInputCol())
-        std = np.sqrt(np.maximum(np.diag(m.covariance(0)), 0))
-        scale = np.where(std > 0, std, 1.0)
-
-        def scaled(x: Column) -> Column:
-            return F.zip_with(F.zip_with(x, _array(m.mean), lambda a, b: a - b), _array(scale), lambda a, b: a / b)
-
-        return ColumnModel(scaled, self.getInputCol(), self.getOutputCol(), kind="scaler", mean=m.mean, std=std)
+        _, mean, variance = feature_moments(df, self.getInputCol())
+        return ColumnModel("scaler", self.getInputCol(), self.getOutputCol(), mean=mean, std=np.sqrt(variance))
 
 
 class PCA(_Stage, Estimator):
@@ -104,7 +251,7 @@ class PCA(_Stage, Estimator):
         axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
         kept = np.maximum(values[order], 0)
         total = max(float(np.maximum(values, 0).sum()), 1e-300)
-        return ColumnModel(lambda x: affine(x, axes, m.mean), self.getInputCol(), self.getOutputCol(), kind="pca", mean=m.mean, components=axes.T, explained_variance=kept, explained_variance_ratio=kept / total)
+        return ColumnModel("pca", self.getInputCol(), self.getOutputCol(), mean=m.mean, components=axes.T, explained_variance=kept, explained_variance_ratio=kept / total)
 
 
 class Subsample(_Stage, Estimator):
@@ -119,17 +266,16 @@ class Subsample(_Stage, Estimator):
         d = len(df.select(self.getInputCol()).first()[0])
         rng = np.random.default_rng(self.seed)
         chosen = rng.integers(0, d, self.n) if self.replace else rng.permutation(d)[: min(self.n, d)]
-        indices = [int(i) for i in chosen]
-        return ColumnModel(lambda x: F.transform(F.array(*map(F.lit, indices)), lambda i: x[i]), self.getInputCol(), self.getOutputCol(), kind="subsample", indices=indices)
+        return ColumnModel("subsample", self.getInputCol(), self.getOutputCol(), indices=[int(i) for i in chosen])
 
 
 class KMeansDistance(_Stage, Estimator):
-    """Distances to k centres, the best of ``restarts`` seeded runs; centres in ascending order.
+    """Distances to k centres, the best of ``restarts`` seeded runs over all rows; centres in ascending order.
 
-    At most ``max_rows`` rows, chosen by a seeded hash, are used for the fit (None: all).
+    ``max_rows`` fits on a sample of that many rows instead, chosen by a seeded hash.
     """
 
-    def __init__(self, k: int, seed: int = 42, max_rows: int | None = 2000, restarts: int = 10, inputCol: str = "emb", outputCol: str | None = None) -> None:
+    def __init__(self, k: int, seed: int = 42, max_rows: int | None = None, restarts: int = 10, inputCol: str = "emb", outputCol: str | None = None) -> None:
         super().__init__()
         self.k, self.seed, self.max_rows, self.restarts = k, seed, max_rows, restarts
         self._columns(inputCol, outputCol)
@@ -148,12 +294,7 @@ class KMeansDistance(_Stage, Estimator):
         finally:
             rows.unpersist()
         best = min(runs, key=lambda m: m.summary.trainingCost)
-        centres = np.array(sorted(map(list, best.clusterCenters())))
-
-        def distances(x: Column) -> Column:
-            return F.transform(F.array(x), lambda y: F.array(*[F.sqrt(F.aggregate(F.zip_with(y, _array(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)) for c in centres]))[0]
-
-        return ColumnModel(distances, column, self.getOutputCol(), kind="kmeans", centers=centres)
+        return ColumnModel("kmeans", column, self.getOutputCol(), centers=np.array(sorted(map(list, best.clusterCenters()))))
 
 
 class Ensemble(_Stage, Estimator):
@@ -176,12 +317,23 @@ class Ensemble(_Stage, Estimator):
         return EnsembleModel(fitted, self.pool, column, self.getOutputCol())
 
 
-class EnsembleModel(_Stage, Model):
+class EnsembleModel(_Stage, Model, _Saved):
     def __init__(self, fitted: list, pool: str, inputCol: str, outputCol: str) -> None:
         super().__init__()
         self.fitted, self.pool = fitted, pool
         self._columns(inputCol, outputCol)
 
+    def _state(self) -> tuple[dict, dict[str, np.ndarray]]:
+        return {"members": len(self.fitted), "pool": self.pool, "input": self.getInputCol(), "output": self.getOutputCol()}, {}
+
+    def _save_parts(self, path: str) -> None:
+        for i, member in enumerate(self.fitted):
+            member.write().save(f"{path}/members/{i}")
+
+    @classmethod
+    def _restored(cls, names: dict, arrays: dict[str, np.ndarray], path: str) -> EnsembleModel:
+        return cls([PipelineModel.load(f"{path}/members/{i}") for i in range(names["members"])], names["pool"], names["input"], names["output"])
+
     def member_outputs(self, df: DataFrame) -> DataFrame:
         """Adds ``members_``: an array with one output a member. Stages are column functions, so nothing is joined."""
         keep, spare = df.columns, "emb_input_"
@@ -205,4 +357,4 @@ class EnsembleModel(_Stage, Model):
         return self.member_outputs(df).withColumn(self.getOutputCol(), pooled(F.col("members_"))).drop("members_")
 
 
-__all__ = ["Apply", "ColumnModel", "Ensemble", "EnsembleModel", "KMeansDistance", "PCA", "StandardScaler", "Subsample", "affine", "row_mean"]
+__all__ = ["Apply", "ColumnModel", "Ensemble", "EnsembleModel", "Extract", "KMeansDistance", "PCA", "StandardScaler", "Subsample", "affine", "batched", "row_mean"]

@@ -67,11 +67,28 @@ def read_recording(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode("messages").alias("msg_idx", "m")).select("msg_idx", F.col("m.timestamp").alias("ts"), "m.type", "m.note", "m.velocity", "m.channel")
 
 
-def write_recording(messages: DataFrame, path: str) -> None:
-    """One JSON document with the messages in order."""
-    one = messages.agg(F.array_sort(F.collect_list(F.struct(F.col("msg_idx"), F.col("ts").alias("timestamp"), "type", "note", "velocity", "channel"))).alias("r"))
+def write_recordings(messages: DataFrame, path: str, key: str = "seq_id") -> None:
+    """One JSON document a ``key``, with its messages in order of (ts, msg_idx); documents are dealt over the files."""
+    message = F.struct(F.col("ts").alias("timestamp"), "msg_idx", "type", "note", "velocity", "channel")
+    one = messages.groupBy(key).agg(F.array_sort(F.collect_list(message)).alias("r"))
     cleaned = F.transform("r", lambda r: F.struct(r["timestamp"].alias("timestamp"), r["type"].alias("type"), r["note"].alias("note"), r["velocity"].alias("velocity"), r["channel"].alias("channel")))
-    one.select(cleaned.alias("messages")).write.mode("overwrite").json(path)
+    one.select(key, cleaned.alias("messages")).write.mode("overwrite").json(path)
+
+
+def read_recordings(spark: SparkSession, path: str, key: str = "seq_id") -> DataFrame:
+    """(key, msg_idx, ts, type, note, velocity, channel) of what ``write_recordings`` wrote."""
+    from pyspark.sql import types as T
+
+    from seqdrift.vocab import RECORDING
+
+    shape = T.StructType([T.StructField(key, T.LongType()), *(T.StructType.fromDDL(RECORDING) if isinstance(RECORDING, str) else RECORDING).fields])
+    raw = spark.read.schema(shape).json(path)
+    return raw.select(key, F.posexplode("messages").alias("msg_idx", "m")).select(key, "msg_idx", F.col("m.timestamp").alias("ts"), "m.type", "m.note", "m.velocity", "m.channel")
+
+
+def write_recording(messages: DataFrame, path: str) -> None:
+    """One JSON document with the messages in order: a single session, which one reader takes whole."""
+    write_recordings(messages.withColumn("session_", F.lit(0)), path, "session_")
 
 
 class EmbeddingCache:
@@ -128,7 +145,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def grid_selection(df: DataFrame, step: int, most: int, order: str = "seq_id") -> DataFrame:
     """Every ``step``-th row in order, at most ``most`` of them."""
-    numbered = df.withColumn("at_", F.row_number().over(Window.orderBy(order)) - 1)
+    # The rows asked for are among the first step * most, so only those are ever numbered.
+    first = df.orderBy(order).limit(step * most)
+    numbered = first.withColumn("at_", F.row_number().over(Window.orderBy(order)) - 1)
     return numbered.where(F.col("at_") % step == 0).orderBy("at_").limit(most).drop("at_")
 
 
