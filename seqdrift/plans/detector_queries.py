@@ -7,15 +7,16 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqdrift.operators import analysis as A
 from seqdrift.operators import evaluation as E
 from seqdrift.operators import results as N
 from seqdrift.operators import scoring as H
-from seqdrift.operators.mixture import GaussianMixture, MixtureScore, density_expression
-from seqdrift.operators.transforms import PCA, Apply, Ensemble, KMeansDistance, StandardScaler, Subsample, row_mean
+from seqdrift.operators.mixture import GaussianMixture, MixtureModel, MixtureScore, density_expression
+from seqdrift.operators.transforms import PCA, Apply, Ensemble, Extract, KMeansDistance, StandardScaler, Subsample, row_mean
 from seqdrift.plans.base import BASE_SQL, events, sequences, table
 from seqdrift.sources import io as S
 
@@ -32,13 +33,12 @@ def query(sql: str | None = None):
     return add
 
 
-def _embeddings(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFrame:
-    emb = F.col("embedding").cast("array<double>")
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), (F.slice(emb, 1, dims) if dims else emb).alias("emb"), "label")
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("emb"), "label")
 
 
-def _splits(spark: SparkSession, sf_dir: str, dims: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return E.dataset_splits(_embeddings(spark, sf_dir, dims), "label", range(5))
+def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return E.dataset_splits(_embeddings(spark, sf_dir), "label", range(5))
 
 
 _KNN = """WITH x AS (SELECT vec_id, label, label <= 4 AND vec_id % 5 <> 0 AS ref, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(1, 65)) AS i FROM embeddings),
@@ -166,48 +166,67 @@ def E08_dataset_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("part").agg(F.count("*").alias("n"))
 
 
-# Two dimensions have a closed-form inverse, so SQL can follow.
+# The covariance of two features has a closed-form inverse, so SQL can follow; the features are of whole vectors.
 
-_TWO = """WITH e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+_TWO = """WITH e AS (SELECT vec_id, label, list_avg(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) AS x, sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))) AS y FROM embeddings),
     m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) + 1e-6 AS a, var_samp(y) + 1e-6 AS b, covar_samp(x, y) AS c FROM e WHERE label <= 4 AND vec_id % 5 <> 0)"""
 _QUADRATIC = "(b * (x - mx) * (x - mx) - 2 * c * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * b - c * c)"
 
 
+def _mean_and_length(df: DataFrame) -> DataFrame:
+    length = F.sqrt(F.aggregate("emb", F.lit(0.0), lambda s, v: s + v * v))
+    return df.withColumn("emb", F.array(row_mean(F.col("emb")), length))
+
+
 @query(_TWO + f" SELECT vec_id AS sample_id, round(sqrt({_QUADRATIC}), 6) AS score FROM e, m WHERE label > 4 OR vec_id % 5 = 0")
 def H01_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, inside, outside = _splits(spark, sf_dir, 2)
+    train, inside, outside = map(_mean_and_length, _splits(spark, sf_dir))
     return H.mahalanobis_distance(train, inside.unionByName(outside)).select("sample_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT vec_id AS sample_id, round(CAST(embedding[1] AS DOUBLE) * CAST(embedding[1] AS DOUBLE) / 2 + CAST(embedding[2] AS DOUBLE) * CAST(embedding[2] AS DOUBLE) / 0.5, 6) AS score FROM embeddings")
-def H02_from_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
+# Fixed parameters of 64 dimensions: dimension i has mean i / 64 - 0.5 and variance 1 + i / 32, a second component the reverse.
 
-    form = H.mahalanobis_from_stats(F.col("emb"), np.zeros(2), covariance=np.diag([2.0, 0.5]), squared=True)
-    return _embeddings(spark, sf_dir, 2).select("sample_id", F.round(form, 6).alias("score"))
+_DIMS = "WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, 64)) AS i FROM embeddings)"
+_MEANS = [[i / 64 - 0.5 for i in range(64)], [0.5 - i / 64 for i in range(64)]]
+_VARIANCES = [[1 + i / 32 for i in range(64)], [3 - i / 32 for i in range(64)]]
+_WEIGHTS = (0.3, 0.7)
 
 
-@query("SELECT vec_id AS sample_id, round(-0.5 * (CAST(embedding[1] AS DOUBLE) * CAST(embedding[1] AS DOUBLE) / 2 + CAST(embedding[2] AS DOUBLE) * CAST(embedding[2] AS DOUBLE) / 0.5 + ln(2 * 0.5) + 2 * ln(2 * pi())), 6) AS log_prob FROM embeddings")
-def H03_gaussian_log_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
+@query(_DIMS + " SELECT vec_id AS sample_id, round(sum(v * v / (1 + i / 32.0::DOUBLE)), 6) AS score FROM x GROUP BY vec_id")
+def H02_from_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = H.mahalanobis_from_stats(F.col("emb"), np.zeros(64), covariance=np.diag(_VARIANCES[0]), squared=True)
+    return _embeddings(spark, sf_dir).select("sample_id", F.round(form, 6).alias("score"))
 
-    return H.gaussian_log_prob(_embeddings(spark, sf_dir, 2), np.zeros(2), np.diag([2.0, 0.5])).select("sample_id", F.round("log_prob", 6).alias("log_prob"))
 
+@query(_DIMS + " SELECT vec_id AS sample_id, round(-0.5 * sum(v * v / (1 + i / 32.0::DOUBLE) + ln(1 + i / 32.0::DOUBLE) + ln(2 * pi())), 6) AS log_prob FROM x GROUP BY vec_id")
+def H03_gaussian_log_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.gaussian_log_prob(_embeddings(spark, sf_dir), np.zeros(64), np.diag(_VARIANCES[0])).select("sample_id", F.round("log_prob", 6).alias("log_prob"))
 
-_WEIGHTS, _MEANS, _VARIANCES = (0.3, 0.7), ((0.0, 0.5), (-0.5, 0.0)), ((1.0, 2.0), (0.5, 1.5))
 
+_COMPONENT_SQL = (
+    _DIMS
+    + """, p AS (SELECT vec_id, ln(0.3) - 0.5 * sum((v - (i / 64.0::DOUBLE - 0.5)) ** 2 / (1 + i / 32.0::DOUBLE) + ln(1 + i / 32.0::DOUBLE) + ln(2 * pi())) AS a,
+        ln(0.7) - 0.5 * sum((v - (0.5 - i / 64.0::DOUBLE)) ** 2 / (3 - i / 32.0::DOUBLE) + ln(3 - i / 32.0::DOUBLE) + ln(2 * pi())) AS b,
+        sqrt(sum((v - (i / 64.0::DOUBLE - 0.5)) ** 2 / (1 + i / 32.0::DOUBLE + 1e-6))) AS da, sqrt(sum((v - (0.5 - i / 64.0::DOUBLE)) ** 2 / (3 - i / 32.0::DOUBLE + 1e-6))) AS db FROM x GROUP BY vec_id)"""
+)
 
-def _component(k: int) -> str:
-    (mx, my), (vx, vy) = _MEANS[k], _VARIANCES[k]
-    return f"(ln({_WEIGHTS[k]}) - 0.5 * ((x - ({mx})) * (x - ({mx})) / {vx} + (y - ({my})) * (y - ({my})) / {vy} + ln({vx}) + ln({vy}) + 2 * ln(2 * pi())))"
 
+def _mixture():
+    return MixtureModel(np.array(_WEIGHTS), np.array(_MEANS), np.array(_VARIANCES), 0.0, "emb", "emb")
 
-@query(f"WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) SELECT vec_id AS sample_id, round(-ln(exp({_component(0)}) + exp({_component(1)})), 6) AS score FROM e")
-def H04_mixture_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
 
+@query(_COMPONENT_SQL + " SELECT vec_id AS sample_id, round(-(greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b)))), 6) AS score FROM p")
+def H04_mixture_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = density_expression(F.col("emb"), np.array(_WEIGHTS), np.array(_MEANS), np.array(_VARIANCES))
-    return _embeddings(spark, sf_dir, 2).select("sample_id", F.round(form, 6).alias("score"))
+    return _embeddings(spark, sf_dir).select("sample_id", F.round(form, 6).alias("score"))
+
+
+@query(_COMPONENT_SQL + " SELECT vec_id AS sample_id, round(least(da, db), 6) AS score FROM p")
+def H05_min_distance_of_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture of given parameters, written and read back."""
+    path = _scratch(spark)
+    _mixture().write().save(path)
+    return MixtureModel.load(path).score(_embeddings(spark, sf_dir), "min_md").select("sample_id", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -217,10 +236,10 @@ def H05_mixture_min_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(inside.unionByName(outside), "min_md").select("sample_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT vec_id AS sample_id, round(CAST(embedding[1] AS DOUBLE), 6) AS score FROM embeddings WHERE label > 4")
+@query("SELECT vec_id AS sample_id, round(list_avg(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS score FROM embeddings WHERE label > 4")
 def H08_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _, outside = _splits(spark, sf_dir, 1)
-    return H.identity(train, outside).select("sample_id", F.round("score", 6).alias("score"))
+    train, _, outside = _splits(spark, sf_dir)
+    return H.identity(train, outside.withColumn("emb", F.array(row_mean(F.col("emb"))))).select("sample_id", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -261,6 +280,35 @@ def F01_scaler_then_row_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(outside).select("sample_id", F.round("score", 6).alias("score"))
 
 
+@query(_SCALED + " SELECT vec_id AS sample_id, round(avg((v - mean) / sd), 6) AS score FROM x JOIN m USING (dim) WHERE label > 4 GROUP BY vec_id")
+def S15_saved_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted pipeline, written, read back and scoring as before."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    train, _, outside = _splits(spark, sf_dir)
+    path = _scratch(spark)
+    Pipeline(stages=[StandardScaler(), Apply(row_mean, outputCol="score")]).fit(train).write().save(path)
+    return PipelineModel.load(path).transform(outside).select("sample_id", F.round("score", 6).alias("score"))
+
+
+@query(_SCALED + " SELECT vec_id AS sample_id, CAST(dim AS INTEGER) AS dim, round((v - mean) / sd, 6) AS value FROM x JOIN m USING (dim) WHERE label > 4")
+def F10_extract_then_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction is the pipeline's first stage: what goes in are rows of numbers as text, not embeddings."""
+    from pyspark.ml import Pipeline
+
+    def as_text(df: DataFrame) -> DataFrame:
+        return df.select("sample_id", F.array_join(F.col("emb").cast("array<string>"), " ").alias("text"))
+
+    train, _, outside = _splits(spark, sf_dir)
+    model = Pipeline(stages=[Extract(from_text), StandardScaler()]).fit(as_text(train))
+    scaled = model.transform(as_text(outside))
+    return scaled.select("sample_id", F.posexplode("emb").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+def from_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("emb", F.split("text", " ").cast("array<double>"))
+
+
 @query()
 def F02_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, outside = _splits(spark, sf_dir)
@@ -268,10 +316,14 @@ def F02_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(outside).select("sample_id", F.size("emb").alias("dims"), F.round(F.col("emb")[0], 6).alias("first"))
 
 
-@query()
+#: The features that a seeded choice of 16 of 64 takes.
+_CHOSEN = np.random.default_rng(42).permutation(64)[:16].tolist()
+
+
+@query(f"SELECT vec_id AS sample_id, CAST(i AS INTEGER) AS place, round(CAST(embedding[{_CHOSEN}[i + 1] + 1] AS DOUBLE), 6) AS value FROM embeddings, range(0, 16) AS r(i) WHERE label > 4")
 def F03_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, outside = _splits(spark, sf_dir)
-    return Subsample(16).fit(train).transform(outside).select("sample_id", F.size("emb").alias("dims"), F.round(F.col("emb")[0], 6).alias("first"))
+    return Subsample(16).fit(train).transform(outside).select("sample_id", F.posexplode("emb").alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
 @query()
@@ -437,21 +489,22 @@ def S02_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sums(S.text_scan(spark, path), "input_ids").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
 
 
-@query("SELECT event_id AS msg_idx, round(epoch_us(ts) / 1000000::DOUBLE, 6) AS ts, CAST(event_id % 128 AS INTEGER) AS note FROM events WHERE user_id = 1")
+@query("SELECT user_id AS seq_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1 AS INTEGER) AS msg_idx, round(epoch_us(ts) / 1000000::DOUBLE, 6) AS ts, CAST(event_id % 128 AS INTEGER) AS note FROM events")
 def S03_S04_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording of every user, written and read back."""
     path = _scratch(spark)
-    rows = table(spark, sf_dir, "events").where("user_id = 1").select(F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"), F.lit("note_on").alias("type"), (F.col("event_id") % 128).cast("int").alias("note"), F.lit(64).alias("velocity"), F.lit(0).alias("channel"))
-    numbered = rows.withColumn("msg_idx", F.row_number().over(Window.orderBy("ts", "id")) - 1)
-    S.write_recording(numbered.drop("id"), path)
-    back = S.read_recording(spark, path).join(numbered.select("msg_idx", "id"), "msg_idx")
-    return back.select(F.col("id").alias("msg_idx"), F.round("ts", 6).alias("ts"), "note")
+    ts = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("seq_id"), F.col("event_id").alias("msg_idx"), ts.alias("ts"), F.lit("note_on").alias("type"), (F.col("event_id") % 128).cast("int").alias("note"), F.lit(64).alias("velocity"), F.lit(0).alias("channel"))
+    S.write_recordings(rows, path)
+    return S.read_recordings(spark, path).select("seq_id", "msg_idx", F.round("ts", 6).alias("ts"), "note")
 
 
-@query("SELECT CAST(label AS INTEGER) AS layer, count(*) AS n FROM embeddings WHERE label IN (1, 3) GROUP BY 1")
+@query("SELECT vec_id AS sample_id, CAST(label AS INTEGER) AS layer, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS total FROM embeddings WHERE label IN (1, 3)")
 def S05_S06_embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = S.EmbeddingCache(spark, _scratch(spark))
     cache.write(_embeddings(spark, sf_dir).withColumn("layer", F.col("label").cast("int")).drop("label"), "all", "mean_std")
-    return cache.read("all", "mean_std", [1, 3]).groupBy("layer").agg(F.count("*").alias("n"))
+    total = F.aggregate("emb", F.lit(0.0), lambda s, v: s + v)
+    return cache.read("all", "mean_std", [1, 3]).select("sample_id", "layer", F.round(total, 6).alias("total"))
 
 
 @query(BASE_SQL + " SELECT CASE WHEN seq_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, min(seq_id) AS first_id FROM seqs GROUP BY 1")
