@@ -13,6 +13,7 @@ from seqdrift.operators import linalg as L
 from seqdrift.operators import pooling as P
 from seqdrift.operators import sampling as G
 from seqdrift.operators import scoring as H
+from seqdrift.operators import transforms as F_
 from seqdrift.operators.mixture import GaussianMixture
 from seqdrift.operators.transforms import PCA, Apply, Ensemble, KMeansDistance, StandardScaler
 from seqdrift.sources import io as S
@@ -333,3 +334,50 @@ def test_registered_queries_run(spark, name):
     import __spark_entry__
 
     assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_neighbours_in_blocks_of_the_reference(spark, monkeypatch):
+    """A reference of several blocks gives the same distances as NumPy over all of it."""
+    rng = np.random.default_rng(5)
+    train, new = rng.normal(size=(60, 7)), rng.normal(size=(9, 7))
+    monkeypatch.setattr(H, "BLOCK_BYTES", 60 * 7 * 8 // 4)
+    got = H.k_nearest_neighbors(emb(spark, train), emb(spark, new), 5, distances=True).orderBy("sample_id").collect()
+    want = np.sort(np.sqrt(((new[:, None] - train[None]) ** 2).sum(2)), axis=1)[:, :5]
+    assert np.allclose([r.distances for r in got], want)
+
+
+def test_wide_vectors(spark):
+    """Products that do not fit an expression against NumPy."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 80)) @ rng.normal(size=(80, 80))
+    df = emb(spark, x)
+    d = x - x.mean(0)
+    want = np.sqrt(((d @ np.linalg.inv(np.cov(x.T) + 1e-6 * np.eye(80))) * d).sum(1))
+    got = H.mahalanobis_distance(df, df).orderBy("sample_id").collect()
+    assert np.allclose([r.score for r in got], want)
+    scaled = F_.StandardScaler().fit(df).transform(df).orderBy("sample_id").collect()
+    assert np.allclose([r.emb for r in scaled], d / x.std(0))
+    projected = np.array([r.emb for r in F_.PCA(20).fit(df).transform(df).orderBy("sample_id").collect()])
+    assert np.allclose(np.cov(projected.T), np.diag(np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:20]), atol=1e-6 * projected.var())
+
+
+def test_saved_pipelines_score_alike(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from seqdrift.operators.mixture import MixtureScore
+
+    rng = np.random.default_rng(7)
+    df = emb(spark, rng.normal(size=(60, 12)))
+    stages = {
+        "plain": [F_.PCA(5), F_.StandardScaler(), F_.KMeansDistance(3, restarts=2)],
+        "ensemble": [F_.Ensemble(lambda: [F_.PCA(2), F_.StandardScaler()], 3, 6, seed=1), F_.Apply(F_.row_mean, outputCol="score")],
+        "mixture": [F_.Subsample(4), MixtureScore(2)],
+    }
+    for name, each in stages.items():
+        model = Pipeline(stages=each).fit(df)
+        model.write().save(f"{tmp_path}/{name}")
+        again = PipelineModel.load(f"{tmp_path}/{name}")
+        a, b = (sorted(map(repr, m.transform(df).collect())) for m in (model, again))
+        assert a == b
+    with pytest.raises(Exception, match="no name to be found by"):
+        Pipeline(stages=[F_.Apply(lambda x: x)]).fit(df).write().save(f"{tmp_path}/nameless")
