@@ -61,8 +61,7 @@ def op9_cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL below is of two-line runs alone; the pipeline also cuts long single lines.
-    cut = drop_repeated_lines(table(spark, sf_dir, "documents"), min_lines=2, long_words=None)
+    cut = drop_repeated_lines(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -74,7 +73,10 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
         ), runs AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS follower FROM lines),
         copies AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, follower ORDER BY doc_id, pos) AS copy FROM runs WHERE follower IS NOT NULL),
-        gone AS (SELECT doc_id, pos FROM copies WHERE copy > 1 UNION SELECT doc_id, pos + 1 FROM copies WHERE copy > 1)
+        alone AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS copy FROM lines
+                  WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) > 50),
+        gone AS (SELECT doc_id, pos FROM copies WHERE copy > 1 UNION SELECT doc_id, pos + 1 FROM copies WHERE copy > 1
+                 UNION SELECT doc_id, pos FROM alone WHERE copy > 1)
         SELECT d.doc_id, count(l.pos) AS n_lines, count(g.pos) AS n_removed,
                sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
         FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
