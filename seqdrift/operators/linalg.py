@@ -116,6 +116,18 @@ def feature_moments(df: DataFrame, column: str = "emb") -> tuple[int, np.ndarray
     return n, first + shift, np.maximum(whole[1, 1:] / n - first * first, 0)
 
 
+def symmetric_inverse(matrix: np.ndarray) -> np.ndarray:
+    """Inverse of a symmetric matrix from its eigenvalues.
+
+    ``np.linalg.inv`` of a matrix of about 100 rows or more can wait forever on the driver: starting a session forks the
+    process, and OpenBLAS's threaded inversion does not survive that. The eigenvalues do not take that path.
+    """
+    values, vectors = np.linalg.eigh(matrix)
+    if not values.all():
+        raise np.linalg.LinAlgError("Singular matrix")
+    return (vectors / values) @ vectors.T
+
+
 def gamma_upper(a: float, x: float) -> float:
     """Regularised upper incomplete gamma: a series below a + 1, a continued fraction above."""
     if x <= 0:

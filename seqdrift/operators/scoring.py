@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqdrift.operators.linalg import moments
+from seqdrift.operators.linalg import moments, symmetric_inverse
 from seqdrift.operators.transforms import EXPRESSION_NUMBERS, PCA, StandardScaler, _array, batched
 
 #: Bytes of the reference that every task holds at a time.
@@ -44,7 +44,7 @@ def mahalanobis_from_stats(x: Column, mean: np.ndarray, covariance: np.ndarray |
     if inverse is None:
         if covariance is None:
             raise ValueError("give covariance or inverse")
-        inverse = np.linalg.inv(np.atleast_2d(covariance) + eps * np.eye(len(mean)))
+        inverse = symmetric_inverse(np.atleast_2d(covariance) + eps * np.eye(len(mean)))
     return mahalanobis_expression(x, mean, inverse, squared)
 
 
@@ -56,10 +56,11 @@ def mahalanobis_distance(reference: DataFrame, new: DataFrame, eps: float = 1e-6
 
 def gaussian_log_prob(df: DataFrame, mean: np.ndarray, covariance: np.ndarray, column: str = "emb", out: str = "log_prob") -> DataFrame:
     """Log density of a Gaussian through the Cholesky factor; no regulariser."""
-    lower = np.linalg.cholesky(np.atleast_2d(covariance))
+    covariance = np.atleast_2d(covariance)
+    lower = np.linalg.cholesky(covariance)
     constant = -0.5 * (2 * float(np.log(np.diag(lower)).sum()) + len(mean) * math.log(2 * math.pi))
-    inverse = np.linalg.inv(lower)
-    return df.withColumn(out, F.lit(constant) - 0.5 * mahalanobis_expression(F.col(column), np.asarray(mean, float), inverse.T @ inverse, squared=True))
+    form = mahalanobis_expression(F.col(column), np.asarray(mean, float), symmetric_inverse(covariance), squared=True)
+    return df.withColumn(out, F.lit(constant) - 0.5 * form)
 
 
 def as_vectors(df: DataFrame, column: str = "emb") -> DataFrame:
@@ -159,7 +160,7 @@ def detector_parameters(detector: OODDetector, eps: float = 1e-6) -> dict:
     """What another program needs to score: PCA, scaler, mean and inverse covariance of the embedded training rows."""
     pca, scaler = detector.fitted("pca"), detector.fitted("scaler")
     m = moments(detector.train)
-    inverse = np.linalg.inv(m.covariance(1) + eps * np.eye(len(m.mean)))
+    inverse = symmetric_inverse(m.covariance(1) + eps * np.eye(len(m.mean)))
     listed = {"pca_mean": pca["mean"], "pca_components": pca["components"], "scaler_mean": scaler["mean"], "scaler_std": scaler["std"], "mahalanobis_mean": m.mean, "mahalanobis_cov_inv": inverse}
     return {k: np.asarray(v).tolist() for k, v in listed.items()}
 

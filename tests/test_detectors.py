@@ -361,6 +361,18 @@ def test_wide_vectors(spark):
     assert np.allclose(np.cov(projected.T), np.diag(np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:20]), atol=1e-6 * projected.var())
 
 
+def test_inversion_in_a_session(spark):
+    """A wide covariance on the driver, whose process has forked to start the session, against plain solves."""
+    x = np.random.default_rng(8).normal(size=(700, 300))
+    df = emb(spark, x)
+    covariance, d = np.cov(x.T), x - x.mean(0)
+    squares = np.array([row @ np.linalg.solve(covariance, row) for row in d[:40]])
+    got = np.array([r.score for r in H.mahalanobis_distance(df, df, eps=0.0).orderBy("sample_id").limit(40).collect()])
+    assert np.allclose(got**2, squares)
+    logs = H.gaussian_log_prob(df, x.mean(0), covariance).orderBy("sample_id").limit(40).collect()
+    assert np.allclose([r.log_prob for r in logs], -0.5 * (squares + 300 * np.log(2 * np.pi) + np.linalg.slogdet(covariance)[1]))
+
+
 def test_saved_pipelines_score_alike(spark, tmp_path):
     from pyspark.ml import Pipeline, PipelineModel
 
