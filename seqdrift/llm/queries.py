@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqdrift.llm.bpe import decode_ids, encode_documents
 from seqdrift.llm.common import table
 from seqdrift.llm.decontaminate import find_leaks
+from seqdrift.llm.divergence import source_divergence
 from seqdrift.llm.hyperlang import held_out, identify, learn_prototypes
 from seqdrift.llm.jaccard import jaccard_components
 from seqdrift.llm.linedup import drop_repeated_lines
 from seqdrift.llm.merkle import fingerprint_documents
+from seqdrift.llm.middle import fill_in_middle, restored
 from seqdrift.llm.packing import pack_documents
 from seqdrift.llm.pii import find_personal_data, train
 from seqdrift.llm.rlz import remove_duplicate_substrings
@@ -65,7 +68,27 @@ def op10_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_rlz_substrings, op2_skip_chain_pii, op3_adaptive_jaccard, op4_byte_shards, op5_hyperlang, op6_square_packing, op7_tool_chat, op8_merkle, op9_cgk_leaks, op10_line_suffixes)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = encode_documents(table(spark, sf_dir, "documents"), path)
+    listed = F.sha2(F.array_join("ids", ","), 256)
+    decoded = decode_ids(ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), listed.alias("ids_sha256"), "ids"), path)
+    return decoded.select("row.*", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    hashes = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_rlz_substrings, op2_skip_chain_pii, op3_adaptive_jaccard, op4_byte_shards, op5_hyperlang, op6_square_packing, op7_tool_chat, op8_merkle, op9_cgk_leaks, op10_line_suffixes, op11_source_divergence, op12_word_bpe, op13_fill_in_middle)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_line_suffixes": """
@@ -87,4 +110,40 @@ ORACLE_SQL: dict[str, str] = {
                '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"conv_id":' || conv_id || ',"role":"' || role || '","turn":' || turn || '}' AS line
         FROM conversations
     """,
+    "op11_source_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        words AS (SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+        langs AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        counts AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+        filled AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source)::BIGINT AS total
+                   FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        shares AS (SELECT f.lang, f.source, f.term, f.n, 1 + (1000000000 * (f.n + 2)) // (f.total + 2 * l.v) AS p,
+                          1 + (1000000000 * (k.n + 2)) // (l.total + 2 * l.v) AS q
+                   FROM filled f JOIN langs l ON l.lang = f.lang JOIN kept k ON k.lang = f.lang AND k.term = f.term),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+                 FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+                  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+                  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+                   FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
+    "op13_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        drawn AS (SELECT doc_id, text, length(text) AS n, ('0x' || substr(h, 1, 8))::UBIGINT::BIGINT AS h1, ('0x' || substr(h, 9, 8))::UBIGINT::BIGINT AS h2,
+                         ('0x' || substr(h, 17, 8))::UBIGINT::BIGINT AS h3, ('0x' || substr(h, 25, 8))::UBIGINT::BIGINT AS h4 FROM d),
+        cut AS (SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                       CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                            WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+        parts AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM cut)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM parts
+    """,
 }
