@@ -63,32 +63,36 @@ def unpacked(data: bytes) -> np.ndarray:
 CHUNK = "chunk long, words array<string>, doc_ids array<long>, sizes binary, places binary"
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(chunk_chars: int):
     """Documents to chunks: the distinct words, and for each document its words' places among them."""
-    known, ids, sizes, places, chars = _Places(), [], [], [], 0
-
-    def chunk() -> pa.RecordBatch:
-        columns = (
-            pa.array([uuid.uuid4().int >> 65], pa.int64()),
-            pa.array([list(known)], pa.list_(pa.string())),
-            pa.array([ids], pa.list_(pa.int64())),
-            pa.array([packed(np.array(sizes, np.int64))], pa.binary()),
-            pa.array([packed(np.concatenate(places) if places else np.empty(0))], pa.binary()),
-        )
-        return pa.RecordBatch.from_arrays(list(columns), names=["chunk", "words", "doc_ids", "sizes", "places"])
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            words = split_words(text.as_py() or "")
-            ids.append(doc_id)
-            sizes.append(len(words))
-            places.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
-            chars += sum(map(len, words))
-            if chars >= CHUNK_CHARS:
-                yield chunk()
-                known, ids, sizes, places, chars = _Places(), [], [], [], 0
-    if ids:
-        yield chunk()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids, sizes, places, chars = _Places(), [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            columns = (
+                pa.array([uuid.uuid4().int >> 65], pa.int64()),
+                pa.array([list(known)], pa.list_(pa.string())),
+                pa.array([ids], pa.list_(pa.int64())),
+                pa.array([packed(np.array(sizes, np.int64))], pa.binary()),
+                pa.array([packed(np.concatenate(places) if places else np.empty(0))], pa.binary()),
+            )
+            return pa.RecordBatch.from_arrays(list(columns), names=["chunk", "words", "doc_ids", "sizes", "places"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                words = split_words(text.as_py() or "")
+                ids.append(doc_id)
+                sizes.append(len(words))
+                places.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+                chars += sum(map(len, words))
+                if chars >= chunk_chars:
+                    yield chunk()
+                    known, ids, sizes, places, chars = _Places(), [], [], [], 0
+        if ids:
+            yield chunk()
+
+    return split
 
 
 def _deal(buckets: int):
@@ -113,7 +117,7 @@ def _deal(buckets: int):
     return deal
 
 
-def _encode(path: str):
+def _encode(path: str, known_words: int = KNOWN_WORDS):
     """Each distinct word of a bucket to its ids, once; the ids go back to every chunk that has the word."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +126,7 @@ def _encode(path: str):
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for chunk, at, words in zip(batch.column("chunk").to_pylist(), batch.column("at").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                if len(known) > KNOWN_WORDS:
+                if len(known) > known_words:
                     known.clear()
                 new = [w for w in words if w not in known]
                 for word, found in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
@@ -150,28 +154,32 @@ def _before(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _assemble(slice_words: int):
     """Chunks with their words' ids to documents with theirs, by position."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            parts = [(unpacked(p["at"]), unpacked(p["sizes"]), unpacked(p["ids"])) for p in row["parts"] or []]
-            at, size, ids = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
-            word_size, word_start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            word_size[at], word_start[at] = size, _before(size)[:-1]
-            places, bounds = unpacked(row["places"]), _before(unpacked(row["sizes"]))
-            low = 0
-            while low < len(row["doc_ids"]):
-                high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE, side="right")) - 1)
-                here = places[bounds[low] : bounds[high]]
-                ends = _before(word_size[here])
-                take = np.repeat(word_start[here] - ends[:-1], word_size[here]) + np.arange(ends[-1])
-                offsets = ends[bounds[low : high + 1] - bounds[low]]
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[take], pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][low:high], pa.int64()), lists], names=["doc_id", "ids"])
-                low = high
-
-
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                parts = [(unpacked(p["at"]), unpacked(p["sizes"]), unpacked(p["ids"])) for p in row["parts"] or []]
+                at, size, ids = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
+                word_size, word_start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                word_size[at], word_start[at] = size, _before(size)[:-1]
+                places, bounds = unpacked(row["places"]), _before(unpacked(row["sizes"]))
+                low = 0
+                while low < len(row["doc_ids"]):
+                    high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + slice_words, side="right")) - 1)
+                    here = places[bounds[low] : bounds[high]]
+                    ends = _before(word_size[here])
+                    take = np.repeat(word_start[here] - ends[:-1], word_size[here]) + np.arange(ends[-1])
+                    offsets = ends[bounds[low : high + 1] - bounds[low]]
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[take], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][low:high], pa.int64()), lists], names=["doc_id", "ids"])
+                    low = high
+
+    return assemble
+
+
+def encode_documents(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, bucket_words: int = BUCKET_WORDS, known_words: int = KNOWN_WORDS, slice_words: int = SLICE) -> DataFrame:
     """(doc_id, ids) of every row, as the tokenizer at ``path`` encodes the whole text without special tokens.
 
     Texts are split into words once. Each chunk of documents keeps its distinct words and, as one compressed list, its
@@ -186,14 +194,14 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = settle(chosen.mapInArrow(_split, CHUNK))
+    chunks = settle(chosen.mapInArrow(_split(chunk_chars), CHUNK))
     words = chunks.agg(F.sum(F.size("words"))).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(shuffle_width(spark), words // BUCKET_WORDS))
+    buckets = min(MOST_BUCKETS, max(shuffle_width(spark), words // bucket_words))
     dealt = chunks.select("chunk", "words").mapInArrow(_deal(buckets), "bucket int, chunk long, at binary, words array<string>")
-    encoded = dealt.repartition(buckets, "bucket").mapInArrow(_encode(path), "chunk long, at binary, sizes binary, ids binary")
+    encoded = dealt.repartition(buckets, "bucket").mapInArrow(_encode(path, known_words), "chunk long, at binary, sizes binary, ids binary")
     parts = encoded.groupBy("chunk").agg(F.collect_list(F.struct("at", "sizes", "ids")).alias("parts"))
     whole = chunks.drop("words").join(parts, "chunk", "left")
-    return whole.mapInArrow(_assemble, "doc_id long, ids array<int>")
+    return whole.mapInArrow(_assemble(slice_words), "doc_id long, ids array<int>")
 
 
 def id_pieces(spark: SparkSession, path: str) -> DataFrame:

@@ -90,24 +90,29 @@ def _gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def _dense(key: tuple, terms: pd.DataFrame, constants: pd.DataFrame) -> pd.DataFrame:
-    """One tile: for each pair of its groups, what its terms add to the value that they had if no group had them."""
-    lang, _, left, right = key
-    out = {"lang": [], "a": [], "b": [], "part": []}
-    if len(terms):
-        none = constants.set_index("g")["p0"].sort_index()
-        groups, base = none.index.to_numpy(), none.to_numpy(np.int64)
-        number, names = pd.factorize(terms["term"])
-        shares = np.repeat(base[:, None], len(names), axis=1)
-        shares[np.searchsorted(groups, terms["g"].to_numpy()), number] = terms["p"].to_numpy(np.int64)
-        mine = np.flatnonzero(groups // TILE_GROUPS == left)
-        for i in mine:
-            j = np.flatnonzero((groups // TILE_GROUPS == right) & (groups > groups[i]))
-            if len(j):
-                part = _gap(shares[i][None, :], shares[j]).sum(axis=1) - len(names) * _gap(base[i], base[j])
-                for column, value in zip(out.values(), ([lang] * len(j), [groups[i]] * len(j), groups[j], part), strict=True):
-                    column.extend(value)
-    return pd.DataFrame(out).astype({"lang": object, "a": "int64", "b": "int64", "part": "int64"})
+def _dense(tile_groups: int):
+    """Tiles of ``tile_groups`` groups each way: for each pair of groups, what the tile's terms add to the value that they
+    had if no group had them."""
+
+    def tile(key: tuple, terms: pd.DataFrame, constants: pd.DataFrame) -> pd.DataFrame:
+        lang, _, left, right = key
+        out = {"lang": [], "a": [], "b": [], "part": []}
+        if len(terms):
+            none = constants.set_index("g")["p0"].sort_index()
+            groups, base = none.index.to_numpy(), none.to_numpy(np.int64)
+            number, names = pd.factorize(terms["term"])
+            shares = np.repeat(base[:, None], len(names), axis=1)
+            shares[np.searchsorted(groups, terms["g"].to_numpy()), number] = terms["p"].to_numpy(np.int64)
+            mine = np.flatnonzero(groups // tile_groups == left)
+            for i in mine:
+                j = np.flatnonzero((groups // tile_groups == right) & (groups > groups[i]))
+                if len(j):
+                    part = _gap(shares[i][None, :], shares[j]).sum(axis=1) - len(names) * _gap(base[i], base[j])
+                    for column, value in zip(out.values(), ([lang] * len(j), [groups[i]] * len(j), groups[j], part), strict=True):
+                        column.extend(value)
+        return pd.DataFrame(out).astype({"lang": object, "a": "int64", "b": "int64", "part": "int64"})
+
+    return tile
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +140,12 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def source_divergence(docs: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
+def source_divergence(docs: DataFrame, min_docs: int = 10, top: int = 10, tile_terms: int = TILE_TERMS, tile_groups: int = TILE_GROUPS) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source's words are from the other sources' and its language's.
 
     Terms are counted per group before any shuffle. A pair's value is the sum, over all kept terms, of the gap between two
     shares. It is made of: every term as if neither group had it, which is one number a pair; for common terms, tiles of
-    ``TILE_TERMS`` terms and ``TILE_GROUPS`` groups each way, as dense matrices of differences to that; for rare terms,
+    ``tile_terms`` terms and ``tile_groups`` groups each way, as dense matrices of differences to that; for rare terms,
     what one group's counts add by themselves, which depends on the counts alone and is taken from their histogram, and
     what the pairs in a term's posting list change. All of it is whole numbers, so the sum is exact. Nothing is as large
     as terms times pairs. A posting list or a tile is bounded by the sources of a language, never by documents.
@@ -172,16 +177,16 @@ def source_divergence(docs: DataFrame, min_docs: int = 10, top: int = 10) -> Dat
     terms = terms.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
 
     # Common terms: a group's rows go to the tiles of its block of groups with each block.
-    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("groups") - 1) / TILE_GROUPS))
-    mine = F.floor(F.col("g") / TILE_GROUPS)
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("groups") - 1) / tile_groups))
+    mine = F.floor(F.col("g") / tile_groups)
     met = F.explode(F.transform(blocks, lambda other: F.struct(F.least(mine, other).alias("left"), F.greatest(mine, other).alias("right")))).alias("tile")
     n_common = shares.where("common").select("lang", "term").distinct().count()
-    tiles = max(1, -(-n_common // TILE_TERMS))
+    tiles = max(1, -(-n_common // tile_terms))
     tile = F.pmod(F.xxhash64("term"), F.lit(tiles))
     dense = shares.where("common").select("lang", tile.alias("block"), met, "term", "g", "p").select("lang", "block", "tile.*", "term", "g", "p")
     constants = groups.select("lang", met, "g", "p0").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("block"), "tile.*", "g", "p0")
     key = ["lang", "block", "left", "right"]
-    sums = dense.groupBy(*key).cogroup(constants.groupBy(*key)).applyInPandas(_dense, "lang string, a long, b long, part long")
+    sums = dense.groupBy(*key).cogroup(constants.groupBy(*key)).applyInPandas(_dense(tile_groups), "lang string, a long, b long, part long")
 
     # Rare terms: pairs that share one.
     rare = shares.where("not common")

@@ -70,16 +70,17 @@ def test_words_are_encoded_alike_alone_and_in_place():
         assert [i for w in words for i in tokenizer.encode(w, add_special_tokens=False).ids] == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-@pytest.mark.parametrize("chunk", [None, 300])
-def test_bpe_round_trip(spark, monkeypatch, chunk):
-    if chunk:  # many chunks, buckets of few words, forgotten words, small slices
-        for name, value in (("CHUNK_CHARS", chunk), ("BUCKET_WORDS", 3), ("KNOWN_WORDS", 2), ("SLICE", 5)):
-            monkeypatch.setattr(bpe, name, value)
+#: Many chunks, buckets of few words, forgotten words, small slices.
+SMALL = {"chunk_chars": 300, "bucket_words": 3, "known_words": 2, "slice_words": 5}
+
+
+@pytest.mark.parametrize("sizes", [{}, SMALL])
+def test_bpe_round_trip(spark, sizes):
     rng = random.Random(6)
     rows = [(100 + i, " ".join(rng.choice(("the", "tree's", "house,", "\n\nnew", "x1y2", "naïve", "<|endoftext|>", "")) for _ in range(rng.randrange(40)))) for i in range(60)]
-    rows += [(500 + i, "the same text over and over") for i in range(50)] + [(600, "�\x00퟿ \U0010ffff")] + (odd_rows() if not chunk else odd_rows()[:3])
+    rows += [(500 + i, "the same text over and over") for i in range(50)] + [(600, "�\x00퟿ \U0010ffff")] + odd_rows()
     docs = documents(spark, rows)
-    ids = bpe.encode_documents(docs, PATH)
+    ids = bpe.encode_documents(docs, PATH, **sizes)
     out = bpe.decode_ids(ids.withColumns({"row": F.col("doc_id"), "pos": F.size("ids"), "ids": F.col("ids")}), PATH).select("row.*", "decoded")
     tokenizer = tokenizers.Tokenizer.from_file(PATH)
     expected = []
@@ -160,9 +161,7 @@ def table_of(spark, rows):
 
 
 @pytest.mark.parametrize("tile", [(4096, 64), (3, 4)])
-def test_divergence(spark, monkeypatch, tile):
-    monkeypatch.setattr(divergence, "TILE_TERMS", tile[0])
-    monkeypatch.setattr(divergence, "TILE_GROUPS", tile[1])
+def test_divergence(spark, tile):
     rng = random.Random(7)
     rows = []
     for i in range(700):
@@ -172,7 +171,7 @@ def test_divergence(spark, monkeypatch, tile):
         rows.append((rng.choice(" -1_\n").join(words), lang, source))
     rows += [("the the", None, None), (None, "x", "s1"), (None, "empty", "a"), ("", "empty", "b"), ("one", "lone", "a"), ("the " * 5000, "x", "s2"), ("� \U0001f600 é", "x", "\U0001f600")]
     rows += [("the of", "x", "hot")] * 300
-    got = divergence.source_divergence(table_of(spark, rows), 4, 3)
+    got = divergence.source_divergence(table_of(spark, rows), 4, 3, *tile)
     assert collections.Counter(tuple(r) for r in got.collect()) == plain_divergence(rows, 4, 3)
     assert divergence.source_divergence(table_of(spark, [])).count() == 0
 
@@ -183,7 +182,7 @@ def test_both_kinds_of_terms_matter(spark, monkeypatch):
     expected = plain_divergence(rows, 3, 5)
     assert collections.Counter(tuple(r) for r in divergence.source_divergence(table_of(spark, rows), 3, 5).collect()) == expected
     nothing = lambda key, terms, constants: divergence.pd.DataFrame({"lang": [], "a": [], "b": [], "part": []}).astype({"lang": object, "a": "int64", "b": "int64", "part": "int64"})
-    monkeypatch.setattr(divergence, "_dense", nothing)
+    monkeypatch.setattr(divergence, "_dense", lambda groups: nothing)
     assert collections.Counter(tuple(r) for r in divergence.source_divergence(table_of(spark, rows), 3, 5).collect()) != expected
 
 
