@@ -50,9 +50,15 @@ class _Places(dict):
         return at
 
 
+def _compressed(data: bytes) -> bytes:
+    """Compressed with a window of 16 MB, which meets a chunk's copies again."""
+    how = zstandard.ZstdCompressionParameters.from_level(1, enable_ldm=True, window_log=24)
+    return zstandard.ZstdCompressor(compression_params=how).compress(data)
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Whole numbers below 2^32, byte plane by byte plane, compressed."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return _compressed(np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -60,7 +66,28 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-CHUNK = "chunk long, words array<string>, doc_ids array<long>, sizes binary, places binary"
+def _before(sizes: np.ndarray) -> np.ndarray:
+    """Where each stretch begins, and where the last one ends."""
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+
+
+def packed_words(words: list[str]) -> tuple[bytes, bytes]:
+    """(sizes, bytes) of the words."""
+    raw = [w.encode() for w in words]
+    return packed(np.fromiter(map(len, raw), np.int64, len(raw))), _compressed(b"".join(raw))
+
+
+def unpacked_words(sizes: bytes, data: bytes) -> list[str]:
+    ends, raw = _before(unpacked(sizes)).tolist(), zstandard.decompress(data)
+    return [raw[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)]
+
+
+#: A chunk: its distinct words, and for each document how many words it has and their places among those.
+CHUNK = "chunk long, n_words long, word_sizes binary, words binary, doc_ids array<long>, sizes binary, places binary"
+#: Words of a bucket that a chunk has, and their places in the chunk's list.
+DEALT = "bucket int, chunk long, at binary, word_sizes binary, words binary"
+#: Their ids, and which ids those are.
+PART = "chunk long, at binary, sizes binary, ids binary, used array<int>"
 
 
 def _split(chunk_chars: int):
@@ -72,12 +99,13 @@ def _split(chunk_chars: int):
         def chunk() -> pa.RecordBatch:
             columns = (
                 pa.array([uuid.uuid4().int >> 65], pa.int64()),
-                pa.array([list(known)], pa.list_(pa.string())),
+                pa.array([len(known)], pa.int64()),
+                *(pa.array([c], pa.binary()) for c in packed_words(list(known))),
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([packed(np.array(sizes, np.int64))], pa.binary()),
                 pa.array([packed(np.concatenate(places) if places else np.empty(0))], pa.binary()),
             )
-            return pa.RecordBatch.from_arrays(list(columns), names=["chunk", "words", "doc_ids", "sizes", "places"])
+            return pa.RecordBatch.from_arrays(list(columns), names=["chunk", "n_words", "word_sizes", "words", "doc_ids", "sizes", "places"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -100,19 +128,21 @@ def _deal(buckets: int):
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, words in zip(batch.column("chunk").to_pylist(), batch.column("words"), strict=True):
-                words = words.values
-                bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words.to_pylist()), np.int32, len(words))
+            for chunk, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "word_sizes", "words")), strict=True):
+                words = unpacked_words(sizes, data)
+                bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int32, len(words))
                 order = np.argsort(bucket, kind="stable")
                 there, first = np.unique(bucket[order], return_index=True)
-                bounds = np.append(first, len(order))
+                at = np.split(order, first[1:])
+                mine = [packed_words([words[i] for i in a.tolist()]) for a in at] if len(there) else []
                 columns = (
                     pa.array(there, pa.int32()),
                     pa.array(np.full(len(there), chunk), pa.int64()),
-                    pa.array([packed(order[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.take(pa.array(order))),
+                    pa.array([packed(np.diff(a, prepend=0)) for a in at] if len(there) else [], pa.binary()),
+                    pa.array([m[0] for m in mine], pa.binary()),
+                    pa.array([m[1] for m in mine], pa.binary()),
                 )
-                yield pa.RecordBatch.from_arrays(list(columns), names=["bucket", "chunk", "at", "words"])
+                yield pa.RecordBatch.from_arrays(list(columns), names=["bucket", "chunk", "at", "word_sizes", "words"])
 
     return deal
 
@@ -124,19 +154,21 @@ def _encode(path: str, known_words: int = KNOWN_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
         tokenizer, known = _tokenizer(path), {}
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for chunk, at, words in zip(batch.column("chunk").to_pylist(), batch.column("at").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            rows: list[list] = [[], [], [], [], []]
+            for chunk, at, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "at", "word_sizes", "words")), strict=True):
+                words = unpacked_words(sizes, data)
                 if len(known) > known_words:
                     known.clear()
                 new = [w for w in words if w not in known]
                 for word, found in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
                     known[word] = np.array(found.ids, "<u4").tobytes()
                 ids = [known[w] for w in words]
+                flat = np.frombuffer(b"".join(ids), "<u4")
                 sizes = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
-                for column, value in zip(rows, (chunk, at, packed(sizes), packed(np.frombuffer(b"".join(ids), "<u4"))), strict=True):
+                for column, value in zip(rows, (chunk, at, packed(sizes), packed(flat), np.unique(flat)), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["chunk", "at", "sizes", "ids"])
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["chunk", "at", "sizes", "ids", "used"])
 
     return encode
 
@@ -150,43 +182,55 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-def _before(sizes: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(sizes)))
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all elements of the stretches, one after another; where each stretch begins among them)."""
+    ends = _before(sizes)
+    return np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1]), ends
 
 
 def _assemble(slice_words: int):
-    """Chunks with their words' ids to documents with theirs, by position."""
+    """Chunks with their words' ids and the ids' pieces to documents with their ids and the text of these, by position."""
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                parts = [(unpacked(p["at"]), unpacked(p["sizes"]), unpacked(p["ids"])) for p in row["parts"] or []]
+                parts = [(np.cumsum(unpacked(p["at"])), unpacked(p["sizes"]), unpacked(p["ids"])) for p in row["parts"] or []]
                 at, size, ids = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
                 word_size, word_start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
                 word_size[at], word_start[at] = size, _before(size)[:-1]
+                pieces = sorted((p["id"], p["piece"]) for p in row["pieces"] or [])
+                slot = np.zeros(max((i for i, _ in pieces), default=-1) + 1, np.int64)
+                slot[[i for i, _ in pieces]] = np.arange(len(pieces))
+                piece_ends = _before(np.array([len(p) for _, p in pieces], np.int64))
+                letters = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
                 places, bounds = unpacked(row["places"]), _before(unpacked(row["sizes"]))
                 low = 0
                 while low < len(row["doc_ids"]):
                     high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + slice_words, side="right")) - 1)
                     here = places[bounds[low] : bounds[high]]
-                    ends = _before(word_size[here])
-                    take = np.repeat(word_start[here] - ends[:-1], word_size[here]) + np.arange(ends[-1])
-                    offsets = ends[bounds[low : high + 1] - bounds[low]]
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[take], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][low:high], pa.int64()), lists], names=["doc_id", "ids"])
+                    take, ends = _ragged(word_start[here], word_size[here])
+                    offsets, tokens = ends[bounds[low : high + 1] - bounds[low]], ids[take]
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens, pa.int32()))
+                    mine = slot[tokens]
+                    take, ends = _ragged(piece_ends[mine], piece_ends[mine + 1] - piece_ends[mine])
+                    data, cuts = letters[take].tobytes(), ends[offsets].tolist()
+                    decoded = [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][low:high], pa.int64()), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
                     low = high
 
     return assemble
 
 
 def encode_documents(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, bucket_words: int = BUCKET_WORDS, known_words: int = KNOWN_WORDS, slice_words: int = SLICE) -> DataFrame:
-    """(doc_id, ids) of every row, as the tokenizer at ``path`` encodes the whole text without special tokens.
+    """(doc_id, ids, decoded) of every row: the ids of the whole text as the tokenizer at ``path`` gives them without
+    special tokens, and the text that these ids stand for.
 
     Texts are split into words once. Each chunk of documents keeps its distinct words and, as one compressed list, its
     documents' words by place; only distinct words are dealt, by hash, into the buckets of the word table. There each is
     encoded once, and its ids go back to the chunks that have it, to be put together by position. A very common word
-    comes once a chunk, so no bucket grows with a word's frequency, and texts are never shuffled. The tokenizer must be
-    byte-level, with no normalizer and no added prefix space.
+    comes once a chunk, so no bucket grows with a word's frequency, and texts are never shuffled. To decode, the ids that
+    a chunk has are joined with the vocabulary's pieces, and each document's ids are looked up in what the join gave.
+    The tokenizer must be byte-level, with no normalizer and no added prefix space.
 
     A null or empty text has no ids; repeated rows come as often as they are there; an empty table gives no rows; other
     columns are ignored.
@@ -195,13 +239,15 @@ def encode_documents(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS,
     small_batches(spark)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = settle(chosen.mapInArrow(_split(chunk_chars), CHUNK))
-    words = chunks.agg(F.sum(F.size("words"))).first()[0] or 0
+    words = chunks.agg(F.sum("n_words")).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(shuffle_width(spark), words // bucket_words))
-    dealt = chunks.select("chunk", "words").mapInArrow(_deal(buckets), "bucket int, chunk long, at binary, words array<string>")
-    encoded = dealt.repartition(buckets, "bucket").mapInArrow(_encode(path, known_words), "chunk long, at binary, sizes binary, ids binary")
+    dealt = chunks.select("chunk", "word_sizes", "words").mapInArrow(_deal(buckets), DEALT)
+    encoded = settle(dealt.repartition(buckets, "bucket").mapInArrow(_encode(path, known_words), PART))
     parts = encoded.groupBy("chunk").agg(F.collect_list(F.struct("at", "sizes", "ids")).alias("parts"))
-    whole = chunks.drop("words").join(parts, "chunk", "left")
-    return whole.mapInArrow(_assemble(slice_words), "doc_id long, ids array<int>")
+    used = encoded.select("chunk", F.explode("used").alias("id")).distinct()
+    pieces = used.join(F.broadcast(id_pieces(spark, path)), "id").groupBy("chunk").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+    whole = chunks.select("chunk", "doc_ids", "sizes", "places").join(parts, "chunk", "left").join(pieces, "chunk", "left")
+    return whole.mapInArrow(_assemble(slice_words), "doc_id long, ids array<int>, decoded string")
 
 
 def id_pieces(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqdrift.llm.bpe import decode_ids, encode_documents
+from seqdrift.llm.bpe import encode_documents
 from seqdrift.llm.common import table
 from seqdrift.llm.decontaminate import find_leaks
 from seqdrift.llm.divergence import source_divergence
@@ -76,10 +76,9 @@ def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = encode_documents(table(spark, sf_dir, "documents"), path)
+    coded = encode_documents(table(spark, sf_dir, "documents"), path)
     listed = F.sha2(F.array_join("ids", ","), 256)
-    decoded = decode_ids(ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), listed.alias("ids_sha256"), "ids"), path)
-    return decoded.select("row.*", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), listed.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

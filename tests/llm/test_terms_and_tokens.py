@@ -81,14 +81,15 @@ def test_bpe_round_trip(spark, sizes):
     rows += [(500 + i, "the same text over and over") for i in range(50)] + [(600, "�\x00퟿ \U0010ffff")] + odd_rows()
     docs = documents(spark, rows)
     ids = bpe.encode_documents(docs, PATH, **sizes)
-    out = bpe.decode_ids(ids.withColumns({"row": F.col("doc_id"), "pos": F.size("ids"), "ids": F.col("ids")}), PATH).select("row.*", "decoded")
+    out = bpe.decode_ids(ids.drop("decoded").withColumns({"row": F.col("doc_id"), "pos": F.size("ids"), "ids": F.col("ids")}), PATH).select("row.*", "decoded")
     tokenizer = tokenizers.Tokenizer.from_file(PATH)
     expected = []
     for i, text in rows:
         tokens = tokenizer.encode(text or "", add_special_tokens=False).ids
         expected.append((i, i, len(tokens), tokenizer.decode(tokens, skip_special_tokens=False)))
     assert collections.Counter((r.doc_id, r.row, r.pos, r.decoded) for r in out.collect()) == collections.Counter(expected)
-    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in ids.collect()) == collections.Counter((i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    plain = collections.Counter((i, tuple(e := tokenizer.encode(t or "", add_special_tokens=False).ids), tokenizer.decode(e, skip_special_tokens=False)) for i, t in rows)
+    assert collections.Counter((r.doc_id, tuple(r.ids), r.decoded) for r in ids.collect()) == plain
 
 
 def test_each_distinct_word_is_encoded_once(spark):
@@ -104,7 +105,8 @@ def test_each_distinct_word_is_encoded_once(spark):
             calls.update(words)
             return self.inner.encode_batch(words, **more)
 
-    rows = pa.RecordBatch.from_pydict({"bucket": [0, 0], "chunk": [1, 2], "at": [bpe.packed(bpe.np.array([0, 1]))] * 2, "words": [["a", "b"], ["b", "a"]]})
+    sizes, data = zip(bpe.packed_words(["a", "b"]), bpe.packed_words(["b", "a"]), strict=True)
+    rows = pa.RecordBatch.from_pydict({"bucket": [0, 0], "chunk": [1, 2], "at": [bpe.packed(bpe.np.array([0, 1]))] * 2, "word_sizes": sizes, "words": data})
     inner = bpe._tokenizer(PATH)
     kept, bpe._tokenizer = bpe._tokenizer, lambda path: Counting(inner)
     try:
