@@ -24,8 +24,8 @@ BUCKET_WORDS = 1 << 18
 MOST_BUCKETS = 4096
 #: Words that a task remembers. A bucket with more distinct ones encodes some again, which changes no id.
 KNOWN_WORDS = 1 << 21
-#: Words whose ids are put together at a time.
-SLICE = 1 << 20
+#: Words whose ids and text are put together at a time: some megabytes of indices.
+SLICE = 1 << 17
 
 _WORD = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: White space that one Unicode version may know and another not.
@@ -63,7 +63,7 @@ def packed(numbers: np.ndarray) -> bytes:
 
 def unpacked(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
 def _before(sizes: np.ndarray) -> np.ndarray:
@@ -185,7 +185,9 @@ def _tokenizer(path: str):
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places of all elements of the stretches, one after another; where each stretch begins among them)."""
     ends = _before(sizes)
-    return np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1]), ends
+    at = np.repeat(starts - ends[:-1], sizes)
+    at += np.arange(ends[-1])
+    return at, ends
 
 
 def _assemble(slice_words: int):
@@ -193,9 +195,10 @@ def _assemble(slice_words: int):
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 parts = [(np.cumsum(unpacked(p["at"])), unpacked(p["sizes"]), unpacked(p["ids"])) for p in row["parts"] or []]
-                at, size, ids = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
+                at, size, ids = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(3))
                 word_size, word_start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
                 word_size[at], word_start[at] = size, _before(size)[:-1]
                 pieces = sorted((p["id"], p["piece"]) for p in row["pieces"] or [])
