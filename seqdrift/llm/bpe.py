@@ -68,7 +68,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def _before(sizes: np.ndarray) -> np.ndarray:
     """Where each stretch begins, and where the last one ends."""
-    return np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))
 
 
 def packed_words(words: list[str]) -> tuple[bytes, bytes]:
@@ -197,7 +197,7 @@ def _assemble(slice_words: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                parts = [(np.cumsum(unpacked(p["at"])), unpacked(p["sizes"]), unpacked(p["ids"])) for p in row["parts"] or []]
+                parts = [(np.cumsum(unpacked(p["at"]), dtype=np.int64), unpacked(p["sizes"]), unpacked(p["ids"])) for p in row["parts"] or []]
                 at, size, ids = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(3))
                 word_size, word_start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
                 word_size[at], word_start[at] = size, _before(size)[:-1]
