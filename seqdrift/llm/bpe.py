@@ -14,16 +14,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqdrift.llm.common import settle, shuffle_width, small_batches
+from seqdrift.llm.common import settle, settle_bucketed, shuffle_width, small_batches
 from seqdrift.llm.packing import _byte_letters
 
 #: Characters of text that share one list of words; a longer text has a list of its own.
 CHUNK_CHARS = 1 << 25
 #: Words of one bucket of the table, by count over all chunks; buckets never number more than ``MOST_BUCKETS``.
-BUCKET_WORDS = 1 << 18
+BUCKET_WORDS = 1 << 20
 MOST_BUCKETS = 4096
 #: Words that a task remembers. A bucket with more distinct ones encodes some again, which changes no id.
-KNOWN_WORDS = 1 << 21
+KNOWN_WORDS = 1 << 20
 #: Words whose ids and text are put together at a time: some megabytes of indices.
 SLICE = 1 << 17
 
@@ -231,7 +231,8 @@ def encode_documents(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS,
     Texts are split into words once. Each chunk of documents keeps its distinct words and, as one compressed list, its
     documents' words by place; only distinct words are dealt, by hash, into the buckets of the word table. There each is
     encoded once, and its ids go back to the chunks that have it, to be put together by position. A very common word
-    comes once a chunk, so no bucket grows with a word's frequency, and texts are never shuffled. To decode, the ids that
+    comes once a chunk, so no bucket grows with a word's frequency, and neither texts nor places are shuffled: chunks lie
+    in buckets, to which the ids come. To decode, the ids that
     a chunk has are joined with the vocabulary's pieces, and each document's ids are looked up in what the join gave.
     The tokenizer must be byte-level, with no normalizer and no added prefix space.
 
@@ -241,7 +242,7 @@ def encode_documents(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS,
     spark = docs.sparkSession
     small_batches(spark)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = settle(chosen.mapInArrow(_split(chunk_chars), CHUNK))
+    chunks = settle_bucketed(chosen.mapInArrow(_split(chunk_chars), CHUNK), shuffle_width(spark), "chunk")
     words = chunks.agg(F.sum("n_words")).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(shuffle_width(spark), words // bucket_words))
     dealt = chunks.select("chunk", "word_sizes", "words").mapInArrow(_deal(buckets), DEALT)

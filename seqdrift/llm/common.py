@@ -48,6 +48,15 @@ def settle(df: DataFrame) -> DataFrame:
     return table
 
 
+def settle_bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
+    """Like settle(), written in buckets by ``column``: a join on it shuffles the other side only."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"settled_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, column).option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more."""
     for df in tables:
