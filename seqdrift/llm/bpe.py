@@ -18,7 +18,7 @@ from seqdrift.llm.common import settle, settle_bucketed, shuffle_width, small_ba
 from seqdrift.llm.packing import _byte_letters
 
 #: Characters of text that share one list of words; a longer text has a list of its own.
-CHUNK_CHARS = 1 << 25
+CHUNK_CHARS = 1 << 24
 #: Words of one bucket of the table, by count over all chunks; buckets never number more than ``MOST_BUCKETS``.
 BUCKET_WORDS = 1 << 20
 MOST_BUCKETS = 4096
@@ -52,7 +52,7 @@ class _Places(dict):
 
 def _compressed(data: bytes) -> bytes:
     """Compressed with a window of 16 MB, which meets a chunk's copies again."""
-    how = zstandard.ZstdCompressionParameters.from_level(1, enable_ldm=True, window_log=24)
+    how = zstandard.ZstdCompressionParameters.from_level(3, enable_ldm=True, window_log=24)
     return zstandard.ZstdCompressor(compression_params=how).compress(data)
 
 
@@ -248,8 +248,8 @@ def encode_documents(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS,
     dealt = chunks.select("chunk", "word_sizes", "words").mapInArrow(_deal(buckets), DEALT)
     encoded = settle(dealt.repartition(buckets, "bucket").mapInArrow(_encode(path, known_words), PART))
     parts = encoded.groupBy("chunk").agg(F.collect_list(F.struct("at", "sizes", "ids")).alias("parts"))
-    used = encoded.select("chunk", F.explode("used").alias("id")).distinct()
-    pieces = used.join(F.broadcast(id_pieces(spark, path)), "id").groupBy("chunk").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+    used = encoded.groupBy("chunk").agg(F.array_distinct(F.flatten(F.collect_list("used"))).alias("used"))
+    pieces = used.select("chunk", F.explode("used").alias("id")).join(F.broadcast(id_pieces(spark, path)), "id").groupBy("chunk").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
     whole = chunks.select("chunk", "doc_ids", "sizes", "places").join(parts, "chunk", "left").join(pieces, "chunk", "left")
     return whole.mapInArrow(_assemble(slice_words), "doc_id long, ids array<int>, decoded string")
 
