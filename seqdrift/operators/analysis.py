@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqdrift.operators.linalg import chi2_sf, moments, normal_ppf, normal_sf
+from seqdrift.operators.linalg import chi2_sf, leading_axes, moments, normal_ppf, normal_sf
 
 # Polynomial coefficients of Royston's approximation to the Shapiro-Wilk test (algorithm AS R94).
 _LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
@@ -167,12 +167,10 @@ def royston(df: DataFrame, rows: int = 1000, columns: int = 100, column: str = "
 
 def spectrum(df: DataFrame, components: int = 100, column: str = "emb") -> DataFrame:
     """(component, ratio, cumulative) of the standardised table's principal components."""
-    m = moments(df, column)
-    sd = np.sqrt(np.maximum(np.diag(m.covariance(0)), 1e-300))
-    values = np.sort(np.maximum(np.linalg.eigvalsh(m.covariance(1) / np.outer(sd, sd)), 0))[::-1]
-    ratio = values / max(values.sum(), 1e-300)
+    found = leading_axes(df, components, column, scaled=True)
+    ratio = found.values / max(found.total, 1e-300)
     spark = df.sparkSession
-    rows = spark.createDataFrame([(i + 1, float(r)) for i, r in enumerate(ratio[:components])], "component int, ratio double")
+    rows = spark.createDataFrame([(i + 1, float(r)) for i, r in enumerate(ratio)], "component int, ratio double")
     return rows.withColumn("cumulative", F.sum("ratio").over(Window.orderBy("component")))
 
 
@@ -188,7 +186,7 @@ def mean_magnitude(df: DataFrame, column: str = "emb") -> DataFrame:
 
 def eigenvalue_entropy(df: DataFrame, leading: int = 20, column: str = "emb") -> float:
     """Entropy of the leading components' shares of variance."""
-    values = np.sort(np.maximum(np.linalg.eigvalsh(moments(df, column).covariance(1)), 0))[::-1][:leading]
+    values = leading_axes(df, leading, column).values
     shares = values / max(values.sum(), 1e-300)
     return float(-(shares * np.log(np.maximum(shares, 1e-300))).sum())
 

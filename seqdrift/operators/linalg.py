@@ -117,17 +117,110 @@ def feature_moments(df: DataFrame, column: str = "emb") -> tuple[int, np.ndarray
 
 
 def symmetric_inverse(matrix: np.ndarray) -> np.ndarray:
-    """Inverse of a symmetric matrix from its eigenvalues.
+    """Inverse of a symmetric positive matrix from its eigenvalues; one that is singular up to rounding is refused.
 
     ``np.linalg.inv`` of a matrix of about 100 rows or more can wait forever on the driver: starting a session forks the
     process, and OpenBLAS's threaded inversion does not survive that. The eigenvalues do not take that path.
     """
     values, vectors = np.linalg.eigh(matrix)
-    if not values.all():
-        raise np.linalg.LinAlgError("Singular matrix")
+    if len(values) and values.min() <= len(values) * np.finfo(float).eps * np.abs(values).max():
+        raise np.linalg.LinAlgError("Singular matrix, or one with a negative eigenvalue")
     return (vectors / values) @ vectors.T
 
 
+#: Widest vectors whose covariance is formed as a whole.
+DENSE_WIDTH = 512
+#: Columns beside the wanted ones that each pass carries.
+OVERSAMPLE = 10
+
+
+@dataclass
+class Spectrum:
+    """Leading eigenpairs of the sample covariance (of the standardised rows if ``scaled``): axes in columns."""
+
+    n: int
+    mean: np.ndarray
+    total: float
+    values: np.ndarray
+    axes: np.ndarray
+
+
+def _signed(axes: np.ndarray) -> np.ndarray:
+    """Each axis with its largest loading positive."""
+    return axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+
+
+def _new_directions(columns: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of what the columns add to ``basis``; directions that are rounding errors are left out."""
+    norms = np.linalg.norm(columns, axis=0)
+    columns = columns[:, norms > 0] / norms[norms > 0]
+    for _ in range(2):  # once more, against what rounding leaves
+        columns = columns - basis @ (basis.T @ columns)
+    left, size, _ = np.linalg.svd(columns, full_matrices=False)
+    left = left[:, size > 1e-8]
+    left = left - basis @ (basis.T @ left)
+    return left / np.linalg.norm(left, axis=0) if left.size else left
+
+
+def leading_axes(df: DataFrame, components: int, column: str = "emb", scaled: bool = False, dense_width: int = DENSE_WIDTH, tolerance: float = 1e-10, passes: int = 60) -> Spectrum:
+    """The ``components`` greatest eigenvalues and axes.
+
+    Up to ``dense_width`` the covariance is formed in one pass. Beyond, it never is: from random directions, each pass
+    over the rows multiplies a block of a few more than ``components`` vectors by it, partition by partition, and the
+    residuals of the best axes in the space so far are the next block (a block Krylov space, kept orthonormal). The
+    driver holds the width times a few blocks. It stops when the residuals of all wanted axes are below ``tolerance``
+    times the greatest eigenvalue, which bounds their error by that over the gap to the next, and fails after ``passes``.
+    """
+    vectors, shift = _shifted(df, column)
+    d = len(shift)
+    k = min(components, d)
+    if d <= dense_width:
+        m = moments(df, column)
+        matrix = m.covariance(1)
+        if scaled:
+            sd = np.sqrt(np.maximum(np.diag(m.covariance(0)), 1e-300))
+            matrix = matrix / np.outer(sd, sd)
+        values, axes = np.linalg.eigh(matrix)
+        order = np.argsort(values)[::-1][:k]
+        return Spectrum(m.n, m.mean, float(np.maximum(values, 0).sum()), np.maximum(values[order], 0), _signed(axes[:, order]))
+
+    n, mean, variance = feature_moments(df, column)
+    sd = np.sqrt(np.maximum(variance, 1e-300)) if scaled else np.ones(d)
+    total = float((variance / sd**2).sum()) * n / max(n - 1, 1)
+
+    def times(block: np.ndarray) -> np.ndarray:
+        def partial(frames: Iterator[pd.DataFrame]) -> np.ndarray:
+            out = np.zeros((d, block.shape[1]))
+            for x in _stacked(frames, mean):
+                x = x / sd
+                out += x.T @ (x @ block)
+            return out
+
+        return summed_matrix(vectors, partial, block.shape[1]) / max(n - 1, 1)
+
+    width = min(d, k + OVERSAMPLE)
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((d, width)))[0]
+    image = times(basis)
+    for _ in range(passes):
+        small = basis.T @ image
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1][:width]
+        values, turn = values[order], turn[:, order]
+        axes, residual = basis @ turn, image @ turn - (basis @ turn) * values
+        done = np.linalg.norm(residual, axis=0) <= tolerance * max(values[0], 1e-300)
+        if done[:k].all():
+            break
+        if basis.shape[1] > 8 * width:  # start anew from the best axes; their products are known
+            basis, image = axes, image @ turn
+        more = _new_directions(residual[:, ~done], basis)
+        if not more.shape[1]:
+            break
+        basis, image = np.hstack((basis, more)), np.hstack((image, times(more)))
+    else:
+        raise ArithmeticError(f"axes not found to {tolerance} in {passes} passes: their eigenvalues lie too close together")
+    return Spectrum(n, mean, total, np.maximum(values[:k], 0), _signed(axes[:, :k]))
+
+
 def gamma_upper(a: float, x: float) -> float:
     """Regularised upper incomplete gamma: a series below a + 1, a continued fraction above."""
     if x <= 0:

@@ -7,17 +7,15 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqdrift.operators.linalg import moments, symmetric_inverse
+from seqdrift.operators.neighbours import nearest_join
+from seqdrift.operators.settle import settled
 from seqdrift.operators.transforms import EXPRESSION_NUMBERS, PCA, StandardScaler, _array, batched
 
-#: Bytes of the reference that every task holds at a time.
-BLOCK_BYTES = 64 << 20
-
 
 def mahalanobis_expression(x: Column, mean: np.ndarray, inverse: np.ndarray, squared: bool = False) -> Column:
     """sqrt((x - mean)' inverse (x - mean)), a full quadratic form: inside generated code, or for wide vectors one matrix
@@ -75,56 +73,23 @@ def reference_rows(reference: DataFrame, cap: int | None = None, seed: int = 42,
     return rows if cap is None else rows.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(cap)
 
 
-def nearest_of(x: np.ndarray, matrix: np.ndarray, k: int) -> np.ndarray:
-    """The k least distances of each row of x to the matrix's rows, ascending; those found are measured exactly."""
-    k = min(k, len(matrix))
-    squares = (x * x).sum(axis=1)[:, None] + (matrix * matrix).sum(axis=1)[None, :] - 2 * x @ matrix.T
-    at = np.argpartition(squares, k - 1, axis=1)[:, :k]
-    return np.sort(np.sqrt(((x[:, None, :] - matrix[at]) ** 2).sum(axis=2)), axis=1)
-
-
-def _nearer(matrix: np.ndarray, k: int):
-    """A column function: the k least of the distances so far and those to the matrix's rows."""
-
-    @F.pandas_udf("array<double>")
-    def run(vectors: pd.Series, best: pd.Series) -> pd.Series:
-        out: list[np.ndarray] = []
-        step = max(1, (8 << 20) // max(len(matrix), k * matrix.shape[1]))
-        for low in range(0, len(vectors), step):
-            near = nearest_of(np.stack(vectors.iloc[low : low + step].to_numpy()), matrix, k)
-            out += [np.sort(np.concatenate((a, b)))[:k] for a, b in zip(best.iloc[low : low + step], near, strict=True)]
-        return pd.Series(out)
-
-    return run
-
-
-def k_nearest_neighbors(reference: DataFrame, new: DataFrame, k: int, cap: int | None = None, column: str = "emb", distances: bool = False) -> DataFrame:
+def k_nearest_neighbors(reference: DataFrame, new: DataFrame, k: int, cap: int | None = None, column: str = "emb", distances: bool = False, **sizes: int) -> DataFrame:
     """Add ``score``, the mean distance to the k nearest reference rows, or ``distances``, the k ascending distances.
 
-    All reference rows count, unless ``cap`` samples them. Tasks hold the reference one block of ``BLOCK_BYTES`` at a
-    time and never shuffle new rows; a reference of several blocks takes as many passes, each keeping the k best so far.
+    All reference rows count, unless ``cap`` samples them; a null vector gets null. The join is
+    ``neighbours.nearest_join``; new rows are settled once, so that each has a number, and get their distances by it.
     """
-    rows = reference_rows(reference, cap, column=column)
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("d")).first()
-    if not 0 < k <= size["n"]:
-        raise ValueError(f"k must be from 1 to {size['n']}")
-    blocks = max(1, math.ceil(size["n"] * size["d"] * 8 / BLOCK_BYTES))
-    if blocks > 1:
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(blocks))).persist()
-    found = as_vectors(new, column).withColumns({"x_": F.col(column).cast("array<double>"), "distances": F.array().cast("array<double>")})
-    for block in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.col("block") == block)
-        matrix = np.array([r["x"] for r in part.select("x").collect()], float)
-        if not len(matrix):
-            continue
-        found = found.withColumn("distances", _nearer(matrix, k)("x_", "distances"))
-        if blocks > 1:
-            found = found.checkpoint() if found.sparkSession.sparkContext.getCheckpointDir() else found.persist()
-            found.count()
-    found = found.drop("x_")
+    rows = reference_rows(reference, cap, column=column).where("x is not null")
+    n = rows.count()
+    if not 0 < k <= n:
+        raise ValueError(f"k must be from 1 to {n}")
+    vectors = as_vectors(new, column)
+    numbered = settled(vectors.select(F.struct("*").alias("row"), F.col(column).cast("array<double>").alias("x"), F.monotonically_increasing_id().alias("nid")))
+    found = nearest_join(rows.withColumn("id", F.lit(0).cast("long")), numbered.select("nid", "x"), k, **sizes)
+    joined = numbered.select("nid", "row").join(found, "nid", "left").select("row.*", F.col("found.distance").alias("distances"))
     if distances:
-        return found
-    return found.withColumn("score", F.aggregate("distances", F.lit(0.0), lambda s, v: s + v) / k).drop("distances")
+        return joined
+    return joined.withColumn("score", F.aggregate("distances", F.lit(0.0), lambda s, v: s + v) / k).drop("distances")
 
 
 def identity(reference: DataFrame, new: DataFrame, column: str = "emb") -> DataFrame:

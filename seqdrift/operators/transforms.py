@@ -14,7 +14,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqdrift.operators.linalg import feature_moments, moments
+from seqdrift.operators.linalg import DENSE_WIDTH, feature_moments, leading_axes
 
 
 class _Stage(HasInputCol, HasOutputCol):
@@ -236,22 +236,20 @@ class StandardScaler(_Stage, Estimator):
 
 
 class PCA(_Stage, Estimator):
-    """Centred projection on the leading principal axes; each axis has its largest loading positive."""
+    """Centred projection on the leading principal axes; each axis has its largest loading positive.
 
-    def __init__(self, n_components: int, inputCol: str = "emb", outputCol: str | None = None) -> None:
+    Vectors wider than ``dense_width`` get their axes from passes over the rows, without a matrix of their width squared.
+    """
+
+    def __init__(self, n_components: int, inputCol: str = "emb", outputCol: str | None = None, dense_width: int = DENSE_WIDTH) -> None:
         super().__init__()
-        self.n_components = n_components
+        self.n_components, self.dense_width = n_components, dense_width
         self._columns(inputCol, outputCol)
 
     def _fit(self, df: DataFrame) -> ColumnModel:
-        m = moments(df, self.getInputCol())
-        values, vectors = np.linalg.eigh(m.covariance(1))
-        order = np.argsort(values)[::-1][: min(self.n_components, len(values))]
-        axes = vectors[:, order]
-        axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
-        kept = np.maximum(values[order], 0)
-        total = max(float(np.maximum(values, 0).sum()), 1e-300)
-        return ColumnModel("pca", self.getInputCol(), self.getOutputCol(), mean=m.mean, components=axes.T, explained_variance=kept, explained_variance_ratio=kept / total)
+        found = leading_axes(df, self.n_components, self.getInputCol(), dense_width=self.dense_width)
+        ratio = found.values / max(found.total, 1e-300)
+        return ColumnModel("pca", self.getInputCol(), self.getOutputCol(), mean=found.mean, components=found.axes.T, explained_variance=found.values, explained_variance_ratio=ratio)
 
 
 class Subsample(_Stage, Estimator):

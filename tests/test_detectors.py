@@ -336,16 +336,6 @@ def test_registered_queries_run(spark, name):
     assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
-def test_neighbours_in_blocks_of_the_reference(spark, monkeypatch):
-    """A reference of several blocks gives the same distances as NumPy over all of it."""
-    rng = np.random.default_rng(5)
-    train, new = rng.normal(size=(60, 7)), rng.normal(size=(9, 7))
-    monkeypatch.setattr(H, "BLOCK_BYTES", 60 * 7 * 8 // 4)
-    got = H.k_nearest_neighbors(emb(spark, train), emb(spark, new), 5, distances=True).orderBy("sample_id").collect()
-    want = np.sort(np.sqrt(((new[:, None] - train[None]) ** 2).sum(2)), axis=1)[:, :5]
-    assert np.allclose([r.distances for r in got], want)
-
-
 def test_wide_vectors(spark):
     """Products that do not fit an expression against NumPy."""
     rng = np.random.default_rng(6)
