@@ -16,7 +16,7 @@ from seqdrift.operators.transforms import batched
 
 #: Columns beside the wanted ones that a step carries, and columns of the space before it starts anew from the best.
 OVERSAMPLE = 3
-MOST_COLUMNS = 48
+MOST_COLUMNS = 96
 
 
 def neighbour_graph(points: DataFrame, k: int = 15, id_col: str = "sample_id", column: str = "emb", **sizes: int) -> DataFrame:
@@ -120,7 +120,7 @@ def graph_axes(edges: DataFrame, components: int, tolerance: float = 1e-6, steps
     return found, values[:count], worst
 
 
-def spectral_layout(points: DataFrame, k: int = 15, dimensions: int = 2, id_col: str = "sample_id", column: str = "emb", tolerance: float = 1e-4, **sizes: int) -> DataFrame:
+def spectral_layout(points: DataFrame, k: int = 15, dimensions: int = 2, id_col: str = "sample_id", column: str = "emb", tolerance: float = 1e-3, **sizes: int) -> DataFrame:
     """(id_col, place): every row at ``dimensions`` coordinates, near its nearest neighbours.
 
     Coordinates are the graph's leading eigenvectors after the constant one, over the square root of the degree, scaled

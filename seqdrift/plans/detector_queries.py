@@ -15,7 +15,9 @@ from seqdrift.operators import analysis as A
 from seqdrift.operators import evaluation as E
 from seqdrift.operators import results as N
 from seqdrift.operators import scoring as H
+from seqdrift.operators.layout import neighbour_preservation, spectral_layout
 from seqdrift.operators.mixture import GaussianMixture, MixtureModel, MixtureScore, density_expression
+from seqdrift.operators.neighbours import nearest_join
 from seqdrift.operators.transforms import PCA, Apply, Ensemble, Extract, KMeansDistance, StandardScaler, Subsample, row_mean
 from seqdrift.plans.base import BASE_SQL, events, sequences, table
 from seqdrift.sources import io as S
@@ -64,6 +66,16 @@ def H07_knn_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sample_id", F.posexplode("distances").alias("nth", "distance")).withColumn("distance", F.round("distance", 6))
 
 
+@query(_KNN + " SELECT vec_id AS sample_id, CAST(nth - 1 AS INTEGER) AS nth, ref_id, round(dist, 6) AS distance FROM k WHERE nth <= 5")
+def H07_neighbour_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which reference rows are nearest, over cells of a few rows."""
+    train, inside, outside = _splits(spark, sf_dir)
+    rows = inside.unionByName(outside).select(F.col("sample_id").alias("nid"), F.col("emb").alias("x"))
+    found = nearest_join(train.select(F.col("sample_id").alias("id"), F.col("emb").alias("x")), rows, 5, cell_bytes=1 << 16)
+    each = found.select(F.col("nid").alias("sample_id"), F.posexplode("found").alias("nth", "f"))
+    return each.select("sample_id", "nth", F.col("f.id").alias("ref_id"), F.round("f.distance", 6).alias("distance"))
+
+
 _CONFUSION = """ , c AS (SELECT count(*) FILTER (WHERE is_ood AND score > t) AS tp, count(*) FILTER (WHERE is_ood AND score <= t) AS fn,
     count(*) FILTER (WHERE NOT is_ood AND score > t) AS fp, count(*) FILTER (WHERE NOT is_ood AND score <= t) AS tn FROM s, t)
     SELECT CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp, CAST(tn AS BIGINT) AS tn, round(tp / (tp + fn), 6) AS tpr, round(fp / (fp + tn), 6) AS fpr FROM c"""
@@ -155,11 +167,6 @@ def E06_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(found["threshold"], tp, fn, fp, tn, found["auroc"])], "threshold double, tp bigint, fn bigint, fp bigint, tn bigint, auroc double")
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, CAST(p AS INTEGER) AS pca, d AS diagonal FROM (SELECT unnest([1, 2, 4]::INTEGER[]) AS k) a, (SELECT unnest([20, 50]) AS p) b, (SELECT unnest([true, false]) AS d) c")
-def E07_experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.experiment_grid(spark, k=[1, 2, 4], pca=[20, 50], diagonal=[True, False])
-
-
 @query("SELECT CASE WHEN label <= 4 AND vec_id % 5 <> 0 THEN 'train' WHEN label <= 4 THEN 'id_test' ELSE 'ood' END AS part, count(*) AS n FROM embeddings GROUP BY 1")
 def E08_dataset_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [df.select(F.lit(name).alias("part")) for name, df in zip(("train", "id_test", "ood"), _splits(spark, sf_dir), strict=True)]
@@ -332,6 +339,20 @@ def F05_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PCA(5).fit(train).transform(outside).select("sample_id", F.posexplode("emb").alias("component", "value")).withColumn("value", F.round("value", 6))
 
 
+@query(
+    """WITH m AS (SELECT var_samp(CAST(l_quantity AS DOUBLE)) AS a, var_samp(CAST(l_extendedprice AS DOUBLE) / 1000) AS c, covar_samp(CAST(l_quantity AS DOUBLE), CAST(l_extendedprice AS DOUBLE) / 1000) AS b FROM lineitem),
+    v AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS top FROM m), x AS (SELECT *, b / sqrt(b * b + (top - a) ** 2) AS x, (top - a) / sqrt(b * b + (top - a) ** 2) AS y FROM v),
+    s AS (SELECT *, CASE WHEN (CASE WHEN abs(x) >= abs(y) THEN x ELSE y END) < 0 THEN -1 ELSE 1 END AS sign FROM x)
+    SELECT round(x * sign, 6) AS loading_quantity, round(y * sign, 6) AS loading_price, round(top, 4) AS variance, round(top / (a + c), 6) AS ratio FROM s"""
+)
+def F05_pca_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features of every line item, by the passes that wide rows take."""
+    features = F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double") / 1000)
+    p = PCA(1, dense_width=1).fit(table(spark, sf_dir, "lineitem").select(features.alias("emb"))).fitted
+    row = (*(round(float(v), 6) for v in p["components"][0]), round(float(p["explained_variance"][0]), 4), round(float(p["explained_variance_ratio"][0]), 6))
+    return spark.createDataFrame([row], "loading_quantity double, loading_price double, variance double, ratio double")
+
+
 @query()
 def F06_mixture_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, _ = _splits(spark, sf_dir)
@@ -359,6 +380,27 @@ def A06_mean_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.mean_magnitude(_embeddings(spark, sf_dir)).select(F.round("mean_magnitude", 6).alias("mean_magnitude"))
 
 
+@query()
+def A06_effective_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir)
+    found = (A.components_needed(rows, 0.95), A.eigenvalue_entropy(rows))
+    return spark.createDataFrame([found], "effective_dimension int, eigenvalue_entropy double")
+
+
+@query()
+def A08_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding in two dimensions."""
+    placed = spectral_layout(_embeddings(spark, sf_dir))
+    return placed.select("sample_id", F.round(F.col("place")[0], 3).alias("x"), F.round(F.col("place")[1], 3).alias("y"))
+
+
+@query()
+def A08_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact nearest neighbours the layout keeps."""
+    rows = _embeddings(spark, sf_dir)
+    return neighbour_preservation(rows, spectral_layout(rows)).withColumn("preserved", F.round("preserved", 3))
+
+
 @query()
 def A02_mardia(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([A.mardia(_embeddings(spark, sf_dir))])
@@ -424,6 +466,19 @@ def N01_unnest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.unnest_confusion(_stats(spark, sf_dir)).withColumn("auroc", F.round("auroc", 6))
 
 
+@query(
+    _STATS
+    + """ SELECT g.transformations, g.scoring_function, s.transformations IS NOT NULL AS recorded, round(auroc, 6) AS auroc
+    FROM (SELECT 'p' || i AS transformations, 's' || j AS scoring_function FROM (SELECT unnest(range(0, 16)) AS i) x, (SELECT unnest(range(0, 5)) AS j) y) g
+    LEFT JOIN s ON s.transformations = g.transformations AND s.scoring_function = g.scoring_function"""
+)
+def E07_experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every combination of settings, with what has been recorded of it."""
+    grid = E.experiment_grid(spark, transformations=[f"p{i}" for i in range(16)], scoring_function=[f"s{j}" for j in range(5)])
+    stats = _stats(spark, sf_dir).select("transformations", "scoring_function", F.lit(True).alias("recorded"), F.round("auroc", 6).alias("auroc"))
+    return grid.join(stats, ["transformations", "scoring_function"], "left").withColumn("recorded", F.coalesce("recorded", F.lit(False)))
+
+
 @query(_STATS + " SELECT transformations, scoring_function, total FROM s WHERE total >= 100")
 def N02_with_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.with_enough(N.unnest_confusion(_stats(spark, sf_dir))).select("transformations", "scoring_function", "total")

@@ -303,3 +303,29 @@ def R04_scored_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def M08_buffer_to_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     buffer = live_messages(spark, sf_dir).withColumnRenamed("device", "seq_id")
     return M.buffer_to_messages(buffer).groupBy(F.col("seq_id").alias("device")).agg(F.round(F.sum("delta"), 3).alias("seconds"))
+
+
+@query()
+def R04_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every live message through a stream that keeps its buffer, tokenises it and scores it where the state is."""
+    import uuid
+
+    from seqdrift.operators import pooling as P
+    from seqdrift.operators.settle import shared_folder
+    from seqdrift.streaming import live as L
+
+    folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    messages = live_messages(spark, sf_dir).drop("event_id")
+    messages.write.parquet(f"{folder}/in")
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    model = P.toy_hidden_states(4)
+
+    def score(tokens: list[list[int]]) -> list[float]:
+        return [float(h[:, 0].mean()) for h in model(tokens, [12])[12]]
+
+    scored = L.stream_scores(session.readStream.schema(messages.schema).parquet(f"{folder}/in"), score)
+    scored.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(L.LIVE).parquet(f"{folder}/out")
+    return rows.select("device", F.round("ts", 6).alias("ts"), "kind", "session", "n_buffer", F.size("tokens").alias("n_tokens"), F.round("score", 6).alias("score"))

@@ -342,25 +342,45 @@ def G03_future_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(_logits(spark, sf_dir), T.future_logits(F.col("logits"), 20))
 
 
-def _vocabulary_logits(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(V.vocabulary_size(False) - 1)), lambda i: (i % 7).cast("double")).alias("logits"))
+# Logits over the whole vocabulary: each label's mean embedding, repeated.
 
+_WIDE = """WITH e AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, 64)) AS d FROM embeddings),
+    c AS (SELECT label, d, round(avg(v), 6) AS v FROM e GROUP BY ALL),
+    l AS (SELECT label, token, v FROM c JOIN (SELECT unnest(range(0, 55028)) AS token) ON token % 64 = d),
+    f AS (SELECT label, mask, token, v FROM l, ranges WHERE {allowed}),
+    t AS (SELECT label, mask, max(v) AS top FROM f GROUP BY ALL)
+    SELECT f.label, f.mask, count(*) AS n, min(token) AS low, max(token) AS high, min(token) FILTER (WHERE v = top) AS best
+    FROM f JOIN t ON t.label = f.label AND t.mask = f.mask GROUP BY ALL"""
 
-def _spans(df: DataFrame, name: str, logits) -> DataFrame:
-    ids = F.filter(F.transform(logits, lambda x, i: F.when(x > float("-inf"), i)), lambda i: i.isNotNull())
-    return df.select(ids.alias("i")).select(F.lit(name).alias("mask"), F.size("i").cast("bigint").alias("n"), F.array_min("i").cast("bigint").alias("low"), F.array_max("i").cast("bigint").alias("high"))
 
+def _vocabulary_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("d", "v"))
+    means = each.groupBy("label", "d").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("v"))
+    rows = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "v")))["v"].alias("v"))
+    tokens = F.sequence(F.lit(0), F.lit(V.vocabulary_size(False) - 1))
+    wide = F.transform(F.array("v"), lambda v: F.transform(tokens, lambda i: F.get(v, i % 64)))[0]  # the means are sorted once
+    return rows.select("label", wide.alias("logits"))
 
-@query("SELECT * FROM (VALUES ('time', CAST(201 AS BIGINT), CAST(99 AS BIGINT), CAST(299 AS BIGINT)), ('duration', 1000, 10000, 10999), ('note', 16512, 11000, 27511)) t(mask, n, low, high)")
+
+def _masked(df: DataFrame, name: str, logits) -> DataFrame:
+    """How many tokens a mask leaves, the least and greatest, and the likeliest, which is the least of equal ones."""
+    ids = F.filter(F.transform("logits", lambda x, i: F.when(x > float("-inf"), i)), lambda i: i.isNotNull())
+    best = F.array_position("logits", F.array_max("logits")) - 1
+    left = df.select("label", logits.alias("logits")).select("label", ids.alias("i"), best.alias("best"))
+    spans = [F.size("i").cast("bigint").alias("n"), F.array_min("i").cast("bigint").alias("low"), F.array_max("i").cast("bigint").alias("high")]
+    return left.select("label", F.lit(name).alias("mask"), *spans, "best")
+
+
+@query(_WIDE.replace("WITH e", "WITH ranges AS (SELECT * FROM (VALUES ('time', 99, 299), ('duration', 10000, 10999), ('note', 11000, 27511)) r(mask, low, high)), e").format(allowed="token BETWEEN ranges.low AND ranges.high"))
 def G01_safe_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _vocabulary_logits(spark)
-    parts = [_spans(df, name, T.safe_logits(F.col("logits"), slot, 100)) for slot, name in enumerate(("time", "duration", "note"))]
+    df = _vocabulary_logits(spark, sf_dir)
+    parts = [_masked(df, name, T.safe_logits(F.col("logits"), slot, 100)) for slot, name in enumerate(("time", "duration", "note"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT 'instrument 0' AS mask, CAST(55028 - 16384 AS BIGINT) AS n, CAST(0 AS BIGINT) AS low, CAST(55027 AS BIGINT) AS high")
+@query(_WIDE.replace("WITH e", "WITH ranges AS (SELECT 'instrument 0' AS mask), e").format(allowed="token < 11128 OR token >= 27512"))
 def G04_instrument_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(_vocabulary_logits(spark), "instrument 0", T.instrument_logits(F.col("logits"), 0))
+    return _masked(_vocabulary_logits(spark, sf_dir), "instrument 0", T.instrument_logits(F.col("logits"), 0))
 
 
 @query()
