@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import json
 import struct
+import time
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,41 +96,80 @@ def write_recording(messages: DataFrame, path: str) -> None:
 
 
 class EmbeddingCache:
-    """Embeddings (sample_id, emb) by dataset, pool and layer in one partitioned Parquet table.
+    """Embeddings (sample_id, layer, emb) by dataset, pool and version; ``version`` is a hash the caller takes of the data
+    and model, so that a changed input is never served an old table.
 
-    A key also carries ``version``, a hash the caller takes of the data and model, so a changed input is never served an
-    old table. Reading prunes partitions; it is a hit only if all layers are there.
+    A write goes to a folder of its own, with a partition a layer, and becomes visible by one row of the manifest, all
+    its layers at once. A write that fails before that row leaves nothing that a reader sees. The newest row that has a
+    layer of a key gives it, so writing a key again replaces it. Reading is a hit only if all layers are there.
     """
 
+    MANIFEST = "dataset string, pool string, version string, layers array<int>, run string, at long"
+    ROWS = "sample_id long, emb array<double>, layer int"
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path, self.memo = spark, path, {}
 
     def write(self, embeddings: DataFrame, dataset: str, pool: str, version: str = "0") -> None:
-        keyed = embeddings.withColumns({"dataset": F.lit(dataset), "pool": F.lit(pool), "version": F.lit(version)})
-        keyed.write.partitionBy("dataset", "pool", "version", "layer").mode("append").parquet(self.path)
+        run = uuid.uuid4().hex
+        rows = embeddings.select(F.col("sample_id").cast("long").alias("sample_id"), F.col("emb").cast("array<double>").alias("emb"), F.col("layer").cast("int").alias("layer"))
+        rows.write.partitionBy("layer").parquet(self._data(run))
+        layers = [r["layer"] for r in self._rows(run).select("layer").distinct().orderBy("layer").collect()]
+        self._commit(dataset, pool, version, layers, run)
+        for key in [k for k in self.memo if k[:3] == (dataset, pool, version)]:
+            self.memo.pop(key).unpersist()
+
+    def _data(self, run: str) -> str:
+        return f"{self.path}/data/{run}"
+
+    def _rows(self, run: str) -> DataFrame:
+        return self.spark.read.schema(self.ROWS).parquet(self._data(run))
+
+    def _commit(self, dataset: str, pool: str, version: str, layers: list[int], run: str) -> None:
+        entry = self.spark.createDataFrame([(dataset, pool, version, layers, run, time.time_ns())], self.MANIFEST)
+        entry.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def entries(self) -> DataFrame:
+        """The manifest: a row a committed write, the newest of each key and layer being the one in force."""
+        try:
+            return self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifest")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.MANIFEST)
 
     def read(self, dataset: str, pool: str, layers: list[int], version: str = "0") -> DataFrame | None:
-        key = (dataset, pool, version, tuple(sorted(layers)))
+        key = (dataset, pool, version, tuple(sorted(set(layers))))
         if key in self.memo:
             return self.memo[key]
-        try:
-            table = self.spark.read.parquet(self.path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-                return None
-            raise
-        rows = table.where((F.col("dataset") == dataset) & (F.col("pool") == pool) & (F.col("version").cast("string") == version) & F.col("layer").isin(layers))
-        if rows.select("layer").distinct().count() < len(set(layers)):
+        mine = self.entries().where((F.col("dataset") == dataset) & (F.col("pool") == pool) & (F.col("version") == version))
+        newest = mine.select(F.explode("layers").alias("layer"), "run", "at").groupBy("layer").agg(F.max_by("run", F.struct("at", "run")).alias("run"))
+        runs: dict[str, list[int]] = {}
+        for r in newest.where(F.col("layer").isin(list(key[3]))).collect():
+            runs.setdefault(r["run"], []).append(r["layer"])
+        if sum(map(len, runs.values())) < len(key[3]):
             return None
-        self.memo[key] = rows.select("sample_id", "layer", "emb").persist()
+        parts = [self._rows(run).where(F.col("layer").isin(there)) for run, there in sorted(runs.items())]
+        self.memo[key] = reduce(DataFrame.unionByName, parts).select("sample_id", "layer", "emb").persist()
         return self.memo[key]
 
-    def clear(self) -> None:
-        """Forget what is held in memory; files stay."""
+    def forget(self) -> None:
+        """Let go of what is held in memory; files stay."""
         for df in self.memo.values():
             df.unpersist()
         self.memo.clear()
 
+    def clear(self) -> None:
+        """Empty the cache: the manifest first, so that no reader meets half of it, then every write that it named.
+
+        Tables are overwritten with none of their rows; nothing else below the path is touched.
+        """
+        self.forget()
+        runs = [r["run"] for r in self.entries().select("run").distinct().collect()]
+        self.spark.createDataFrame([], self.MANIFEST).write.mode("overwrite").parquet(f"{self.path}/manifest")
+        for run in runs:
+            self.spark.createDataFrame([], self.ROWS).write.mode("overwrite").parquet(self._data(run))
+
 
 def append_stats(stats: DataFrame, path: str) -> None:
     stats.write.mode("append").json(path)
