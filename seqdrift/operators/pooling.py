@@ -104,3 +104,9 @@ def extract_representations(windows: DataFrame, model: HiddenStates, layers: lis
 
     source = windows.select(F.col(id_col).cast("long").alias("sample_id"), "input_ids")
     return source.mapInPandas(forward, "sample_id long, layer int, h array<array<double>>").select("sample_id", "layer", pool(F.col("h")).alias("emb"))
+
+
+def toy_embeddings(sequences: DataFrame, dimensions: int = 8, layer: int = 12) -> DataFrame:
+    """(sample_id, emb) of whole token sequences (seq_id, tokens), by the toy model: a first stage for ``Extract``."""
+    windows = sequences.select(F.col("seq_id").alias("sample_id"), F.col("tokens").alias("input_ids"))
+    return extract_representations(windows, toy_hidden_states(dimensions), [layer]).drop("layer")

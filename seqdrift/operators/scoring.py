@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,9 +116,10 @@ class OODDetector:
         return next(s.fitted for s in self.pipeline.stages if getattr(s, "fitted", {}).get("kind") == kind)
 
 
-def standard_detector(train: DataFrame, components: int = 10) -> OODDetector:
-    """The detector for live use: PCA, scaler, Mahalanobis distance."""
-    return OODDetector([PCA(components), StandardScaler()], mahalanobis_distance, train)
+def standard_detector(train: DataFrame, components: int = 10, extract: Transformer | None = None) -> OODDetector:
+    """The detector for live use: PCA, scaler, Mahalanobis distance; with ``extract`` as first stage, from tokens on."""
+    first = [] if extract is None else [extract]
+    return OODDetector([*first, PCA(components), StandardScaler()], mahalanobis_distance, train)
 
 
 def detector_parameters(detector: OODDetector, eps: float = 1e-6) -> dict:

@@ -255,6 +255,17 @@ def H09_detector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.standard_detector(train).score(inside.unionByName(outside)).select("sample_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def H11_token_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From tokens to scores: two thirds of the users are the reference, the others are scored."""
+    from seqdrift.operators.pooling import toy_embeddings
+
+    rows = sequences(spark, sf_dir, "plain")
+    train, new = rows.where(F.col("seq_id") % 3 != 0), rows.where(F.col("seq_id") % 3 == 0)
+    detector = H.standard_detector(train, 4, Extract(toy_embeddings, dimensions=4, layer=12))
+    return detector.score(new).select("sample_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def X01_exported_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by the exported parameters; the tests hold them against the detector's own."""

@@ -100,3 +100,25 @@ def test_buffer_tokens():
     assert S.buffer_tokens([]) == [55_026]
     assert S.buffer_tokens([(5.0, "note_off", 60, 0, 0), (5.5, "note_on", 60, 9, 0), (5.625, "note_on", 60, 9, 0), (6.0, "note_off", 60, 0, 0)]) == [55_026, 50, 10_050, 11_060, 62, 10_025, 11_060]
     assert S.buffer_tokens([(0.0, "note_on", 36, 1, 9), (20.0, "note_on", 36, 0, 9)])[1:] == [0, 10_999, 11_000 + 128 * 128 + 36]
+
+
+def test_detector_from_tokens_to_scores(spark):
+    """Extraction, axes, scaling and distance in one fitted detector, against the same in NumPy."""
+    from seqdrift.operators.transforms import Extract
+
+    rng = np.random.default_rng(4)
+    tokens = [[55_026, *rng.integers(0, 27_000, int(rng.integers(3, 60))).tolist()] for _ in range(50)]
+    rows = spark.createDataFrame(list(enumerate(tokens)), "seq_id long, tokens array<int>")
+    train, new = rows.where("seq_id < 40"), rows.where("seq_id >= 40")
+    detector = H.standard_detector(train, 3, Extract(P.toy_embeddings, dimensions=4, layer=12))
+    got = [r.score for r in detector.score(new).orderBy("sample_id").collect()]
+
+    states = [np.sin(np.outer(np.array(t, float) + 1, np.arange(1, 5)) * 0.618 + 12) for t in tokens]
+    x = np.stack([np.concatenate((h.mean(0), h.std(0))) for h in states])
+    mean = x[:40].mean(0)
+    axes = np.linalg.svd(x[:40] - mean, full_matrices=False)[2][:3]
+    z = (x - mean) @ axes.T
+    z = (z - z[:40].mean(0)) / z[:40].std(0)
+    inverse = np.linalg.inv(np.cov(z[:40].T) + 1e-6 * np.eye(3))
+    d = z[40:] - z[:40].mean(0)
+    assert np.allclose(got, np.sqrt(((d @ inverse) * d).sum(1)), rtol=1e-6)
