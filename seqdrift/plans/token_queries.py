@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqdrift import vocab as V
 from seqdrift.functions import tokens as T
+from seqdrift.operators import extraction as X
 from seqdrift.operators import pooling as P
 from seqdrift.operators import windows as W
+from seqdrift.operators.settle import shared_folder
 from seqdrift.plans.base import BASE_SQL, sequences, table, token_text
 from seqdrift.sources import io as S
 
@@ -313,6 +317,48 @@ def P01_extract_representations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.extract_representations(windows, P.toy_hidden_states(8), [0, 12]).select("sample_id", "layer", F.size("emb").alias("dims"), F.round(F.col("emb")[0], 6).alias("first"))
 
 
+# Extraction: windows of at most 8 events, the ends of sequences included; layers 0 to 4 of the toy model, two dimensions.
+
+_STATES = """, w AS (SELECT seq_id, tokens, CAST(unnest(range(0, CAST(len(tokens) AS BIGINT) - 1, 6)) AS INTEGER) AS start FROM seqs WHERE len(tokens) > 1),
+    win AS (SELECT seq_id * 100000 + start AS sample_id, [tokens[1]] || tokens[start + 2 : start + 25] AS ids FROM w),
+    sized AS (SELECT sample_id, ids, len(ids) AS n, (row_number() OVER (ORDER BY sample_id) - 1) // 100 AS batch FROM win),
+    padded AS (SELECT sample_id, ids, n, max(n) OVER (PARTITION BY batch) AS longest FROM sized),
+    x AS (SELECT sample_id, n, {longest} AS longest, unnest(ids) AS tok FROM padded),
+    v AS (SELECT sample_id, n, longest, layer, dim, sin(CAST((tok + 1) * dim AS DOUBLE) * 0.618::DOUBLE + layer) AS v, sin(dim * 0.618::DOUBLE + layer) AS pad
+          FROM x, (SELECT unnest(range(0, 5)) AS layer), (SELECT unnest(range(1, 3)) AS dim)),
+    m AS (SELECT sample_id, layer, dim, any_value(n) AS n, any_value(longest) AS longest, any_value(pad) AS pad, (sum(v) + (any_value(longest) - any_value(n)) * any_value(pad)) / any_value(longest) AS mean FROM v GROUP BY ALL),
+    s AS (SELECT m.sample_id, m.layer, m.dim, any_value(mean) AS mean, sqrt((sum((v - mean) * (v - mean)) + any_value((m.longest - m.n) * (m.pad - mean) * (m.pad - mean))) / any_value(m.longest)) AS std
+          FROM m JOIN v ON v.sample_id = m.sample_id AND v.layer = m.layer AND v.dim = m.dim GROUP BY m.sample_id, m.layer, m.dim)
+    SELECT sample_id, CAST(layer AS INTEGER) AS layer, CAST(dim - 1 AS INTEGER) AS dim, round(mean, 6) AS value FROM s
+    UNION ALL SELECT sample_id, CAST(layer AS INTEGER), CAST(dim + 1 AS INTEGER), round(std, 6) FROM s"""
+
+
+def _ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = W.materialise(W.window_index(sequences(spark, sf_dir), 8, 2, drop_last=False), 8)
+    return made.select((F.col("seq_id") * 100_000 + F.col("start")).alias("sample_id"), "input_ids")
+
+
+def _by_dimension(rows: DataFrame) -> DataFrame:
+    return rows.select("sample_id", "layer", F.posexplode("emb").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(BASE_SQL + _STATES.format(longest="n"))
+def P02_extract_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_dimension(X.extract_layers(_ragged(spark, sf_dir), X.toy(2, 4)))
+
+
+@query(BASE_SQL + _STATES.format(longest="longest"))
+def P02_extract_layers_pad_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_dimension(X.extract_layers(_ragged(spark, sf_dir), X.toy(2, 4), pad_compat=True))
+
+
+@query(BASE_SQL + _STATES.format(longest="n"))
+def P08_extract_all_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All layers through the cache: extracted and committed together, then read."""
+    cache = S.EmbeddingCache(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    return _by_dimension(X.extract_all_layers(cache, _ragged(spark, sf_dir), X.toy(2, 4), "windows", "0"))
+
+
 # Logits: each embedding's 64 values stand for 64 tokens.
 
 _LOGITS = "l AS (SELECT vec_id, i - 1 AS token, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"
