@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqdrift import vocab as V
 from seqdrift.operators import events as E
 from seqdrift.operators import midi as M
+from seqdrift.operators.settle import settled, shared_folder
 from seqdrift.plans.base import BASE_SQL, events, notes, table
 from seqdrift.streaming import pedal as R
 
@@ -308,10 +311,7 @@ def M08_buffer_to_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def R04_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every live message through a stream that keeps its buffer, tokenises it and scores it where the state is."""
-    import uuid
-
     from seqdrift.operators import pooling as P
-    from seqdrift.operators.settle import shared_folder
     from seqdrift.streaming import live as L
 
     folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
@@ -329,3 +329,42 @@ def R04_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(L.LIVE).parquet(f"{folder}/out")
     return rows.select("device", F.round("ts", 6).alias("ts"), "kind", "session", "n_buffer", F.size("tokens").alias("n_tokens"), F.round("score", 6).alias("score"))
+
+
+# Files: what is written comes back as notes, paired first in, first out; a note without an end lasts 25 ticks.
+
+
+@query(
+    BASE_SQL
+    + _MIDI
+    + """, o AS (SELECT seq_id, instr, pitch, onset, velocity, row_number() OVER (PARTITION BY seq_id, instr, pitch ORDER BY onset, note_idx) AS nth FROM compound),
+    f AS (SELECT seq_id, instr, pitch, onset + CASE WHEN dur < 0 THEN 25 ELSE dur END AS fin, row_number() OVER (PARTITION BY seq_id, instr, pitch ORDER BY onset + CASE WHEN dur < 0 THEN 25 ELSE dur END, note_idx) AS nth FROM compound)
+    SELECT o.seq_id, o.onset, CAST(f.fin - o.onset AS INTEGER) AS dur, o.pitch, o.instr, o.velocity FROM o JOIN f ON f.seq_id = o.seq_id AND f.instr = o.instr AND f.pitch = o.pitch AND f.nth = o.nth"""
+)
+def S11_S12_midi_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's notes, written as files, committed, read and paired again."""
+    from seqdrift.sources import midi_files
+    from seqdrift.sources.io import encode_midi
+
+    midi_files.register(spark)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    encode_midi(M.to_messages(M.to_compound(_messages(spark, sf_dir)))).write.format("midi_files").mode("append").save(path)
+    return M.to_compound(spark.read.format("midi_files").load(path)).drop("note_idx")
+
+
+@query(_LIVE + " SELECT device, round(ts, 6) AS ts, type, CAST(note AS INTEGER) AS note, CAST(velocity AS INTEGER) AS velocity, CAST(channel AS INTEGER) AS channel FROM m")
+def S13_live_port(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every device's log through the streaming source, in two runs of one query: the second goes on from the checkpoint."""
+    from pyspark.sql import Window
+
+    from seqdrift.streaming import port
+
+    port.register(spark)
+    folder = f"{shared_folder(spark)}/port-{uuid.uuid4().hex}"
+    messages = live_messages(spark, sf_dir)
+    half = F.ntile(2).over(Window.partitionBy("device").orderBy("ts", "event_id"))
+    for upto in (1, 2):  # the second time, the first half's records are written again as they were
+        settled(port.write_log(messages.withColumn("half", half).where(F.col("half") <= upto), f"{folder}/log", ("ts", "event_id")))
+        stream = spark.readStream.format("live_port").load(f"{folder}/log")
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(port.MESSAGES).parquet(f"{folder}/out").withColumn("ts", F.round("ts", 6))
