@@ -29,18 +29,18 @@ class Model:
     """A model by name: ``load`` runs once in each Python worker, and ``depth`` layers follow the embedding, layer 0."""
 
     name: str
-    load: Callable[[], PaddedStates]
-    depth: int
+    load: Callable[[], Callable]
+    depth: int = 0
 
     @property
     def layers(self) -> list[int]:
         return list(range(self.depth + 1))
 
 
-_loaded: dict[str, PaddedStates] = {}
+_loaded: dict[str, Callable] = {}
 
 
-def _in_worker(model: Model) -> PaddedStates:
+def in_worker(model: Model) -> Callable:
     if model.name not in _loaded:
         _loaded.clear()  # a worker holds one model
         _loaded[model.name] = model.load()
@@ -78,7 +78,7 @@ def _pooled(sample_ids: pa.Array, ids: pa.ListArray, model: Model, layers: list[
     real = np.arange(lengths.max())[None, :] < lengths[:, None]
     padded = np.zeros(real.shape, np.int64)
     padded[real] = ids.flatten().to_numpy(zero_copy_only=False)
-    states = _in_worker(model)(padded, layers)
+    states = in_worker(model)(padded, layers)
     counts = np.ones_like(real, float) if pad_counts else real.astype(float)
     for layer in layers:
         h = np.where(counts[:, :, None] > 0, states[layer], 0.0)  # a model may leave anything in the padding

@@ -1,4 +1,4 @@
-"""Autoregressive event sampling with an injected next-token model, one sequence a row."""
+"""Autoregressive event sampling with an injected next-token model: one sequence a row, or many at once."""
 
 from __future__ import annotations
 
@@ -7,11 +7,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seqdrift import vocab as V
+from seqdrift.operators.extraction import Model, in_worker
 
 #: Token ids so far to logits over the vocabulary.
 NextToken = Callable[[list[int]], np.ndarray]
+#: Padded ids (sequences, positions) and each row's length to logits over the vocabulary (sequences, tokens).
+BatchNextToken = Callable[[np.ndarray, np.ndarray], np.ndarray]
 HISTORY = 1017
 
 
@@ -47,13 +51,18 @@ def nucleus_choice(logits: np.ndarray, top_p: float, rng: np.random.Generator) -
     return int(order[rng.choice(len(p), p=p)])
 
 
-def add_event(model: NextToken, lead: list[int], tokens: list[int], top_p: float, rng: np.random.Generator, velocity: bool = False) -> list[int]:
-    """The next event tuple after ``tokens``, whose history is cut and moved to start at 0."""
-    k = V.stride(velocity)
+def _history(tokens: list[int], k: int) -> tuple[list[int], int, int]:
+    """What a model sees of the tokens so far, moved to start at 0, and the least and greatest time in it."""
     history = tokens[max(len(tokens) - HISTORY // k * k, 0) :]
     times = [t - V.ANTICIPATED if n >= V.ANTICIPATED else t for t, n in zip(history[::k], history[2::k], strict=True) if n != V.SEP]
     base, now = min(times, default=0), max(times, default=0)
-    history = [t - base if i % k == 0 else t for i, t in enumerate(history)]
+    return [t - base if i % k == 0 else t for i, t in enumerate(history)], base, now
+
+
+def add_event(model: NextToken, lead: list[int], tokens: list[int], top_p: float, rng: np.random.Generator, velocity: bool = False) -> list[int]:
+    """The next event tuple after ``tokens``, whose history is cut and moved to start at 0."""
+    k = V.stride(velocity)
+    history, base, now = _history(tokens, k)
     event: list[int] = []
     for slot in range(k):
         event.append(nucleus_choice(masked(model(lead + history + event), slot, now - base, velocity), top_p, rng))
@@ -94,3 +103,113 @@ def generate_column(prompts: DataFrame, model: NextToken, n_events: int, top_p:
             yield pd.DataFrame(out, columns=["seq_id", "tokens"])
 
     return prompts.select("seq_id", "tokens").mapInPandas(run, "seq_id long, tokens array<int>")
+
+
+# Many sequences a model call.
+
+
+def nucleus_rows(logits: np.ndarray, top_p: float, draws: np.ndarray) -> np.ndarray:
+    """``nucleus_choice`` of each row, by a uniform draw a row; -inf is never chosen."""
+    order = np.argsort(-logits, axis=1, kind="stable")
+    ranked = np.take_along_axis(logits, order, axis=1)
+    p = np.exp(ranked - ranked[:, :1])
+    p /= p.sum(axis=1, keepdims=True)
+    if top_p < 1:
+        p = np.where(np.cumsum(p, axis=1) - p <= top_p, p, 0.0)
+        p[:, 0] = np.maximum(p[:, 0], np.finfo(float).tiny)
+    cdf = np.cumsum(p, axis=1)
+    cdf /= cdf[:, -1:]
+    chosen = np.minimum((cdf <= draws[:, None]).sum(axis=1), logits.shape[1] - 1)
+    return np.take_along_axis(order, chosen[:, None], axis=1)[:, 0]
+
+
+def decode_batch(model: BatchNextToken, prompts: list[list[int]], controls: list[list[int]], seeds: list[int], n_events: int, top_p: float = 1.0, delta: int = V.DELTA, velocity: bool = False, autoregressive: bool = False, max_gap: int = 200) -> list[list[int]]:
+    """``generate`` of every prompt with its own queue of controls and its own draws, ``V.stride`` model calls an event.
+
+    Only the legal tokens of a slot are ranked. A sequence whose next time no token can say ends early.
+    """
+    k = V.stride(velocity)
+    rngs = [np.random.default_rng([s, len(p)]) for s, p in zip(seeds, prompts, strict=True)]
+    tokens = [list(p) for p in prompts]
+    queues = [[c[i : i + k] for i in range(0, len(c), k)] for c in controls]
+    leads = [V.AAR if c and not autoregressive else V.AR for c in controls]
+    ahead, released, live = 0 if autoregressive else delta, [0] * len(prompts), list(range(len(prompts)))
+    bounds = {1: (V.DURATION, V.NOTE), 2: (V.NOTE, V.NOTE + V.MAX_PITCH), 3: (V.VELOCITY, V.ANTICIPATED_VELOCITY)}
+    for _ in range(n_events):
+        rows, moved, bases = [], [], []
+        for i in live:
+            now = tokens[i][-k] % V.ANTICIPATED if tokens[i] else 0
+            while released[i] < len(queues[i]) and now >= queues[i][released[i]][0] - V.ANTICIPATED - ahead:
+                control = queues[i][released[i]]
+                tokens[i] += [t - V.ANTICIPATED for t in control] if autoregressive else control
+                released[i] += 1
+            history, base, now = _history(tokens[i], k)
+            if max(now - base, 0) < V.DURATION:
+                rows.append([leads[i], *history])
+                moved.append(max(now - base, 0))
+                bases.append(base)
+            else:
+                rows.append([])
+        live = [i for i, row in zip(live, rows, strict=True) if row]
+        rows = [row for row in rows if row]
+        if not rows:
+            break
+        lengths = np.array([len(r) for r in rows])
+        ids = np.zeros((len(rows), lengths.max() + k), np.int64)
+        ids[np.arange(ids.shape[1])[None, :] < lengths[:, None]] = np.concatenate(rows)
+        at = np.arange(len(rows))
+        for slot in range(k):
+            logits = model(ids[:, : lengths.max()], lengths)
+            low = np.array(moved) if slot == 0 else np.full(len(rows), bounds[slot][0])
+            high = np.minimum(low + max_gap, V.DURATION) if slot == 0 else np.full(len(rows), bounds[slot][1])
+            legal = low[:, None] + np.arange((high - low).max())[None, :]
+            within = legal < high[:, None]
+            legal_logits = np.where(within, np.take_along_axis(logits, np.where(within, legal, 0), axis=1), -np.inf)
+            draws = np.array([rngs[i].random() for i in live])
+            ids[at, lengths] = low + nucleus_rows(legal_logits, top_p, draws)
+            lengths += 1
+        for j, i in enumerate(live):
+            event = ids[j, lengths[j] - k : lengths[j]].tolist()
+            tokens[i] += [event[0] + bases[j], *event[1:]]
+    return tokens
+
+
+def decode(prompts: DataFrame, model: Model, n_events: int, top_p: float = 0.95, delta: int = V.DELTA, velocity: bool = False, autoregressive: bool = False, batch_size: int = 32) -> DataFrame:
+    """(seq_id, tokens) of prompts (seq_id, tokens, and controls if there are any), continued in batches of like length.
+
+    ``controls`` are anticipated events in order of time. Each is put in as soon as the music comes within ``delta`` ticks
+    of it, or, when ``autoregressive``, as a plain event when the music reaches it. Draws depend on seq_id, which may not
+    be negative, and the prompt's length alone, so neither partitions nor batches matter.
+    """
+    with_controls = "controls" in prompts.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in range(0, len(frame), batch_size):
+                part = frame.iloc[start : start + batch_size]
+                seq_ids = part["seq_id"].tolist()
+                lists = [[[int(t) for t in x] for x in part[c]] for c in ("tokens", "controls")]
+                out = decode_batch(in_worker(model), *lists, seq_ids, n_events, top_p, delta, velocity, autoregressive)
+                yield pd.DataFrame({"seq_id": seq_ids, "tokens": out})
+
+    none = F.array().cast("array<int>")
+    given = F.coalesce(F.col("controls").cast("array<int>"), none) if with_controls else none
+    rows = prompts.select(F.col("seq_id").cast("long").alias("seq_id"), F.coalesce(F.col("tokens").cast("array<int>"), none).alias("tokens"), given.alias("controls"))
+    return rows.sortWithinPartitions(F.size("tokens"), "seq_id").mapInPandas(run, "seq_id long, tokens array<int>")
+
+
+def toy_decoder(velocity: bool = False) -> Model:
+    """``toy_model`` for many sequences a call."""
+
+    def load() -> BatchNextToken:
+        phase = np.arange(V.vocabulary_size(velocity)) * 0.37
+
+        def logits(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+            at = lengths[:, None] - np.minimum(lengths, 6)[:, None] + np.arange(6)[None, :]
+            last = np.where(at < lengths[:, None], np.take_along_axis(ids, np.minimum(at, ids.shape[1] - 1), axis=1), 0)
+            seeds = 1 + (last * np.arange(1, 7)).sum(axis=1)
+            return np.sin(phase[None, :] + (seeds % 1009)[:, None])
+
+        return logits
+
+    return Model(f"toy decoder {velocity}", load)

@@ -11,9 +11,10 @@ from seqdrift import vocab as V
 from seqdrift.functions import tokens as T
 from seqdrift.operators import extraction as X
 from seqdrift.operators import pooling as P
+from seqdrift.operators import sampling
 from seqdrift.operators import windows as W
 from seqdrift.operators.settle import shared_folder
-from seqdrift.plans.base import BASE_SQL, sequences, table, token_text
+from seqdrift.plans.base import BASE_SQL, events, sequences, table, token_text
 from seqdrift.sources import io as S
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -429,10 +430,35 @@ def G04_instrument_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _masked(_vocabulary_logits(spark, sf_dir), "instrument 0", T.instrument_logits(F.col("logits"), 0))
 
 
+def _with_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole plain sequences moved to start at 0, with their anticipated events as controls in order of time."""
+    every = events(spark, sf_dir).where(F.col("note") != V.SEP)
+    event = F.struct(F.col("time").alias("time"), "ev_idx", "dur", "note")
+    sides = every.groupBy("seq_id").agg(*[F.array_sort(F.collect_list(F.when(side, event))).alias(name) for name, side in (("tokens", F.col("note") < V.ANTICIPATED), ("controls", F.col("note") >= V.ANTICIPATED))])
+    return sides.select("seq_id", *[F.flatten(F.transform(c, lambda e: F.array(e["time"], e["dur"], e["note"]))).alias(c) for c in ("tokens", "controls")])
+
+
+def _decoded(spark: SparkSession, sf_dir: str, autoregressive: bool) -> DataFrame:
+    # A prompt is what lies before the first control; all controls that the new music reaches are put in.
+    rows = _with_controls(spark, sf_dir).where(F.size("controls") > 0)
+    first = F.get("controls", F.lit(0)) - V.ANTICIPATED - V.DELTA
+    before = F.flatten(F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.size("tokens") / 3).cast("int")), lambda i: F.slice("tokens", i * 3 + 1, F.lit(3))), lambda e: F.get(e, F.lit(0)) < first))
+    return sampling.decode(rows.withColumn("tokens", before), sampling.toy_decoder(), 6, autoregressive=autoregressive).select("seq_id", token_text(F.col("tokens")).alias("tokens"))
+
+
 @query()
-def G08_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from seqdrift.operators import sampling
+def G06_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six new events a sequence, its controls put in ahead of the music."""
+    return _decoded(spark, sf_dir, False)
+
 
-    prompts = sequences(spark, sf_dir, "plain").select("seq_id", F.slice("tokens", 2, 30).alias("tokens"))
-    made = sampling.generate_column(prompts, sampling.toy_model(), 2, velocity=False)
-    return made.select("seq_id", F.size("tokens").alias("n"))
+@query()
+def G07_generate_ar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six new events a sequence, its controls put in as plain events when the music reaches them."""
+    return _decoded(spark, sf_dir, True)
+
+
+@query()
+def G08_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two new events after each whole sequence."""
+    return sampling.decode(sequences(spark, sf_dir, "plain").withColumn("tokens", F.slice("tokens", F.lit(2), F.size("tokens"))), sampling.toy_decoder(), 2).select("seq_id", token_text(F.col("tokens")).alias("tokens"))
