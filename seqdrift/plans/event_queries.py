@@ -348,7 +348,8 @@ def S11_S12_midi_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     midi_files.register(spark)
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    encode_midi(M.to_messages(M.to_compound(_messages(spark, sf_dir)))).write.format("midi_files").mode("append").save(path)
+    compound = settled(M.to_compound(_messages(spark, sf_dir)))  # its pairing would be planned, and done, for each use of it
+    encode_midi(M.to_messages(compound)).write.format("midi_files").mode("append").save(path)
     return M.to_compound(spark.read.format("midi_files").load(path)).drop("note_idx")
 
 
