@@ -115,6 +115,29 @@ def E01_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "given double, by_share double").select(F.round("given", 6).alias("given"), F.round("by_share", 6).alias("by_share"))
 
 
+@query(_LENGTHS + " SELECT unnest([0.05, 0.5, 0.7, 0.95])::DOUBLE AS share, round(unnest((SELECT quantile_cont(score, [0.05, 0.5, 0.7, 0.95]) FROM s)), 6) AS score, true AS within_bound")
+def E01_stream_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact thresholds, and whether those of the stream's merged sketches lie within twice the rank error."""
+    import uuid
+
+    from seqdrift.operators.settle import shared_folder
+    from seqdrift.streaming import thresholds as Q
+
+    folder, shares = f"{shared_folder(spark)}/{uuid.uuid4().hex}", [0.05, 0.5, 0.7, 0.95]
+    scores = _length_scores(spark, sf_dir).select(F.col("score").cast("double").alias("score"))
+    scores.repartition(4).write.parquet(f"{folder}/scores")
+    stream = spark.readStream.schema("score double").option("maxFilesPerTrigger", 2).parquet(f"{folder}/scores")
+    Q.keep(stream, f"{folder}/sketches", f"{folder}/state").awaitTermination()
+    found = Q.thresholds(Q.kept(spark, f"{folder}/sketches"), shares)
+    at_rest = spark.read.schema("score double").parquet(f"{folder}/scores")
+    exact = spark.createDataFrame(list(zip(shares, E.percentiles(at_rest, "score", shares), strict=True)), "share double, exact double")
+    asked, slack = {r["share"]: r["score"] for r in found.collect()}, 2 * Q.rank_error()
+    ranks = [F.struct(F.lit(s).alias("share"), F.avg((F.col("score") < q).cast("double")).alias("below"), F.avg((F.col("score") <= q).cast("double")).alias("upto")) for s, q in asked.items()]
+    near = (F.col("r.below") <= F.col("r.share") + slack) & (F.col("r.upto") >= F.col("r.share") - slack)
+    rows = at_rest.agg(F.array(*ranks).alias("a")).select(F.explode("a").alias("r")).select("r.share", near.alias("near"))
+    return exact.join(F.broadcast(rows), "share", "left").select("share", F.round("exact", 6).alias("score"), F.coalesce("near", F.lit(False)).alias("within_bound"))
+
+
 @query(_LENGTHS + ", t AS (SELECT 1500.0::DOUBLE AS t)" + _CONFUSION)
 def E02_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(E.confusion(_length_scores(spark, sf_dir), 1500.0))

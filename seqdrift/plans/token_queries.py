@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqdrift import vocab as V
+from seqdrift.functions import table_functions
 from seqdrift.functions import tokens as T
 from seqdrift.operators import extraction as X
 from seqdrift.operators import pooling as P
@@ -94,6 +95,18 @@ def T04_readable_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq_id", "pos", *[F.coalesce(F.col(f"e.{c}"), F.lit(x)).alias(c) for c, x in absent.items()])
 
 
+@query(ORACLE_SQL["T04_readable_events"])
+def T04_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows by SQL text, from a table function."""
+    table_functions.register(spark)
+    return spark.sql(
+        """SELECT seq_id, pos, coalesce(special_token, '') AS special_token, coalesce(onset, -1D) AS onset, coalesce(duration, -1D) AS duration,
+        coalesce(instrument, -1) AS instrument, coalesce(pitch, '') AS pitch, coalesce(anticipated, false) AS anticipated
+        FROM token_events(TABLE({seqs}) PARTITION BY seq_id)""",
+        seqs=sequences(spark, sf_dir),
+    )
+
+
 @query(BASE_SQL + _SHIFTED + "SELECT CAST(floor((note - shift - 11000) / 128.0) AS INTEGER) AS instrument, count(*) AS n, max((time - shift) / 100.0::DOUBLE) AS last_onset FROM r WHERE NOT is_sep AND NOT is_rest GROUP BY 1")
 def T05_events_by_instrument(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sequences(spark, sf_dir).select(F.explode(T.readable_events(F.col("tokens"))).alias("e")).where("e.instrument is not null")
@@ -223,6 +236,13 @@ def W02_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir).select("seq_id", "start", token_text(F.col("input_ids")).alias("input_ids"))
 
 
+@query(ORACLE_SQL["W02_materialise"])
+def W02_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_functions.register(spark)
+    text = "SELECT seq_id, start, array_join(input_ids, ' ') AS input_ids FROM token_windows(TABLE({seqs}) PARTITION BY seq_id, events => 8, step => 2)"
+    return spark.sql(text, seqs=sequences(spark, sf_dir))
+
+
 _GAPS = """, x AS (SELECT seq_id, start, unnest(range(0, 8)) AS i, input_ids FROM win),
     e AS (SELECT seq_id, start, i, input_ids[2 + 3 * i] AS time, input_ids[3 + 3 * i] AS dur, input_ids[4 + 3 * i] AS note FROM x),
     f AS (SELECT *, CASE WHEN time >= 27513 AND time < 37513 THEN 27513 ELSE 0 END AS s FROM e WHERE note NOT IN (55025, 27512)),
