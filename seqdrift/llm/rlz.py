@@ -8,8 +8,9 @@ exactly the blocks that can hold its phrases, all of them, without being paired
 The index keeps two places of every phrase that occurs twice (the first and the last in an order of documents by hash). A
 document is parsed greedily from left to right: a factor starts with a phrase and one of its other places, goes on as
 long as the next phrase has a place side by side with the last, and the longer one is taken. All windows inside a factor
-start elsewhere too. At factor boundaries (an edit, or the edge of a copied passage) phrases differ although they share
-an anchor, and there window by window is looked up.
+start elsewhere too, so a factor has at least ``width`` words and all of them are removed. At factor boundaries (an edit,
+or the edge of a copied passage) phrases differ although they share an anchor, and there window by window is looked up.
+What is removed is the union of the factors and of those boundary windows.
 """
 
 from __future__ import annotations
@@ -213,14 +214,18 @@ def _cut(width: int):
                     a, b = int(words.bounds[i]), int(words.bounds[i + 1])
                     mine = slice(cuts[row], cuts[row + 1])
                     factors = []
-                    covered = np.bincount(lo[mine], minlength=b - a + 1) - np.bincount(hi[mine] + width, minlength=b - a + 1)
-                    phrases_here = np.flatnonzero(sources[0][0][mine] | sources[1][0][mine])
-                    if len(phrases_here):
-                        at = phrases_here[np.argsort(lo[mine][phrases_here], kind="stable")] + cuts[row]
+                    in_phrase = sources[0][0][mine] | sources[1][0][mine]
+                    edges = lo[mine][~in_phrase]  # boundary windows
+                    covered = np.bincount(edges, minlength=b - a + 1) - np.bincount(edges + width, minlength=b - a + 1)
+                    if in_phrase.any():
+                        at = np.flatnonzero(in_phrase) + cuts[row]
+                        at = at[np.argsort(lo[at], kind="stable")]
                         own = [tuple(column[at] for column in s) for s in sources]
                         for start, size, j, c in greedy_factors(lo[at], hi[at], own, width):
                             doc = int(own[c][1][j])
                             factors.append((start, size, None if doc == NULL_ID else doc, int(own[c][3][j])))
+                            covered[start] += 1
+                            covered[start + size] -= 1
                     gone = np.cumsum(covered)[:-1] > 0
                     stay = np.flatnonzero(~gone) + a
                     kept = b" ".join([body[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)])
