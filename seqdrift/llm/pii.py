@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +23,8 @@ MAX_TRAINING_DOCUMENTS = 20_000
 ROUNDS = 200
 DAMPING = 0.5
 ACCEPT = 0.8
+#: Log potential of what a clamped mention is not: no number of copies outweighs it.
+_NEVER = -1e9
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -178,70 +179,97 @@ def chain_edges(found: list[tuple[str, ...]]) -> list[tuple[int, int]]:
 
 
 def count_evidence(text: str) -> Counter:
-    """Labelled counts of one text for piecewise training.
+    """Observations of one text for training by pseudo-likelihood: ((shape, cue, copies, chain, skip), label) by number.
 
-    Labels come from the exact patterns and, for secrets, from assignments; a mention that neither takes counts as none.
-    The model sees a labelled mention without the mark that gave it its label. Each mention is also paired with itself,
-    marked and unmarked, under the skip factor: that is what the factor has to learn, and most texts repeat nothing.
+    Labels come from the exact patterns and, for secrets, from assignments; other mentions are none. An open copy of a
+    labelled mention, and an unassigned run behind a word for secrets, have no known label and are left out. A mention is
+    shown without the mark that gave it its label (a secret without its cue), once with its shape and once without, as a
+    copy in another form; ``chain`` and ``skip`` count its neighbours' labels. Only edges between two mentions count.
     """
     out: Counter = Counter()
     if not _ANY.search(text):
         return out
     _, nodes = mentions(text)
-    labels = []
+    found = [keys(text[s:e]) for s, e, _ in nodes]
+    labels: list[int | None] = []
     for s, e, label in nodes:
         if not label and _RUN.fullmatch(text[s:e]) and _ASSIGNED.search(text[max(0, s - 40) : s]):
             label = LABELS.index("secret")
         labels.append(label)
-        out["shape", shape(unmarked(text[s:e], LABELS[label])), label] += 1
-        out["cue", cue(text, s), label] += 1
-        out["skip", str(label), label] += 1
-    found = [keys(text[s:e]) for s, e, _ in nodes]
-    for i, j in skip_edges(found):
-        out["skip", str(labels[i]), labels[j]] += 1
-    for i, j in chain_edges(found):
-        out["chain", str(labels[i]), labels[j]] += 1
+    marked = {key for own, label in zip(found, labels, strict=True) if label for key in own}
+    for i, (s, e, _) in enumerate(nodes):
+        if labels[i] == 0 and (marked.intersection(found[i]) or (_RUN.fullmatch(text[s:e]) and cue(text, s) == "secret")):
+            labels[i] = None
+    around = {"chain": [Counter() for _ in nodes], "skip": [Counter() for _ in nodes]}
+    for what, edges in (("chain", chain_edges(found)), ("skip", skip_edges(found))):
+        for i, j in edges:
+            if labels[i] is not None and labels[j] is not None:
+                around[what][i][labels[j]] += 1
+                around[what][j][labels[i]] += 1
+    copies = Counter(own[0] for own in found)
+    for i, (s, e, _) in enumerate(nodes):
+        label = labels[i]
+        if label is None:
+            continue
+        near = "none" if LABELS[label] == "secret" else cue(text, s)
+        sides = [" ".join(str(around[what][i][y]) for y in range(len(LABELS))) for what in ("chain", "skip")]
+        for form in (shape(unmarked(text[s:e], LABELS[label])), ""):
+            out["|".join((form, near, str(copies[found[i][0]]), *sides)), label] += 1
     return out
 
 
 class SkipChain:
-    """Log potentials from labelled counts, each factor trained on its own (piecewise).
+    """Log potentials of shapes, cues, neighbours and copies, fitted together by penalised pseudo-likelihood.
 
-    Counts are smoothed towards what the labels' shares alone would give, so what was never seen speaks for no label.
+    Each observation is a mention's label given its own features and its neighbours' labels, so an edge gets the weight
+    that explains what shape and cue leave open; what was never seen has weight 0.
     """
 
-    def __init__(self, counts: dict[tuple[str, str, int], int]) -> None:
+    def __init__(self, counts: dict[tuple[str, int], int], penalty: float = 0.1, steps: int = 800) -> None:
         n = len(LABELS)
-        totals = np.ones(n)
-        table: dict[tuple[str, str], np.ndarray] = {}
-        for (what, value, label), times in counts.items():
-            table.setdefault((what, value), np.zeros(n))[label] += times
-            if what == "shape":
-                totals[label] += times
-        share = totals / totals.sum()
-        self.unseen = np.where(totals > 1, 0.0, -50.0)  # a label without an example is never given
-        self.prior = np.log(share)
-        self.unary = {k: np.log((v + n * share) / (v.sum() + n)) for k, v in table.items() if k[0] in ("shape", "cue")}
-        self.pairs = {}
-        for what in ("chain", "skip"):
-            joint = np.stack([table.get((what, str(i)), np.zeros(n)) for i in range(n)])
-            joint = joint + joint.T
-            each = joint.sum(axis=1) + 1
-            joint = joint + n * n * np.outer(each, each) / each.sum() ** 2
-            each = joint.sum(axis=1, keepdims=True)
-            self.pairs[what] = np.log(joint * joint.sum() / (each * each.T))
+        rows = sorted(counts.items())
+        parts = [value.split("|") for (value, _), _ in rows]
+        shapes, cues = sorted({x[0] for x in parts} - {""}), sorted({x[1] for x in parts})
+        form = np.array([shapes.index(x[0]) + 1 if x[0] else 0 for x in parts], np.int64)
+        near = np.array([cues.index(x[1]) for x in parts], np.int64)
+        share = 1 / np.array([int(x[2]) for x in parts], float)[:, None]
+        chain, skip = (np.array([x[k].split() for x in parts], float).reshape(-1, n) for k in (3, 4))
+        label = np.array([y for (_, y), _ in rows], np.int64)
+        times = np.array([t for _, t in rows], float)[:, None]
+        truth = np.eye(n)[label]
+        # A label without an example is never given.
+        self.unseen = np.where(np.bincount(label, minlength=n) > 0, 0.0, -50.0) if rows else np.where(np.arange(n) == 0, 0.0, -50.0)
+        # Row 0 of the first is what all shapes have in common.
+        weights = [np.zeros((len(shapes) + 1, n)), np.zeros((len(cues), n)), np.zeros((n, n)), np.zeros((n, n))]
+        speed, size = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+        for step in range(steps if rows else 0):
+            common, by_cue, c, s = weights
+            own = (common[0] + np.where(form[:, None] > 0, common[form], 0)) * share
+            logits = own + by_cue[near] + np.einsum("ij,jk->ik", chain, c) + np.einsum("ij,jk->ik", skip, s) + self.unseen
+            left = times * (truth - _normal(logits))
+            shaped = np.stack([np.bincount(form, left[:, y] * share[:, 0], len(shapes) + 1) for y in range(n)], axis=1)
+            shaped[0] = (left * share).sum(axis=0)
+            cued = np.stack([np.bincount(near, left[:, y], len(cues)) for y in range(n)], axis=1)
+            pairs = [np.einsum("ij,ik->jk", side, left) for side in (chain, skip)]
+            uphill = [shaped, cued, *(g + g.T for g in pairs)]
+            for k, w in enumerate(weights):  # Adam, with steps that shrink to nothing
+                g = uphill[k] - penalty * w
+                speed[k] = 0.9 * speed[k] + 0.1 * g
+                size[k] = 0.999 * size[k] + 0.001 * g * g
+                w += 0.1 * (1 - step / steps) * (speed[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(size[k] / (1 - 0.999 ** (step + 1))) + 1e-9)
+        self.common, self.shape = weights[0][0], dict(zip(shapes, weights[0][1:], strict=True))
+        self.cue = dict(zip(cues, weights[1], strict=True))
+        self.pairs = {"chain": weights[2], "skip": weights[3]}
 
     def potential(self, text: str, s: int, e: int, copies: int = 1) -> np.ndarray:
         """Log potential of a mention; ``copies`` equal mentions share the potential of their common shape."""
-        by_shape = self.unary.get(("shape", shape(text[s:e])), self.prior)
-        by_cue = self.unary.get(("cue", cue(text, s)), self.prior)
-        return by_shape / copies + by_cue - self.prior + self.unseen
+        return (self.common + self.shape.get(shape(text[s:e]), 0.0)) / copies + self.cue.get(cue(text, s), 0.0) + self.unseen
 
     def marginals(self, text: str, nodes: list[tuple[int, int, int]]) -> np.ndarray:
         """Loopy sum-product with damped messages over neighbours and over equal or similar mentions."""
         found = [keys(text[s:e]) for s, e, _ in nodes]
         copies = Counter(own[0] for own in found)
-        own = [np.where(np.arange(len(LABELS)) == label, 0.0, -50.0) if label else self.potential(text, s, e, copies[k[0]]) for (s, e, label), k in zip(nodes, found, strict=True)]
+        own = [np.where(np.arange(len(LABELS)) == label, 0.0, _NEVER) if label else self.potential(text, s, e, copies[k[0]]) for (s, e, label), k in zip(nodes, found, strict=True)]
         own, skips = np.stack(own), skip_edges(found)
         chain = chain_edges(found)
         edges = np.array([*chain, *skips], np.int64).reshape(-1, 2)
@@ -292,7 +320,7 @@ def _normal(logs: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, max_documents: int = MAX_TRAINING_DOCUMENTS) -> SkipChain:
     """Fit the potentials on the exact patterns' labels in at most about ``max_documents`` texts with digits or signs,
-    chosen by a hash of doc_id and text. Only counts by feature and label reach the driver, a few hundred rows."""
+    chosen by a hash of doc_id and text. Only counts by features and label reach the driver, some thousand rows."""
     small_batches(docs.sparkSession)
     useful = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
     rows = useful.count()
@@ -304,11 +332,11 @@ def train(docs: DataFrame, max_documents: int = MAX_TRAINING_DOCUMENTS) -> SkipC
         for batch in batches:
             for text in batch.column("text"):
                 total.update(count_evidence(text.as_py()))
-        what, value, label = (list(x) for x in zip(*total, strict=True)) if total else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(value, pa.string()), pa.array(label, pa.int32()), pa.array(list(total.values()), pa.int64())], names=["what", "value", "label", "times"])
+        value, label = (list(x) for x in zip(*total, strict=True)) if total else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(value, pa.string()), pa.array(label, pa.int32()), pa.array(list(total.values()), pa.int64())], names=["value", "label", "times"])
 
-    counts = useful.select("text").mapInArrow(tally, "what string, value string, label int, times long").groupBy("what", "value", "label").agg(F.sum("times").alias("times"))
-    return SkipChain({(r["what"], r["value"], r["label"]): r["times"] for r in counts.collect()})
+    counts = useful.select("text").mapInArrow(tally, "value string, label int, times long").groupBy("value", "label").agg(F.sum("times").alias("times"))
+    return SkipChain({(r["value"], r["label"]): r["times"] for r in counts.collect()})
 
 
 def find_personal_data(docs: DataFrame, model: SkipChain) -> DataFrame:
