@@ -84,8 +84,9 @@ def _levels(edges: DataFrame, rounds: int) -> DataFrame:
     """(conv_id, node, level, turn) of every node that depends on another, from edges (conv_id, node, on, turn, on_turn).
 
     ``level`` is the longest chain below the node, -1 if that meets a cycle; ``turn`` is the latest turn of the node and
-    all below it. Each round takes away the nodes without an open dependency. After ``rounds`` rounds, conversations of
-    at most ``LOCAL_EDGES`` edges are finished one by one; larger ones go on by rounds until no node can be taken away.
+    all below it. Each round takes away the nodes without an open dependency. After ``rounds`` rounds, none by default,
+    conversations of at most ``LOCAL_EDGES`` edges are finished one by one; larger ones go on by rounds until no node can
+    be taken away.
     """
     edges = edges.withColumns({c: F.coalesce(c, F.lit(_NO_TURN)) for c in ("turn", "on_turn")})
     has = edges.select("conv_id", F.col("node").alias("on")).distinct().withColumn("has", F.lit(True))
@@ -99,6 +100,8 @@ def _levels(edges: DataFrame, rounds: int) -> DataFrame:
             peeled = local.select("conv_id", F.explode(_peeled(F.col("edges"), level)).alias("p"))
             found.append(settle(peeled.select("conv_id", "p.node", "p.level", "p.turn")))
             state = settle(state.join(small, "conv_id", "left_anti"))
+            if state.isEmpty():
+                break
         nodes = state.groupBy("conv_id", "node").agg(F.max("open").alias("open"), F.max(F.greatest("turn", F.when(~F.col("open"), F.col("on_turn")))).alias("turn"))
         gone = settle(nodes.where(~F.col("open")).select("conv_id", "node", F.lit(level).alias("level"), "turn"))
         if gone.isEmpty():  # each node that is left has an open dependency: a cycle, or a chain that ends in one
@@ -155,7 +158,7 @@ def _order(calls: DataFrame, made: DataFrame, rounds: int) -> tuple[DataFrame, D
     return found, messages.select("conv_id", "turn", "text", "step", "at", "order")
 
 
-def link_tool_calls(messages: DataFrame, schemas: Mapping[str, dict] = SCHEMAS, rounds: int = 32) -> DataFrame:
+def link_tool_calls(messages: DataFrame, schemas: Mapping[str, dict] = SCHEMAS, rounds: int = 0) -> DataFrame:
     """One row per message, with its tool calls linked to their results, in an order that puts calls first.
 
     An assistant text that is a JSON object with ``tool_calls`` makes calls (id, name, arguments, depends_on); a text of

@@ -376,6 +376,34 @@ def test_long_dependency_chain(spark, monkeypatch, limit):
             assert steps[ids[i - 1]] < steps[c] and steps["r" + ids[i - 1]] < steps["r" + c]
 
 
+@pytest.mark.parametrize("local", [2000, 0])
+def test_levels_of_random_graphs(spark, monkeypatch, local):
+    """Longest chains, latest turns and cycles against a plain depth-first search; in one row each, and by rounds."""
+    monkeypatch.setattr(toolchat, "LOCAL_EDGES", local)
+    rng = random.Random(11)
+    edges, want = [], {}
+    for conv in range(25):
+        size = rng.randrange(2, 14)
+        turn = {v: rng.randrange(9) for v in range(size)}
+        on = {v: {u for u in range(size) if u != v and rng.random() < 0.15 and (conv % 2 or u < v)} for v in range(size)}
+        edges += [(conv, str(v), str(u), turn[v], turn[u]) for v in on for u in on[v]]
+
+        def walk(v, path=(), on=on, turn=turn):
+            if v in path:
+                return None
+            below = [walk(u, (*path, v)) for u in on[v]]
+            if None in below:
+                return None
+            return max((x + 1 for x, _ in below), default=0), max([turn[v], *(t for _, t in below)])
+
+        for v in on:
+            if on[v]:
+                want[conv, str(v)] = walk(v) or (-1, None)
+    table = spark.createDataFrame(edges, "conv_id long, node string, on string, turn long, on_turn long")
+    got = {(r.conv_id, r.node): (r.level, r.turn if r.level >= 0 else None) for r in toolchat._levels(table, 0).collect()}
+    assert got == want and {-1, 1, 2, 3} <= {level for level, _ in want.values()}
+
+
 def test_cycle_of_three_with_a_tail(spark):
     """What is on or behind the cycle is a cycle's; what the cycle depends on is not."""
     rows = [(1, 0, ("a", ["c", "base"])), (1, 1, ("b", ["a"])), (1, 2, ("c", ["b"])), (1, 3, ("tail", ["b"])), (1, 4, ("base", []))]
