@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import json
 from collections.abc import Callable, Iterator
+from types import FunctionType
 
 import numpy as np
 import pandas as pd
@@ -164,18 +165,37 @@ class ColumnModel(_Stage, Model, _Saved):
         return cls(names["kind"], names["input"], names["output"], **arrays)
 
 
+_OWN = __name__.partition(".")[0]
+_REGISTERED: dict[str, Callable] = {}
+
+
+def register_function(function: Callable) -> Callable:
+    """Let stages with a function from outside this package be written, and read where it has been registered too."""
+    if "<" in function.__qualname__:
+        raise ValueError(f"{function.__qualname__} has no name to be found by")
+    _REGISTERED[f"{function.__module__}:{function.__qualname__}"] = function
+    return function
+
+
 def _name_of(function: Callable) -> str:
     name = f"{function.__module__}:{function.__qualname__}"
     if "<" in name:
         raise ValueError(f"{name} has no name to be found by: a stage that is written needs a function of a module")
+    if _REGISTERED.get(name) is not function and function.__module__.partition(".")[0] != _OWN:
+        raise ValueError(f"{name} is not registered: call register_function, here and where the stage is read")
     return name
 
 
 def _function_of(name: str) -> Callable:
+    """A registered function, or one defined in this package; a file cannot name any other, nor import a module."""
+    if name in _REGISTERED:
+        return _REGISTERED[name]
     module, _, path = name.partition(":")
-    found = importlib.import_module(module)
+    found = importlib.import_module(module) if module.partition(".")[0] == _OWN else None
     for part in path.split("."):
-        found = getattr(found, part)
+        found = getattr(found, part, None)
+    if not isinstance(found, FunctionType) or found.__module__ != module or found.__qualname__ != path:
+        raise ValueError(f"{name} is neither registered nor a function of this package")
     return found
 
 

@@ -383,3 +383,26 @@ def test_saved_pipelines_score_alike(spark, tmp_path):
         assert a == b
     with pytest.raises(Exception, match="no name to be found by"):
         Pipeline(stages=[F_.Apply(lambda x: x)]).fit(df).write().save(f"{tmp_path}/nameless")
+
+
+def _doubled(x):
+    return F.transform(x, lambda v: v * 2)
+
+
+def test_saved_stages_name_known_functions_only(spark, tmp_path, monkeypatch):
+    """A written stage runs functions of the package and registered ones; nothing else is imported or called."""
+    from pyspark.ml import PipelineModel
+
+    df = emb(spark, np.ones((3, 2)))
+    with pytest.raises(Exception, match="not registered"):
+        PipelineModel(stages=[F_.Apply(_doubled)]).write().save(f"{tmp_path}/unknown")
+    F_.register_function(_doubled)
+    PipelineModel(stages=[F_.Apply(_doubled)]).write().save(f"{tmp_path}/known")
+    assert PipelineModel.load(f"{tmp_path}/known").transform(df).first().emb == [2.0, 2.0]
+    monkeypatch.setattr(F_, "_REGISTERED", {})
+    with pytest.raises(ValueError, match="neither registered"):
+        PipelineModel.load(f"{tmp_path}/known")
+    for name in ("os:system", "seqdrift.operators.transforms:importlib.import_module", "seqdrift.operators.transforms:json.loads", "seqdrift.operators.transforms:nothing", "antigravity:x"):
+        with pytest.raises(ValueError, match="neither registered"):
+            F_._function_of(name)
+    assert F_._function_of("seqdrift.operators.transforms:row_mean") is F_.row_mean
