@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqdrift.operators.linalg import chi2_sf, leading_axes, moments, normal_ppf, normal_sf
+from seqdrift.operators.linalg import chi2_sf, leading_axes, moments, normal_ppf, normal_sf, summed_matrix
+
+#: Third moments of more dimensions than this would take over a hundred passes.
+MAX_TENSOR_WIDTH = 1024
 
 # Polynomial coefficients of Royston's approximation to the Shapiro-Wilk test (algorithm AS R94).
 _LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
@@ -40,31 +43,44 @@ def floored(p: float, least: float = 0.001) -> float:
     return max(p, least)
 
 
-def mardia(df: DataFrame, column: str = "emb") -> dict[str, float]:
-    """Mardia's skewness and kurtosis statistics and p-values in two passes.
+def mardia(df: DataFrame, column: str = "emb", tile: int = 1 << 22) -> dict[str, float]:
+    """Mardia's skewness and kurtosis statistics and p-values.
 
-    With whitened rows z, skewness is the sum of squared third moments, so the tensor E[z z z] replaces the n by n sum.
+    With whitened rows z, skewness is the sum of squared third moments, so the tensor E[z z z] replaces the n by n sum. It
+    is symmetric: planes hold what follows their own index only, and a pass over the rows sums as many planes as fit into
+    ``tile`` numbers a task, one pass up to 161 dimensions. Above ``MAX_TENSOR_WIDTH`` dimensions it refuses.
     """
     m = moments(df, column)
     n, p = m.n, len(m.mean)
+    if p > MAX_TENSOR_WIDTH:
+        raise ValueError(f"third moments of {p} dimensions: reduce them to {MAX_TENSOR_WIDTH} first")
     values, vectors = np.linalg.eigh(m.covariance(0))
     white = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-12)))
     mean = m.mean
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        third, fourth = np.zeros((p, p * p)), 0.0
-        for frame in frames:
-            for low in range(0, len(frame), 512):
-                z = (np.stack(frame["x"].iloc[low : low + 512].to_numpy()) - mean) @ white
-                third += z.T @ (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)
-                fourth += float(((z**2).sum(axis=1) ** 2).sum())
-        yield pd.DataFrame({"i": range(p), "row": list(third), "fourth": [fourth] + [0.0] * (p - 1)})
-
-    rows = df.select(F.col(column).cast("array<double>").alias("x")).mapInPandas(partial, "i int, row array<double>, fourth double")
-    summed = rows.select("i", "fourth", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg((F.sum("v") / n).alias("v"), F.sum("fourth").alias("fourth"))
-    got = summed.agg(F.sum(F.col("v") * F.col("v")).alias("b1"), F.sum(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("fourth"))).alias("fourth")).first()
-    skewness = n * got["b1"] / 6
-    kurtosis = (got["fourth"] / n - p * (p + 2)) / math.sqrt(8 * p * (p + 2) / n)
+    rows = df.select(F.col(column).cast("array<double>").alias("x"))
+    cubes, fourth, low = 0.0, 0.0, 0
+    while low < p:
+        wide = p - low
+        planes = min(wide, max(1, tile // wide**2))
+
+        def partial(frames: Iterator[pd.DataFrame], low: int = low, wide: int = wide, planes: int = planes) -> np.ndarray:
+            total = np.zeros((planes * wide + 1, wide))
+            for frame in frames:
+                for at in range(0, len(frame), 256):
+                    z = (np.stack(frame["x"].iloc[at : at + 256].to_numpy()).astype(float) - mean) @ white[:, low:]
+                    total[:-1] += (z[:, :planes, None] * z[:, None, :]).reshape(len(z), -1).T @ z
+                    total[-1, 0] += ((z**2).sum(axis=1) ** 2).sum()
+            return total
+
+        whole = summed_matrix(rows, partial, wide)
+        if low == 0:
+            fourth = float(whole[-1, 0])
+        for i, plane in enumerate(whole[:-1].reshape(planes, wide, wide) / n):
+            squares = plane[i:, i:] ** 2  # an index alone stands in three places, as a pair too
+            cubes += float(squares[0, 0] + 3 * squares[0, 1:].sum() + 3 * squares[1:, 1:].sum())
+        low += planes
+    skewness = n * cubes / 6
+    kurtosis = (fourth / n - p * (p + 2)) / math.sqrt(8 * p * (p + 2) / n)
     return {"skewness": skewness, "kurtosis": kurtosis, "skewness_p": chi2_sf(skewness, p * (p + 1) * (p + 2) / 6), "kurtosis_p": 2 * normal_sf(abs(kurtosis))}
 
 

@@ -212,13 +212,18 @@ def test_normality(spark, alpha, normal):
     assert (A.shapiro(narrow)["shapiro_p"] > 0.05) == normal
 
 
-def test_mardia_equals_double_sum(spark):
-    x = np.random.default_rng(6).exponential(size=(40, 3))
+@pytest.mark.parametrize("tile", [1 << 22, 30, 1])
+def test_mardia_equals_double_sum(spark, monkeypatch, tile):
+    """In one pass, in passes of a few planes and of one plane each."""
+    x = np.random.default_rng(6).exponential(size=(40, 5))
     z = (x - x.mean(0)) @ np.linalg.inv(np.linalg.cholesky(np.cov(x.T, bias=True))).T
     g = z @ z.T
-    got = A.mardia(emb(spark, x))
+    got = A.mardia(emb(spark, x), tile=tile)
     assert got["skewness"] == pytest.approx(40 * (g**3).mean() / 6)
-    assert got["kurtosis"] == pytest.approx(((np.diag(g) ** 2).mean() - 15) / math.sqrt(8 * 15 / 40))
+    assert got["kurtosis"] == pytest.approx(((np.diag(g) ** 2).mean() - 35) / math.sqrt(8 * 35 / 40))
+    monkeypatch.setattr(A, "MAX_TENSOR_WIDTH", 4)
+    with pytest.raises(ValueError, match="third moments of 5"):
+        A.mardia(emb(spark, x))
 
 
 def test_spectrum(spark):
