@@ -9,6 +9,7 @@ micro-batch that failed reads the same ones again.
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,16 +26,23 @@ from seqdrift.sources.midi_files import open_folder, write_whole
 MESSAGES = "device long, ts double, type string, note int, velocity int, channel int"
 RECORD = np.dtype([("ts", "<f8"), ("type", "u1"), ("note", "u1"), ("velocity", "u1"), ("channel", "u1")])
 TYPES = ("note_on", "note_off")
-#: Records of a file written by ``write_log``, and of one reading task.
-FILE_RECORDS, TASK_RECORDS = 1 << 16, 1 << 20
+#: Records of a file written by ``write_log``, and records and devices of one reading task.
+FILE_RECORDS, TASK_RECORDS, TASK_DEVICES = 1 << 16, 1 << 20, 2000
+#: Rows of a record batch that a reading task hands on.
+_BATCH = 1 << 16
 _ROWS = pa.schema([("device", pa.int64()), ("ts", pa.float64()), ("type", pa.string()), ("note", pa.int32()), ("velocity", pa.int32()), ("channel", pa.int32())])
 
 
+def _place(f: pafs.FileInfo) -> tuple[int, int]:
+    """(first record, end) of a file."""
+    first = int(f.base_name[:-4])
+    return first, first + f.size // RECORD.itemsize
+
+
 def _files(files: pafs.FileSystem, folder: str) -> list[tuple[int, int, str]]:
     """(first record, end, path) of a device's files in order."""
     found = files.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
-    rows = [(int(f.base_name[:-4]), f.size // RECORD.itemsize, f.path) for f in found if f.base_name.endswith(".log")]
-    return [(first, first + n, path) for first, n, path in sorted(rows)]
+    return sorted((*_place(f), f.path) for f in found if f.base_name.endswith(".log"))
 
 
 def _packed(ts, kinds, notes, velocities, channels) -> np.ndarray:
@@ -78,24 +86,49 @@ class PortLog:
 
 
 def write_log(messages: DataFrame, path: str, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Logs of messages (device, ts, type, note, velocity, channel), a task a file of at most ``FILE_RECORDS``; returns
+    """Logs of messages (device, ts, type, note, velocity, channel), in files of at most ``FILE_RECORDS``; returns
     (device, first, n) of the files, and writes them as the rows are asked for. ``order`` is total within a device.
 
-    A repeated task writes the same file again.
+    A task writes the files of many devices, one after another. A repeated task writes the same files again.
     """
 
-    def write(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("place_")
-        device, first = rows.column("device")[0].as_py(), rows.column("place_")[0].as_py()
+    def write(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = open_folder(path)
-        files.create_dir(f"{root}/device={device}")
-        columns = (rows.column(c).to_pylist() for c in ("ts", "type", "note", "velocity", "channel"))
-        write_whole(files, f"{root}/device={device}/{first:020d}.log", _packed(*columns).tobytes())
-        return pa.table({"device": [device], "first": [first], "n": [rows.num_rows]})
+        held, made = [], None
+        done: list[tuple[int, int, int]] = []
+
+        def save() -> None:
+            nonlocal made
+            rows = pa.Table.from_batches(held)
+            device, first = rows.column("device")[0].as_py(), rows.column("place_")[0].as_py()
+            if device != made:
+                files.create_dir(f"{root}/device={device}")
+                made = device
+            columns = (rows.column(c).to_pylist() for c in ("ts", "type", "note", "velocity", "channel"))
+            write_whole(files, f"{root}/device={device}/{first:020d}.log", _packed(*columns).tobytes())
+            done.append((device, first, rows.num_rows))
+            held.clear()
+
+        at = None
+        for frame in frames:
+            device, file = frame.column("device").to_numpy(), frame.column("place_").to_numpy() // FILE_RECORDS
+            cuts = np.flatnonzero((np.diff(device) != 0) | (np.diff(file) != 0)) + 1
+            for low, high in itertools.pairwise([0, *cuts.tolist(), frame.num_rows]):
+                if held and (device[low], file[low]) != at:
+                    save()
+                if high > low:
+                    at = (device[low], file[low])
+                    held.append(frame.slice(low, high - low))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)] or [pa.array([], pa.int64())] * 3, names=["device", "first", "n"])
+            done.clear()
+        if held:
+            save()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=["device", "first", "n"])
 
     place = (F.row_number().over(Window.partitionBy("device").orderBy(*order)) - 1).cast("long")
     placed = messages.withColumn("place_", place).select(*[f.split()[0] for f in MESSAGES.split(", ")], "place_")
-    return placed.groupBy("device", F.floor(F.col("place_") / FILE_RECORDS).alias("file_")).applyInArrow(write, "device long, first long, n long")
+    dealt = placed.repartition("device", F.floor(F.col("place_") / FILE_RECORDS)).sortWithinPartitions("device", "place_")
+    return dealt.mapInArrow(write, "device long, first long, n long")
 
 
 @dataclass
@@ -105,6 +138,13 @@ class _Records(InputPartition):
     end: int
 
 
+@dataclass
+class _Share(InputPartition):
+    """Records of several devices, for one task."""
+
+    records: list[_Records]
+
+
 class _Reader(DataSourceStreamReader):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -114,30 +154,61 @@ class _Reader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         files, root = open_folder(self.path)
-        devices = [f.base_name for f in files.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith("device=")]
-        ends = {d[7:]: max((end for _, end, _ in _files(files, f"{root}/{d}")), default=0) for d in sorted(devices)}
-        return {d: n for d, n in ends.items() if n}
+        ends: dict[str, int] = {}
+        for f in files.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True)):  # one listing, however many devices
+            folder = f.path.rpartition("/")[0].rpartition("/")[2]
+            if f.base_name.endswith(".log") and folder.startswith("device="):
+                ends[folder[7:]] = max(ends.get(folder[7:], 0), _place(f)[1])
+        return {d: n for d, n in sorted(ends.items()) if n}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         cuts = [(d, low, stop) for d, stop in end.items() for low in range(start.get(d, 0), stop, TASK_RECORDS)]
-        return [_Records(d, low, min(low + TASK_RECORDS, stop)) for d, low, stop in cuts]
+        shares: list[_Share] = []
+        room = 0
+        for d, low, stop in cuts:
+            piece = _Records(d, low, min(low + TASK_RECORDS, stop))
+            if not shares or room < piece.end - piece.start or len(shares[-1].records) == TASK_DEVICES:
+                shares.append(_Share([]))
+                room = TASK_RECORDS
+            shares[-1].records.append(piece)
+            room -= piece.end - piece.start
+        return list(shares)
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         files, root = open_folder(self.path)
-        there = _files(files, f"{root}/device={partition.device}")
-        at = partition.start
-        for first, end, path in there[max(bisect.bisect_right(there, (at, float("inf"), "")) - 1, 0) :]:
-            if first > at or at >= partition.end:
-                break
-            with files.open_input_file(path) as f:
-                f.seek((at - first) * RECORD.itemsize)
-                records = np.frombuffer(f.read((min(end, partition.end) - at) * RECORD.itemsize), RECORD)
-            kinds = np.array(TYPES, object)[records["type"]]
-            columns = [np.full(len(records), int(partition.device)), records["ts"], kinds, *(records[c].astype(np.int32) for c in ("note", "velocity", "channel"))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS)
-            at = min(end, partition.end)
-        if at < partition.end:
-            raise ValueError(f"records {at} to {partition.end} of device {partition.device} are gone")
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for piece in partition.records if isinstance(partition, _Share) else [partition]:
+            for records in _stored(files, root, piece):
+                held.append((int(piece.device), records))
+                size += len(records)
+                if size >= _BATCH:
+                    yield _batch(held)
+                    held, size = [], 0
+        if held:
+            yield _batch(held)
+
+
+def _stored(files: pafs.FileSystem, root: str, piece: _Records) -> Iterator[np.ndarray]:
+    """The records of a piece, file by file."""
+    there = _files(files, f"{root}/device={piece.device}")
+    at = piece.start
+    for first, end, path in there[max(bisect.bisect_right(there, (at, float("inf"), "")) - 1, 0) :]:
+        if first > at or at >= piece.end:
+            break
+        with files.open_input_file(path) as f:
+            f.seek((at - first) * RECORD.itemsize)
+            yield np.frombuffer(f.read((min(end, piece.end) - at) * RECORD.itemsize), RECORD)
+        at = min(end, piece.end)
+    if at < piece.end:
+        raise ValueError(f"records {at} to {piece.end} of device {piece.device} are gone")
+
+
+def _batch(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    records = np.concatenate([r for _, r in held])
+    devices = np.repeat([d for d, _ in held], [len(r) for _, r in held])
+    columns = [devices, records["ts"], np.array(TYPES, object)[records["type"]], *(records[c].astype(np.int32) for c in ("note", "velocity", "channel"))]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS)
 
 
 class LivePort(DataSource):

@@ -126,3 +126,15 @@ def test_capture_takes_notes_from_a_port_and_gone_records_are_an_error(tmp_path)
     with pytest.raises(ValueError, match="messages are"):
         log.append([(0.0, "pitchwheel", 1, 1, 1)])
     assert L._Reader(str(tmp_path / "none")).latestOffset() == {}
+
+
+def test_devices_share_reading_tasks_and_long_logs_are_split(tmp_path, monkeypatch):
+    for d in range(300):
+        L.PortLog(str(tmp_path / "log"), d).append([(float(i), "note_on", d % 128, 1, 0) for i in range(1 + (d == 7) * 99)])
+    monkeypatch.setattr(L, "TASK_RECORDS", 40)
+    reader = L._Reader(str(tmp_path / "log"))
+    end = reader.latestOffset()
+    shares = reader.partitions({"7": 5, "8": 1}, end)
+    assert len(shares) < 15 and reader.partitions(end, end) == []
+    rows = [(r["device"], r["ts"]) for s in shares for b in reader.read(s) for r in b.to_pylist()]
+    assert sorted(rows) == sorted([(d, 0.0) for d in range(300) if d not in (7, 8)] + [(7, float(i)) for i in range(5, 100)])
