@@ -18,6 +18,7 @@ from seqdrift.operators import scoring as H
 from seqdrift.operators.layout import neighbour_preservation, spectral_layout
 from seqdrift.operators.mixture import GaussianMixture, MixtureModel, MixtureScore, density_expression
 from seqdrift.operators.neighbours import nearest_join
+from seqdrift.operators.settle import settled
 from seqdrift.operators.transforms import PCA, Apply, Ensemble, Extract, KMeansDistance, StandardScaler, Subsample, row_mean
 from seqdrift.plans.base import BASE_SQL, events, sequences, table
 from seqdrift.sources import io as S
@@ -88,7 +89,7 @@ def _rounded(confusion: DataFrame) -> DataFrame:
 @query(_KNN + ", t AS (SELECT quantile_cont(score, 0.7) AS t FROM s)" + _CONFUSION)
 def H06_E03_knn_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: nearest-neighbour scores, an exact 0.7 quantile as threshold, confusion counts and rates."""
-    scores = _knn_scores(spark, sf_dir)
+    scores = settled(_knn_scores(spark, sf_dir))  # the join would be done for the counts, the quantile and the rates each
     return _rounded(E.confusion(scores, E.threshold(scores, "percentile", 0.7)))
 
 

@@ -92,6 +92,38 @@ def test_cells_are_ruled_out(spark):
     assert np.mean([len(h) + len(o) for h, o in zip(home, others, strict=True)]) < 12
 
 
+def test_a_row_goes_once_to_a_bin_of_cells(spark, monkeypatch):
+    """In noise every cell is needed, yet a row is sent to bins, not to cells; and no matrix or group outgrows its bound."""
+    rng = np.random.default_rng(4)
+    train, new = rng.normal(size=(600, 20)), rng.normal(size=(50, 20))
+    sent, plain_visit = [], N._visit
+
+    def visit(rows, reference, count, k, per_block, cells=None):
+        sent.append((rows.selectExpr("max(size(places))").first()[0], len(count), max(count.values()), per_block))
+        return plain_visit(rows, reference, count, k, per_block, cells)
+
+    monkeypatch.setattr(N, "_visit", visit)
+    got = H.k_nearest_neighbors(emb(spark, train), emb(spark, new), 5, distances=True, cell_bytes=10 * 160, block_bytes=200 * 160).orderBy("sample_id").collect()
+    assert np.allclose([r.distances for r in got], plain(train, new, 5), rtol=1e-9, atol=1e-12)
+    home, rest = sent
+    assert home[1] >= 50 and rest[1] <= 6 and rest[0] <= rest[1] and rest[2] <= rest[3]
+
+
+def test_flat_rows_have_cells_of_bounded_rows(spark, monkeypatch):
+    """Rows of two numbers are few bytes: cells and blocks are bounded by rows too."""
+    monkeypatch.setattr(N, "CELL_ROWS", 20)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(900, 2))
+    cells = N.Cells(rows[:45], *np.zeros((3, 45)))
+    cells.count[:] = 20
+    assert np.bincount(cells.bins(100)).max() <= 5
+    got = H.k_nearest_neighbors(emb(spark, rows), emb(spark, rows[:200]), 4, distances=True).orderBy("sample_id").collect()
+    assert np.allclose([r.distances for r in got], plain(rows, rows[:200], 4), rtol=1e-9, atol=1e-12)
+    row, distances, _ = N.nearest_of(rows[:3], rows, np.arange(900), 4, np.array([0.0, 1e9, 0.0]))
+    assert row.tolist() == [0, 1, 1, 1, 1, 2] and distances[0] == distances[5] == 0
+
+
 def test_neighbours_of_odd_tables(spark):
     train, new = emb(spark, [[0.0], [1.0], [1.0], [5.0]]), emb(spark, [[1.0], [9.0]])
     with_null = new.unionByName(spark.createDataFrame([(9, None)], new.schema)).withColumns({"x": F.lit(1), "nid": F.lit(2), "row": F.lit(3), "cell": F.lit(4)})
