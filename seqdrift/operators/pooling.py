@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +92,51 @@ def toy_hidden_states(dimensions: int = 8) -> HiddenStates:
     return run
 
 
+def _segments(states: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all positions, each window's first, how many it has) of a batch's states; NaN and empty windows fail."""
+    lengths = np.array([len(h) for h in states])
+    if not lengths.all():
+        raise ValueError("a window without ids has no states")
+    flat = np.concatenate(states).astype(float, copy=False)
+    if np.isnan(flat).any():
+        raise ValueError("NaN in hidden states")
+    return flat, np.cumsum(lengths) - lengths, lengths
+
+
+def _mean_std_rows(states: list[np.ndarray]) -> np.ndarray:
+    """``pool_mean_std`` of a batch's states, a row a window."""
+    flat, starts, lengths = _segments(states)
+    mean = np.add.reduceat(flat, starts) / lengths[:, None]
+    var = np.add.reduceat(np.square(flat - np.repeat(mean, lengths, axis=0)), starts) / lengths[:, None]
+    return np.concatenate((mean, np.sqrt(var)), axis=1)
+
+
+def _model_input(windows: DataFrame, id_col: str) -> DataFrame:
+    return windows.select(F.col(id_col).cast("long").alias("sample_id"), F.col("input_ids").cast("array<int>").alias("input_ids"))
+
+
+_EMBEDDED = pa.schema([("sample_id", pa.int64()), ("layer", pa.int32()), ("emb", pa.list_(pa.float64()))])
+
+
 def extract_representations(windows: DataFrame, model: HiddenStates, layers: list[int], pool: Callable[[Column], Column] = pool_mean_std, batch_size: int = 8, id_col: str = "sample_id") -> DataFrame:
-    """(sample_id, layer, emb): one forward pass a batch gives all wanted layers, pooled with DataFrame expressions."""
+    """(sample_id, layer, emb): one forward pass a batch gives all wanted layers. Means and deviations are taken where the
+    states are, so that only they leave the task; another ``pool`` is a DataFrame expression over the states."""
+    if pool is pool_mean_std:
+
+        def embed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for frame in frames:
+                made: dict[int, list[np.ndarray]] = {layer: [] for layer in layers}
+                for low in range(0, frame.num_rows, batch_size):
+                    states = model(frame.column("input_ids").slice(low, batch_size).to_pylist(), layers)
+                    for layer in layers:
+                        made[layer].append(_mean_std_rows(states[layer]))
+                for layer, rows in made.items():
+                    if rows:
+                        emb = np.concatenate(rows)
+                        ends = pa.array(np.arange(len(emb) + 1, dtype=np.int32) * emb.shape[1])
+                        yield pa.RecordBatch.from_arrays([frame.column("sample_id"), pa.array(np.full(len(emb), layer, np.int32)), pa.ListArray.from_arrays(ends, pa.array(emb.ravel()))], schema=_EMBEDDED)
+
+        return _model_input(windows, id_col).mapInArrow(embed, "sample_id long, layer int, emb array<double>")
 
     def forward(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -102,8 +146,7 @@ def extract_representations(windows: DataFrame, model: HiddenStates, layers: lis
                 ids = part["sample_id"].tolist()
                 yield pd.DataFrame([(i, layer, h.tolist()) for layer in layers for i, h in zip(ids, states[layer], strict=True)], columns=["sample_id", "layer", "h"])
 
-    source = windows.select(F.col(id_col).cast("long").alias("sample_id"), "input_ids")
-    return source.mapInPandas(forward, "sample_id long, layer int, h array<array<double>>").select("sample_id", "layer", pool(F.col("h")).alias("emb"))
+    return _model_input(windows, id_col).mapInPandas(forward, "sample_id long, layer int, h array<array<double>>").select("sample_id", "layer", pool(F.col("h")).alias("emb"))
 
 
 def toy_embeddings(sequences: DataFrame, dimensions: int = 8, layer: int = 12) -> DataFrame:

@@ -91,3 +91,15 @@ def test_refuses_nan_and_unknown_layers(windows):
     broken = X.Model("broken", lambda: lambda ids, layers: {layer: np.full((*ids.shape, 2), np.nan) for layer in layers}, 1)
     with pytest.raises(Exception, match="NaN in the hidden states"):
         X.extract_layers(windows, broken).collect()
+
+
+def test_states_stay_in_the_task(spark, windows):
+    """Means and deviations are taken beside the model: no column of states, equal rows for any batch, NaN fails."""
+    made = P.extract_representations(windows.where(F.size("input_ids") > 0), P.toy_hidden_states(4), [0, 2], batch_size=3)
+    assert "array<array<double>>" not in made._jdf.queryExecution().analyzed().toString() and "transform" not in made._jdf.queryExecution().analyzed().toString()
+    got, expected = _rows(made), _rows(P.extract_representations(windows, P.toy_hidden_states(4), [0, 2], lambda h: P.pool_mean_std(h)))
+    assert got.keys() == expected.keys()
+    for key, emb in expected.items():
+        np.testing.assert_allclose(got[key], emb, atol=1e-12)
+    with pytest.raises(Exception, match="NaN in hidden states"):
+        P.extract_representations(windows, lambda batch, layers: {0: [np.full((len(x), 2), np.nan) for x in batch]}, [0]).collect()
