@@ -58,3 +58,21 @@ def test_no_room_left_ends_a_sequence_and_empty_tables_are_empty(spark):
     assert G.decode(spark.createDataFrame([], "seq_id long, tokens array<int>"), G.toy_decoder(), 2).count() == 0
     got = G.decode(spark.createDataFrame([(1, None, "x")], "seq_id long, tokens array<int>, row string"), G.toy_decoder(), 2).collect()
     assert len(got[0]["tokens"]) == 6
+
+
+def test_a_model_is_asked_for_legal_tokens_only():
+    """No row of a whole vocabulary is made where the model can do with less, and the tokens are the same."""
+    model, asked = G.toy_decoder().load(), []
+
+    def whole(ids, lengths):
+        raise AssertionError("all logits were asked for")
+
+    def of(ids, lengths, tokens):
+        asked.append(tokens.shape[1])
+        return model.of(ids, lengths, tokens)
+
+    whole.of = of
+    prompts = [[10 * i, 10_010, 11_060 + i] for i in range(5)]
+    got = G.decode_batch(whole, prompts, [[]] * 5, list(range(5)), 4, 0.95)
+    assert got == G.decode_batch(lambda ids, lengths: model(ids, lengths), prompts, [[]] * 5, list(range(5)), 4, 0.95)
+    assert len(asked) == 12 and max(asked) == 1000
