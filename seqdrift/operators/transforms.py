@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from types import FunctionType
 
 import numpy as np
@@ -287,6 +288,10 @@ class Subsample(_Stage, Estimator):
         return ColumnModel("subsample", self.getInputCol(), self.getOutputCol(), indices=[int(i) for i in chosen])
 
 
+#: Restarts of k-means that run at the same time.
+_RUNS = 8
+
+
 class KMeansDistance(_Stage, Estimator):
     """Distances to k centres, the best of ``restarts`` seeded runs over all rows; centres in ascending order.
 
@@ -301,6 +306,7 @@ class KMeansDistance(_Stage, Estimator):
     def _fit(self, df: DataFrame) -> ColumnModel:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
+        from pyspark.util import inheritable_thread_target
 
         column = self.getInputCol()
         rows = df.select(F.col(column).cast("array<double>").alias("x"))
@@ -308,7 +314,14 @@ class KMeansDistance(_Stage, Estimator):
             rows = rows.orderBy(F.xxhash64("x", F.lit(self.seed)), "x").limit(self.max_rows)
         rows = rows.select(array_to_vector("x").alias("features")).persist()
         try:
-            runs = [KMeans(k=self.k, seed=self.seed + i, maxIter=100).fit(rows) for i in range(self.restarts)]
+            rows.count()  # runs side by side would each read the rows
+
+            @inheritable_thread_target(rows.sparkSession)
+            def run(i: int):
+                return KMeans(k=self.k, seed=self.seed + i, maxIter=100).fit(rows)
+
+            with ThreadPoolExecutor(min(self.restarts, _RUNS)) as pool:  # a step is a short job: one run leaves executors idle
+                runs = list(pool.map(run, range(self.restarts)))
         finally:
             rows.unpersist()
         best = min(runs, key=lambda m: m.summary.trainingCost)

@@ -411,3 +411,24 @@ def test_saved_stages_name_known_functions_only(spark, tmp_path, monkeypatch):
         with pytest.raises(ValueError, match="neither registered"):
             F_._function_of(name)
     assert F_._function_of("seqdrift.operators.transforms:row_mean") is F_.row_mean
+
+
+def test_restarts_of_kmeans_run_side_by_side(spark, monkeypatch):
+    """Two runs wait for each other, so one after another they would never end; the best run's centres are the same."""
+    import threading
+
+    from pyspark.ml.clustering import KMeans
+
+    from seqdrift.operators.transforms import KMeansDistance
+
+    points = spark.createDataFrame([([float(i % 3 * 10 + i % 7), float(i % 5)],) for i in range(60)], "emb array<double>")
+    alone, both, plain = KMeansDistance(3, restarts=1).fit(points), threading.Barrier(2), KMeans.fit
+
+    def fit(self, *rows):
+        both.wait(timeout=60)
+        return plain(self, *rows)
+
+    monkeypatch.setattr(KMeans, "fit", fit)
+    best = KMeansDistance(3, restarts=2).fit(points)
+    near = [[min(r.emb) ** 2 for r in m.transform(points).collect()] for m in (alone, best)]
+    assert sum(near[1]) <= sum(near[0]) + 1e-9
