@@ -21,6 +21,8 @@ MAX_MATCHES = 4
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 1 << 19
 _NULL_ID = -(1 << 63)
+#: Stands for every block of a cell.
+_ALL = -1
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,8 +251,10 @@ def _units(prefixes: DataFrame) -> DataFrame:
     """(cell, sub, part, node, visits): which classes meet where, so that each two with a common prefix token meet once.
 
     A class lives in the cell of its most frequent prefix token, so those of a group of near copies, and those with one
-    common passage, mostly live together. A large cell is split into blocks. A class visits the lower ones of the blocks
-    in which some class with one of its prefix tokens lives, and no others; a block's visitors are split in parts.
+    common passage, mostly live together. A large cell is split into blocks. A class visits the lower blocks of its own
+    cell, all of which have the cell's token. In lower cells it visits the blocks in which some class with one of its
+    prefix tokens lives, or all blocks of a cell of which a half or more have that token: so a token that many classes of
+    a large cell have gives a row a cell, not a row a block. A block's visitors are split in parts.
     """
     postings = prefixes.select("node", "n", F.explode("prefix").alias("token"))
     meets = settle(postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"))
@@ -265,17 +269,22 @@ def _units(prefixes: DataFrame) -> DataFrame:
     homes = settle(homes.join(cells, "cell").select("node", "n", "cell", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("sub")))
 
     lived = shared.select("node", "token").join(homes, "node")
-    places = lived.groupBy("token").agg(F.min(F.struct("cell", "sub")).alias("least"), F.max(F.struct("cell", "sub")).alias("most"))
-    wide = settle(places.where("least <> most").select("token"))  # only their classes have somewhere to go
+    places = lived.groupBy("token").agg(F.min("cell").alias("least"), F.max("cell").alias("most"))
+    wide = settle(places.where("least <> most").select("token"))  # only their classes have another cell to go to
     going = settle(lived.join(wide, "token", "left_semi"))
-    blocks = settle(going.select("token", F.struct("cell", "sub").alias("to")).distinct())
-    visits = going.join(blocks, "token").where(F.col("to") < F.struct("cell", "sub")).select("node", "n", "to.cell", "to.sub").distinct()
-    visits = settle(visits)
+    spots = going.groupBy("token", "cell").agg(F.collect_set("sub").alias("subs")).join(cells, "cell")
+    at = F.when(2 * F.size("subs") >= F.col("pieces"), F.array(F.lit(_ALL))).otherwise(F.col("subs"))
+    spots = settle(spots.select("token", F.col("cell").alias("to"), F.explode(at).alias("at")))
+    away = going.join(spots, "token").where(F.col("to") < F.col("cell"))
+    away = settle(away.select("node", "n", F.col("to").alias("cell"), F.col("at").alias("sub")).distinct())
+    everywhere = away.where(F.col("sub") == _ALL).join(cells, "cell").select("node", "n", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("sub"))
+    own = homes.where("sub > 0").select("node", "n", "cell", F.explode(F.sequence(F.lit(0), F.col("sub") - 1)).alias("sub"))
+    visits = settle(own.unionByName(away.where(F.col("sub") != _ALL).unionByName(everywhere).distinct()))
     parts = settle(visits.groupBy("cell", "sub").agg(*pieces(["cell", "sub"])))
     visitors = visits.join(parts, ["cell", "sub"]).select("cell", "sub", F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces")).cast("int").alias("part"), "node", F.lit(True).alias("visits"))
     stays = homes.join(parts, ["cell", "sub"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
     units = settle(stays.select("cell", "sub", "part", "node", F.lit(False).alias("visits")).unionByName(visitors))
-    discard(meets, shared, cells, homes, wide, going, blocks, visits, parts)
+    discard(meets, shared, cells, homes, wide, going, spots, away, visits, parts)
     return units
 
 

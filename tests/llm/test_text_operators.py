@@ -183,6 +183,48 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert collected(got, "doc_id", "n_shingles", "component_id", "n_links") == sorted(map(repr, brute_jaccard(rows, 3, 90)))
 
 
+def join_rows(spark, after):
+    """The most rows that a join has made in the executions after the first ``after``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    executions, most = store.executionsList(), 0
+    for i in range(after, executions.size()):
+        number = executions.apply(i).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            metrics = [node.metrics().apply(j) for j in range(node.metrics().size())]
+            for m in metrics:
+                if "Join" in node.name() and m.name() == "number of output rows" and (found := values.get(m.accumulatorId())).isDefined():
+                    most = max(most, int(found.get().replace(",", "")))
+    return most
+
+
+def test_jaccard_hot_tokens(spark, monkeypatch):
+    """Classes that share many hot tokens over many blocks: each two with a common token meet once, and no join makes a
+    row for each token and block."""
+    from seqdrift.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 8)
+    rng = random.Random(8)
+    # One in four lacks the hottest tokens and lives elsewhere; pairs share a rare token across cells and blocks.
+    prefixes = [(i, 50, [*range(1 if i % 4 else 7, 13), 100 + rng.randrange(150)]) for i in range(400)]
+    prefixes += [(i, 50, [100 + rng.randrange(150), 300 + i % 5, 500 + i]) for i in range(400, 440)]
+    df = spark.createDataFrame(prefixes, "node long, n int, prefix array<long>")
+    before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    units = collections.defaultdict(lambda: ([], []))
+    for r in jaccard._units(df).collect():
+        units[r.cell, r.sub, r.part][r.visits].append(r.node)
+    assert join_rows(spark, before) < 3 * sum(len(p) for _, _, p in prefixes)
+    met = collections.Counter()
+    for (_, _, part), (stay, visit) in units.items():
+        assert len(stay) <= 40 and len(visit) <= 40
+        met.update(tuple(sorted((a, b))) for a in stay for b in visit)
+        if part == 0:
+            met.update((a, b) for a in stay for b in stay if a < b)
+    sets = {i: set(p) for i, _, p in prefixes}
+    assert max(met.values()) == 1
+    assert all((a, b) in met for a in sets for b in sets if a < b and sets[a] & sets[b])
+
+
 @pytest.mark.parametrize("rows", [odd_rows(), [(i, "x" * (i * 37 % 91)) for i in range(300)]], ids=["odd", "many"])
 def test_shards(spark, rows):
     got = shard_by_bytes(documents(spark, rows), n_shards=7).collect()
