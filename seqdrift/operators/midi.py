@@ -35,8 +35,10 @@ def to_compound(messages: DataFrame) -> DataFrame:
     lowest = F.least(F.lit(0), F.coalesce(F.min("balance").over(pair.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     notes = notes.withColumn("good", F.col("on") | (F.col("balance") >= lowest)).where("good")
     numbered = notes.withColumn("n", F.row_number().over(Window.partitionBy(*key, "on").orderBy("msg_idx")))
-    offs = numbered.where(~F.col("on")).select(*key, "n", F.col("at").alias("off_at"))
-    ons = numbered.where("on").join(offs, [*key, "n"], "left")
+    # Both lie in one partition of a window, so nothing is paired twice and joined. Nulls are equal there and meet nothing.
+    off_at = F.max(F.when(~F.col("on"), F.col("at"))).over(Window.partitionBy(*key, "n"))
+    known = F.col("seq_id").isNotNull() & F.col("note").isNotNull() & F.col("channel").isNotNull()
+    ons = numbered.withColumn("off_at", F.when(known, off_at)).where("on")
     return ons.select(
         "seq_id",
         (F.row_number().over(order) - 1).alias("note_idx"),
@@ -54,14 +56,13 @@ def to_messages(compound: DataFrame) -> DataFrame:
     At one tick onsets come before offsets. Channels are dealt in order of an instrument's first note, leaving out the
     drum channel, which drums get.
     """
-    first = compound.groupBy("seq_id", "instr").agg(F.min("note_idx").alias("first"))
-    melodic = Window.partitionBy("seq_id", F.col("instr") == V.DRUMS).orderBy("first")
-    rank = F.row_number().over(melodic) - 1
+    notes = compound.where("seq_id is not null and instr is not null").repartition("seq_id")  # for all windows here
+    notes = notes.withColumn("first_", F.min("note_idx").over(Window.partitionBy("seq_id", "instr")))
+    rank = F.dense_rank().over(Window.partitionBy("seq_id", F.col("instr") == V.DRUMS).orderBy("first_", "instr")) - 1
     channel = F.when(F.col("instr") == V.DRUMS, V.DRUM_CHANNEL).otherwise(F.when(rank >= V.DRUM_CHANNEL, rank + 1).otherwise(rank))
-    tracks = first.withColumn("channel", channel).select("seq_id", "instr", "channel")
     length = F.when(F.col("dur") < 0, V.UNKNOWN_DURATION).otherwise(F.col("dur"))
     ends = F.array(F.struct(F.col("onset").alias("tick"), F.lit(0).alias("side")), F.struct((F.col("onset") + length).alias("tick"), F.lit(1).alias("side")))
-    rows = compound.join(tracks, ["seq_id", "instr"]).select("seq_id", "instr", "channel", "note_idx", "pitch", "velocity", F.explode(ends).alias("m"))
+    rows = notes.withColumn("channel", channel).select("seq_id", "instr", "channel", "note_idx", "pitch", "velocity", F.explode(ends).alias("m"))
     track = Window.partitionBy("seq_id", "instr").orderBy("m.tick", "m.side", "note_idx")
     return rows.select(
         "seq_id",

@@ -6,10 +6,13 @@ import json
 import struct
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -278,7 +281,7 @@ def _varlen(value: int) -> bytes:
     return bytes(reversed(out))
 
 
-def midi_bytes(rows: list[tuple[int, int, int, str, int, int]]) -> bytes:
+def midi_bytes(rows: Iterable[tuple[int, int, int, str, int, int]]) -> bytes:
     """A MIDI file from (instrument, channel, delta ticks, type, pitch, velocity) rows, one track an instrument, with a
     hundred ticks a second."""
     tracks: dict[int, bytearray] = {}
@@ -293,14 +296,36 @@ def midi_bytes(rows: list[tuple[int, int, int, str, int, int]]) -> bytes:
     return bytes(out)
 
 
+#: Files that a task hands on at once, unless a single one is larger.
+_CONTENT_BYTES = 4 << 20
+
+
 def encode_midi(messages: DataFrame) -> DataFrame:
-    """(seq_id, content): MIDI files of ``to_messages`` rows."""
+    """(seq_id, content): MIDI files of ``to_messages`` rows.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["instr", "msg_idx"])[["instr", "channel", "delta", "type", "pitch", "velocity"]]
-        return pd.DataFrame({"seq_id": [frame["seq_id"].iloc[0]], "content": [midi_bytes(list(rows.itertuples(index=False, name=None)))]})
+    Sequences are dealt over as many tasks as the session shuffles to: by size alone, Spark would join the few bytes of
+    many files to one task. Each task encodes sorted rows as they come.
+    """
 
-    return messages.groupBy("seq_id").applyInPandas(run, "seq_id long, content binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        ids, contents, size = [], [], 0
+        for seq_id, group in groupby(rows, itemgetter(0)):
+            ids.append(seq_id)
+            contents.append(midi_bytes(row[1:] for row in group))
+            size += len(contents[-1])
+            if size >= _CONTENT_BYTES:
+                yield _files(ids, contents)
+                ids, contents, size = [], [], 0
+        yield _files(ids, contents)
+
+    chosen = messages.select("seq_id", "instr", "channel", "delta", "type", "pitch", "velocity", "msg_idx")
+    dealt = chosen.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq_id").sortWithinPartitions("seq_id", "instr", "msg_idx")
+    return dealt.drop("msg_idx").mapInArrow(run, "seq_id long, content binary")
+
+
+def _files(ids: list[int | None], contents: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(contents, pa.binary())], names=["seq_id", "content"])
 
 
 def write_parameters(spark: SparkSession, parameters: dict, path: str) -> None:

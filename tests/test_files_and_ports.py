@@ -45,6 +45,18 @@ def test_notes_of_several_tracks_come_back(spark, compound, tmp_path):
     assert _notes(M.to_compound(back)) == _notes(compound)
 
 
+def test_small_files_are_encoded_by_many_tasks_and_paired_once(spark, compound):
+    files = _files(compound)
+    assert files.select(F.spark_partition_id()).distinct().count() > 1
+    messages = M.to_messages(compound)
+    timed = messages.select("seq_id", "msg_idx", F.lit(0.1).alias("delta"), "type", "channel", F.col("pitch").alias("note"), "velocity", F.lit(None).cast("int").alias("program"))
+    for df in (messages, M.to_compound(timed)):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(1, i, 0.5, kind, channel, note, 60, None) for i, (kind, channel, note) in enumerate([("note_on", None, 60), ("note_on", 0, 60), ("note_off", None, 60), ("note_off", 0, 60)])]
+    got = M.to_compound(spark.createDataFrame(rows, timed.schema)).orderBy("note_idx").collect()
+    assert [r.dur for r in got] == [-1, 100]  # a note on no channel meets no end
+
+
 def test_appending_adds_overwriting_hides_and_vacuum_deletes(spark, compound, tmp_path):
     path = str(tmp_path / "m")
     low, high = compound.where("seq_id < 3"), compound.where("seq_id >= 3")
