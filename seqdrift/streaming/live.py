@@ -9,8 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from seqdrift import vocab as V
@@ -20,6 +19,7 @@ from seqdrift.streaming.pedal import BUFFER
 MESSAGE = "ts double, type string, note int, velocity int, channel int"
 LIVE = "device long, ts double, kind string, session int, n_buffer int, tokens array<int>, score double"
 _FIELDS = ("ts", "type", "note", "velocity", "channel")
+_Scored = Row("device", "ts", "kind", "session", "n_buffer", "tokens", "score")
 #: A score of each token list.
 TokenScore = Callable[[list[list[int]]], list[float]]
 
@@ -49,7 +49,11 @@ def buffer_tokens(messages: list[tuple]) -> list[int]:
 
 
 class _Session(StatefulProcessor):
-    """A device's pedal count and last message, in a value state, and its session's last messages, in a list state."""
+    """A device's pedal count and last message, in a value state, and its session's last messages, in a list state.
+
+    It works on rows, as a device's few messages cost less than the pandas frames they would come and go in, and asks for
+    the list only if there is a count, as each call goes to the state store's process.
+    """
 
     def __init__(self, score: TokenScore, pedal: int, size: int, idle_ms: int | None) -> None:
         self.score, self.pedal, self.size, self.idle_ms = score, pedal, size, idle_ms
@@ -59,47 +63,42 @@ class _Session(StatefulProcessor):
         self.place = handle.getValueState("place", "pedals int, last_ts double")
         self.held = handle.getListState("held", MESSAGE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pedals, last = self.place.get() if self.place.exists() else (0, float("-inf"))
-        held = [tuple(m) for m in self.held.get()] if self.held.exists() else []
-        frame = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
-        out: list[list] = [[] for _ in range(6)]
-        for message in zip(*(frame[c].tolist() for c in _FIELDS), strict=True):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        place = self.place.get()
+        pedals, last = place or (0, float("-inf"))
+        held = stored = [tuple(m) for m in self.held.get()] if place else []
+        messages = [(float("nan") if ts is None else ts, *rest) for ts, *rest in (tuple(r[c] for c in _FIELDS) for r in rows)]
+        out: list[tuple] = []
+        for message in sorted(messages, key=lambda m: (m[0] != m[0], m[0])):
             ts, kind, note, velocity, channel = message
             if ts < last:
-                row = (ts, "late", None, None, None)
+                out.append((ts, "late", None, None, None))
             elif note == self.pedal:
                 last, pedals, held = ts, pedals + 1, []
-                continue
             else:
                 last = ts
                 if pedals % 2 == 0:
                     continue
                 held = [*held, (float(ts), "note_off" if kind == "note_on" and velocity == 0 else kind, int(note), int(velocity), int(channel))][-self.size :]
                 tokens = buffer_tokens(held)
-                if len(tokens) == 1:
-                    continue
-                row = (ts, "score", pedals, len(held), tokens)
-            for column, value in zip(out, row, strict=False):
-                column.append(value)
+                if len(tokens) > 1:
+                    out.append((ts, "score", pedals, len(held), tokens))
         self.place.update((pedals, last))
         if held:
             self.held.put(held)
-        else:
+        elif stored:
             self.held.clear()
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        known = [i for i, tokens in enumerate(out[4]) if tokens is not None]
-        scores: list[float | None] = [None] * len(out[4])
-        for i, value in zip(known, self.score([out[4][i] for i in known]) if known else [], strict=True):
+        known = [i for i, row in enumerate(out) if row[4] is not None]
+        scores: list[float | None] = [None] * len(out)
+        for i, value in zip(known, self.score([out[i][4] for i in known]) if known else [], strict=True):
             scores[i] = float(value)
-        names = ("ts", "kind", "session", "n_buffer", "tokens")
-        made = pd.DataFrame({"device": pd.Series([key[0]] * len(scores), dtype="int64"), **{c: pd.Series(v, dtype=object) for c, v in zip(names, out, strict=False)}, "score": pd.Series(scores, dtype=object)})
-        yield made
+        return (_Scored(key[0], *row, score) for row, score in zip(out, scores, strict=True))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """A device that sent nothing for ``idle_ms`` is forgotten: its pedal counts as up."""
         self.place.clear()
         self.held.clear()
@@ -118,7 +117,7 @@ def stream_scores(messages: DataFrame, score: TokenScore, pedal: int = V.PEDAL,
     state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     chosen = messages.select("device", *_FIELDS)
-    return chosen.groupBy("device").transformWithStateInPandas(_Session(score, pedal, size, idle_ms), LIVE, "Append", "None" if idle_ms is None else "ProcessingTime")
+    return chosen.groupBy("device").transformWithState(_Session(score, pedal, size, idle_ms), LIVE, "Append", "None" if idle_ms is None else "ProcessingTime")
 
 
 def late_counts(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from seqdrift.operators import pooling as P
@@ -122,3 +123,39 @@ def test_detector_from_tokens_to_scores(spark):
     inverse = np.linalg.inv(np.cov(z[:40].T) + 1e-6 * np.eye(3))
     d = z[40:] - z[:40].mean(0)
     assert np.allclose(got, np.sqrt(((d @ inverse) * d).sum(1)), rtol=1e-6)
+
+
+class Counted:
+    """A state that counts the calls that would go to the store."""
+
+    def __init__(self, empty):
+        self.value, self.empty, self.calls = None, empty, 0
+
+    def get(self):
+        self.calls += 1
+        return self.empty if self.value is None else self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    put = update
+
+    def clear(self):
+        self.update(None)
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+
+def test_rows_go_through_with_few_calls_to_the_store():
+    session = S._Session(lambda tokens: [float(len(t)) for t in tokens], 48, 2, None)
+    session.place, session.held = Counted(None), Counted([])
+    rows = lambda *messages: iter([Row(device=7, ts=ts, type="note_on", note=note, velocity=50, channel=0) for ts, note in messages])
+    first = list(session.handleInputRows((7,), rows((2.0, 60), (1.0, 48)), None))
+    assert [tuple(r) for r in first] == [(7, 2.0, "score", 1, 1, S.buffer_tokens([(2.0, "note_on", 60, 50, 0)]), 4.0)]
+    assert (session.place.calls, session.held.calls) == (2, 1)  # nothing is asked of a list that cannot be there
+    second = list(session.handleInputRows((7,), rows((1.5, 60), (3.0, 61), (4.0, 62)), None))
+    assert [(r.ts, r.kind, r.n_buffer, r.score) for r in second] == [(1.5, "late", None, None), (3.0, "score", 2, 7.0), (4.0, "score", 2, 7.0)]
+    assert list(session.handleInputRows((7,), rows((5.0, 48)), None)) == [] and session.held.value is None
+    assert list(session.handleInputRows((7,), rows((None, 50), (6.0, 50)), None)) == []
