@@ -59,7 +59,8 @@ def to_messages(compound: DataFrame) -> DataFrame:
     notes = compound.where("seq_id is not null and instr is not null").repartition("seq_id")  # for all windows here
     notes = notes.withColumn("first_", F.min("note_idx").over(Window.partitionBy("seq_id", "instr")))
     rank = F.dense_rank().over(Window.partitionBy("seq_id", F.col("instr") == V.DRUMS).orderBy("first_", "instr")) - 1
-    channel = F.when(F.col("instr") == V.DRUMS, V.DRUM_CHANNEL).otherwise(F.when(rank >= V.DRUM_CHANNEL, rank + 1).otherwise(rank))
+    # Never null here, but nullable, as the channel of any message is.
+    channel = F.when(F.col("instr") == V.DRUMS, V.DRUM_CHANNEL).when(rank >= V.DRUM_CHANNEL, rank + 1).when(rank < V.DRUM_CHANNEL, rank)
     length = F.when(F.col("dur") < 0, V.UNKNOWN_DURATION).otherwise(F.col("dur"))
     ends = F.array(F.struct(F.col("onset").alias("tick"), F.lit(0).alias("side")), F.struct((F.col("onset") + length).alias("tick"), F.lit(1).alias("side")))
     rows = notes.withColumn("channel", channel).select("seq_id", "instr", "channel", "note_idx", "pitch", "velocity", F.explode(ends).alias("m"))
